@@ -123,9 +123,10 @@ def describe(
     if hot_rows is None:
         return _small_groups(df, keys, value, trim, side)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot_keys = cut_lineage(sizes.where(F.col("_rows") > F.lit(hot_rows)).drop("_rows"))
-    if hot_keys.isEmpty():
+    largest = sizes.agg(F.max("_rows")).first()[0]
+    if largest is None or largest <= hot_rows:
         return _small_groups(df, keys, value, trim, side)
+    hot_keys = cut_lineage(sizes.where(F.col("_rows") > F.lit(hot_rows)).drop("_rows"))
     small = df.join(hot_keys, keys, "left_anti")
     hot = df.join(hot_keys, keys, "left_semi")
     return _small_groups(small, keys, value, trim, side).unionByName(

@@ -9,6 +9,7 @@ from triagelake.fixed_values import HOUR_NS, NORMAL_MARGIN_NS, RECOVERY_NS
 from triagelake.functions.times import local_date, local_hour_key
 
 CHUNK = 4096
+BROADCAST_ROWS = 500_000
 
 
 def fault_windows(incidents: DataFrame) -> DataFrame:
@@ -109,19 +110,24 @@ def interval_join(
     windows: DataFrame,
     ts: str = "timestamp_ns",
     bucket_ns: int = HOUR_NS,
-    prune: bool = True,
     partition_by: str | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """One row per (fact, window) with ``w_start_ns <= ts <= w_end_ns``.
 
     Windows are spread over time buckets, which turns the range condition into an equality
-    on the bucket with a residual range check. A small window table is broadcast by Spark
-    from its measured size; a large one is shuffled on the bucket, where adaptive execution
-    splits a hot bucket. ``prune`` passes the outer bounds of all windows to the scan.
-    ``partition_by`` names a partition column of the facts ("date" or "hour_key") that joins
-    the equality, so that partitions no window touches are never read.
+    on the bucket with a residual range check. One look at the (small) window table gives
+    the outer bounds, which become a pushed filter on the facts, and the number of spread
+    rows. Up to ``broadcast_rows`` of them are broadcast, so the facts are not shuffled;
+    beyond that both sides are shuffled on the bucket and adaptive execution splits a bucket
+    that is too large. ``partition_by`` names a partition column of the facts ("date" or
+    "hour_key") that joins the equality, so partitions no window touches are never read.
     """
     valid = windows.where(F.col("w_start_ns") <= F.col("w_end_ns"))
+    per_window = F.expr(f"w_end_ns div {bucket_ns} - w_start_ns div {bucket_ns} + 1")
+    low, high, spread_rows = valid.agg(
+        F.min("w_start_ns"), F.max("w_end_ns"), F.sum(per_window)
+    ).first()
     buckets = F.expr(f"sequence(w_start_ns div {bucket_ns}, w_end_ns div {bucket_ns})")
     spread = valid.withColumn("_bucket", F.explode(buckets))
     keys = ["_bucket"]
@@ -130,11 +136,10 @@ def interval_join(
         derive = {"date": local_date, "hour_key": local_hour_key}[partition_by]
         spread = spread.withColumn(partition_by, derive(instant))
         keys.append(partition_by)
-    if prune:
-        low = valid.agg(F.min("w_start_ns")).scalar()
-        high = valid.agg(F.max("w_end_ns")).scalar()
-        facts = facts.where(F.col(ts).between(low, high))
-    bucketed = facts.withColumn("_bucket", F.expr(f"{ts} div {bucket_ns}"))
+    fits = spread_rows is not None and spread_rows <= broadcast_rows
+    spread = F.broadcast(spread) if fits else spread.hint("merge")
+    within = F.lit(False) if low is None else F.col(ts).between(F.lit(low), F.lit(high))
+    bucketed = facts.where(within).withColumn("_bucket", F.expr(f"{ts} div {bucket_ns}"))
     hit = F.col(ts).between(F.col("w_start_ns"), F.col("w_end_ns"))
     return bucketed.join(spread, keys).where(hit).drop("_bucket")
 

@@ -139,7 +139,10 @@ def metric_evidence(
     used = metrics.drop_device(metric_table.where(wanted)).withColumn(
         "service", F.coalesce("service", F.lit(""))
     )
-    paired = cut_lineage(metrics.fault_vs_normal(used, span, entity, **options))
+    stats = metrics.describe_in_windows(used, span, entity, keep_empty=True, **options)
+    # a service metric without any measurement is reported as such, others count as absent
+    stats = stats.where((kind == F.lit("apm_pod")) | (F.col("n") > F.lit(0)))
+    paired = cut_lineage(metrics.pair_sides(stats, entity))
     grid = metrics.presence_grid(
         used.where(kind.isin("node", "pod", "db_component")), incidents, entity
     )

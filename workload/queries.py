@@ -330,7 +330,7 @@ def _(spark, sf):
 def metric_rows(spark, sf):
     return evidence.metric_evidence(
         views.metrics(spark, sf), incident_table(spark, sf), views.NODES, views.PODS,
-        views.DB_PAIRS, keep_empty=True)
+        views.DB_PAIRS)
 
 
 METRIC_KEYS = ["section", "service", "node", "entity", "metric"]
@@ -583,12 +583,12 @@ def _(spark, sf):
 
 
 def sampled(spark, sf):
-    return incidents.sample_incidents(incident_table(spark, sf), views.SAMPLE_N)
+    return cut_lineage(incidents.sample_incidents(views.incidents(spark, sf), views.SAMPLE_N))
 
 
 def train_bins(spark, sf):
-    return evidence.training_bins(
-        spans(spark, sf), sampled(spark, sf), ORDER, views.RECOVERY, views.BIN)
+    return cut_lineage(evidence.training_bins(
+        spans(spark, sf), sampled(spark, sf), ORDER, views.RECOVERY, views.BIN))
 
 
 def fault_bins(spark, sf):
@@ -641,10 +641,10 @@ def _(spark, sf):
     return rounded(events, "mean_duration")
 
 
-def trace_rows(spark, sf):
+def trace_rows(spark, sf, paths=None):
     base = train_bins(spark, sf)
     found = evidence.trace_evidence(
-        fault_paths(spark, sf), detect.quantile_model(base, views.CONTAMINATION),
+        fault_paths(spark, sf) if paths is None else paths, detect.quantile_model(base, views.CONTAMINATION),
         traces.baseline_stats(base), ORDER, views.BIN)
     return rounded(found, "normal_avg_duration", "anomaly_avg_duration")
 
@@ -652,7 +652,8 @@ def trace_rows(spark, sf):
 @query("anomaly_combinations", "SELECT * FROM trace_ev")
 def _(spark, sf):
     bins = train_bins(spark, sf)
-    events = detect.quantile_events(fault_bins(spark, sf), band(spark, sf))
+    model = detect.quantile_model(bins, views.CONTAMINATION)
+    events = detect.quantile_events(fault_bins(spark, sf), model)
     known = fault_paths(spark, sf).where(traces.known_path())
     callers = logs.first_in_group(
         known, ["uuid", *traces.PATH], ORDER, ["node_name", "service_name"])
@@ -682,8 +683,10 @@ def _(spark, sf):
 def bundle_parts(spark, sf):
     lines = evidence.evidence_lines
     log = lines(log_rows(spark, sf), evidence.LOG_COLUMNS, "line_no", "occurrence_count")
-    trace = lines(trace_rows(spark, sf), evidence.TRACE_COLUMNS, "rank_no", "anomaly_count")
-    status = lines(traces.status_combinations(fault_paths(spark, sf), ["uuid"]),
+    paths = cut_lineage(fault_paths(spark, sf))
+    trace = lines(trace_rows(spark, sf, paths), evidence.TRACE_COLUMNS, "rank_no",
+                  "anomaly_count")
+    status = lines(traces.status_combinations(paths, ["uuid"]),
                    evidence.STATUS_COLUMNS, "rank_no", "occurrence_count")
     numbered = metric_rows(spark, sf).withColumn("line_no", F.array_join(F.array(*METRIC_KEYS), "/"))
     metric = lines(numbered, METRIC_COLUMNS, "line_no", "")
