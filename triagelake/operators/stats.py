@@ -47,7 +47,7 @@ def _hot_groups(df, keys, value, trim, side) -> DataFrame:
     """
     v = F.col(value)
     flag = F.lit(False) if trim is None else trim
-    weights = (
+    weights = cut_lineage(
         df.where(v.isNotNull()).withColumn("_trim", flag)
         .groupBy(*keys, "_trim", value).agg(F.count(F.lit(1)).alias("_c"))
     )
@@ -55,9 +55,12 @@ def _hot_groups(df, keys, value, trim, side) -> DataFrame:
     borders = weights.groupBy(*keys).agg(
         F.percentile_approx(v, steps, 10 * HOT_BINS).alias("_borders")
     )
-    binned = weights.join(borders, keys).withColumn(
-        "_bin", F.size(F.filter("_borders", lambda border: border < v))
-    ).drop("_borders")
+    binned = cut_lineage(
+        weights.join(borders, keys)
+        .withColumn("_bin", F.size(F.filter("_borders", lambda border: border < v)))
+        .withColumn("_middle", F.element_at("_borders", F.lit(HOT_BINS // 2)))
+        .drop("_borders")
+    )
     by_bin = Window.partitionBy(*keys).orderBy("_bin")
     sizes = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_size"))
     offsets = sizes.select(
@@ -89,18 +92,20 @@ def _hot_groups(df, keys, value, trim, side) -> DataFrame:
     centre = kept.groupBy(*keys).agg(
         F.sum(weight).alias("n"), (F.sum(v * weight) / F.sum(weight)).alias("mean"),
         F.min(v).alias("min"), F.max(v).alias("max"),
-        (F.sum(nonzero) / F.sum(weight)).alias("non_zero_ratio"), *picks,
-    )
-    spread = kept.join(centre.select(*keys, "mean"), keys).groupBy(*keys).agg(
-        F.sum(weight * F.pow(v - F.col("mean"), 2)).alias("_ss")
+        (F.sum(nonzero) / F.sum(weight)).alias("non_zero_ratio"),
+        F.sum(weight * F.pow(v - F.col("_middle"), 2)).alias("_squares"),
+        F.max("_middle").alias("_middle"), *picks,
     )
+    # squares are taken around a middle value, close to the mean, to keep their precision
+    squares = F.col("_squares") - F.col("n") * F.pow(F.col("mean") - F.col("_middle"), 2)
     quantiles = []
     for name, q in QUANTILES.items():
         place = (F.col("n") - F.lit(1)) * F.lit(q)
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         quantiles.append((lo + (hi - lo) * (place - F.floor(place))).alias(name))
-    std = F.when(F.col("n") > F.lit(1), F.sqrt(F.col("_ss") / (F.col("n") - F.lit(1))))
-    return centre.join(spread, keys).select(
+    std = F.when(F.col("n") > F.lit(1), F.sqrt(
+        F.greatest(squares, F.lit(0.0)) / (F.col("n") - F.lit(1))))
+    return centre.select(
         *keys, "n", "mean", std.alias("std"), "min", *quantiles, "max", "non_zero_ratio"
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,12 @@ from triagelake.operators import (
     calls, detect, incidents, logs, metrics, results, stats, summary, templates, traces, windows,
 )
 from triagelake.plans import evidence
-from triagelake.session import cut_lineage
+from triagelake.schemas import INCIDENT_CSV
+from triagelake.session import cut_lineage, shared_dir
+from triagelake.sinks import writers
 from triagelake.sources import telemetry
+from triagelake.sources.incidents import read_incident_csv
+from triagelake.sources.results import read_calls, read_results
 from workload import views
 from workload.oracle import csv, count_csv, describe, r6, sql, text_sql
 
@@ -24,6 +29,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 ORDER = ["timestamp_ns", "row_id"]
 STATS = [c for c in stats.STAT_COLUMNS if c != "n"]
+INCIDENT_CSV_TYPES = {f.name: f.dataType for f in INCIDENT_CSV}
 
 
 def query(name: str, oracle: str | None = None):
@@ -342,7 +348,19 @@ def _(spark, sf):
     return metric_rows(spark, sf)
 
 
-@query("metric_report_json")
+REPORT_MEMBER = "'\"' || metric || '\":{' || " + " || ',' || ".join(
+    f"'\"{label}\":' || CAST({c} AS VARCHAR)" for c, label in REPORT_LABELS.items()) + " || '}'"
+
+
+def _object_sql(source: str, member: str, keys: str) -> str:
+    return (f"SELECT {keys}, '{{' || string_agg({member}, ',' ORDER BY {member}) || '}}' AS j "
+            f"FROM ({source}) GROUP BY ALL")
+
+
+@query("metric_report_json", "SELECT uuid, j AS report FROM (" + _object_sql(
+    _object_sql(_object_sql("SELECT * FROM apm_report", REPORT_MEMBER, "uuid, service, entity"),
+                "'\"' || entity || '\":' || j", "uuid, service"),
+    "'\"' || service || '\":' || j", "uuid") + ")")
 def _(spark, sf):
     rows = metric_rows(spark, sf).where(F.col("section") == "microservice")
     return evidence.metric_report_json(rows, ["service", "entity"])
@@ -748,6 +766,97 @@ def _(spark, sf):
     return evidence.evidence_text(lines, evidence.LOG_COLUMNS, "text")
 
 
+# Files
+
+def new_folder(spark):
+    return f"{shared_dir(spark)}/triagelake-{uuid4().hex}"
+
+
+@query("partitioned_scan", "SELECT uuid, row_id, timestamp_ns, hour_key FROM fault_logs")
+def _(spark, sf):
+    path = new_folder(spark)
+    rows = views.logs(spark, sf).withColumn("date", F.substring("hour_key", 1, 10))
+    writers.write_normalised(rows, path)
+    stored = telemetry.read_table(spark, path, rows.schema)
+    span = windows.fault_windows(incident_table(spark, sf))
+    found = windows.interval_join(stored, span, partition_by="hour_key")
+    return found.select("uuid", "row_id", "timestamp_ns", "hour_key")
+
+
+@query("partitioned_metric_scan", """SELECT w.uuid, m.entity_kind, m.date, count(*) AS n FROM
+    metrics m JOIN fault_w w ON m.timestamp_ns BETWEEN w.w_start_ns AND w.w_end_ns GROUP BY ALL""")
+def _(spark, sf):
+    path = new_folder(spark)
+    rows = views.metrics(spark, sf)
+    writers.write_normalised(rows, path, ("date", "entity_kind"))
+    stored = telemetry.read_table(spark, path, rows.schema)
+    span = windows.fault_windows(incident_table(spark, sf))
+    found = windows.interval_join(stored, span, partition_by="date")
+    return found.groupBy("uuid", "entity_kind", "date").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("file_report", "SELECT 'success' AS status, count(*) AS rows FROM logs")
+def _(spark, sf):
+    path = new_folder(spark)
+    writers.save_table(views.logs(spark, sf), path)
+    report = telemetry.file_report(spark, path)
+    return report.groupBy("status").agg(F.sum("rows").alias("rows"))
+
+
+@query("merged_spans", "SELECT span_id, parent_pod, parent_service FROM train_spans")
+def _(spark, sf):
+    path = new_folder(spark)
+    around = evidence.training_spans(
+        spans(spark, sf), sampled(spark, sf), ORDER, views.RECOVERY)
+    writers.save_table(around.drop("tags"), path)
+    stored = telemetry.read_table(spark, path)
+    return stored.select("span_id", "parent_pod", "parent_service")
+
+
+@query("result_file", "SELECT uuid, component, reason, steps, observation FROM results")
+def _(spark, sf):
+    path = new_folder(spark)
+    writers.write_results(parsed_results(spark, sf), path)
+    return flat(read_results(spark, path))
+
+
+@query("incident_csv_scan", "SELECT uuid, start_ns, end_ns, date, hour_key FROM incidents")
+def _(spark, sf):
+    path = new_folder(spark)
+    columns = {c: F.lit(None).cast(t) for c, t in INCIDENT_CSV_TYPES.items()}
+    columns.update({
+        "uuid": F.col("uuid"), "start_timestamp": F.col("start_ns"), "date": F.col("date"),
+        "end_timestamp": F.col("end_ns"), "start_time_hour": F.col("hour_key"),
+        "Anomaly Description": F.concat(F.lit('quoted "text",\nsecond line of '), "uuid"),
+    })
+    rows = views.incidents(spark, sf).select(*[c.alias(n) for n, c in columns.items()])
+    rows.write.option("header", "true").option("escape", '"').csv(path)
+    read = read_incident_csv(spark, path)
+    return read.where(F.contains("description", F.lit("second line"))).select(
+        "uuid", "start_ns", "end_ns", "date", "hour_key")
+
+
+@query("call_log", """SELECT 2 * count(*) AS total_calls, count(DISTINCT conv_id) AS total_uuids
+    FROM conversations""")
+def _(spark, sf):
+    path = new_folder(spark)
+    rows = views.calls(spark, sf).select(
+        "uuid", F.lit("2024-01-01 00:00:00").alias("timestamp"), "call_type", "prompt", "response")
+    writers.append_calls(rows, path)
+    writers.append_calls(rows, path)
+    return calls.call_stats(read_calls(spark, path))
+
+
+@query("catalogue_file", "SELECT template, CAST(size AS VARCHAR) AS count FROM mt_templates")
+def _(spark, sf):
+    path = new_folder(spark)
+    writers.write_catalogue(
+        templates.template_catalogue(mined(spark, sf)).select("template", "count"), path)
+    return spark.read.option("header", "true").option("escape", '"').option(
+        "multiLine", "true").csv(path).select(F.coalesce("template", F.lit("")).alias(
+            "template"), "count")
+
+
 # Results
 
 def fresh(spark, sf):
@@ -774,16 +883,15 @@ def _(spark, sf):
     return flat(fresh(spark, sf))
 
 
-@query("upsert_results", """SELECT uuid, component, reason, steps, observation FROM (
-    SELECT * FROM results WHERE true) ORDER BY uuid""")
+@query("upsert_results", """SELECT uuid, arg_max(component, place) AS component,
+    arg_max(reason, place) AS reason, arg_max(steps, place) AS steps,
+    arg_max(observation, place) AS observation FROM
+    (SELECT *, CASE WHEN component = 'frontend-1' THEN seq ELSE seq + 1000000000000 END AS place
+     FROM answers) GROUP BY 1""")
 def _(spark, sf):
     table = fresh(spark, sf)
-    early = F.col("seq") % 2 == 0
-    old = results.upsert_results(table.limit(0), table.where(early))
-    newer = table.join(old.select("uuid"), "uuid", "left")
-    kept = logs.last_wins(table, ["uuid"], ["seq"])
-    merged = results.upsert_results(table.where(early), kept)
-    return flat(merged).orderBy("uuid")
+    known = F.col("component") == "frontend-1"
+    return flat(results.upsert_results(table.where(known), table.where(~known)))
 
 
 @query("component_check", f"""SELECT uuid, component,
