@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from triagelake.schemas import RESULT
 
 
-def json_object_in(text: Column) -> Column:
-    """From the first ``{`` to the last ``}``; NULL unless that is a JSON object with a key."""
-    raw = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    keys = F.size(F.json_object_keys(raw))
-    return F.when(F.try_parse_json(raw).isNotNull() & (keys > F.lit(0)), raw)
+def braced_part(text: Column) -> Column:
+    """From the first ``{`` to the last ``}``, across lines; NULL without such a pair."""
+    first = F.instr(text, "{")
+    last = F.length(text) - F.instr(F.reverse(text), "}") + F.lit(1)
+    found = (first > F.lit(0)) & F.contains(text, F.lit("}")) & (last > first)
+    return F.when(found, F.substring(text, first, last - first + F.lit(1)))
 
 
-def answer_of(text: Column) -> Column:
-    """The answer as a struct, or NULL when the reply holds no JSON object."""
-    raw = json_object_in(text)
-    return F.when(raw.isNotNull(), F.from_json(raw, RESULT.simpleString()))
+def is_json_object(text: Column) -> Column:
+    """Valid JSON, and an object with at least one key."""
+    keys = F.size(F.json_object_keys(text))
+    return F.try_parse_json(text).isNotNull() & (keys > F.lit(0))
+
+
+def answer_of(json: Column) -> Column:
+    return F.from_json(json, RESULT.simpleString())

@@ -47,7 +47,8 @@ def describe_in_windows(
     """Statistics per incident, entity and side; both normal windows are pooled and trimmed."""
     rows = in_windows(metrics, windows, [*entity, "value"], **join_options)
     normal = F.startswith(F.col("kind"), F.lit("normal"))
-    rows = rows.withColumn("kind", F.when(normal, F.lit("normal")).otherwise(F.lit("fault")))
+    side_of = F.when(normal, F.lit("normal")).otherwise(F.lit("fault"))
+    rows = rows.withColumn("kind", side_of)
     stats = describe(
         rows, ["uuid", *entity, "kind"], "value",
         trim=F.col("kind") == F.lit("normal"), side=side, hot_rows=hot_rows,

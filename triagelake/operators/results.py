@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagelake.fixed_values import NODES, PODS, SERVICES
-from triagelake.functions.replies import answer_of
+from triagelake.functions.replies import answer_of, braced_part, is_json_object
 from triagelake.operators.logs import last_wins
 
 RESULT_COLUMNS = ["component", "uuid", "reason", "reasoning_trace"]
@@ -14,22 +14,26 @@ DONOR_BUCKETS = 256
 
 
 def with_defaults(results: DataFrame) -> DataFrame:
-    """The four result columns in their order, missing ones as empty text or empty list."""
+    """The four result columns in their order, missing ones as empty text or empty list.
+
+    Further columns follow as they are.
+    """
     steps = F.coalesce("reasoning_trace", F.array().cast(results.schema["reasoning_trace"].dataType))
     return results.select(
         F.coalesce("component", F.lit("")).alias("component"), "uuid",
         F.coalesce("reason", F.lit("")).alias("reason"), steps.alias("reasoning_trace"),
+        *[c for c in results.columns if c not in RESULT_COLUMNS],
     )
 
 
 def parse_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:
     """Results from free-text replies; a reply without a JSON object gives no row."""
-    parsed = replies.select("uuid", answer_of(F.col(reply)).alias("_a")).where(
-        F.col("_a").isNotNull()
-    )
-    return with_defaults(
-        parsed.select("uuid", "_a.component", "_a.reason", "_a.reasoning_trace")
+    kept = [c for c in replies.columns if c != reply]
+    raw = replies.select(*kept, braced_part(F.col(reply)).alias("_json")).where(
+        F.col("_json").isNotNull() & is_json_object(F.col("_json"))
     )
+    parsed = raw.select(*kept, answer_of(F.col("_json")).alias("_a"))
+    return with_defaults(parsed.select(*kept, "_a.component", "_a.reason", "_a.reasoning_trace"))
 
 
 def upsert_results(existing: DataFrame, fresh: DataFrame, order: str = "seq") -> DataFrame:
@@ -37,7 +41,7 @@ def upsert_results(existing: DataFrame, fresh: DataFrame, order: str = "seq") ->
     old = existing.withColumn("_gen", F.lit(0))
     new = fresh.withColumn("_gen", F.lit(1))
     both = old.unionByName(new)
-    return with_defaults(last_wins(both, ["uuid"], ["_gen", order]))
+    return with_defaults(last_wins(both, ["uuid"], ["_gen", order])).drop("_gen", order)
 
 
 def component_check(

@@ -17,6 +17,7 @@ from triagelake.fixed_values import (
     MAX_EXAMPLES, PREFIX_TOKENS, TOKEN_DELIMITERS, TOP_TEMPLATES, WILDCARD,
 )
 from triagelake.mask_rules import mask_rules
+from triagelake.session import cut_lineage
 
 GENERIC_MASKS = ("ISO_TIMESTAMP", "URL", "HOST", "UID")
 SPACES = r"[\s\x0B\x1c-\x1f\x{85}\p{Z}]+"
@@ -119,23 +120,48 @@ def mine_templates(
     text = F.col(column)
     masked = sizes.withColumn("masked", mask_all_udf()(text) if full else mask_generic(text))
     merged = masked.groupBy("masked").agg(F.sum("_n").alias("_n"))
-    leaves = tokenized(merged)
-    counts = leaves.groupBy("template_id").agg(F.sum("_n").alias("size"))
-    token, place = F.col("token"), F.col("pos")
-    positions = leaves.select("template_id", F.posexplode("tokens").alias("pos", "token"))
-    merged_tokens = positions.groupBy("template_id", "pos").agg(
-        F.min(token).alias("_low"), F.max(token).alias("_high")
+    leaves = cut_lineage(tokenized(merged).select("template_id", "tokens", "_n"))
+    heads = leaves.groupBy("template_id").agg(
+        F.sum("_n").alias("size"), F.count(F.lit(1)).alias("_members"),
+        F.any_value("tokens").alias("tokens"),
     )
-    kept = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(F.lit(WILDCARD))
-    rows = merged_tokens.select("template_id", F.struct(place, kept.alias("token")).alias("_t"))
-    listed = rows.groupBy("template_id").agg(F.array_sort(F.collect_list("_t")).alias("_l"))
-    lists = listed.select("template_id", F.col("_l.token").alias("template_tokens"))
-    empty = F.array().cast("array<string>")
-    return counts.join(lists, "template_id", "left").select(
-        "template_id", F.coalesce("template_tokens", empty).alias("template_tokens"), "size"
+    return heads.join(_wildcards(leaves, heads), "template_id", "left").select(
+        "template_id", _with_wildcards().alias("template_tokens"), "size"
     ).withColumn("template", F.array_join("template_tokens", " "))
 
 
+def _wildcards(leaves: DataFrame, heads: DataFrame) -> DataFrame:
+    """Per template a flag for every position: do its messages differ there?
+
+    Positions compare two hashes of their tokens, which keeps the exploded rows narrow and
+    the aggregation in fixed-width buffers. Templates with one message have no wildcards.
+    """
+    several = heads.where(F.col("_members") > F.lit(1)).select("template_id")
+    words = leaves.join(several, "template_id", "left_semi").select(
+        "template_id", F.posexplode("tokens").alias("pos", "token")
+    )
+    hashed = words.select(
+        "template_id", "pos", F.xxhash64("token").alias("a"),
+        F.xxhash64(F.lit(1), "token").alias("b"),
+    )
+    spread = hashed.groupBy("template_id", "pos").agg(
+        F.min("a").alias("a0"), F.max("a").alias("a1"),
+        F.min("b").alias("b0"), F.max("b").alias("b1"),
+    )
+    differs = (F.col("a0") != F.col("a1")) | (F.col("b0") != F.col("b1"))
+    flags = F.array_sort(F.collect_list(F.struct("pos", differs.alias("differs"))))
+    return spread.groupBy("template_id").agg(flags.alias("_f")).select(
+        "template_id", F.col("_f.differs").alias("_flags")
+    )
+
+
+def _with_wildcards() -> Column:
+    replaced = F.zip_with(
+        "tokens", "_flags", lambda token, differs: F.when(differs, F.lit(WILDCARD)).otherwise(token)
+    )
+    return F.when(F.col("_flags").isNull(), F.col("tokens")).otherwise(replaced)
+
+
 def match_templates(
     messages: DataFrame, templates: DataFrame, column: str = "message", full: bool = True
 ) -> DataFrame:

@@ -860,10 +860,7 @@ def _(spark, sf):
 # Results
 
 def fresh(spark, sf):
-    rows = views.replies(spark, sf)
-    parsed = results.parse_replies(rows.withColumn("uuid", F.concat_ws("#", "uuid", "seq")))
-    parts = F.split("uuid", "#")
-    return parsed.withColumn("seq", parts[1].cast("long")).withColumn("uuid", parts[0])
+    return results.parse_replies(views.replies(spark, sf))
 
 
 def flat(df):
