@@ -47,6 +47,32 @@ def dedup_first(
     )
 
 
+def distinct_messages(
+    logs: DataFrame, keys: list[str], order: list[str], payload: list[str]
+) -> DataFrame:
+    """Rows of equal key and message merged into the first one and a count.
+
+    Logs repeat themselves; merging them first keeps repeated messages out of later joins.
+    """
+    place = F.struct(*order)
+    return logs.groupBy(*keys, "message").agg(
+        F.min(place).alias("_place"), F.min_by(F.struct(*payload), place).alias("_first"),
+        F.count(F.lit(1)).alias("_n"),
+    )
+
+
+def dedup_merged(
+    merged: DataFrame, keys: list[str], payload: list[str]
+) -> DataFrame:
+    """``dedup_first`` on rows from ``distinct_messages`` that got a template since."""
+    first = F.min_by(F.struct("_first.*", "message"), F.struct("_place", "message"))
+    return (
+        merged.groupBy(*keys)
+        .agg(first.alias("_row"), F.sum("_n").alias("occurrence_count"))
+        .select(*keys, *[F.col(f"_row.{c}") for c in [*payload, "message"]], "occurrence_count")
+    )
+
+
 def with_service(logs: DataFrame, pod: str = "pod_name") -> DataFrame:
     return logs.withColumn("service_name", service_of_log_pod(F.col(pod)))
 

@@ -68,13 +68,11 @@ def with_parent(
     last = F.max_by(F.struct(*[F.col(c).alias(new) for c, new in columns.items()]),
                     F.struct(*order))
     parents = source.where(F.col("span_id").isNotNull()).groupBy(
-        *scope, F.col("span_id").alias("_key")
-    ).agg(last.alias("_parent")).withColumn("_child", F.lit(True))
-    own = F.coalesce("parent_span_id", "span_id")
-    children = spans.withColumn("_key", own).withColumn(
-        "_child", F.col("parent_span_id").isNotNull()
-    )
-    joined = children.join(parents, [*scope, "_key", "_child"], "left")
+        *scope, F.concat(F.lit("p"), "span_id").alias("_key")
+    ).agg(last.alias("_parent"))
+    lonely = F.coalesce("span_id", F.col(order[0]).cast("string"), F.lit(""))
+    key = F.coalesce(F.concat(F.lit("p"), "parent_span_id"), F.concat(F.lit("-"), lonely))
+    joined = spans.withColumn("_key", key).join(parents, [*scope, "_key"], "left")
     kept = [F.col(c) for c in spans.columns]
     return joined.select(*kept, *[F.col("_parent")[new].alias(new) for new in columns.values()])
 

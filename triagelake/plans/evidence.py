@@ -33,11 +33,12 @@ def log_evidence(
     spans = windows.clip_to_start(windows.fault_windows(incidents), incidents, scope)
     columns = list(dict.fromkeys([*order, "pod_name", "node_name", "message"]))
     rows = windows.in_windows(logs.error_logs(log_table), spans, columns, **join_options)
-    matched = templates.match_templates(rows, template_table, full=full_masks)
-    tagged = templates.attach_templates(rows, matched)
-    first = logs.dedup_first(
-        tagged, ["uuid", "pod_name", "template"], order, ["node_name", "message"]
+    merged = cut_lineage(
+        logs.distinct_messages(rows, ["uuid", "pod_name"], order, ["node_name"])
     )
+    matched = templates.match_templates(merged, template_table, full=full_masks)
+    tagged = templates.attach_templates(merged, matched)
+    first = logs.dedup_merged(tagged, ["uuid", "pod_name", "template"], ["node_name"])
     kept = logs.drop_injected(logs.with_service(first))
     return logs.order_by_count(kept, ["uuid"], ["pod_name", "template", "message"])
 

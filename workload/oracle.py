@@ -7,6 +7,7 @@ import re
 from triagelake.fixed_values import (
     COUNT_LABEL, MISSING_LABEL, NODES, PODS, REPORT_LABELS, SERVICES, STABLE_RATIO,
 )
+from triagelake.mask_rules import mask_rules
 from workload import views
 
 HOUR = 3_600_000_000_000
@@ -55,6 +56,17 @@ def mask_sql(x: str) -> str:
     return x
 
 
+def mask_all_sql(x: str) -> str:
+    """The whole ordered rule list, digits and word characters as Unicode classes."""
+    for name, pattern in mask_rules():
+        if name == "URL":
+            pattern = "https?://[a-zA-Z0-9$-_@.&+!*(),]+"
+        pattern = pattern.replace(r"[\w", r"[\p{L}\p{N}_").replace(r"\w", WORD)
+        pattern = pattern.replace(r"\d", DAY).replace("'", "''")
+        x = f"regexp_replace({x}, '{pattern}', '<:{name}:>', 'g')"
+    return x
+
+
 def csv(*columns: str) -> str:
     def field(c):
         t = f"CAST({c} AS VARCHAR)"
@@ -254,7 +266,8 @@ CTE: dict[str, str] = {
         'node-0' || CAST(user_id % 8 + 1 AS VARCHAR) AS node_name,
         CASE WHEN k <> 97 THEN event_type || ' user=' || CAST(user_id AS VARCHAR) || ' value=' ||
           CAST(value AS VARCHAR) || ' k=' || CAST(k AS VARCHAR) || CASE WHEN k % 10 = 3 THEN
-          ' java.lang.Error Injected' WHEN k % 10 = 4 THEN ' Error, code' ELSE '' END END AS message,
+          ' java.lang.Error Injected' WHEN k % 10 = 4 THEN ' Error, code' WHEN k % 10 = 5 THEN
+          '{views.CART_FAILURE}' WHEN k % 10 = 6 THEN '{views.DEADLINE}' ELSE '' END END AS message,
         {local('ts_ns', '%Y-%m-%d_%H')} AS hour_key FROM ev""",
     "error_rows": "SELECT * FROM logs WHERE contains(lower(message), 'error')",
     "messages": """SELECT doc_id AS a, CAST(line_no AS BIGINT) AS b, message FROM
@@ -384,5 +397,8 @@ def count_csv(columns: list[str], count: str) -> str:
                  for c in columns])
 
 
+CTE["full_masked"] = f"""SELECT message, {mask_all_sql('message')} AS masked FROM
+    (SELECT DISTINCT message FROM messages WHERE message IS NOT NULL)"""
+
 __all__ = ["CTE", "sql", "csv", "text_sql", "count_csv", "MISSING_LABEL", "NODES", "PODS",
            "SERVICES"]

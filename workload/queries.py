@@ -15,6 +15,7 @@ from triagelake.operators import (
     calls, detect, incidents, logs, metrics, results, stats, summary, templates, traces, windows,
 )
 from triagelake.plans import evidence
+from triagelake.plans.training import load_or_train
 from triagelake.schemas import INCIDENT_CSV
 from triagelake.session import cut_lineage, shared_dir
 from triagelake.sinks import writers
@@ -484,7 +485,7 @@ def _(spark, sf):
     return templates.masked_messages(views.messages(spark, sf), full=False)
 
 
-@query("mask_messages_full")
+@query("mask_messages_full", "SELECT message, masked FROM full_masked")
 def _(spark, sf):
     return templates.masked_messages(views.messages(spark, sf), full=True)
 
@@ -696,6 +697,17 @@ def _(spark, sf):
     return detect.forest_events(fault_bins(spark, sf), model)
 
 
+@query("load_or_train")
+def _(spark, sf):
+    path = new_folder(spark)
+    for _ in range(2):
+        model, base = load_or_train(
+            spark, path, spans(spark, sf), incident_table(spark, sf), ORDER, views.SAMPLE_N,
+            recovery_ns=views.RECOVERY, bin_ns=views.BIN, contamination=views.CONTAMINATION)
+    return evidence.trace_evidence(fault_paths(spark, sf), model, base, ORDER, views.BIN,
+                                   find=detect.forest_events)
+
+
 # Bundle
 
 def bundle_parts(spark, sf):

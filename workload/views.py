@@ -23,6 +23,11 @@ PODS = [f"{t}-{i}" for t in ("click", "error", "purchase", "signup") for i in (0
 ]
 DB_PAIRS = [("tidb-tidb", "cpu_usage"), ("tidb-pd", "cpu_usage"), ("tidb-tikv", "cpu_usage")]
 ISO = "yyyy-MM-dd'T'HH:mm:ss"
+CART_FAILURE = (
+    ' "error":"could not retrieve cart: rpc error: code = Unavailable desc = timed out",'
+    '"http.req.id":"r1","http.req.method":"GET","http.req.path":"/cart"'
+)
+DEADLINE = " code = DeadlineExceeded desc = context deadline exceeded from 10.233.1.2:7070"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,7 +124,9 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type"), F.lit(" user="), F.col("user_id").cast("string"), F.lit(" value="),
         F.col("value").cast("string"), F.lit(" k="), F.col("k").cast("string"),
         F.when(F.col("k") % 10 == 3, F.lit(" java.lang.Error Injected")).when(
-            F.col("k") % 10 == 4, F.lit(" Error, code")).otherwise(F.lit("")),
+            F.col("k") % 10 == 4, F.lit(" Error, code")).when(
+            F.col("k") % 10 == 5, F.lit(CART_FAILURE)).when(
+            F.col("k") % 10 == 6, F.lit(DEADLINE)).otherwise(F.lit("")),
     )
     return events(spark, sf_dir).select(
         F.col("ts_ns").alias("timestamp_ns"), F.col("event_id").alias("row_id"),
