@@ -11,6 +11,7 @@ from triagelake.fixed_values import (
 from triagelake.functions.numbers import nan_to_null, round_even, symmetric_ratio
 from triagelake.operators.stats import HOT_GROUP_ROWS, STAT_COLUMNS, describe
 from triagelake.operators.windows import in_windows
+from triagelake.session import cut_lineage
 
 SIDES = ("normal", "fault")
 
@@ -44,11 +45,16 @@ def describe_in_windows(
     keep_empty: bool = False,
     **join_options,
 ) -> DataFrame:
-    """Statistics per incident, entity and side; both normal windows are pooled and trimmed."""
+    """Statistics per incident, entity and side; both normal windows are pooled and trimmed.
+
+    The rows inside windows are written once, so the metric table is scanned a single time.
+    """
     rows = in_windows(metrics, windows, [*entity, "value"], **join_options)
     normal = F.startswith(F.col("kind"), F.lit("normal"))
     side_of = F.when(normal, F.lit("normal")).otherwise(F.lit("fault"))
-    rows = rows.withColumn("kind", side_of)
+    rows = cut_lineage(rows.withColumn("kind", side_of))
+    if hot_rows is not None and rows.count() <= hot_rows:
+        hot_rows = None  # no group can be larger than the table
     stats = describe(
         rows, ["uuid", *entity, "kind"], "value",
         trim=F.col("kind") == F.lit("normal"), side=side, hot_rows=hot_rows,
@@ -124,11 +130,11 @@ def node_pod_map(
     pod_metrics: DataFrame, nodes: list[str], preferred: str = "pod_cpu_usage"
 ) -> DataFrame:
     """Pods seen on each node per date, from one metric of that date; NULL where none was."""
+    places = pod_metrics.select("date", "metric", "instance", "entity").distinct()
     choice = F.min(F.struct((F.col("metric") != F.lit(preferred)).alias("other"), "metric"))
-    chosen = pod_metrics.groupBy("date").agg(choice.alias("_c")).select("date", "_c.metric")
+    chosen = places.groupBy("date").agg(choice.alias("_c")).select("date", "_c.metric")
     seen = (
-        pod_metrics.select("date", "metric", "instance", "entity").distinct()
-        .join(chosen, ["date", "metric"])
+        places.join(chosen, ["date", "metric"])
         .select("date", F.col("instance").alias("node"), F.col("entity").alias("pod"))
     )
     names = F.explode(F.array(*[F.lit(n) for n in nodes])).alias("node")

@@ -60,6 +60,11 @@ def report_incidents(spark, sf):
     return incidents.incident_keys(timed_reports(spark, sf))
 
 
+def report_table(spark, sf):
+    """All reported incidents as a written list."""
+    return cut_lineage(report_incidents(spark, sf).select("ord", "uuid", "start_ns", "end_ns"))
+
+
 @query("incident_times", """SELECT uuid, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS start_text,
     strftime(te, '%Y-%m-%dT%H:%M:%SZ') AS end_text FROM rep_inc""")
 def _(spark, sf):
@@ -94,26 +99,26 @@ def _(spark, sf):
     SELECT uuid, 'normal_after', end_ns + 600000000000, n FROM
     (SELECT *, lead(start_ns) OVER (ORDER BY ord) AS n FROM rep_inc) WHERE n IS NOT NULL""")
 def _(spark, sf):
-    return windows.normal_windows(report_incidents(spark, sf))
+    return windows.normal_windows(report_table(spark, sf))
 
 
 @query("recovery_windows", """SELECT uuid, 'recovery' AS kind, end_ns AS w_start_ns,
     end_ns + 2400000000000 AS w_end_ns FROM rep_inc""")
 def _(spark, sf):
-    return windows.recovery_windows(report_incidents(spark, sf))
+    return windows.recovery_windows(report_table(spark, sf))
 
 
 @query("sample_incidents", """SELECT uuid, start_ns FROM rep_inc
     ORDER BY md5(uuid || '|42'), uuid LIMIT 50""")
 def _(spark, sf):
-    return incidents.sample_incidents(report_incidents(spark, sf)).select("uuid", "start_ns")
+    return incidents.sample_incidents(report_table(spark, sf)).select("uuid", "start_ns")
 
 
 @query("pending_incidents", """SELECT uuid FROM rep_inc WHERE uuid NOT IN
     (SELECT uuid FROM results WHERE component <> '' AND reason <> '')""")
 def _(spark, sf):
     found = parsed_results(spark, sf)
-    return incidents.pending_incidents(report_incidents(spark, sf), found).select("uuid")
+    return incidents.pending_incidents(report_table(spark, sf), found).select("uuid")
 
 
 # Normalisation
@@ -171,8 +176,14 @@ def metric_windows(spark, sf, scope="full"):
     return cut_lineage(windows.clip_to_start(windows.all_windows(days), days, scope))
 
 
-def of_kind(spark, sf, kind):
-    table = views.metrics(spark, sf).where(F.col("entity_kind") == kind)
+def metric_table(spark, sf):
+    """The long metric table, written once for jobs that look at it several times."""
+    return cut_lineage(views.metrics(spark, sf))
+
+
+def of_kind(spark, sf, kind, table=None):
+    table = views.metrics(spark, sf) if table is None else table
+    table = table.where(F.col("entity_kind") == kind)
     if kind == "node":
         return metrics.keep_entities(table, views.NODES)
     if kind == "pod":
@@ -180,11 +191,12 @@ def of_kind(spark, sf, kind):
     return table
 
 
-def paired(spark, sf, kind, scope="full", **options):
+def paired(spark, sf, kind, scope="full", table=None, span=None, **options):
     entity = ["service", "entity", "metric"] if kind == "apm_pod" else ["entity", "metric"]
     options.setdefault("keep_empty", kind == "apm_pod")
     return metrics.fault_vs_normal(
-        of_kind(spark, sf, kind), metric_windows(spark, sf, scope), entity, **options)
+        of_kind(spark, sf, kind, table),
+        metric_windows(spark, sf, scope) if span is None else span, entity, **options)
 
 
 def paired_rounded(spark, sf, kind, **options):
@@ -295,8 +307,9 @@ def _(spark, sf):
     CAST(sum(pod_count) AS BIGINT) AS pods, any_value(c) AS components FROM service_pods JOIN
     (SELECT uuid, count(DISTINCT entity) AS c FROM db_s_paired GROUP BY 1) USING (uuid) GROUP BY 1""")
 def _(spark, sf):
-    pods = metrics.service_rollup(paired(spark, sf, "apm_pod"))
-    return metrics.system_totals(pods, paired(spark, sf, "db_component"))
+    span = metric_windows(spark, sf)
+    pods = metrics.service_rollup(paired(spark, sf, "apm_pod", span=span))
+    return metrics.system_totals(pods, paired(spark, sf, "db_component", span=span))
 
 
 @query("metric_coverage", """SELECT uuid, count(*) AS metric_count,
@@ -312,31 +325,35 @@ def _(spark, sf):
     {', '.join(REPORT_LABELS)} FROM apm_report UNION ALL SELECT uuid, '' AS service, entity,
     metric, status, {', '.join(REPORT_LABELS)} FROM db_report""")
 def _(spark, sf):
-    service = metrics.report_rows(paired(spark, sf, "apm_pod"), ["service", "entity", "metric"])
+    table, span = metric_table(spark, sf), metric_windows(spark, sf)
+    service = metrics.report_rows(
+        paired(spark, sf, "apm_pod", table=table, span=span), ["service", "entity", "metric"])
     entity = ["entity", "metric"]
     grid = metrics.presence_grid(
-        of_kind(spark, sf, "db_component"), incident_table(spark, sf), entity)
-    db = metrics.report_rows(paired(spark, sf, "db_component"), entity, grid)
+        of_kind(spark, sf, "db_component", table), incident_table(spark, sf), entity)
+    db = metrics.report_rows(
+        paired(spark, sf, "db_component", table=table, span=span), entity, grid)
     return service.unionByName(db.withColumn("service", F.lit("")))
 
 
 @query("node_report", "SELECT * FROM node_rows")
 def _(spark, sf):
-    days = incident_table(spark, sf)
+    days, table, span = incident_table(spark, sf), metric_table(spark, sf), metric_windows(spark, sf)
     entity = ["entity", "metric"]
     rows = {
-        kind: metrics.report_rows(paired(spark, sf, kind), entity, metrics.presence_grid(
-            of_kind(spark, sf, kind), days, entity))
+        kind: metrics.report_rows(
+            paired(spark, sf, kind, table=table, span=span), entity,
+            metrics.presence_grid(of_kind(spark, sf, kind, table), days, entity))
         for kind in ("node", "pod")
     }
-    pods = views.metrics(spark, sf).where(F.col("entity_kind") == "pod")
+    pods = table.where(F.col("entity_kind") == "pod")
     placement = metrics.node_pod_map(pods, views.NODES)
     return metrics.node_pod_rows(rows["node"], rows["pod"], placement, days)
 
 
 def metric_rows(spark, sf):
     return evidence.metric_evidence(
-        views.metrics(spark, sf), incident_table(spark, sf), views.NODES, views.PODS,
+        metric_table(spark, sf), incident_table(spark, sf), views.NODES, views.PODS,
         views.DB_PAIRS)
 
 
@@ -898,7 +915,7 @@ def _(spark, sf):
     (SELECT *, CASE WHEN component = 'frontend-1' THEN seq ELSE seq + 1000000000000 END AS place
      FROM answers) GROUP BY 1""")
 def _(spark, sf):
-    table = fresh(spark, sf)
+    table = cut_lineage(fresh(spark, sf))
     known = F.col("component") == "frontend-1"
     return flat(results.upsert_results(table.where(known), table.where(~known)))
 
