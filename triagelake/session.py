@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +12,7 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
@@ -26,15 +28,28 @@ def is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
 
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="triagelake-")
+
+
 def shared_dir(spark: SparkSession) -> str | None:
     """The shared folder the cluster names; a temporary one only on a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None and is_local(spark):
-        folder = tempfile.mkdtemp(prefix="triagelake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _local_dir()
     return folder
 
 
+def use_all_cores(df: DataFrame) -> DataFrame:
+    """Spreads a scan that has fewer splits than the session has cores.
+
+    A large table has more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes an intermediate table to the shared folder and reads it back.
 

@@ -386,6 +386,23 @@ def sql(final: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({CTE[n]})" for n in ordered) + "\n" + final
 
 
+def variant(suffix: str, old: str, new: str, final: str) -> str:
+    """``final`` with one base subquery exchanged in everything that depends on it."""
+    moved = {old: new}
+    for name, body in list(CTE.items()):
+        words = set(re.findall(r"\b[a-z_0-9]+\b", body))
+        if name != old and words & set(moved) and not name.endswith(suffix) and name != new:
+            moved[name] = f"{name}{suffix}"
+
+    def rename(text: str) -> str:
+        return re.sub(r"\b[a-z_0-9]+\b", lambda m: moved.get(m.group(), m.group()), text)
+
+    for name, other in list(moved.items()):
+        if name != old:
+            CTE[other] = rename(CTE[name])
+    return rename(final)
+
+
 def text_sql(lines: str, header: str) -> str:
     """CSV text per incident from a subquery with uuid, line_no and line."""
     return (f"SELECT uuid, '{header}' || chr(10) || string_agg(line, chr(10) ORDER BY line_no) "

@@ -23,7 +23,7 @@ from triagelake.sources import telemetry
 from triagelake.sources.incidents import read_incident_csv
 from triagelake.sources.results import read_calls, read_results
 from workload import views
-from workload.oracle import csv, count_csv, describe, r6, sql, text_sql
+from workload.oracle import count_csv, csv, describe, r6, sql, text_sql, variant
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -351,10 +351,10 @@ def _(spark, sf):
     return metrics.node_pod_rows(rows["node"], rows["pod"], placement, days)
 
 
-def metric_rows(spark, sf):
+def metric_rows(spark, sf, scope="full"):
     return evidence.metric_evidence(
         metric_table(spark, sf), incident_table(spark, sf), views.NODES, views.PODS,
-        views.DB_PAIRS)
+        views.DB_PAIRS, scope=scope)
 
 
 METRIC_KEYS = ["section", "service", "node", "entity", "metric"]
@@ -366,6 +366,12 @@ def _(spark, sf):
     return metric_rows(spark, sf)
 
 
+@query("metric_evidence_start_day",
+       variant("_d", "all_w", "day_w", "SELECT * FROM metric_rows"))
+def _(spark, sf):
+    return metric_rows(spark, sf, "day")
+
+
 REPORT_MEMBER = "'\"' || metric || '\":{' || " + " || ',' || ".join(
     f"'\"{label}\":' || CAST({c} AS VARCHAR)" for c, label in REPORT_LABELS.items()) + " || '}'"
 
@@ -442,9 +448,9 @@ def _(spark, sf):
                             ["node_name", "message"])
 
 
-def log_rows(spark, sf):
+def log_rows(spark, sf, scope="full"):
     return evidence.log_evidence(views.logs(spark, sf), incident_table(spark, sf),
-                                 error_templates(spark, sf), ORDER, full_masks=False)
+                                 error_templates(spark, sf), ORDER, scope, full_masks=False)
 
 
 @query("sort_logs_by_count", """SELECT uuid, line_no, occurrence_count,
@@ -478,6 +484,11 @@ def _(spark, sf):
     return log_rows(spark, sf)
 
 
+@query("error_log_evidence_start_hour", variant("_h", "fault_w", "hour_w", "SELECT * FROM log_ev"))
+def _(spark, sf):
+    return log_rows(spark, sf, "hour")
+
+
 @query("entity_sets", """SELECT DISTINCT uuid, kind, name FROM (
     SELECT uuid, 'log_pod' AS kind, pod_name AS name FROM log_ev
     UNION ALL SELECT uuid, 'log_service', service_name FROM log_ev
@@ -702,6 +713,16 @@ def _(spark, sf):
     return trace_rows(spark, sf)
 
 
+@query("status_combinations_start_hour", "SELECT * FROM status_top_h")
+def _(spark, sf):
+    return traces.status_combinations(fault_paths(spark, sf, scope="hour"), ["uuid"])
+
+
+@query("trace_evidence_start_hour", "SELECT * FROM trace_ev_h")
+def _(spark, sf):
+    return trace_rows(spark, sf, fault_paths(spark, sf, scope="hour"))
+
+
 @query("train_forest")
 def _(spark, sf):
     return detect.train_forest(train_bins(spark, sf), contamination=views.CONTAMINATION).select(

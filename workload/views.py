@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from triagelake.fixed_values import HOUR_NS, SECOND_NS
 from triagelake.functions.times import local_date, local_hour_key
-from triagelake.session import configure
+from triagelake.session import configure, use_all_cores
 
 BIN = 3 * HOUR_NS
 RECOVERY = 12 * HOUR_NS
@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
-    return table(spark, sf_dir, "events").select(
+    return use_all_cores(table(spark, sf_dir, "events")).select(
         "event_id", ts.alias("ts"), (F.unix_micros(ts) * F.lit(1000)).alias("ts_ns"),
         "user_id", "event_type", "value",
         F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"),
