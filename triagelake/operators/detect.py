@@ -7,6 +7,7 @@ so scoring is a plain join with a range check.
 from __future__ import annotations
 
 import zlib
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -109,7 +110,7 @@ def train_forest(
     The input holds one row per bin, and the number of bins per path is bounded by the
     sampled incidents times the bins of a recovery window, whatever the number of spans.
     """
-    def fit(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         values = np.sort(rows["mean_duration"].to_numpy(dtype=float))
         own_seed = zlib.crc32("\u0001".join(map(str, key)).encode()) ^ seed
         cutoff, ranges = _abnormal_ranges(values, trees, contamination, own_seed)
