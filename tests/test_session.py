@@ -1,8 +1,10 @@
+import os
 from types import SimpleNamespace
 
+import pytest
 from conftest import rows
 
-from triagelake.session import cut_lineage, shared_dir, use_all_cores
+from triagelake.session import cut_lineage, intermediates, new_path, shared_dir
 
 
 def fake(master, folder=None):
@@ -12,9 +14,18 @@ def fake(master, folder=None):
 
 def test_shared_folder_is_the_one_the_cluster_names():
     assert shared_dir(fake("spark://host:7077", "hdfs://x/y")) == "hdfs://x/y"
-    assert shared_dir(fake("spark://host:7077")) is None
+    assert shared_dir(fake("local[2]", "hdfs://x/y/")) == "hdfs://x/y"
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "local-cluster[2,1,1024]", "yarn"])
+def test_a_cluster_without_the_setting_is_an_error(master):
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        new_path(fake(master))
+
+
+def test_a_single_process_gets_its_own_folder():
     local = shared_dir(fake("local[2]"))
-    assert local and local == shared_dir(fake("local[2]"))
+    assert os.path.isdir(local) and local == shared_dir(fake("local"))
 
 
 def test_cut_table_has_the_same_rows(spark):
@@ -24,7 +35,9 @@ def test_cut_table_has_the_same_rows(spark):
     assert "LocalTableScan" not in cut._jdf.queryExecution().toString()
 
 
-def test_small_scans_use_all_cores(spark):
-    assert use_all_cores(spark.range(10).coalesce(1)).rdd.getNumPartitions() == 8
-    wide = spark.range(0, 100, 1, 16)
-    assert use_all_cores(wide) is wide
+def test_a_scope_leaves_no_folder_behind(spark):
+    before = set(os.listdir(shared_dir(spark)))
+    with intermediates(spark):
+        assert cut_lineage(spark.range(3)).count() == 3
+        assert set(os.listdir(shared_dir(spark))) > before
+    assert set(os.listdir(shared_dir(spark))) == before

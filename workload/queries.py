@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +16,7 @@ from triagelake.operators import (
 from triagelake.plans import evidence
 from triagelake.plans.training import load_or_train
 from triagelake.schemas import INCIDENT_CSV
-from triagelake.session import cut_lineage, shared_dir
+from triagelake.session import cut_lineage, new_path
 from triagelake.sinks import writers
 from triagelake.sources import telemetry
 from triagelake.sources.incidents import read_incident_csv
@@ -819,7 +818,7 @@ def _(spark, sf):
 # Files
 
 def new_folder(spark):
-    return f"{shared_dir(spark)}/triagelake-{uuid4().hex}"
+    return new_path(spark, "files")
 
 
 @query("partitioned_scan", "SELECT uuid, row_id, timestamp_ns, hour_key FROM fault_logs")
