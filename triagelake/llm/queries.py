@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm import ann, bpe, chat, mixing, ngram_join, sharding, token_records, topk
+from triagelake.llm import (
+    ann, bpe, chat, mixing, ngram_join, pitman_yor, sharding, token_records, topk, toxicity,
+)
 from triagelake.session import configure, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +78,17 @@ def byte_bpe(spark, sf_dir):
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def id_remainder(divisor: int):
+    text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return F.crc32(text) % divisor
+
+
+@query("op6_lm_scoring")
+def lm_scoring(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pitman_yor.score_texts(docs, id_remainder(7) == 2)
+
+
 @query("op7_token_records")
 def token_record_files(spark, sf_dir):
     path = new_path(spark, "records")
@@ -98,3 +111,17 @@ def mixing_sources(spark, sf_dir):
     return mixing.mixed_copies(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken"
     )
+
+
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where(id_remainder(5) != 0).select("doc_id", "toxic")
+
+
+@query("op10_toxicity")
+def toxicity_scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, training_labels(spark, sf_dir))
+    return toxicity.score_toxicity(docs, model).select(
+        "doc_id", (id_remainder(5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )

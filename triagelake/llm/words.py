@@ -72,9 +72,15 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, begin - begin[0]
 
 
-def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """One number per byte range ``start:end``; ranges are in order and do not overlap."""
-    out = np.empty(len(start), dtype=np.uint64)
+def hashes_within(
+    data: np.ndarray, start: np.ndarray, end: np.ndarray,
+    parts: list[tuple[np.ndarray, np.ndarray]],
+) -> list[np.ndarray]:
+    """For each (from, to) in ``parts`` one number per word; a part lies within its word.
+
+    Words, given by ``start`` and ``end``, are in order and do not overlap.
+    """
+    out = [np.empty(len(start), dtype=np.uint64) for _ in parts]
     first = 0
     while first < len(start):
         last = max(first + 1, int(np.searchsorted(end, start[first] + SLICE, "right")))
@@ -82,10 +88,16 @@ def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         power, inverse = _power_tables(high - low + 1)
         running = np.zeros(high - low + 1, dtype=np.uint64)
         np.cumsum(_BYTE_CODE[data[low:high]] * power[:high - low], out=running[1:])
-        a, b = start[first:last] - low, end[first:last] - low
-        out[first:last] = (running[b] - running[a]) * inverse[a] + (b - a).astype(np.uint64)
+        for slot, (begin, stop) in zip(out, parts, strict=True):
+            a, b = begin[first:last] - low, stop[first:last] - low
+            slot[first:last] = (running[b] - running[a]) * inverse[a] + (b - a).astype(np.uint64)
         first = last
-    return mix(out)
+    return [mix(x) for x in out]
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """One number per byte range ``start:end``; ranges are in order and do not overlap."""
+    return hashes_within(data, start, end, [(start, end)])[0]
 
 
 @dataclass
