@@ -171,8 +171,12 @@ def _survivors(num: int, den: int, parts: int, last: bool):
 
 
 def _reachable(num: int, den: int) -> Column:
-    """Whether the n-grams two sets share with anyone allow enough overlap."""
-    bound = F.least("x.shared", "y.shared") * F.lit(num + den)
+    """Whether enough overlap is left from the n-gram on at which two sets meet.
+
+    ``rest`` counts the shared n-grams from that position on. Where two sets meet first, none
+    before is common, so a linked pair passes there, and one such row is enough.
+    """
+    bound = F.least("x.rest", "y.rest") * F.lit(num + den)
     return bound >= (F.col("x.n") + F.col("y.n")) * F.lit(num)
 
 
@@ -211,8 +215,8 @@ def jaccard_links(
 
     prefix = F.col("shared") - F.expr(f"(n * {num} + {den - 1}) div {den}").cast("int") + 1
     posted = sets.select(
-        "set_id", "n", "shared", F.explode(F.slice("grams", F.lit(1), prefix)).alias("gram")
-    )
+        "set_id", "n", "shared", F.posexplode(F.slice("grams", F.lit(1), prefix)).alias("at", "gram")
+    ).withColumn("rest", F.col("shared") - F.col("at")).drop("at")
     fragment = F.shiftrightunsigned("gram", 64 - PAIR_FRAGMENT_BITS)
     segments = cut_lineage(
         sets.select("set_id", "n", F.explode("grams").alias("gram"))
@@ -221,12 +225,12 @@ def jaccard_links(
     )
 
     rank = F.struct((F.col("n") - F.col("shared")).alias("odd"), (-F.col("n")).alias("short"),
-                    "set_id", "n", "shared")
+                    "set_id", "n", "rest")
     heads = posted.groupBy("gram").agg(F.min(rank).alias("y"), F.count("*").alias("many")).where(
         "many > 1"
     )
     first = (
-        posted.select("gram", F.struct("set_id", "n", "shared").alias("x")).join(heads, "gram")
+        posted.select("gram", F.struct("set_id", "n", "rest").alias("x")).join(heads, "gram")
         .where("x.set_id <> y.set_id").where(_reachable(num, den))
         .groupBy(F.col("x.set_id").alias("a")).agg(F.min("y").alias("y"))
         .select("a", F.col("y.set_id").alias("b"))
@@ -241,7 +245,7 @@ def jaccard_links(
     mixed = named.groupBy("gram").agg(
         F.min("component").alias("low"), F.max("component").alias("high")
     ).where("low <> high").select("gram")
-    entry = F.struct("set_id", "n", "shared", "component")
+    entry = F.struct("set_id", "n", "rest", "component")
     open_posts = cut_lineage(named.join(mixed, "gram", "left_semi").select(
         "gram", entry.alias("x")), "open")
     across = (
