@@ -1,6 +1,6 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The order of all n-grams (by their 64-bit number) is cut into fragments. Every fragment holds
+The order of all n-grams (by their number) is cut into fragments. Every fragment holds
 the part of each document's set that falls into it, and counts alone how many of these n-grams
 any other set shares; the partial counts are summed per document. A document of size n whose
 sum stays below ``threshold * n`` can have no partner and is out, whoever the others are.
@@ -14,7 +14,7 @@ Large groups cost no all-pairs step. Equal sets are one set from the start. Each
 first checked against one set only, the least peculiar one it meets; what is linked that way is
 already one component, and then only pairs between different components are looked at. No pair
 that could join two components is skipped, so the components are exact. Two n-grams count as
-equal when their 64-bit numbers are.
+equal when their 56-bit numbers are.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ SETS = pa.schema([
     ("grams", pa.list_(pa.int64())),
 ])
 SETS_DDL = "set_id long, n int, shared int, grams array<long>"
+#: N-gram numbers have 56 bits.
+GRAM_BYTES = 7
 PAIR_FRAGMENT_BITS = 3
 
 
@@ -58,6 +60,7 @@ def gram_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndar
         use = whole | (inner + j < count[row])
         out[use] += step[at[use] + j]
     out = words.mix(out + np.where(whole, np.uint64(0), np.uint64(1)))
+    out >>= np.uint64(64 - 8 * GRAM_BYTES)
     low = np.r_[0, np.cumsum(grams)]
     for a, b in zip(low[:-1], low[1:], strict=True):
         out[a:b].sort()
@@ -72,6 +75,21 @@ def gram_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return size, words.mix(total + size.astype(np.uint64)), out
 
 
+def _fragment(grams: np.ndarray, parts: int) -> np.ndarray:
+    return packed.place(grams << np.uint64(64 - 8 * GRAM_BYTES), parts)
+
+
+def _pack(grams: np.ndarray) -> bytes:
+    return grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :GRAM_BYTES].tobytes()
+
+
+def _unpack(column: pa.ChunkedArray) -> np.ndarray:
+    body = packed.read(column, "u1").reshape(-1, GRAM_BYTES)
+    out = np.zeros((len(body), 8), dtype=np.uint8)
+    out[:, :GRAM_BYTES] = body
+    return out.view("<u8").ravel()
+
+
 def _cut(part, owner, ids, sizes, grams, freqs=None) -> pa.RecordBatch:
     """One row per part; inputs are sorted by part, then by owner (an index into ids)."""
     rows: dict[str, list] = {f.name: [] for f in SEGMENTS}
@@ -83,7 +101,7 @@ def _cut(part, owner, ids, sizes, grams, freqs=None) -> pa.RecordBatch:
         rows["ids"].append(ids[own].astype("<u8").tobytes())
         rows["sizes"].append(sizes[own].astype("<u4").tobytes())
         rows["counts"].append(counts.astype("<u4").tobytes())
-        rows["grams"].append(grams[a:a + m].astype("<u8").tobytes())
+        rows["grams"].append(_pack(grams[a:a + m]))
         rows["freqs"].append(b"" if freqs is None else freqs[a:a + m].astype("<u4").tobytes())
     return packed.batch(rows, SEGMENTS)
 
@@ -93,7 +111,7 @@ def _segments_of_texts(k: int, parts: int):
         for b in packed.slices(batches):
             size, set_id, grams = gram_sets(b.column(0), k)
             owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
-            part = packed.place(grams, parts).astype(np.uint32)
+            part = _fragment(grams, parts).astype(np.uint32)
             order = np.argsort(part, kind="stable")
             yield _cut(part[order], owner[order], set_id, size, grams[order])
 
@@ -114,12 +132,12 @@ def _set_table(k: int):
     return run
 
 
-def _shared_in_fragment(parts: int):
+def _shared_in_fragment(parts: int, last: bool):
     """Within one fragment: the n-grams that at least two sets hold, with their frequency."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, sizes = packed.read(table["ids"], "<u8"), packed.read(table["sizes"], "<u4")
-        counts, grams = packed.read(table["counts"], "<u4"), packed.read(table["grams"], "<u8")
+        counts, grams = packed.read(table["counts"], "<u4"), _unpack(table["grams"])
         known, first = np.unique(ids, return_index=True)
         chosen = np.zeros(len(ids), dtype=bool)
         chosen[first] = True  # of copies of one set, one part is enough
@@ -134,7 +152,7 @@ def _shared_in_fragment(parts: int):
         order = np.argsort(owner, kind="stable")
         owner = owner[order]
         out = _cut(packed.place(known, parts)[owner], owner, known, sizes[first], grams[order],
-                   freq[order])
+                   freq[order] if last else None)
         return pa.Table.from_batches([out], schema=SEGMENTS)
 
     return run
@@ -145,21 +163,20 @@ def _survivors(num: int, den: int, parts: int, last: bool):
 
     def run(table: pa.Table) -> pa.Table:
         ids, sizes = packed.read(table["ids"], "<u8"), packed.read(table["sizes"], "<u4")
-        counts, grams = packed.read(table["counts"], "<u4"), packed.read(table["grams"], "<u8")
-        freqs = packed.read(table["freqs"], "<u4")
+        counts, grams = packed.read(table["counts"], "<u4"), _unpack(table["grams"])
         known, first, slot = np.unique(ids, return_index=True, return_inverse=True)
         size = sizes[first].astype(np.int64)
         shared = np.bincount(slot, weights=counts, minlength=len(known)).astype(np.int64)
         alive = den * shared >= num * size
         owner = np.repeat(slot, counts)
         keep = alive[owner]
-        owner, grams, freqs = owner[keep], grams[keep], freqs[keep]
+        owner, grams = owner[keep], grams[keep]
         if not last:
-            part = packed.place(grams, parts)
+            part = _fragment(grams, parts)
             order = np.lexsort((grams, owner, part))
             out = _cut(part[order], owner[order], known, size, grams[order])
             return pa.Table.from_batches([out], schema=SEGMENTS)
-        order = np.lexsort((grams, freqs, owner))
+        order = np.lexsort((grams, packed.read(table["freqs"], "<u4")[keep], owner))
         at = np.r_[0, np.cumsum(shared[alive])].astype(np.int32)
         return pa.Table.from_arrays([
             pa.array(known[alive].view(np.int64)), pa.array(size[alive].astype(np.int32)),
@@ -207,7 +224,7 @@ def jaccard_links(
     rows = texts.select(F.col(text_col).cast("string").alias("text"))
     found = rows.mapInArrow(_segments_of_texts(k, parts), SEGMENTS_DDL)
     for last in (False, True):
-        shared = found.groupBy("part").applyInArrow(_shared_in_fragment(parts), SEGMENTS_DDL)
+        shared = found.groupBy("part").applyInArrow(_shared_in_fragment(parts, last), SEGMENTS_DDL)
         found = shared.groupBy("part").applyInArrow(
             _survivors(num, den, parts, last), SETS_DDL if last else SEGMENTS_DDL
         )
@@ -217,7 +234,7 @@ def jaccard_links(
     posted = sets.select(
         "set_id", "n", "shared", F.posexplode(F.slice("grams", F.lit(1), prefix)).alias("at", "gram")
     ).withColumn("rest", F.col("shared") - F.col("at")).drop("at")
-    fragment = F.shiftrightunsigned("gram", 64 - PAIR_FRAGMENT_BITS)
+    fragment = F.shiftrightunsigned("gram", 8 * GRAM_BYTES - PAIR_FRAGMENT_BITS)
     segments = cut_lineage(
         sets.select("set_id", "n", F.explode("grams").alias("gram"))
         .groupBy("set_id", "n", fragment.alias("fragment"))
