@@ -132,7 +132,7 @@ def _set_table(k: int):
     return run
 
 
-def _shared_in_fragment(parts: int, last: bool):
+def _shared_in_fragment(buckets: int, last: bool):
     """Within one fragment: the n-grams that at least two sets hold, with their frequency."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -151,7 +151,7 @@ def _shared_in_fragment(parts: int, last: bool):
         grams, owner, freq = grams[held], owner[held], freq[held]
         order = np.argsort(owner, kind="stable")
         owner = owner[order]
-        out = _cut(packed.place(known, parts)[owner], owner, known, sizes[first], grams[order],
+        out = _cut(packed.place(known, buckets)[owner], owner, known, sizes[first], grams[order],
                    freq[order] if last else None)
         return pa.Table.from_batches([out], schema=SEGMENTS)
 
@@ -221,10 +221,11 @@ def jaccard_links(
     """
     spark = packed.bounded_batches(texts.sparkSession)
     parts = packed.partitions(spark, 2)
+    buckets = max(1, parts // 4)  # packed rows are fragments times buckets
     rows = texts.select(F.col(text_col).cast("string").alias("text"))
     found = rows.mapInArrow(_segments_of_texts(k, parts), SEGMENTS_DDL)
     for last in (False, True):
-        shared = found.groupBy("part").applyInArrow(_shared_in_fragment(parts, last), SEGMENTS_DDL)
+        shared = found.groupBy("part").applyInArrow(_shared_in_fragment(buckets, last), SEGMENTS_DDL)
         found = shared.groupBy("part").applyInArrow(
             _survivors(num, den, parts, last), SETS_DDL if last else SEGMENTS_DDL
         )
