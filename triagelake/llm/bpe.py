@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.llm import packed
+from triagelake.llm.memo import Memo
 
 NEVER = 1 << 62
-#: Pieces kept per Python worker; when full, the table starts anew. Bounds memory, not results.
-CACHE_PIECES = 250_000
+#: Pieces kept per Python worker and generation. Bounds memory, not results.
+CACHE_PIECES = 400_000
 CACHED_LENGTH = 64
 
 
@@ -53,62 +54,60 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         a, b = tree[2 * node], tree[2 * node + 1]
         tree[node] = a if a < b else b
 
-    def put(i: int, value: int) -> None:
-        node = width + i
-        tree[node] = value
-        node >>= 1
-        while node:
-            a, b = tree[2 * node], tree[2 * node + 1]
-            least = a if a < b else b
-            if tree[node] == least:
-                return
-            tree[node] = least
-            node >>= 1
-
-    def pair(i: int) -> int:
-        j = after[i]
-        rank = ranks.get(token[i] + token[j]) if j < n else None
-        return NEVER if rank is None else rank * width + i
-
+    find = ranks.get
     while tree[1] != NEVER:
         i = tree[1] % width
         j = after[i]
-        token[i] += token[j]
-        token[j] = None
-        after[i] = after[j]
-        if after[j] < n:
-            before[after[j]] = i
+        k = after[j]
+        joined = token[i] + token[j]
+        token[i], token[j], after[i] = joined, None, k
+        changes = []
         if j < n - 1:
-            put(j, NEVER)
-        if i < n - 1:
-            put(i, pair(i))
-        if before[i] >= 0:
-            put(before[i], pair(before[i]))
+            changes.append((j, NEVER))
+        if k < n:
+            before[k] = i
+            rank = find(joined + token[k])
+            changes.append((i, NEVER if rank is None else rank * width + i))
+        elif i < n - 1:
+            changes.append((i, NEVER))
+        h = before[i]
+        if h >= 0:
+            rank = find(token[h] + joined)
+            changes.append((h, NEVER if rank is None else rank * width + h))
+        for leaf, value in changes:
+            node = width + leaf
+            tree[node] = value
+            while node > 1:
+                other = tree[node ^ 1]
+                node >>= 1
+                if other < value:
+                    value = other
+                if tree[node] == value:
+                    break
+                tree[node] = value
     return [ranks[t] for t in token if t is not None]
 
 
-class Encoder(dict):
+class Encoder(Memo):
     """Maps a piece of text to its ids as little-endian 32-bit numbers, and remembers it."""
 
     def __init__(self, path: str, pattern: str):
-        super().__init__()
+        super().__init__(CACHE_PIECES)
         self.ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
         self.token = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.token[rank] = token
 
-    def __missing__(self, piece: str) -> bytes:
+    def make(self, piece: str) -> bytes:
         ids = merge(piece.encode("utf-8", "surrogatepass"), self.ranks)
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(piece) <= CACHED_LENGTH:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            self[piece] = out
-        return out
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, text: str) -> bytes:
-        return b"".join([self[piece] for piece in self.pattern.findall(text)])
+    def encode(self, texts: list[str]) -> list[bytes]:
+        pieces = [self.pattern.findall(text) for text in texts]
+        here = {p: self[p] if len(p) <= CACHED_LENGTH else self.make(p)
+                for p in set().union(*pieces)}
+        return [b"".join(map(here.__getitem__, found)) for found in pieces]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -122,8 +121,8 @@ def encoder(path: str, pattern: str) -> Encoder:
 def _encode(path: str, pattern: str, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, pattern)
-        for b in packed.slices(batches, 128):
-            ids = [coder.encode(text or "") for text in b.column(1).to_pylist()]
+        for b in packed.slices(batches, 256):
+            ids = coder.encode([text or "" for text in b.column(1).to_pylist()])
             decoded = [coder.decode(x) for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())],
@@ -158,7 +157,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(ranks_path, pattern)
-        for b in packed.slices(batches, 128):
+        for b in packed.slices(batches, 256):
             at = b.schema.get_field_index(ids_col)
             found = [None if x is None else coder.decode(x).decode("utf-8", "replace")
                      for x in b.column(at).to_pylist()]
