@@ -17,6 +17,7 @@ import math
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -26,9 +27,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triagelake.llm import packed
+from triagelake.llm.memo import Memo
 
 FILE_BYTES = 64 << 20
-CACHE_WORDS = 250_000
+#: Runs kept per Python worker and generation.
+CACHE_RUNS = 300_000
 #: Fixed value of the record format.
 MASK_DELTA = 0xA282EAD8
 HEAD, BODY = struct.Struct("<QI"), struct.Struct("<BqB")
@@ -66,7 +69,7 @@ def unframe(data: memoryview, at: int) -> tuple[int, int | None, bytes]:
     return HEAD.size + size + 5, None if missing else doc_id, ids
 
 
-class WordIds(dict):
+class WordIds(Memo):
     """Ids of a run of characters without blank, encoded by the library and remembered.
 
     The tokenizer works on such runs one by one: neither its normalizer nor its splitting
@@ -74,7 +77,7 @@ class WordIds(dict):
     """
 
     def __init__(self, path: str):
-        super().__init__({"": b""})
+        super().__init__(CACHE_RUNS)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -82,18 +85,34 @@ class WordIds(dict):
         self.library.encode_special_tokens = True
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
 
-    def learn(self, runs: list[str]) -> None:
-        found = self.library.encode_batch_fast(runs, add_special_tokens=False)
-        for run, x in zip(runs, found, strict=True):
-            self[run] = np.array(x.ids, dtype=f"<u{self.width}").tobytes()
+    def make(self, run: str) -> bytes:
+        return self._packed(self.library.encode(run, add_special_tokens=False))
+
+    def _packed(self, found) -> bytes:
+        return array("H" if self.width == 2 else "I", found.ids).tobytes()
+
+    def make_all(self, runs: list[str]) -> None:
+        """Encodes new runs. A final stop or comma after a letter is a token of its own, and
+        ASCII letters are lower-cased by the tokenizer, so only plain forms go to the library."""
+        plain = {}
+        for run in runs:
+            ends = run[-1:] in (".", ",") and run[-2:-1].isalpha()
+            word = run[:-1] if ends else run
+            plain[run] = (word.lower() if word.isascii() else word, run[-1] if ends else "")
+        words = {x for pair in plain.values() for x in pair}
+        fresh = [word for word in words if not self.known(word)]
+        found = self.library.encode_batch_fast(fresh, add_special_tokens=False)
+        self.older.update(zip(fresh, map(self._packed, found), strict=True))
+        for run, (word, mark) in plain.items():
+            self.older[run] = self[word] + self[mark]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-            self[""] = b""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(list({run for runs in split for run in runs if run not in self}))
-        return [b"".join([self[run] for run in runs]) for runs in split]
+        distinct = set().union(*split)
+        here = {run: self.get(run) for run in distinct}
+        self.make_all([run for run, ids in here.items() if ids is None and run not in self.older])
+        here |= {run: self[run] for run, ids in here.items() if ids is None}
+        return [b"".join(map(here.__getitem__, runs)) for runs in split]
 
 
 @cache
@@ -107,7 +126,7 @@ def _encode_frames(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_ids(path)
         end = np.array([end_id], dtype=f"<u{coder.width}").tobytes()
-        for b in packed.slices(batches, 128):
+        for b in packed.slices(batches):
             ids = coder.encode([text or "" for text in b.column(1).to_pylist()])
             frames = [frame(i, x + end, coder.width)
                       for i, x in zip(b.column(0).to_pylist(), ids, strict=True)]
