@@ -74,3 +74,24 @@ def test_csv_with_quoted_lines(spark, tmp_path):
     row = read_incident_csv(spark, str(path)).first()
     assert (row["uuid"], row["start_ns"], row["end_ns"]) == ("u1", 5, 9)
     assert row["description"] == 'said "x",\nand more'
+
+
+def test_neighbours_run_over_the_joined_lists(spark):
+    from triagelake.operators.incidents import union_lists
+    from triagelake.operators.windows import neighbours
+
+    ddl = "ord long, uuid string, start_ns long, end_ns long"
+    a = spark.createDataFrame([(0, "a0", 10, 11), (1, "a1", 20, 21)], ddl)
+    b = spark.createDataFrame([(0, "b0", 30, 31), (1, "b1", 40, 41)], ddl)
+    found = {r.uuid: (r.prev_end_ns, r.next_start_ns) for r in neighbours(
+        union_lists(a, b)).collect()}
+    assert found == {"a0": (None, 20), "a1": (11, 30), "b0": (21, 40), "b1": (31, None)}
+
+
+def test_the_last_nanosecond_of_an_hour_stays_in_it(spark):
+    from pyspark.sql import functions as F
+    from triagelake.functions.times import local_hour_key
+
+    table = spark.createDataFrame([(1767196799999999950,), (1767196800000000000,), (-1,)], "ns long")
+    keys = [r[0] for r in table.select(local_hour_key(F.col("ns"), "UTC")).collect()]
+    assert keys == ["2025-12-31_15", "2025-12-31_16", "1969-12-31_23"]

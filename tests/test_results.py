@@ -125,3 +125,12 @@ def test_bundle_switches(spark):
     assert rows(tied, "uuid", "sections") == [("a", "log,trace,status")]
     assert rows(evidence_bundle(incidents, log), "uuid", "sections") == [("a", "log")]
     assert RESULT.fieldNames()[0] == "component"
+
+
+def test_the_last_line_wins_over_files_by_name(spark, tmp_path):
+    from triagelake.sources.results import read_results
+
+    line = '{"component": "%s", "uuid": "u", "reason": "r", "reasoning_trace": []}\n'
+    (tmp_path / "a.jsonl").write_text(line % "first" + " " * 5000 + "\n")
+    (tmp_path / "b.jsonl").write_text(line % "second")
+    assert [r.component for r in read_results(spark, str(tmp_path)).collect()] == ["second"]

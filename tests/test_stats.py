@@ -65,3 +65,13 @@ def test_result_does_not_depend_on_partitions(spark, partitions):
                 "g", "n", *[F.round(c, 9).alias(c) for c in STAT_COLUMNS[1:]]).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_split_groups_without_values_keep_their_row(spark):
+    from triagelake.operators.stats import describe
+
+    rows = [("none", None)] * 8 + [("one", 3.0)] + [("one", None)] * 7 + [("same", 2.0)] * 8
+    table = spark.createDataFrame(rows, "k string, value double")
+    small = sorted(describe(table, ["k"], hot_rows=None).collect())
+    split = sorted(describe(table, ["k"], hot_rows=5).collect())
+    assert small == split and [r.n for r in split] == [0, 1, 8]

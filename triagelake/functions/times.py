@@ -17,7 +17,8 @@ def iso_to_ns(text: Column) -> Column:
 
 
 def ns_to_utc(ns: Column) -> Column:
-    return F.timestamp_micros(F.floor(ns / F.lit(1000)))
+    whole = ns - F.pmod(ns, F.lit(1000))  # whole numbers throughout: a double has 53 bits
+    return F.timestamp_micros(F.call_function("div", whole, F.lit(1000)))
 
 
 def ns_to_local(ns: Column, zone: str = LOCAL_ZONE) -> Column:

@@ -68,11 +68,11 @@ def _tree_depths(sample: np.ndarray, rng, limit: int) -> tuple[np.ndarray, np.nd
 
 
 def _abnormal_ranges(
-    values: np.ndarray, trees: int, contamination: float, seed: int
+    values: np.ndarray, trees: int, contamination: float, seed: int, max_samples: int
 ) -> tuple[float, list[tuple[float, float]]]:
     """Score threshold and the value ranges whose mean depth lies below it."""
     rng = np.random.default_rng(seed)
-    size = min(256, len(values))
+    size = min(max_samples, len(values))
     limit = int(np.ceil(np.log2(max(size, 2))))
     pieces = [
         _tree_depths(rng.choice(values, size, replace=False), rng, limit) for _ in range(trees)
@@ -104,16 +104,17 @@ def train_forest(
     trees: int = FOREST_TREES,
     contamination: float = FOREST_CONTAMINATION,
     seed: int = SAMPLE_SEED,
+    max_samples: int = 256,
 ) -> DataFrame:
     """One isolation forest per call path, stored as the ranges it calls abnormal.
 
-    The input holds one row per bin, and the number of bins per path is bounded by the
+    Each tree sees at most ``max_samples`` bins of its path. The input holds one row per bin, and the number of bins per path is bounded by the
     sampled incidents times the bins of a recovery window, whatever the number of spans.
     """
     def fit(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         values = np.sort(rows["mean_duration"].to_numpy(dtype=float))
         own_seed = zlib.crc32("\u0001".join(map(str, key)).encode()) ^ seed
-        cutoff, ranges = _abnormal_ranges(values, trees, contamination, own_seed)
+        cutoff, ranges = _abnormal_ranges(values, trees, contamination, own_seed, max_samples)
         found = [{"low": low, "high": high} for low, high in ranges]
         return pd.DataFrame([[*key, trees, len(values), cutoff, found]], columns=[
             *PATH, "trees", "train_bins", "cutoff", "abnormal",

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from triagelake.fixed_values import LOCAL_ZONE, SAMPLE_INCIDENTS, SAMPLE_SEED, SECOND_NS
 from triagelake.functions.times import iso_to_ns, local_date, local_hour_key, ns_to_local
 
+#: Positions that one list may use; a single file stays far below.
+LIST_STEP = 1 << 48
+#: Fixed value: the form of an instant in a report.
 INSTANT = r"(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z)"
 
 
@@ -43,10 +46,17 @@ def incident_keys(timed: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
 
 
 def union_lists(*lists: DataFrame) -> DataFrame:
-    """Bag union in list order; each list brings its own ``ord`` column, later lists follow."""
+    """Bag union in list order.
+
+    Each list brings its own ``ord``; the result has one that runs on from list to list, so
+    neighbours in it are neighbours in the joined list. ``list_no`` names the list.
+    """
     if not lists:
         raise ValueError("no incident list given")
-    tagged = [df.withColumn("list_no", F.lit(i)) for i, df in enumerate(lists)]
+    tagged = [
+        df.withColumn("list_no", F.lit(i)).withColumn("ord", F.col("ord") + F.lit(i * LIST_STEP))
+        for i, df in enumerate(lists)
+    ]
     result = tagged[0]
     for df in tagged[1:]:
         result = result.unionByName(df)

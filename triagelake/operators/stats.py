@@ -105,9 +105,14 @@ def _hot_groups(df, keys, value, trim, side) -> DataFrame:
         quantiles.append((lo + (hi - lo) * (place - F.floor(place))).alias(name))
     std = F.when(F.col("n") > F.lit(1), F.sqrt(
         F.greatest(squares, F.lit(0.0)) / (F.col("n") - F.lit(1))))
-    return centre.select(
+    measured = centre.select(
         *keys, "n", "mean", std.alias("std"), "min", *quantiles, "max", "non_zero_ratio"
     )
+    none = F.lit(None).cast("double")
+    empty = df.groupBy(*keys).agg(F.count(v).alias("n")).where(F.col("n") == F.lit(0)).select(
+        *keys, "n", *[none.alias(c) for c in STAT_COLUMNS if c != "n"]
+    )
+    return measured.unionByName(empty)
 
 
 def describe(

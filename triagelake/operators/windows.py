@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from triagelake.fixed_values import HOUR_NS, NORMAL_MARGIN_NS, RECOVERY_NS
-from triagelake.functions.times import local_date, local_hour_key
+from triagelake.fixed_values import HOUR_NS, LOCAL_ZONE, NORMAL_MARGIN_NS, RECOVERY_NS
+from triagelake.functions.times import local_date, local_hour_key, ns_to_local
 
 CHUNK = 4096
 BROADCAST_ROWS = 500_000
@@ -86,7 +86,9 @@ def all_windows(
     return fault_windows(incidents).unionByName(normal_windows(incidents, margin_ns, order_by))
 
 
-def clip_to_start(windows: DataFrame, incidents: DataFrame, scope: str = "full") -> DataFrame:
+def clip_to_start(
+    windows: DataFrame, incidents: DataFrame, scope: str = "full", zone: str = LOCAL_ZONE
+) -> DataFrame:
     """Restricts windows to the local hour or day in which their incident starts.
 
     ``full`` leaves them whole. ``hour`` and ``day`` give what a reader sees who opens
@@ -95,8 +97,8 @@ def clip_to_start(windows: DataFrame, incidents: DataFrame, scope: str = "full")
     if scope == "full":
         return windows
     step = {"hour": HOUR_NS, "day": 24 * HOUR_NS}[scope]
-    zone_shift = 8 * HOUR_NS
-    low = F.expr(f"((start_ns + {zone_shift}) div {step}) * {step} - {zone_shift}")
+    local = F.date_trunc(scope, ns_to_local(F.col("start_ns"), zone))
+    low = F.unix_micros(F.to_utc_timestamp(local, zone)) * F.lit(1000)
     bounds = incidents.select("uuid", low.alias("_low"), (low + F.lit(step - 1)).alias("_high"))
     return windows.join(bounds, "uuid").select(
         "uuid", "kind",

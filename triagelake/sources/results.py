@@ -11,13 +11,15 @@ from triagelake.sources.incidents import path_exists
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines, the last line per incident; a missing file is an empty table.
+    """JSON lines, the last line per incident, files by name; a missing file is an empty table.
 
     Lines that do not parse are left out.
     """
     if not path_exists(spark, path):
         return spark.createDataFrame([], RESULT)
-    lines = spark.read.text(path).withColumn("_line", F.monotonically_increasing_id())
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start",
+                     F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", place.alias("_line"))
     parsed = lines.select("_line", F.from_json("value", RESULT).alias("_r")).select("_line", "_r.*")
     known = parsed.where(F.col("uuid").isNotNull())
     return last_wins(known, ["uuid"], ["_line"]).select(

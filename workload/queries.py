@@ -83,7 +83,8 @@ def _(spark, sf):
     return keyed.drop("ord", "description", "event_type")
 
 
-@query("incident_union", """SELECT uuid, ord, CAST(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END
+@query("incident_union", """SELECT uuid, ord + CASE WHEN event_type = 'error' THEN 0
+    ELSE 281474976710656 END AS ord, CAST(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END
     AS INTEGER) AS list_no FROM reports""")
 def _(spark, sf):
     reports = views.reports(spark, sf)
