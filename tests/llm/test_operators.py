@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,8 +278,9 @@ def test_a_broken_record_is_found():
 def test_runs_without_blank_encode_alone(spark, sf):
     coder = token_records.word_ids(TOKENIZER)
     texts = ["It's THE end, a.b, 3.5. <|endoftext|> É. naïve, ẍ., ΣΑΣ. don't, 's. 1,",
+             "DÉJÀ-vu, STRASSE ẞ ß÷×µª ²½ a1b22 'so '' ''s <|x|>.'ll ~\x7f e\u0301 İ\ta\u00a0b", "", "\n",
              *[r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(50).collect()]]
-    for text, ids in zip(texts, coder.encode(texts), strict=True):
+    for text, ids in zip(texts, coder.encode(pa.array(texts)), strict=True):
         assert np.frombuffer(ids, "<u2").tolist() == plain_ids(text)
 
 

@@ -70,3 +70,16 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
     for b in batches:
         for low in range(0, b.num_rows, rows):
             yield b.slice(low, rows)
+
+
+def gathered(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """The same rows in tables of about ``size`` bytes, or of one batch if that is larger."""
+    held, total = [], 0
+    for b in batches:
+        held.append(b)
+        total += b.nbytes
+        if total >= size:
+            yield pa.Table.from_batches(held)
+            held, total = [], 0
+    if held:
+        yield pa.Table.from_batches(held)

@@ -15,14 +15,17 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +33,15 @@ from triagelake.llm import packed
 from triagelake.llm.memo import Memo
 
 FILE_BYTES = 64 << 20
-#: Runs kept per Python worker and generation.
+#: Runs kept per Python worker and generation, and their greatest length.
 CACHE_RUNS = 300_000
+CACHED_LENGTH = 64
+#: Bytes of text that are encoded together.
+GATHER_BYTES = 8 << 20
+#: Fixed values of the tokenizer: its splitting rule, for signs it does not otherwise change.
+PLAIN_RUN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PLAIN_PIECE = re.compile(
+    "'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 #: Fixed value of the record format.
 MASK_DELTA = 0xA282EAD8
 HEAD, BODY = struct.Struct("<QI"), struct.Struct("<BqB")
@@ -69,11 +79,20 @@ def unframe(data: memoryview, at: int) -> tuple[int, int | None, bytes]:
     return HEAD.size + size + 5, None if missing else doc_id, ids
 
 
+def byte_signs() -> dict[int, str]:
+    """The printable sign that a byte-level vocabulary writes for every byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [x for x in range(256) if x not in plain]
+    return {x: chr(x) for x in plain} | {x: chr(256 + i) for i, x in enumerate(others)}
+
+
 class WordIds(Memo):
     """Ids of a run of characters without blank, encoded by the library and remembered.
 
     The tokenizer works on such runs one by one: neither its normalizer nor its splitting
-    rule reaches over a blank or a line break.
+    rule reaches over a blank or a line break. Runs of ASCII signs and Latin-1 letters, which
+    its normalizer only lower-cases, are split here by its rule and their pieces go to the
+    library's merges alone; all other runs go to the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -83,36 +102,35 @@ class WordIds(Memo):
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.merges = self.library.model.tokenize
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        self.code = "H" if self.width == 2 else "I"
+        self.signs = byte_signs()
 
     def make(self, run: str) -> bytes:
-        return self._packed(self.library.encode(run, add_special_tokens=False))
-
-    def _packed(self, found) -> bytes:
-        return array("H" if self.width == 2 else "I", found.ids).tobytes()
-
-    def make_all(self, runs: list[str]) -> None:
-        """Encodes new runs. A final stop or comma after a letter is a token of its own, and
-        ASCII letters are lower-cased by the tokenizer, so only plain forms go to the library."""
-        plain = {}
-        for run in runs:
-            ends = run[-1:] in (".", ",") and run[-2:-1].isalpha()
-            word = run[:-1] if ends else run
-            plain[run] = (word.lower() if word.isascii() else word, run[-1] if ends else "")
-        words = {x for pair in plain.values() for x in pair}
-        fresh = [word for word in words if not self.known(word)]
-        found = self.library.encode_batch_fast(fresh, add_special_tokens=False)
-        self.older.update(zip(fresh, map(self._packed, found), strict=True))
-        for run, (word, mark) in plain.items():
-            self.older[run] = self[word] + self[mark]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        distinct = set().union(*split)
-        here = {run: self.get(run) for run in distinct}
-        self.make_all([run for run, ids in here.items() if ids is None and run not in self.older])
-        here |= {run: self[run] for run, ids in here.items() if ids is None}
-        return [b"".join(map(here.__getitem__, runs)) for runs in split]
+        if run.isascii() and run.isalpha():
+            return self.piece(run.lower())
+        if PLAIN_RUN.fullmatch(run):
+            return b"".join(map(self.piece, PLAIN_PIECE.findall(run.lower())))
+        return array(self.code, self.library.encode(run, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.signs)
+        return array(self.code, [token.id for token in self.merges(piece)]).tobytes()
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of every text; the distinct runs of all texts are looked up once."""
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        runs = split.flatten().dictionary_encode()
+        found = [self[run] if len(run) <= CACHED_LENGTH else self.make(run)
+                 for run in runs.dictionary.to_pylist()]
+        ends = np.cumsum([0, *map(len, found)]) // self.width
+        ids = np.frombuffer(b"".join(found), f"<u{self.width}")
+        gathered = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(ids)).take(runs.indices)
+        edges = gathered.offsets.to_numpy()[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        data = memoryview(gathered.values.to_numpy()).cast("B")
+        return [bytes(data[low:high]) for low, high in pairwise((edges * self.width).tolist())]
 
 
 @cache
@@ -126,11 +144,13 @@ def _encode_frames(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_ids(path)
         end = np.array([end_id], dtype=f"<u{coder.width}").tobytes()
-        for b in packed.slices(batches):
-            ids = coder.encode([text or "" for text in b.column(1).to_pylist()])
+        for rows in packed.gathered(batches, GATHER_BYTES):
+            ids = coder.encode(pc.fill_null(rows["text"].combine_chunks(), ""))
             frames = [frame(i, x + end, coder.width)
-                      for i, x in zip(b.column(0).to_pylist(), ids, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], schema=schema)
+                      for i, x in zip(rows["_id"].to_pylist(), ids, strict=True)]
+            for low in range(0, len(frames), packed.BATCH_ROWS):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(frames[low:low + packed.BATCH_ROWS], pa.binary())], schema=schema)
 
     return run
 
@@ -158,35 +178,40 @@ def write_records(
     )
     records.select(F.col("record").cast("string").alias("value")).write.option(
         "lineSep", "\n").text(f"{path}/records")
-    read_records(spark, path).drop("ids").write.parquet(f"{path}/index")
-
-
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            data, at, before = memoryview(content.as_buffer()), 0, 0
-            rows: list[tuple] = []
-            while at < len(data):
-                length, doc_id, ids = unframe(data, at)
-                rows.append((file, at, length, doc_id, len(ids) // 4, before, ids))
-                at, before = at + length, before + len(ids) // 4
-                if len(rows) == packed.BATCH_ROWS or at >= len(data):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), RECORDS,
-                                                             strict=True)], schema=RECORDS)
-                    rows = []
+    read_records(spark, path, with_ids=False).drop("ids").write.parquet(f"{path}/index")
+
+
+def _parse(with_ids: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                data, at, before = memoryview(content.as_buffer()), 0, 0
+                rows: list[tuple] = []
+                while at < len(data):
+                    length, doc_id, ids = unframe(data, at)
+                    n = len(ids) // 4
+                    rows.append((file, at, length, doc_id, n, before, ids if with_ids else None))
+                    at, before = at + length, before + n
+                    if len(rows) == packed.BATCH_ROWS or at >= len(data):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), RECORDS,
+                                                                 strict=True)], schema=RECORDS)
+                        rows = []
+
+    return run
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+def read_records(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """(file, offset, length, _id, n_tokens, before, ids) of every record, checksums verified.
 
-    ``before`` counts the ids of the records ahead in the same file.
+    ``before`` counts the ids of the records ahead in the same file; ``ids`` is NULL if not
+    asked for.
     """
     packed.bounded_batches(spark)
     files = spark.read.format("binaryFile").load(f"{path}/records")
     name = F.element_at(F.split("path", "/"), -1)
     return files.where(F.col("length") > 0).select(name.alias("file"), "content").mapInArrow(
-        _parse, RECORDS_DDL
+        _parse(with_ids), RECORDS_DDL
     )
 
 
