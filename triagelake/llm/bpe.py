@@ -95,9 +95,10 @@ class Encoder(Memo):
         super().__init__(CACHE_PIECES)
         self.ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
-        self.token = [b""] * (max(self.ranks.values()) + 1)
+        tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
-            self.token[rank] = token
+            tokens[rank] = token
+        self.tokens = pa.array(tokens, pa.large_binary())
 
     def make(self, piece: str) -> bytes:
         ids = merge(piece.encode("utf-8", "surrogatepass"), self.ranks)
@@ -109,8 +110,14 @@ class Encoder(Memo):
                 for p in set().union(*pieces)}
         return [b"".join(map(here.__getitem__, found)) for found in pieces]
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, rows: list[bytes]) -> list[bytes]:
+        """The bytes that the ids of each row stand for."""
+        ids = np.frombuffer(b"".join(rows), "<u4")
+        if not len(ids):
+            return [b""] * len(rows)
+        _, places, data = self.tokens.take(pa.array(ids)).buffers()
+        edges = np.cumsum([0, *map(len, rows)]) // 4
+        return packed.cut(np.frombuffer(data or b"", np.uint8), np.frombuffer(places, "<i8")[edges])
 
 
 @cache
@@ -123,7 +130,7 @@ def _encode(path: str, pattern: str, schema: pa.Schema):
         coder = encoder(path, pattern)
         for b in packed.slices(batches, 256):
             ids = coder.encode([text or "" for text in b.column(1).to_pylist()])
-            decoded = [coder.decode(x) for x in ids]
+            decoded = coder.decode(ids)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())],
                 schema=schema,
@@ -159,8 +166,10 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "id
         coder = encoder(ranks_path, pattern)
         for b in packed.slices(batches, 256):
             at = b.schema.get_field_index(ids_col)
-            found = [None if x is None else coder.decode(x).decode("utf-8", "replace")
-                     for x in b.column(at).to_pylist()]
+            rows = b.column(at).to_pylist()
+            plain = coder.decode([x or b"" for x in rows])
+            found = [None if x is None else text.decode("utf-8", "replace")
+                     for x, text in zip(rows, plain, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(found, pa.string())], names=[*b.schema.names, "text"]
             )

@@ -7,6 +7,7 @@ for every single number.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql import SparkSession
 
 #: Rows and bytes that reach a Python function at once; bounds its memory on long texts.
 BATCH_ROWS = 512
+#: Bytes of text that are encoded together.
+GATHER_BYTES = 8 << 20
 ARROW = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
     "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
@@ -83,3 +86,24 @@ def gathered(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.Table]
             held, total = [], 0
     if held:
         yield pa.Table.from_batches(held)
+
+
+def spliced(
+    parts: list[bytes], codes: np.ndarray, edges: np.ndarray, width: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of ``parts[code]`` one after the other, and where each row of codes ends.
+
+    ``edges`` are the places in ``codes`` at which rows begin, and the end of the last one.
+    """
+    ends = np.cumsum([0, *map(len, parts)]) // width
+    numbers = np.frombuffer(b"".join(parts), f"<u{width}")
+    lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(numbers))
+    found = lists.take(pa.array(codes))
+    return found.values.to_numpy(), found.offsets.to_numpy()[edges]
+
+
+def cut(data: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """The bytes between neighbouring edges."""
+    whole = memoryview(data).cast("B")
+    places = (edges * data.itemsize).tolist()
+    return [bytes(whole[low:high]) for low, high in pairwise(places)]

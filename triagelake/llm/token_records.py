@@ -21,7 +21,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +35,6 @@ FILE_BYTES = 64 << 20
 #: Runs kept per Python worker and generation, and their greatest length.
 CACHE_RUNS = 300_000
 CACHED_LENGTH = 64
-#: Bytes of text that are encoded together.
-GATHER_BYTES = 8 << 20
 #: Fixed values of the tokenizer: its splitting rule, for signs it does not otherwise change.
 PLAIN_RUN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 PLAIN_PIECE = re.compile(
@@ -125,12 +122,8 @@ class WordIds(Memo):
         runs = split.flatten().dictionary_encode()
         found = [self[run] if len(run) <= CACHED_LENGTH else self.make(run)
                  for run in runs.dictionary.to_pylist()]
-        ends = np.cumsum([0, *map(len, found)]) // self.width
-        ids = np.frombuffer(b"".join(found), f"<u{self.width}")
-        gathered = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(ids)).take(runs.indices)
-        edges = gathered.offsets.to_numpy()[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        data = memoryview(gathered.values.to_numpy()).cast("B")
-        return [bytes(data[low:high]) for low, high in pairwise((edges * self.width).tolist())]
+        edges = split.offsets.to_numpy() - split.offsets[0].as_py()
+        return packed.cut(*packed.spliced(found, runs.indices.to_numpy(), edges, self.width))
 
 
 @cache
@@ -144,7 +137,7 @@ def _encode_frames(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_ids(path)
         end = np.array([end_id], dtype=f"<u{coder.width}").tobytes()
-        for rows in packed.gathered(batches, GATHER_BYTES):
+        for rows in packed.gathered(batches, packed.GATHER_BYTES):
             ids = coder.encode(pc.fill_null(rows["text"].combine_chunks(), ""))
             frames = [frame(i, x + end, coder.width)
                       for i, x in zip(rows["_id"].to_pylist(), ids, strict=True)]
