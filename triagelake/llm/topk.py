@@ -27,15 +27,17 @@ HITS_DDL = "query_id long, vec_id long, score double"
 EXACT = float(1 << 53)
 
 
-def inner_products(queries: np.ndarray, vecs: np.ndarray) -> np.ndarray:
+def inner_products(queries: np.ndarray, vecs: np.ndarray, peak: float | None = None) -> np.ndarray:
     """Exact products of whole-number vectors kept as doubles; very large ones take the slow way.
 
-    Beyond what 64 bits hold, the value is cut to the largest or smallest 64-bit number.
+    ``peak`` is a known bound of the product of a component of each side. Beyond what 64 bits
+    hold, the value is cut to the largest or smallest 64-bit number.
     """
     if not len(queries) or not len(vecs):
         return np.zeros((len(queries), len(vecs)))
-    size = np.abs(queries).max() * np.abs(vecs).max() * vecs.shape[1]
-    if size < EXACT:
+    if peak is None:
+        peak = np.abs(queries).max() * np.abs(vecs).max()
+    if peak * vecs.shape[1] < EXACT:
         return queries @ vecs.T
     whole = [[[int(x) for x in row] for row in side] for side in (queries, vecs)]
     return np.array([[float(max(-(1 << 63), min((1 << 63) - 1025,
@@ -57,6 +59,7 @@ class BallTree:
             axis = int(np.argmax(vecs[rows].var(axis=0)))
             order = rows[np.argsort(vecs[rows, axis], kind="stable")]
             todo += [order[len(order) // 2:], order[:len(order) // 2]]
+        self.peak = np.abs(vecs).max(initial=0)
         self.centre = np.array([v.mean(axis=0) for _, v in self.leaves])
         self.radius = np.array([
             np.sqrt(((v - c) ** 2).sum(axis=1).max())
@@ -64,37 +67,62 @@ class BallTree:
         ])
 
     def search(self, query_id: np.ndarray, query: np.ndarray, floor: np.ndarray, k: int):
-        """The k best of this tree per query that are not below its floor."""
+        """The k best of this tree per query that are not below its floor.
+
+        Each query takes its leaves in the order of their bounds, in rounds of 1, 1, 2, 4 and so
+        on leaves, and ends with the first bound below its k-th score. Within a round the queries
+        that want the same leaf are multiplied with it together.
+        """
         n = len(query)
         norm = np.sqrt((query ** 2).sum(axis=1))
         bound = query @ self.centre.T + norm[:, None] * self.radius[None, :]
         bound += 1e-9 * (1 + np.abs(bound) + norm[:, None])
         order = np.argsort(-bound, axis=1, kind="stable")
+        bound = np.take_along_axis(bound, order, axis=1)
+        peak = np.abs(query).max(initial=0) * self.peak
         score = np.full((n, k), -np.inf)
         found = np.full((n, k), np.iinfo(np.int64).max)
-        alive = np.arange(n)
-        for step in range(len(self.leaves)):
-            leaf = order[alive, step]
-            kth = np.maximum(floor[alive], score[alive, k - 1])
-            go = bound[alive, leaf] >= kth
-            alive, leaf = alive[go], leaf[go]
-            if not len(alive):
+        low, high = 0, 1
+        while low < len(self.leaves):
+            kth = np.maximum(floor, score[:, k - 1])
+            who, at = np.nonzero(bound[:, low:high] >= kth[:, None])
+            if not len(who):
                 break
+            leaf = order[who, low + at]
             by_leaf = np.argsort(leaf, kind="stable")
-            start, length = packed.runs(leaf[by_leaf])
-            for a, m in zip(start, length, strict=True):
-                who = alive[by_leaf[a:a + m]]
-                ids, vecs = self.leaves[leaf[by_leaf[a]]]
-                new = inner_products(query[who], vecs)
-                new[query_id[who][:, None] == ids[None, :]] = -np.inf
-                both = np.concatenate([score[who], new], axis=1)
-                names = np.concatenate([found[who], np.broadcast_to(ids, new.shape)], axis=1)
-                best = np.lexsort((names, -both), axis=1)[:, :k]
-                score[who] = np.take_along_axis(both, best, axis=1)
-                found[who] = np.take_along_axis(names, best, axis=1)
+            who, leaf = who[by_leaf], leaf[by_leaf]
+            new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for a, m in zip(*packed.runs(leaf), strict=True):
+                asking = who[a:a + m]
+                ids, vecs = self.leaves[leaf[a]]
+                got = inner_products(query[asking], vecs, peak)
+                row, column = np.nonzero(got >= kth[asking][:, None])
+                row, column = _other(query_id[asking], ids, row, column)
+                new.append((asking[row], got[row, column], ids[column]))
+            self._merge(score, found, [np.concatenate(x) for x in zip(*new, strict=True)], k)
+            low, high = high, 2 * high
         hit = np.isfinite(score) & (score >= floor[:, None])
         return np.repeat(query_id, hit.sum(axis=1)), found[hit], score[hit]
 
+    @staticmethod
+    def _merge(score: np.ndarray, found: np.ndarray, new: list[np.ndarray], k: int) -> None:
+        """Puts new (query, score, id) rows among the k best of their queries."""
+        touched = np.unique(new[0])
+        who = np.concatenate([np.repeat(touched, k), new[0]])
+        value = np.concatenate([score[touched].ravel(), new[1]])
+        names = np.concatenate([found[touched].ravel(), new[2]])
+        best = np.lexsort((names, -value, who))
+        start, _ = packed.runs(who[best])
+        best = best[(start[:, None] + np.arange(k)).ravel()]
+        score[touched] = value[best].reshape(-1, k)
+        found[touched] = names[best].reshape(-1, k)
+
+
+def _other(query_id: np.ndarray, ids: np.ndarray, row: np.ndarray, column: np.ndarray):
+    """Without the places where a query meets itself."""
+    keep = query_id[row] != ids[column]
+    return row[keep], column[keep]
+
 
 def _search(dim: int, k: int):
     def run(batches):
