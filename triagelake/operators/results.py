@@ -10,7 +10,6 @@ from triagelake.functions.replies import answer_of, braced_part, is_json_object
 from triagelake.operators.logs import last_wins
 
 RESULT_COLUMNS = ["component", "uuid", "reason", "reasoning_trace"]
-DONOR_BUCKETS = 256
 
 
 def with_defaults(results: DataFrame) -> DataFrame:
@@ -29,10 +28,9 @@ def with_defaults(results: DataFrame) -> DataFrame:
 def parse_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:
     """Results from free-text replies; a reply without a JSON object gives no row."""
     kept = [c for c in replies.columns if c != reply]
-    raw = replies.select(*kept, braced_part(F.col(reply)).alias("_json")).where(
-        F.col("_json").isNotNull() & is_json_object(F.col("_json"))
-    )
-    parsed = raw.select(*kept, answer_of(F.col("_json")).alias("_a"))
+    # a variable of the list functions holds the braced text, so it is cut out once per reply
+    texts = F.filter(F.array(braced_part(F.col(reply))), is_json_object)
+    parsed = replies.select(*kept, F.explode(F.transform(texts, answer_of)).alias("_a"))
     return with_defaults(parsed.select(*kept, "_a.component", "_a.reason", "_a.reasoning_trace"))
 
 
@@ -62,43 +60,40 @@ def component_check(
     )
 
 
-def hot_deck_fill(results: DataFrame, seed: int = 0, buckets: int = DONOR_BUCKETS) -> DataFrame:
+def hot_deck_fill(results: DataFrame, seed: int = 0) -> DataFrame:
     """Incomplete results take the answer of a pseudo-random complete one.
 
-    Complete rows are hashed into a fixed number of buckets, each of which contributes one
-    donor. A row that needs an answer takes the donor of its own bucket or, if that bucket
-    is empty, of the next filled one. At most ``buckets`` donor rows exist.
+    All complete rows are numbered from 0 in the order of their digests, and an incomplete row
+    takes the one whose number is its own digest modulo their count. Numbers are counted inside
+    65,536 prefixes of the digest, so no task orders all rows. Without complete rows nothing
+    is borrowed.
     """
     filled = (F.coalesce("component", F.lit("")) != F.lit("")) & (
         F.coalesce("reason", F.lit("")) != F.lit("")
     )
     digest = F.md5(F.concat_ws("|", F.col("uuid"), F.lit(str(seed))))
-    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.lit(buckets)
-    rows = results.withColumn("_filled", filled).withColumn("_bucket", bucket)
-    donor = F.min_by(
-        F.struct(
-            F.col("component").alias("d_component"), F.col("reason").alias("d_reason"),
-            F.col("reasoning_trace").alias("d_trace"),
-        ), F.struct(digest, F.col("uuid")),
+    rows = results.withColumn("_filled", filled).withColumn("_digest", digest)
+    donors = rows.where("_filled").select(
+        F.substring("_digest", 1, 4).alias("_prefix"), "_digest", F.col("uuid").alias("_donor"),
+        F.col("component").alias("d_component"), F.col("reason").alias("d_reason"),
+        F.col("reasoning_trace").alias("d_trace"),
+    )
+    sizes = donors.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_prefix")
+    offsets = sizes.select("_prefix", (F.sum("_n").over(earlier) - F.col("_n")).alias("_before"))
+    place = Window.partitionBy("_prefix").orderBy("_digest", "_donor", "d_component", "d_reason")
+    numbered = donors.join(offsets, "_prefix").select(
+        (F.col("_before") + F.row_number().over(place) - F.lit(1)).alias("_no"),
+        "d_component", "d_reason", "d_trace",
     )
-    donors = rows.where("_filled").groupBy("_bucket").agg(donor.alias("_donor"))
-    ordered = Window.orderBy("_bucket")
-    spans = donors.withColumn("_low", F.lag("_bucket").over(ordered) + F.lit(1)).withColumn(
-        "_first", F.min("_bucket").over(Window.orderBy("_bucket").rowsBetween(
-            Window.unboundedPreceding, Window.unboundedFollowing))
-    ).withColumn("_last", F.max("_bucket").over(Window.orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing)))
-    own = F.sequence(F.coalesce("_low", F.lit(0).cast("long")), F.col("_bucket"))
-    past_last = F.when(
-        (F.col("_bucket") == F.col("_first")) & (F.col("_last") < F.lit(buckets - 1)),
-        F.sequence(F.col("_last") + F.lit(1), F.lit(buckets - 1).cast("long")),
-    ).otherwise(F.array().cast("array<bigint>"))
-    table = spans.select(F.explode(F.concat(own, past_last)).alias("_bucket"), "_donor")
-    joined = rows.join(table, "_bucket", "left")
-    keep = F.col("_filled") | F.col("_donor").isNull()
+    number = F.conv(F.substring("_digest", 1, 8), 16, 10).cast("long")
+    count = sizes.agg(F.sum("_n").alias("n")).scalar()
+    wanted = F.when(~F.col("_filled"), F.pmod(number, count))
+    joined = rows.withColumn("_no", wanted).join(numbered, "_no", "left")
+    keep = F.col("_filled") | F.col("d_component").isNull()
 
     def pick(column, field):
-        return F.when(keep, F.col(column)).otherwise(F.col("_donor")[field]).alias(column)
+        return F.when(keep, F.col(column)).otherwise(F.col(field)).alias(column)
 
     return joined.select(
         pick("component", "d_component"), "uuid", pick("reason", "d_reason"),

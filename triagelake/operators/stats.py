@@ -11,7 +11,7 @@ from triagelake.session import cut_lineage
 QUANTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 STAT_COLUMNS = ["n", "mean", "std", "min", *QUANTILES, "max", "non_zero_ratio"]
 HOT_GROUP_ROWS = 1_000_000
-HOT_BINS = 256
+HOT_BINS = 256  # at least; more, so that a bin keeps to about HOT_GROUP_ROWS values
 
 
 def trimmed(df: DataFrame, keys: list[str], value: str, trim: Column, side: int) -> DataFrame:
@@ -39,7 +39,7 @@ def _small_groups(df, keys, value, trim, side) -> DataFrame:
     return described.select(*keys, "n", "mean", "std", "min", *parts, "max", "non_zero_ratio")
 
 
-def _hot_groups(df, keys, value, trim, side) -> DataFrame:
+def _hot_groups(df, keys, value, trim, side, bins) -> DataFrame:
     """The same statistics from value counts, binned by value so that a group is split.
 
     Equal values are first merged into counts. Approximate quantiles of the distinct values
@@ -51,14 +51,14 @@ def _hot_groups(df, keys, value, trim, side) -> DataFrame:
         df.where(v.isNotNull()).withColumn("_trim", flag)
         .groupBy(*keys, "_trim", value).agg(F.count(F.lit(1)).alias("_c"))
     )
-    steps = [i / HOT_BINS for i in range(1, HOT_BINS)]
+    steps = [i / bins for i in range(1, bins)]
     borders = weights.groupBy(*keys).agg(
-        F.percentile_approx(v, steps, 10 * HOT_BINS).alias("_borders")
+        F.percentile_approx(v, steps, 10 * bins).alias("_borders")
     )
     binned = cut_lineage(
         weights.join(borders, keys)
         .withColumn("_bin", F.size(F.filter("_borders", lambda border: border < v)))
-        .withColumn("_middle", F.element_at("_borders", F.lit(HOT_BINS // 2)))
+        .withColumn("_middle", F.element_at("_borders", F.lit(bins // 2)))
         .drop("_borders")
     )
     by_bin = Window.partitionBy(*keys).orderBy("_bin")
@@ -137,8 +137,9 @@ def describe(
     if largest is None or largest <= hot_rows:
         return _small_groups(df, keys, value, trim, side)
     hot_keys = cut_lineage(sizes.where(F.col("_rows") > F.lit(hot_rows)).drop("_rows"))
+    bins = max(HOT_BINS, -(-largest // HOT_GROUP_ROWS))
     small = df.join(hot_keys, keys, "left_anti")
     hot = df.join(hot_keys, keys, "left_semi")
     return _small_groups(small, keys, value, trim, side).unionByName(
-        _hot_groups(hot, keys, value, trim, side)
+        _hot_groups(hot, keys, value, trim, side, bins)
     )

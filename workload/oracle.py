@@ -89,14 +89,13 @@ def leaf_sql(tokens: str) -> str:
     return f"md5(CAST({n} AS VARCHAR) || chr(1) || array_to_string({path}, chr(1)) || chr(1) || {anchor})"
 
 
-def templates_cte(source: str, prefix: str) -> dict[str, str]:
+def templates_cte(source: str, masks: str, prefix: str) -> dict[str, str]:
     """Masked messages, leaves and the template table of a message source."""
     tokens = (f"list_filter(string_split_regex(translate(masked, '_|:=,', '     '), '{SPACES}'), "
               "lambda t: t <> '')")
     return {
         f"{prefix}_masked": f"""SELECT masked, count(*) AS n FROM
-            (SELECT {mask_sql('message')} AS masked FROM {source} WHERE message IS NOT NULL)
-            GROUP BY 1""",
+            {source} JOIN {masks} USING (message) GROUP BY 1""",
         f"{prefix}_tok": f"SELECT masked, n, {tokens} AS tokens FROM {prefix}_masked",
         f"{prefix}_leaf": f"SELECT *, {leaf_sql('tokens')} AS template_id FROM {prefix}_tok",
         f"{prefix}_pos": f"""SELECT template_id, pos,
@@ -114,7 +113,7 @@ def templates_cte(source: str, prefix: str) -> dict[str, str]:
     }
 
 
-def match_cte(source: str, known: str, prefix: str) -> dict[str, str]:
+def match_cte(masks: str, known: str, prefix: str) -> dict[str, str]:
     tokens = (f"list_filter(string_split_regex(translate(masked, '_|:=,', '     '), '{SPACES}'), "
               "lambda t: t <> '')")
     index = "generate_series(1, greatest(len(tokens), len(template_tokens)))"
@@ -124,9 +123,7 @@ def match_cte(source: str, known: str, prefix: str) -> dict[str, str]:
               "lambda i: template_tokens[i] = '<*>'), lambda i: tokens[i])")
     return {
         f"{prefix}_in": f"""SELECT message, masked, tokens, {leaf_sql('tokens')} AS template_id FROM
-            (SELECT message, masked, {tokens} AS tokens FROM
-             (SELECT DISTINCT message, {mask_sql('message')} AS masked FROM {source}
-              WHERE message IS NOT NULL))""",
+            (SELECT message, masked, {tokens} AS tokens FROM {masks})""",
         f"{prefix}_matched": f"""SELECT message, masked,
             CASE WHEN ok THEN template_id END AS template_id,
             CASE WHEN ok THEN template END AS template,
@@ -274,10 +271,16 @@ CTE: dict[str, str] = {
         (SELECT doc_id, unnest(string_split(text, chr(10))) AS message,
          unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS line_no FROM documents)
         UNION ALL SELECT -1, row_id, message FROM logs""",
-    **templates_cte("error_rows", "et"),
-    **templates_cte("messages", "mt"),
-    **match_cte("logs", "et", "lm"),
-    **match_cte("messages", "mt", "mm"),
+    **{
+        name: f"""SELECT message, {mask('message')} AS masked FROM
+        (SELECT DISTINCT message FROM {source} WHERE message IS NOT NULL)"""
+        for name, mask, source in (("full_masked", mask_all_sql, "messages"),
+                                   ("log_masked", mask_all_sql, "logs"),
+                                   ("short_masked", mask_sql, "messages"))
+    },
+    **templates_cte("error_rows", "log_masked", "et"),
+    **templates_cte("messages", "full_masked", "mt"),
+    **match_cte("log_masked", "et", "lm"),
     "fault_logs": """SELECT w.uuid, l.* FROM logs l JOIN fault_w w
         ON l.timestamp_ns BETWEEN w.w_start_ns AND w.w_end_ns""",
     "tagged": """SELECT e.*, m.template FROM fault_logs e LEFT JOIN lm_matched m USING (message)
@@ -363,6 +366,8 @@ CTE: dict[str, str] = {
     "results": """SELECT uuid, arg_max(component, seq) AS component, arg_max(reason, seq) AS reason,
         arg_max(steps, seq) AS steps, arg_max(observation, seq) AS observation FROM answers
         GROUP BY 1""",
+    "two_lists": """SELECT *, lag(end_ns) OVER o AS p, lead(start_ns) OVER o AS n FROM rep_inc
+        WINDOW o AS (ORDER BY CASE WHEN event_type = 'error' THEN 0 ELSE 1 END, ord)""",
     "gaps": """SELECT uuid, r.component, r.reason, r.observation FROM
         (SELECT DISTINCT uuid FROM replies) LEFT JOIN results r USING (uuid)""",
 }
@@ -414,8 +419,5 @@ def count_csv(columns: list[str], count: str) -> str:
                  for c in columns])
 
 
-CTE["full_masked"] = f"""SELECT message, {mask_all_sql('message')} AS masked FROM
-    (SELECT DISTINCT message FROM messages WHERE message IS NOT NULL)"""
-
 __all__ = ["CTE", "sql", "csv", "text_sql", "count_csv", "MISSING_LABEL", "NODES", "PODS",
            "SERVICES"]

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.fixed_values import REPORT_LABELS
+from triagelake.fixed_values import FOREST_TREES, MISSING_LABEL, REPORT_LABELS
+from triagelake.functions import times
 from triagelake.functions.numbers import round_even
 from triagelake.functions.texts import service_alias, service_of_metric_pod
 from triagelake.operators import (
@@ -22,7 +23,9 @@ from triagelake.sources import telemetry
 from triagelake.sources.incidents import read_incident_csv
 from triagelake.sources.results import read_calls, read_results
 from workload import views
-from workload.oracle import count_csv, csv, describe, r6, sql, text_sql, variant
+from workload.oracle import (
+    HOUR, count_csv, csv, describe, local, r6, sql, text_sql, variant,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,6 +105,20 @@ def _(spark, sf):
     return windows.normal_windows(report_table(spark, sf))
 
 
+@query("normal_windows_two_lists", """SELECT uuid, 'normal_before' AS kind,
+    p + 600000000000 AS w_start_ns, start_ns AS w_end_ns FROM two_lists WHERE p IS NOT NULL
+    UNION ALL SELECT uuid, 'normal_after', end_ns + 600000000000, n FROM two_lists
+    WHERE n IS NOT NULL""")
+def _(spark, sf):
+    reports = views.reports(spark, sf)
+    error = F.col("event_type") == "error"
+    both = incidents.union_lists(*[
+        incidents.incident_keys(incidents.incident_times(reports.where(part)))
+        for part in (error, ~error)
+    ])
+    return windows.normal_windows(cut_lineage(both.select("ord", "uuid", "start_ns", "end_ns")))
+
+
 @query("recovery_windows", """SELECT uuid, 'recovery' AS kind, end_ns AS w_start_ns,
     end_ns + 2400000000000 AS w_end_ns FROM rep_inc""")
 def _(spark, sf):
@@ -155,6 +172,23 @@ def _(spark, sf):
         "time_utc", "yyyy-MM-dd HH:mm:ss").alias("time_utc"), "hour_key")
 
 
+@query("time_keys_ns", f"""SELECT row_id, hour_end, day_end,
+    {local('hour_end', '%Y-%m-%d_%H')} AS last_key, {local('hour_end + 1', '%Y-%m-%d_%H')} AS
+    next_key, {local('day_end', '%Y-%m-%d')} AS last_date FROM
+    (SELECT event_id AS row_id, (ts_ns // {HOUR} + 1) * {HOUR} - 1 AS hour_end,
+     ((ts_ns + 8 * {HOUR}) // (24 * {HOUR}) + 1) * 24 * {HOUR} - 8 * {HOUR} - 1 AS day_end
+     FROM ev)""")
+def _(spark, sf):
+    hour_end = F.expr(f"(ts_ns div {HOUR} + 1) * {HOUR} - 1")
+    day_end = F.expr(f"((ts_ns + {8 * HOUR}) div {24 * HOUR} + 1) * {24 * HOUR} - {8 * HOUR} - 1")
+    rows = views.events(spark, sf).select(
+        F.col("event_id").alias("row_id"), hour_end.alias("hour_end"), day_end.alias("day_end"))
+    return rows.select(
+        "*", times.local_hour_key(F.col("hour_end")).alias("last_key"),
+        times.local_hour_key(F.col("hour_end") + 1).alias("next_key"),
+        times.local_date(F.col("day_end")).alias("last_date"))
+
+
 @query("unpivot_apm", """SELECT l_orderkey, l_linenumber, metric, value FROM
     (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem)
     UNPIVOT (value FOR metric IN (l_quantity, l_extendedprice, l_discount, l_tax))""")
@@ -390,6 +424,29 @@ def _(spark, sf):
     return evidence.metric_report_json(rows, ["service", "entity"])
 
 
+MEMBER_OR_MARK = (f"CASE WHEN status = 'ok' THEN {REPORT_MEMBER} ELSE "
+                  f"'\"' || metric || '\":\"{MISSING_LABEL}\"' END")
+
+
+def _section_json_sql(section: str, level: str) -> str:
+    rows = f"SELECT * FROM metric_rows WHERE section = '{section}'"
+    return "SELECT uuid, j AS report FROM (" + _object_sql(
+        _object_sql(rows, MEMBER_OR_MARK, f"uuid, {level}"),
+        f"'\"' || {level} || '\":' || j", "uuid") + ")"
+
+
+@query("metric_report_json_db", _section_json_sql("db_component", "entity"))
+def _(spark, sf):
+    rows = metric_rows(spark, sf).where(F.col("section") == "db_component")
+    return evidence.metric_report_json(rows, ["entity"])
+
+
+@query("metric_report_json_node", _section_json_sql("node", "node"))
+def _(spark, sf):
+    rows = metric_rows(spark, sf).where(F.col("section") == "node")
+    return evidence.metric_report_json(rows, ["node"])
+
+
 # Logs
 
 def fault_logs(spark, sf, scope="full"):
@@ -427,12 +484,12 @@ def _(spark, sf):
 
 
 def error_templates(spark, sf):
-    return templates.mine_templates(logs.error_logs(views.logs(spark, sf)), full=False)
+    return templates.mine_templates(logs.error_logs(views.logs(spark, sf)))
 
 
 def tagged_logs(spark, sf):
     rows = logs.error_logs(fault_logs(spark, sf))
-    matched = templates.match_templates(rows, error_templates(spark, sf), full=False)
+    matched = templates.match_templates(rows, error_templates(spark, sf))
     return templates.attach_templates(rows, matched)
 
 
@@ -450,7 +507,7 @@ def _(spark, sf):
 
 def log_rows(spark, sf, scope="full"):
     return evidence.log_evidence(views.logs(spark, sf), incident_table(spark, sf),
-                                 error_templates(spark, sf), ORDER, scope, full_masks=False)
+                                 error_templates(spark, sf), ORDER, scope)
 
 
 @query("sort_logs_by_count", """SELECT uuid, line_no, occurrence_count,
@@ -508,7 +565,7 @@ def _(spark, sf):
 
 # Templates
 
-@query("mask_messages", "SELECT DISTINCT message, masked FROM mm_in")
+@query("mask_messages", "SELECT message, masked FROM short_masked")
 def _(spark, sf):
     return templates.masked_messages(views.messages(spark, sf), full=False)
 
@@ -520,13 +577,13 @@ def _(spark, sf):
 
 @query("tokenize", "SELECT masked, array_to_string(tokens, ' ') AS tokens, template_id FROM mt_leaf")
 def _(spark, sf):
-    masked = templates.masked_messages(views.messages(spark, sf), full=False)
+    masked = templates.masked_messages(views.messages(spark, sf))
     return templates.tokenized(masked.select("masked").distinct()).select(
         "masked", joined("tokens", " "), "template_id")
 
 
 def mined(spark, sf):
-    return templates.mine_templates(views.messages(spark, sf), full=False)
+    return templates.mine_templates(views.messages(spark, sf))
 
 
 @query("mine_templates", """SELECT template_id, template, size FROM mt_templates""")
@@ -536,16 +593,14 @@ def _(spark, sf):
 
 @query("match_templates", "SELECT message, template_id, template FROM lm_matched")
 def _(spark, sf):
-    matched = templates.match_templates(
-        views.logs(spark, sf), error_templates(spark, sf), full=False)
+    matched = templates.match_templates(views.logs(spark, sf), error_templates(spark, sf))
     return matched.select("message", "template_id", "template")
 
 
 @query("template_params", """SELECT message, array_to_string(params, '|') AS params FROM lm_matched
     WHERE template IS NOT NULL""")
 def _(spark, sf):
-    matched = templates.match_templates(
-        views.logs(spark, sf), error_templates(spark, sf), full=False)
+    matched = templates.match_templates(views.logs(spark, sf), error_templates(spark, sf))
     return matched.where(F.col("template").isNotNull()).select("message", joined("params", "|"))
 
 
@@ -562,7 +617,7 @@ def _(spark, sf):
     WHERE example_no <= 1000""")
 def _(spark, sf):
     table = views.logs(spark, sf)
-    matched = templates.match_templates(table, error_templates(spark, sf), full=False)
+    matched = templates.match_templates(table, error_templates(spark, sf))
     return templates.template_examples(table, matched, ORDER)
 
 
@@ -729,6 +784,39 @@ def _(spark, sf):
         *traces.PATH, "trees", "train_bins", "cutoff", F.size("abnormal").alias("ranges"))
 
 
+@query("forest_models", f"""SELECT parent_pod, child_pod, operation, {FOREST_TREES} AS trees,
+    count(*) AS train_bins FROM train_bins GROUP BY ALL""")
+def _(spark, sf):
+    return detect.train_forest(train_bins(spark, sf), contamination=views.CONTAMINATION).select(
+        *traces.PATH, "trees", F.col("train_bins").cast("long").alias("train_bins"))
+
+
+@query("forest_flagged_share", f"""SELECT parent_pod, child_pod, operation, count(*) AS bins,
+    true AS within FROM train_bins GROUP BY ALL""")
+def _(spark, sf):
+    """Whether the bins flagged among the training bins keep to the contamination, per path."""
+    bins = train_bins(spark, sf)
+    model = cut_lineage(detect.train_forest(bins, contamination=views.CONTAMINATION))
+    flagged = detect.forest_events(bins, model).groupBy(*traces.PATH).agg(
+        F.count(F.lit(1)).alias("_flagged"))
+    sizes = bins.groupBy(*traces.PATH).agg(F.count(F.lit(1)).alias("bins"))
+    limit = F.ceil(F.col("bins") * F.lit(views.CONTAMINATION))
+    within = F.coalesce("_flagged", F.lit(0)) <= limit
+    return sizes.join(flagged, traces.PATH, "left").select(
+        *traces.PATH, "bins", within.alias("within"))
+
+
+@query("stored_baseline", f"""SELECT parent_pod, child_pod, operation, {r6('avg(mean_duration)')} AS
+    mean, count(*) AS count FROM train_bins GROUP BY ALL""")
+def _(spark, sf):
+    path = new_folder(spark)
+    for _ in range(2):
+        _, base = load_or_train(
+            spark, path, spans(spark, sf), incident_table(spark, sf), ORDER, views.SAMPLE_N,
+            recovery_ns=views.RECOVERY, bin_ns=views.BIN, contamination=views.CONTAMINATION)
+    return rounded(base, "mean").select(*traces.PATH, "mean", "count")
+
+
 @query("score_forest")
 def _(spark, sf):
     model = detect.train_forest(train_bins(spark, sf), contamination=views.CONTAMINATION)
@@ -870,6 +958,15 @@ def _(spark, sf):
     return flat(read_results(spark, path))
 
 
+@query("result_file_many", "SELECT uuid, component, reason, steps, observation FROM results")
+def _(spark, sf):
+    """Several files with repeated incidents; the last line of the last file counts."""
+    path = new_folder(spark)
+    lines = cut_lineage(fresh(spark, sf)).repartitionByRange(6, "seq").sortWithinPartitions("seq")
+    lines.drop("seq").write.json(path)
+    return flat(read_results(spark, path))
+
+
 @query("incident_csv_scan", "SELECT uuid, start_ns, end_ns, date, hour_key FROM incidents")
 def _(spark, sf):
     path = new_folder(spark)
@@ -950,17 +1047,14 @@ def _(spark, sf):
     return checked.select("uuid", "component", "level", "valid")
 
 
-@query("hot_deck_fill", """SELECT * FROM (WITH f AS (SELECT *, md5(uuid || '|0') AS h, component <> '' AND
-    reason <> '' AS filled FROM results), b AS (SELECT *,
-    CAST('0x' || left(h, 8) AS BIGINT) % 256 AS bucket FROM f),
-    d AS (SELECT bucket, arg_min(component, h) AS dc, arg_min(reason, h) AS dr FROM b
-    WHERE filled GROUP BY 1),
-    n AS (SELECT g.bucket, coalesce(min(d.bucket), (SELECT min(bucket) FROM d)) AS donor FROM
-    (SELECT unnest(generate_series(0, 255)) AS bucket) g LEFT JOIN d ON d.bucket >= g.bucket
-    GROUP BY 1)
-    SELECT uuid, CASE WHEN filled THEN component ELSE dc END AS component,
-    CASE WHEN filled THEN reason ELSE dr END AS reason, NOT filled AS borrowed
-    FROM b JOIN n USING (bucket) JOIN d ON d.bucket = n.donor)""")
+@query("hot_deck_fill", """SELECT * FROM (WITH f AS (SELECT *, md5(uuid || '|0') AS h,
+    component <> '' AND reason <> '' AS filled FROM results),
+    d AS (SELECT row_number() OVER (ORDER BY h, uuid) - 1 AS no, component AS dc, reason AS dr
+    FROM f WHERE filled)
+    SELECT uuid, CASE WHEN no IS NULL THEN component ELSE dc END AS component,
+    CASE WHEN no IS NULL THEN reason ELSE dr END AS reason, no IS NOT NULL AS borrowed
+    FROM f LEFT JOIN d ON NOT filled
+    AND no = CAST('0x' || left(h, 8) AS BIGINT) % (SELECT count(*) FROM d))""")
 def _(spark, sf):
     return results.hot_deck_fill(parsed_results(spark, sf)).drop("reasoning_trace")
 
