@@ -32,9 +32,10 @@ from triagelake.session import cut_lineage
 
 SEGMENTS = pa.schema([
     ("part", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()),
-    ("counts", pa.binary()), ("grams", pa.binary()), ("freqs", pa.binary()),
+    ("counts", pa.binary()), ("base", pa.int64()), ("grams", pa.binary()), ("freqs", pa.binary()),
 ])
-SEGMENTS_DDL = "part int, ids binary, sizes binary, counts binary, grams binary, freqs binary"
+SEGMENTS_DDL = ("part int, ids binary, sizes binary, counts binary, base long, grams binary, "
+                "freqs binary")
 SETS = pa.schema([
     ("set_id", pa.int64()), ("n", pa.int32()), ("shared", pa.int32()),
     ("grams", pa.list_(pa.int64())),
@@ -79,19 +80,30 @@ def _fragment(grams: np.ndarray, parts: int) -> np.ndarray:
     return packed.place(grams << np.uint64(64 - 8 * GRAM_BYTES), parts)
 
 
-def _pack(grams: np.ndarray) -> bytes:
-    return grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :GRAM_BYTES].tobytes()
+def _width(parts: int) -> int:
+    """Bytes that hold any distance between two n-grams of one fragment."""
+    # a fragment is a range of the upper 32 bits; the other bits are free
+    free = 8 * GRAM_BYTES - 32
+    return min(GRAM_BYTES, -(-(free + (-(-(1 << 32) // parts)).bit_length()) // 8))
 
 
-def _unpack(column: pa.ChunkedArray) -> np.ndarray:
-    body = packed.read(column, "u1").reshape(-1, GRAM_BYTES)
+def _pack(grams: np.ndarray, base: np.uint64, width: int) -> bytes:
+    return (grams - base).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpack(table: pa.Table, width: int) -> np.ndarray:
+    body = packed.read(table["grams"], "u1").reshape(-1, width)
     out = np.zeros((len(body), 8), dtype=np.uint8)
-    out[:, :GRAM_BYTES] = body
-    return out.view("<u8").ravel()
+    out[:, :width] = body
+    base = table["base"].to_numpy().astype(np.uint64)
+    return out.view("<u8").ravel() + np.repeat(base, packed.lengths(table["grams"], width))
+
 
+def _cut(part, owner, ids, sizes, grams, width, freqs=None) -> pa.RecordBatch:
+    """One row per part; inputs are sorted by part, then by owner (an index into ids).
 
-def _cut(part, owner, ids, sizes, grams, freqs=None) -> pa.RecordBatch:
-    """One row per part; inputs are sorted by part, then by owner (an index into ids)."""
+    The n-grams of a row lie in one fragment and are kept as distances from the least of them.
+    """
     rows: dict[str, list] = {f.name: [] for f in SEGMENTS}
     start, length = packed.runs(part)
     for a, m in zip(start, length, strict=True):
@@ -99,10 +111,12 @@ def _cut(part, owner, ids, sizes, grams, freqs=None) -> pa.RecordBatch:
         own = owner[a:a + m][at]
         rows["part"].append(int(part[a]))
         rows["ids"].append(ids[own].astype("<u8").tobytes())
-        rows["sizes"].append(sizes[own].astype("<u4").tobytes())
-        rows["counts"].append(counts.astype("<u4").tobytes())
-        rows["grams"].append(_pack(grams[a:a + m]))
-        rows["freqs"].append(b"" if freqs is None else freqs[a:a + m].astype("<u4").tobytes())
+        rows["sizes"].append(packed.planes(sizes[own]))
+        rows["counts"].append(packed.planes(counts))
+        base = grams[a:a + m].min()
+        rows["base"].append(int(base))
+        rows["grams"].append(_pack(grams[a:a + m], base, width))
+        rows["freqs"].append(b"" if freqs is None else packed.planes(freqs[a:a + m]))
     return packed.batch(rows, SEGMENTS)
 
 
@@ -113,7 +127,7 @@ def _segments_of_texts(k: int, parts: int):
             owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
             part = _fragment(grams, parts).astype(np.uint32)
             order = np.argsort(part, kind="stable")
-            yield _cut(part[order], owner[order], set_id, size, grams[order])
+            yield _cut(part[order], owner[order], set_id, size, grams[order], _width(parts))
 
     return run
 
@@ -132,12 +146,12 @@ def _set_table(k: int):
     return run
 
 
-def _shared_in_fragment(buckets: int, last: bool):
+def _shared_in_fragment(buckets: int, width: int, last: bool):
     """Within one fragment: the n-grams that at least two sets hold, with their frequency."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, sizes = packed.read(table["ids"], "<u8"), packed.read(table["sizes"], "<u4")
-        counts, grams = packed.read(table["counts"], "<u4"), _unpack(table["grams"])
+        ids, sizes = packed.read(table["ids"], "<u8"), packed.read_planes(table["sizes"])
+        counts, grams = packed.read_planes(table["counts"]), _unpack(table, width)
         known, first = np.unique(ids, return_index=True)
         chosen = np.zeros(len(ids), dtype=bool)
         chosen[first] = True  # of copies of one set, one part is enough
@@ -152,7 +166,7 @@ def _shared_in_fragment(buckets: int, last: bool):
         order = np.argsort(owner, kind="stable")
         owner = owner[order]
         out = _cut(packed.place(known, buckets)[owner], owner, known, sizes[first], grams[order],
-                   freq[order] if last else None)
+                   width, freq[order] if last else None)
         return pa.Table.from_batches([out], schema=SEGMENTS)
 
     return run
@@ -160,10 +174,11 @@ def _shared_in_fragment(buckets: int, last: bool):
 
 def _survivors(num: int, den: int, parts: int, last: bool):
     """Sums the shared parts of each set; keeps sets that can still reach the threshold."""
+    width = _width(parts)
 
     def run(table: pa.Table) -> pa.Table:
-        ids, sizes = packed.read(table["ids"], "<u8"), packed.read(table["sizes"], "<u4")
-        counts, grams = packed.read(table["counts"], "<u4"), _unpack(table["grams"])
+        ids, sizes = packed.read(table["ids"], "<u8"), packed.read_planes(table["sizes"])
+        counts, grams = packed.read_planes(table["counts"]), _unpack(table, width)
         known, first, slot = np.unique(ids, return_index=True, return_inverse=True)
         size = sizes[first].astype(np.int64)
         shared = np.bincount(slot, weights=counts, minlength=len(known)).astype(np.int64)
@@ -174,9 +189,9 @@ def _survivors(num: int, den: int, parts: int, last: bool):
         if not last:
             part = _fragment(grams, parts)
             order = np.lexsort((grams, owner, part))
-            out = _cut(part[order], owner[order], known, size, grams[order])
+            out = _cut(part[order], owner[order], known, size, grams[order], width)
             return pa.Table.from_batches([out], schema=SEGMENTS)
-        order = np.lexsort((grams, packed.read(table["freqs"], "<u4")[keep], owner))
+        order = np.lexsort((grams, packed.read_planes(table["freqs"])[keep], owner))
         at = np.r_[0, np.cumsum(shared[alive])].astype(np.int32)
         return pa.Table.from_arrays([
             pa.array(known[alive].view(np.int64)), pa.array(size[alive].astype(np.int32)),
@@ -225,7 +240,9 @@ def jaccard_links(
     rows = texts.select(F.col(text_col).cast("string").alias("text"))
     found = rows.mapInArrow(_segments_of_texts(k, parts), SEGMENTS_DDL)
     for last in (False, True):
-        shared = found.groupBy("part").applyInArrow(_shared_in_fragment(buckets, last), SEGMENTS_DDL)
+        shared = found.groupBy("part").applyInArrow(
+            _shared_in_fragment(buckets, _width(parts), last), SEGMENTS_DDL
+        )
         found = shared.groupBy("part").applyInArrow(
             _survivors(num, den, parts, last), SETS_DDL if last else SEGMENTS_DDL
         )

@@ -47,6 +47,20 @@ def read(column: pa.ChunkedArray | pa.Array, dtype: str) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype=dtype)
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers by place: all lowest bytes first, so that small numbers compress well."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def read_planes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """All numbers of a column of ``planes``, row after row."""
+    if isinstance(column, pa.Array):
+        column = pa.chunked_array([column])
+    parts = [np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(4, -1).T)
+             .view("<u4").ravel() for c in column.chunks for x in c]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype="<u4")
+
+
 def lengths(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     """How many numbers of ``width`` bytes each row of a packed column has."""
     import pyarrow.compute as pc
