@@ -85,6 +85,19 @@ def test_hot_deck(spark):
     assert untouched.where("borrowed").count() == 0 and untouched.count() == 201
 
 
+def test_upsert_of_a_stored_path(spark, tmp_path):
+    path = str(tmp_path / "results")
+    writers.upsert_result_file(result_rows(spark, [("c1", "a", "r", 0), ("c2", "b", "r", 0)]), path)
+    writers.upsert_result_file(result_rows(spark, [("c3", "b", "r", 1), ("c4", "b", "s", 2)]), path)
+    stored = {r["uuid"]: r["component"] for r in read_results(spark, path).collect()}
+    assert stored == {"a": "c1", "b": "c4"}
+    (tmp_path / "results").rename(tmp_path / "results.next")  # as if ended before the swap
+    writers.upsert_result_file(result_rows(spark, [("c5", "c", "r", 0)]), path)
+    stored = {r["uuid"]: r["component"] for r in read_results(spark, path).collect()}
+    assert stored == {"a": "c1", "b": "c4", "c": "c5"}
+    assert not (tmp_path / "results.next").exists()
+
+
 def test_calls(spark, tmp_path):
     path = str(tmp_path / "calls")
     df = spark.createDataFrame([("b", "t", "first", "p", "r"), ("a", "t", "first", "p", "r"),

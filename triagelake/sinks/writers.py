@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triagelake.operators.results import RESULT_COLUMNS, with_defaults
+from triagelake.operators.results import RESULT_COLUMNS, upsert_results, with_defaults
+from triagelake.sources.incidents import path_exists
+from triagelake.sources.results import read_results
 
 
 def write_normalised(
@@ -50,5 +52,28 @@ def write_results(results: DataFrame, path: str) -> None:
     ordered.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def upsert_result_file(fresh: DataFrame, path: str, order: str = "seq") -> None:
+    """Merges fresh results into the stored ones: a fresh one wins, the rest stay.
+
+    The merged table is written beside the old one and then takes its place. A run that ends
+    between the two steps leaves the complete new table, which the next call puts in place.
+    """
+    spark = fresh.sparkSession
+    aside = f"{path.rstrip('/')}.next"
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(aside)
+    system = old.getFileSystem(conf)
+    if not path_exists(spark, path) and path_exists(spark, f"{aside}/_SUCCESS"):
+        system.rename(new, old)
+    stored = read_results(spark, path)
+    first = F.lit(None).cast(fresh.schema[order].dataType)
+    stored = stored.withColumn(order, first)
+    columns = [*RESULT_COLUMNS, order]
+    write_results(upsert_results(stored.select(*columns), fresh.select(*columns), order), aside)
+    system.delete(old, True)
+    if not system.rename(new, old):
+        raise OSError(f"{aside} holds the new results but could not take the place of {path}")
+
+
 def append_calls(calls: DataFrame, path: str) -> None:
     calls.write.mode("append").parquet(path)

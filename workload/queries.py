@@ -627,6 +627,12 @@ def _(spark, sf):
     return templates.top_n_with_ties(mined(spark, sf)).select("template_id", "size")
 
 
+@query("top_20_with_ties", """SELECT template_id, size FROM mt_templates WHERE size >=
+    (SELECT min(size) FROM (SELECT size FROM mt_templates ORDER BY size DESC LIMIT 20))""")
+def _(spark, sf):
+    return templates.top_n_with_ties(mined(spark, sf), n=20).select("template_id", "size")
+
+
 # Spans
 
 def spans(spark, sf):
@@ -967,6 +973,17 @@ def _(spark, sf):
     return flat(read_results(spark, path))
 
 
+@query("upsert_path", "SELECT uuid, component, reason, steps, observation FROM results")
+def _(spark, sf):
+    """A stored file that gets the later half of the replies merged in."""
+    path = new_folder(spark)
+    table = cut_lineage(fresh(spark, sf))
+    early = F.col("seq") % 3 < 2
+    writers.upsert_result_file(table.where(early), path)
+    writers.upsert_result_file(table.where(~early), path)
+    return flat(read_results(spark, path))
+
+
 @query("incident_csv_scan", "SELECT uuid, start_ns, end_ns, date, hour_key FROM incidents")
 def _(spark, sf):
     path = new_folder(spark)
