@@ -137,6 +137,26 @@ def test_nearest_neighbours_reach_the_recall(spark):
     assert hits >= 0.9 * total
 
 
+def test_recall_holds_with_many_more_lists_than_probes(spark):
+    rng = np.random.default_rng(2)
+    vecs = rng.normal(size=(6000, 32))
+    rows = [(i, v.tolist()) for i, v in enumerate(vecs)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    settings = ann.Settings(list_rows=10, probes=12)  # 600 lists
+    found = ann.nearest_neighbours(table, table.where("vec_id % 50 = 0"), 5, settings).collect()
+    unit = vecs / np.sqrt((vecs ** 2).sum(axis=1, keepdims=True))
+    got = defaultdict(set)
+    for r in found:
+        got[r.query_id].add(r.vec_id)
+    hits = total = 0
+    for at in range(0, 6000, 50):
+        score = unit @ unit[at]
+        score[at] = -np.inf
+        hits, total = hits + len(set(np.argsort(-score)[:5].tolist()) & got[at]), total + 5
+    print("recall", hits / total)
+    assert hits >= 0.9 * total
+
+
 def test_exact_top_k_equals_brute_force(spark, sf):
     table = vectors_of(spark, sf)
     rows = table.collect()

@@ -3,9 +3,10 @@
 A bounded sample is halved again and again into equal parts, whose means are the centroids of
 the posting lists. Every vector goes to its nearest list and, if it lies near a boundary, to
 further ones; of two lists in the same direction only the nearer takes it. Centroids are found
-by best-first search on an in-memory neighbour graph, for vectors and queries alike. A query
-reads the lists whose centroid is at most a given ratio farther than its nearest one, and ranks
-what it finds there by exact cosine.
+by best-first search on an in-memory neighbour graph. A query reads, of a given share of all
+lists, those whose centroid is at most a given ratio farther than its nearest one, and ranks what
+it finds there by exact cosine. The share keeps recall from falling as lists grow in number; where
+it is large, all centroids are compared at once instead of walking the graph.
 
 Lists longer than a block are cut into blocks by hash, and each block serves its queries alone,
 so a vector that is copied very often makes more blocks, not a longer task.
@@ -27,7 +28,10 @@ from triagelake.session import cut_lineage
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` and ``max_lists`` bound what the driver holds and broadcasts."""
+    """``sample`` and ``max_lists`` bound what the driver holds and broadcasts.
+
+    A query reads at most ``probe_share`` of all lists, but never fewer than ``probes``.
+    """
 
     sample: int = 16384
     list_rows: int = 128
@@ -36,6 +40,7 @@ class Settings:
     replicas: int = 6
     boundary_ratio: float = 1.25
     probes: int = 96
+    probe_share: float = 0.25
     probe_ratio: float = 1.6
     beam: int = 128
     block_rows: int = 2048
@@ -106,7 +111,14 @@ class CentroidGraph:
             near = self.graph[pick]
             found = 2 - 2 * np.einsum("ijk,ik->ij", self.centre[near], vecs[row])
             dist[row[:, None], near] = found
-        want = min(want, lists)
+        return self._best(dist, min(want, lists))
+
+    def ranked(self, vecs: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same by comparing all centroids."""
+        return self._best(2 - 2 * vecs @ self.centre.T, want)
+
+    @staticmethod
+    def _best(dist: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
         top = np.argpartition(dist, want - 1, axis=1)[:, :want]
         d = np.take_along_axis(dist, top, axis=1)
         order = np.argsort(d, axis=1, kind="stable")
@@ -133,7 +145,12 @@ def boundary_lists(graph: CentroidGraph, vecs: np.ndarray, s: Settings) -> list[
 
 def probed_lists(graph: CentroidGraph, vecs: np.ndarray, s: Settings) -> list[np.ndarray]:
     """The lists each query reads: those within the distance ratio of its nearest one."""
-    found, dist = graph.nearest(vecs, s.probes, s.beam)
+    total = len(graph.centre)
+    want = min(total, max(s.probes, math.ceil(s.probe_share * total)))
+    if want * 8 >= total:
+        found, dist = graph.ranked(vecs, want)
+    else:
+        found, dist = graph.nearest(vecs, want, s.beam)
     distance = np.sqrt(np.maximum(dist, 0))
     return [lists[(d <= s.probe_ratio * d[0] + 1e-12) & np.isfinite(d)]
             for lists, d in zip(found, distance, strict=True)]
