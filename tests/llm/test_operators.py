@@ -425,6 +425,25 @@ def test_predictions_of_a_context_sum_to_one(spark):
     assert 0 < first[80] < 1 and first[81] > first[84]
 
 
+def test_rare_contexts_keep_their_own_statistics(spark):
+    texts = ["f " * 10_000] * 14 + ["x p"] * 2 + ["y q"] * 2 + ["x p", "x q", "y p", "y q"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pitman_yor.score_texts(docs, F.col("doc_id") >= 18).collect()
+    score = {r.doc_id: r.score for r in found}
+    assert score[18] > score[19] + 0.3 and score[21] > score[20] + 0.3
+
+
+def test_language_model_rows_do_not_grow_with_occurrences():
+    def counted(times):
+        rows = pa.table({"_key": [1], "text": ["a b " * times], "train": [True]}).to_batches()
+        pairs = pa.Table.from_batches(pitman_yor._count_pairs(1)(iter(rows)))
+        entries = pa.Table.from_batches(pitman_yor._entries(1)(iter(rows)))
+        return [sum(len(x) for x in t.slice(0, 1).to_pylist()[0].values() if isinstance(x, bytes))
+                for t in (pairs, pitman_yor._gather_part(pairs), entries)]
+
+    assert counted(100) == counted(10_000)
+
+
 def test_language_model_of_odd_rows(odd, empty):
     rows = pitman_yor.score_texts(odd, F.col("doc_id") == 7).collect()
     assert len(rows) == len(ODD)
