@@ -103,6 +103,34 @@ def test_ngram_join_of_a_large_group_of_near_copies(spark):
         rows, 3, 9, 10)
 
 
+def plain_links(rows, k, num, den):
+    sets = []
+    for _, text in rows:
+        w = plain_words(text)
+        sets.append({tuple(w[j:j + k]) for j in range(max(1, len(w) - k + 1))} if w else set())
+    return {i: sum(a != b and bool(x) and den * len(x & y) >= num * len(x | y)
+                   for b, y in enumerate(sets)) for a, (x, (i, _)) in enumerate(zip(sets, rows))}
+
+
+@pytest.mark.parametrize("k, num, den", [(3, 9, 10), (5, 8, 10)])
+def test_every_link_of_every_document_is_counted(spark, sf, k, num, den):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(60):
+        w = [f"w{j}" for j in range(120)]
+        for j in rng.integers(0, 120, int(rng.integers(0, 4))):
+            w[j] = f"x{rng.integers(0, 9)}"
+        rows.append((i, " ".join(w)))
+    rows += [(r.doc_id + 1000, r.text) for r in spark.read.parquet(
+        f"{sf}/documents.parquet").limit(150).collect()] + [(60, None), (61, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = ngram_join.jaccard_link_counts(docs, k=k, num=num, den=den).collect()
+    assert {r.doc_id: r.n_links for r in found} == plain_links(rows, k, num, den)
+    links, _ = ngram_join.jaccard_links(docs, k=k, num=num, den=den)
+    distinct = {tuple(plain_words(t)): (i, t) for i, t in rows}
+    assert 2 * links.count() == sum(plain_links([*distinct.values()], k, num, den).values())
+
+
 def test_ngram_join_of_odd_rows(odd, empty):
     found = ngram_join.jaccard_components(odd).collect()
     assert len(found) == len(ODD)

@@ -10,7 +10,8 @@ frequency of every n-gram. With rarest n-grams first, two sets can only be linke
 in their prefixes. Candidates are verified by partial overlaps: one row per pair and fragment,
 summed per pair.
 
-Large groups cost no all-pairs step. Equal sets are one set from the start. Each survivor is
+Links of all pairs come from ``jaccard_links``. Components need fewer of them, so for these large
+groups cost no all-pairs step. Equal sets are one set from the start. Each survivor is
 first checked against one set only, the least peculiar one it meets; what is linked that way is
 already one component, and then only pairs between different components are looked at. No pair
 that could join two components is skipped, so the components are exact. Two n-grams count as
@@ -19,6 +20,7 @@ equal when their 56-bit numbers are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -226,14 +228,11 @@ def _linked(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFr
     return total.where(enough).select("a", "b", "overlap", "n_a", "n_b")
 
 
-def jaccard_links(
-    texts: DataFrame, text_col: str = "text", k: int = 3, num: int = 9, den: int = 10
-) -> tuple[DataFrame, DataFrame]:
-    """Links between sets, and the sets themselves.
-
-    The first table has (a, b, overlap, n_a, n_b), one row per verified link that joins two
-    components; the second (set_id, n, shared, grams) of every set that could have a partner.
-    """
+def _prepared(
+    texts: DataFrame, text_col: str, k: int, num: int, den: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sets that could have a partner, (set_id, n, shared, grams), their prefixes as rows
+    (set_id, n, shared, gram, rest), and their n-grams by fragment for ``_linked``."""
     spark = packed.bounded_batches(texts.sparkSession)
     parts = packed.partitions(spark, 2)
     buckets = max(1, parts // 4)  # packed rows are fragments times buckets
@@ -259,6 +258,40 @@ def jaccard_links(
         .agg(F.collect_list("gram").alias("grams")), "segments",
     )
 
+    return sets, posted, segments
+
+
+def jaccard_links(
+    texts: DataFrame, text_col: str = "text", k: int = 3, num: int = 9, den: int = 10
+) -> tuple[DataFrame, DataFrame]:
+    """The join: every pair of distinct sets with Jaccard similarity at least ``num / den``.
+
+    The first table has (a, b, overlap, n_a, n_b), one row per linked pair; the second
+    (set_id, n, shared, grams) of every set that could have a partner. Sets meet by n-gram
+    and band of size, so only those of similar size do. A group of sets that are all near each
+    other has a link for each of its pairs.
+    """
+    sets, posted, segments = _prepared(texts, text_col, k, num, den)
+    # a partner is at most one band larger; one more bears with rounding
+    band = F.floor(F.log("n") / F.lit(math.log(den / num)) if num < den else F.col("n"))
+    entry = F.struct("n", "set_id", "rest")
+    posts = cut_lineage(posted.select("gram", band.alias("band"), entry.alias("x")), "posted")
+    larger = posts.select("gram", "band", F.col("x").alias("y"))
+    smaller = posts.withColumn("band", F.explode(F.sequence("band", F.col("band") + 2)))
+    pairs = (
+        smaller.join(larger, ["gram", "band"])
+        .where((F.struct("x.n", "x.set_id") < F.struct("y.n", "y.set_id"))
+               & (F.col("x.n") * F.lit(den) >= F.col("y.n") * F.lit(num)) & _reachable(num, den))
+        .select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
+    )
+    return _linked(pairs, segments, num, den), sets
+
+
+def joining_links(
+    texts: DataFrame, text_col: str = "text", k: int = 3, num: int = 9, den: int = 10
+) -> DataFrame:
+    """(a, b, overlap, n_a, n_b): links enough to join every component, not all of them."""
+    _, posted, segments = _prepared(texts, text_col, k, num, den)
     rank = F.struct((F.col("n") - F.col("shared")).alias("odd"), (-F.col("n")).alias("short"),
                     "set_id", "n", "rest")
     heads = posted.groupBy("gram").agg(F.min(rank).alias("y"), F.count("*").alias("many")).where(
@@ -289,7 +322,33 @@ def jaccard_links(
                & (F.col("x.component") != F.col("y.component")) & _reachable(num, den))
         .select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
     )
-    return star.unionByName(_linked(across, segments, num, den)), sets
+    return star.unionByName(_linked(across, segments, num, den))
+
+
+def jaccard_link_counts(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    k: int = 3, num: int = 9, den: int = 10,
+) -> DataFrame:
+    """(id, n_links) of every row of ``docs``: how many other rows its set is linked to.
+
+    Rows with equal sets are linked; empty sets have no links.
+    """
+    packed.bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("_row"),
+                       F.col(text_col).cast("string").alias("text"))
+    table = cut_lineage(
+        rows.mapInArrow(_set_table(k), "_row long, n int, set_id long"), "members"
+    )
+    classes = table.where("n > 0").groupBy("set_id").agg(F.count("*").alias("rows"))
+    links, _ = jaccard_links(rows, "text", k, num, den)
+    links = links.select("a", "b")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(classes.withColumnRenamed("set_id", "b"), "b").groupBy(
+        F.col("a").alias("set_id")).agg(F.sum("rows").alias("others"))
+    count = classes.join(others, "set_id", "left").select(
+        "set_id", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return table.join(count, "set_id", "left").select(
+        F.col("_row").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def jaccard_components(
@@ -311,7 +370,7 @@ def jaccard_components(
         rows.mapInArrow(_set_table(k), "_row long, n int, set_id long"), "members"
     )
     classes = table.where("n > 0").groupBy("set_id").agg(F.min("_row").alias("head"))
-    links, _ = jaccard_links(rows, "text", k, num, den)
+    links = joining_links(rows, "text", k, num, den)
     head = classes.select("set_id", "head")
     named = (
         links.select("a", "b")

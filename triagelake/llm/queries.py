@@ -37,6 +37,12 @@ def ngram_jaccard_join(spark, sf_dir):
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, num=9, den=10)
 
 
+@query("op1_ngram_jaccard_links")
+def ngram_jaccard_links(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return ngram_join.jaccard_link_counts(docs, k=3, num=9, den=10)
+
+
 @query("op2_approximate_nearest_neighbours")
 def approximate_nearest_neighbours(spark, sf_dir):
     vecs = table(spark, sf_dir, "embeddings")
