@@ -332,6 +332,21 @@ def test_runs_without_blank_encode_alone(spark, sf):
         assert np.frombuffer(ids, "<u2").tolist() == plain_ids(text)
 
 
+def test_records_hold_added_tokens_as_the_library_gives_them(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["<|endoftext|>", "a<|startoftext|>b c", "It's <|endoftext|>'s é<|endoftext|>日",
+             "<|ENDOFTEXT|> <|endof text|>", "<|endoftext|>\n" * 9, "plain <| text"]
+    library = Tokenizer.from_file(TOKENIZER)
+    path = new_path(spark, "added")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    token_records.write_records(docs, path, TOKENIZER)
+    found = {r._id: np.frombuffer(r.ids, "<u4").tolist()
+             for r in token_records.read_records(spark, path).collect()}
+    assert found == {i: [*library.encode(x, add_special_tokens=False).ids, 2]
+                     for i, x in enumerate(texts)}
+
+
 def shards_of(rows):
     by = defaultdict(list)
     for r in rows:

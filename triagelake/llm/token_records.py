@@ -89,16 +89,20 @@ class WordIds(Memo):
     The tokenizer works on such runs one by one: neither its normalizer nor its splitting
     rule reaches over a blank or a line break. Runs of ASCII signs and Latin-1 letters, which
     its normalizer only lower-cases, are split here by its rule and their pieces go to the
-    library's merges alone; all other runs go to the whole tokenizer.
+    library's merges alone; all other runs go to the whole tokenizer. With ``added``, so do runs
+    that hold an added token such as an end marker, which then gets its own id as in the library;
+    without, it is text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         super().__init__(CACHE_RUNS)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not added
+        names = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, names))) if added and names else None
         self.merges = self.library.model.tokenize
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
@@ -107,7 +111,7 @@ class WordIds(Memo):
     def make(self, run: str) -> bytes:
         if run.isascii() and run.isalpha():
             return self.piece(run.lower())
-        if PLAIN_RUN.fullmatch(run):
+        if PLAIN_RUN.fullmatch(run) and not (self.added and self.added.search(run)):
             return b"".join(map(self.piece, PLAIN_PIECE.findall(run.lower())))
         return array(self.code, self.library.encode(run, add_special_tokens=False).ids).tobytes()
 
@@ -127,15 +131,15 @@ class WordIds(Memo):
 
 
 @cache
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, added: bool = False) -> WordIds:
+    return WordIds(path, added)
 
 
 def _encode_frames(path: str, end_id: int):
     schema = pa.schema([("record", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = word_ids(path)
+        coder = word_ids(path, added=True)
         end = np.array([end_id], dtype=f"<u{coder.width}").tobytes()
         for rows in packed.gathered(batches, packed.GATHER_BYTES):
             ids = coder.encode(pc.fill_null(rows["text"].combine_chunks(), ""))
