@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagelake.llm import (
-    ann, bpe, chat, mixing, ngram_join, pitman_yor, sharding, token_records, topk, toxicity,
+    ann, bpe, chat, exact_dedup, hard_negatives, lexical, mixing, ngram_join, pitman_yor, sharding,
+    token_records, topk, toxicity,
 )
 from triagelake.session import configure, new_path
 
@@ -131,3 +132,60 @@ def toxicity_scores(spark, sf_dir):
         "doc_id", (id_remainder(5) == 0).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
+
+@query("op11_ranked_lexical_search", f"""WITH texts AS (SELECT 'd' AS kind, doc_id AS id, text
+    FROM documents UNION ALL SELECT 'q', item_id, text FROM benchmark),
+  terms AS (SELECT kind, id, unnest(regexp_extract_all(translate(text,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}')) AS t FROM texts),
+  tf AS (SELECT kind, id, t, count(*) AS tf FROM terms GROUP BY ALL),
+  doc AS (SELECT id, CAST(sum(tf) AS BIGINT) AS n FROM tf WHERE kind = 'd' GROUP BY 1),
+  size AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM doc),
+  df AS (SELECT t, count(*) AS df FROM tf WHERE kind = 'd' GROUP BY 1),
+  scored AS (SELECT q.id AS item_id, d.id AS doc_id, CAST(sum(q.tf
+      * CAST(floor(1000 * ln((2.0::DOUBLE * nd + 2) / (2 * df + 1))) AS BIGINT)
+      * ((1000000000 * d.tf) // (1000 * d.tf + 8 * (25 + (75 * n * nd) // l)))) AS BIGINT) AS score
+    FROM tf q JOIN tf d USING (t) JOIN df USING (t) JOIN doc ON doc.id = d.id CROSS JOIN size
+    WHERE q.kind = 'q' AND d.kind = 'd' GROUP BY 1, 2)
+  SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER
+    (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+  WHERE rank <= 10""")
+def ranked_lexical_search(spark, sf_dir):
+    return lexical.ranked_search(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+@query("op12_exact_dedup", """WITH rows AS (SELECT doc_id, length(coalesce(text, '')) AS n,
+    sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256
+    FROM documents)
+  SELECT doc_id, keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+    doc_id = keep_id AS kept, text_sha256 FROM (SELECT *, first_value(doc_id) OVER
+    (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id FROM rows)""")
+def exact_dedup_groups(spark, sf_dir):
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op13_hard_negative_mining", """WITH v AS (SELECT vec_id AS id,
+    CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vec FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  pairs AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same,
+    CAST(list_dot_product(a.vec, b.vec) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0),
+  near AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM pairs WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+  SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id
+    ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score,
+    score AS negative_score FROM near JOIN pairs USING (anchor_id) WHERE NOT same
+    AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+    QUALIFY rank <= 5""")
+def hard_negative_mining(spark, sf_dir):
+    vecs = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(
+        vecs, vecs.where(F.col("vec_id") % 100 == 0), positives=5, negatives=5, ratio=(80, 100),
+        scale=256.0, label=label)
