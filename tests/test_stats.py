@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from triagelake.operators.stats import STAT_COLUMNS, describe
+from triagelake.operators.stats import STAT_COLUMNS, describe, describe_counts
 
 NAMES = {"n": "count", "p25": "25%", "p50": "50%", "p75": "75%", "p95": "95%", "p99": "99%"}
 
@@ -75,3 +75,21 @@ def test_split_groups_without_values_keep_their_row(spark):
     small = sorted(describe(table, ["k"], hot_rows=None).collect())
     split = sorted(describe(table, ["k"], hot_rows=5).collect())
     assert small == split and [r.n for r in split] == [0, 1, 8]
+
+
+@pytest.mark.parametrize("hot", [None, 5])
+def test_counted_values_are_described_like_their_rows(spark, hot):
+    rng = random.Random(4)
+    data = [(f"g{rng.randrange(4)}", float(rng.randrange(-3, 9))) for _ in range(300)]
+    data += [("tiny", 1.5), ("none", None), ("none", None), ("g0", None), ("big", 1e9), ("big", 1e9 + 1)]
+    rows_ = spark.createDataFrame(data, "g string, value double")
+    counts = rows_.repartition(3).withColumn("part", F.spark_partition_id()).groupBy(
+        "part", "g", "value").agg(F.count(F.lit(1)).alias("count"))
+    for trim in (F.lit(False), F.col("g") != "g1"):
+        want = sorted(describe(rows_, ["g"], trim=trim, hot_rows=None).collect())
+        got = sorted(describe_counts(counts, ["g"], trim=trim, hot_rows=hot).collect())
+        assert [r.g for r in got] == [r.g for r in want]
+        for a, b in zip(got, want):
+            assert [x is None for x in a] == [x is None for x in b]
+            assert all(x == y if isinstance(x, str) else x == pytest.approx(y, abs=1e-9)
+                       for x, y in zip(a, b) if x is not None)

@@ -34,6 +34,65 @@ def test_interval_join_equals_brute_force_on_both_paths(spark):
         assert sorted((r.uuid, r.id) for r in found.collect()) == want
 
 
+def test_dyadic_blocks_tile_each_run_exactly(spark):
+    rng = random.Random(2)
+    runs = [(a, a + rng.randrange(0, 5000)) for a in (rng.randrange(-3000, 3000) for _ in range(60))]
+    table = spark.createDataFrame([*runs, (5, 5), (0, 1023), (-8, -1)], "a long, b long")
+    for row in table.select("a", "b", windows.dyadic_cover(F.col("a"), F.col("b")).alias("c")).collect():
+        parts = sorted((x.block << x.level, (x.block + 1) << x.level) for x in row.c)
+        assert parts[0][0] == row.a and parts[-1][1] == row.b + 1
+        assert all(left[1] == right[0] for left, right in zip(parts, parts[1:]))
+        assert len(parts) <= 2 * (row.b - row.a + 1).bit_length()
+
+
+def test_a_hot_hour_is_split_and_long_windows_cost_few_rows(spark):
+    day = 24 * H
+    data = [(i, 7 * H + i) for i in range(6000)] + [(10_000 + i, i * H) for i in range(-40, 800)]
+    facts = spark.createDataFrame(data, "id long, timestamp_ns long").repartition(4)
+    spans = [(f"s{i}", 7 * H + i, 7 * H + i + 30) for i in range(20)]
+    spans += [(f"d{i}", i * day, i * day + 3 * day) for i in range(5)] + [("m", -5 * day, 25 * day)]
+    window = spark.createDataFrame(
+        [(u, "fault", a, b) for u, a, b in spans],
+        "uuid string, kind string, w_start_ns long, w_end_ns long")
+    cover = window.select(F.explode(windows.dyadic_cover(
+        windows.block_of(F.col("w_start_ns"), H), windows.block_of(F.col("w_end_ns"), H))))
+    assert cover.count() < 120  # one row per hour would be over a thousand
+    want = sorted((u, i) for u, a, b in spans for i, t in data if a <= t <= b)
+    settings = {"spark.sql.shuffle.partitions": "16",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = windows.interval_join(facts, window, broadcast_rows=0, salt_rows=300)
+        placed = found.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.uuid, r.id) for r in placed) == want
+    month = [r.task for r in placed if r.uuid == "m"]
+    assert max(month.count(t) for t in set(month)) < 0.3 * len(month)
+
+
+def test_elementary_intervals_hold_each_instant_once(spark):
+    rng = random.Random(8)
+    spans = [(a, a + rng.randrange(-5, 90 * H)) for a in (rng.randrange(-9 * H, 300 * H) for _ in range(25))]
+    spans += [(5, 5), (5, 5), (6, 5)]
+    window = spark.createDataFrame(
+        [(f"u{i}", "fault", a, b) for i, (a, b) in enumerate(spans)],
+        "uuid string, kind string, w_start_ns long, w_end_ns long")
+    found = windows.elementary_intervals(window).collect()
+    pieces = sorted({(r.i_start_ns, r.i_end_ns) for r in found})
+    assert all(left[1] < right[0] for left, right in zip(pieces, pieces[1:]))
+    for i, (a, b) in enumerate(spans):
+        own = sorted((r.i_start_ns, r.i_end_ns) for r in found if r.uuid == f"u{i}")
+        if a > b:
+            assert own == []
+            continue
+        assert own[0][0] == a and own[-1][1] == b
+        assert all(left[1] + 1 == right[0] for left, right in zip(own, own[1:]))
+
+
 def test_interval_join_without_windows_is_empty(spark):
     facts = spark.createDataFrame([(1, 5)], "id long, timestamp_ns long")
     none = spark.createDataFrame([], "uuid string, kind string, w_start_ns long, w_end_ns long")

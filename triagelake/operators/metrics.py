@@ -9,8 +9,8 @@ from triagelake.fixed_values import (
     APM_METRICS, METRIC_LABELS, REPORT_LABELS, SKIPPED_DEVICE, STABLE_RATIO, TRIM_EACH_SIDE,
 )
 from triagelake.functions.numbers import nan_to_null, round_even, symmetric_ratio
-from triagelake.operators.stats import HOT_GROUP_ROWS, STAT_COLUMNS, describe
-from triagelake.operators.windows import in_windows
+from triagelake.operators.stats import HOT_GROUP_ROWS, STAT_COLUMNS, describe_counts
+from triagelake.operators.windows import elementary_intervals, interval_join
 from triagelake.session import cut_lineage
 
 SIDES = ("normal", "fault")
@@ -47,17 +47,26 @@ def describe_in_windows(
 ) -> DataFrame:
     """Statistics per incident, entity and side; both normal windows are pooled and trimmed.
 
-    The rows inside windows are written once, so the metric table is scanned a single time.
+    A sweep over all window borders cuts the time line into intervals. Every measurement lies in
+    one of them at most, and equal values are counted per interval: these counts are all that is
+    shuffled and written, however many windows overlap. An incident adds up the intervals of its
+    windows, and exact ranks come from the added counts. The metric table is scanned once.
     """
-    rows = in_windows(metrics, windows, [*entity, "value"], **join_options)
+    cover = cut_lineage(elementary_intervals(windows), "cover")
+    intervals = cover.select(
+        F.col("i_start_ns").alias("w_start_ns"), F.col("i_end_ns").alias("w_end_ns")).distinct()
+    inside = interval_join(metrics, intervals, **join_options)
+    counts = cut_lineage(inside.groupBy(
+        F.col("w_start_ns").alias("i_start_ns"), *entity, "value"
+    ).agg(F.count(F.lit(1)).alias("count")), "counts")
+    if hot_rows is not None and counts.count() <= hot_rows:
+        hot_rows = None  # no group can have more values than the table
     normal = F.startswith(F.col("kind"), F.lit("normal"))
     side_of = F.when(normal, F.lit("normal")).otherwise(F.lit("fault"))
-    rows = cut_lineage(rows.withColumn("kind", side_of))
-    if hot_rows is not None and rows.count() <= hot_rows:
-        hot_rows = None  # no group can be larger than the table
-    stats = describe(
-        rows, ["uuid", *entity, "kind"], "value",
-        trim=F.col("kind") == F.lit("normal"), side=side, hot_rows=hot_rows,
+    added = counts.join(cover.select("uuid", side_of.alias("kind"), "i_start_ns"), "i_start_ns")
+    stats = describe_counts(
+        added, ["uuid", *entity, "kind"], trim=F.col("kind") == F.lit("normal"), side=side,
+        hot_rows=hot_rows,
     )
     return stats if keep_empty else stats.where(F.col("n") > F.lit(0))
 

@@ -40,17 +40,29 @@ def _small_groups(df, keys, value, trim, side) -> DataFrame:
 
 
 def _hot_groups(df, keys, value, trim, side, bins) -> DataFrame:
-    """The same statistics from value counts, binned by value so that a group is split.
+    """The same statistics from value counts, binned by value so that a group is split."""
+    v = F.col(value)
+    flag = F.lit(False) if trim is None else trim
+    weights = df.where(v.isNotNull()).withColumn("_trim", flag).groupBy(
+        *keys, "_trim", value).agg(F.count(F.lit(1)).alias("_c"))
+    measured = _hot_counts(weights, keys, value, side, bins)
+    return measured.unionByName(_empty_groups(df.groupBy(*keys).agg(F.count(v).alias("n")), keys))
+
+
+def _empty_groups(sizes: DataFrame, keys: list[str]) -> DataFrame:
+    none = F.lit(None).cast("double")
+    return sizes.where(F.col("n") == F.lit(0)).select(
+        *keys, "n", *[none.alias(c) for c in STAT_COLUMNS if c != "n"])
+
 
-    Equal values are first merged into counts. Approximate quantiles of the distinct values
-    serve only as bin borders; ranks inside and across bins are exact.
+def _hot_counts(weights, keys, value, side, bins) -> DataFrame:
+    """Statistics of counts ``_c`` per value, groups split over bins of values.
+
+    Approximate quantiles of the distinct values serve only as bin borders; ranks inside and
+    across bins are exact.
     """
     v = F.col(value)
-    flag = F.lit(False) if trim is None else trim
-    weights = cut_lineage(
-        df.where(v.isNotNull()).withColumn("_trim", flag)
-        .groupBy(*keys, "_trim", value).agg(F.count(F.lit(1)).alias("_c"))
-    )
+    weights = cut_lineage(weights)
     steps = [i / bins for i in range(1, bins)]
     borders = weights.groupBy(*keys).agg(
         F.percentile_approx(v, steps, 10 * bins).alias("_borders")
@@ -108,11 +120,76 @@ def _hot_groups(df, keys, value, trim, side, bins) -> DataFrame:
     measured = centre.select(
         *keys, "n", "mean", std.alias("std"), "min", *quantiles, "max", "non_zero_ratio"
     )
-    none = F.lit(None).cast("double")
-    empty = df.groupBy(*keys).agg(F.count(v).alias("n")).where(F.col("n") == F.lit(0)).select(
-        *keys, "n", *[none.alias(c) for c in STAT_COLUMNS if c != "n"]
+    return measured
+
+
+def _small_counts(counts, keys, value, weight, trim, side) -> DataFrame:
+    """Statistics of counted values, one task per group: weights are cut by their ranks."""
+    v = F.col(value)
+    present = F.when(v.isNotNull(), F.col(weight)).otherwise(F.lit(0)).cast("long")
+    ordered = Window.partitionBy(*keys).orderBy(v.asc_nulls_last())
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = counts.select(*keys, value, present.alias("_c"), trim.alias("_trim")).select(
+        "*", F.sum("_c").over(upto).alias("_end"), F.sum("_c").over(whole).alias("_n"),
+        F.min(v).over(whole).alias("_base"))
+    cut = F.when(F.col("_trim") & (F.col("_n") > F.lit(2 * side)), F.lit(side)).otherwise(
+        F.lit(0)).cast("long")
+    inside = F.least(F.col("_end"), F.col("_n") - cut) - F.greatest(
+        F.col("_end") - F.col("_c"), cut)
+    rows = rows.withColumn("_w", F.greatest(inside, F.lit(0)).cast("long"))
+    w = F.col("_w")
+    kept = F.when(w > F.lit(0), v)
+    # squares are taken above the least value, so large values keep their precision
+    above = v - F.col("_base")
+    found = rows.groupBy(*keys).agg(
+        F.sum(w).alias("n"), F.sum(w * v).alias("_total"), F.sum(w * above).alias("_sum"),
+        F.sum(w * above * above).alias("_squares"), F.min(kept).alias("min"),
+        F.max(kept).alias("max"),
+        F.sum(F.when(v != F.lit(0.0), w).otherwise(F.lit(0))).alias("_nonzero"),
+        F.percentile(kept, list(QUANTILES.values()), w).alias("_q"),
     )
-    return measured.unionByName(empty)
+    n = F.col("n")
+    mean = F.when(n > F.lit(0), F.col("_total") / n).alias("mean")
+    spread = F.greatest(F.col("_squares") - F.col("_sum") * F.col("_sum") / n, F.lit(0.0))
+    std = F.when(n > F.lit(1), F.sqrt(spread / (n - F.lit(1))))
+    parts = [F.col("_q")[i].alias(name) for i, name in enumerate(QUANTILES)]
+    share = F.when(n > F.lit(0), F.col("_nonzero") / n).alias("non_zero_ratio")
+    return found.select(*keys, "n", mean, std.alias("std"), "min", *parts, "max", share)
+
+
+def describe_counts(
+    counts: DataFrame,
+    keys: list[str],
+    value: str = "value",
+    weight: str = "count",
+    trim: Column | None = None,
+    side: int = TRIM_EACH_SIDE,
+    hot_rows: int | None = HOT_GROUP_ROWS,
+) -> DataFrame:
+    """What ``describe`` gives for a table that holds each row ``weight`` times.
+
+    A value may be counted in several rows. NULL values count as rows without a value, so a
+    group that has nothing else appears with ``n = 0``.
+    """
+    flag = F.lit(False) if trim is None else trim
+    if hot_rows is None:
+        return _small_counts(counts, keys, value, weight, flag, side)
+    sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    largest = sizes.agg(F.max("_rows")).first()[0]
+    if largest is None or largest <= hot_rows:
+        return _small_counts(counts, keys, value, weight, flag, side)
+    hot_keys = cut_lineage(sizes.where(F.col("_rows") > F.lit(hot_rows)).drop("_rows"))
+    bins = max(HOT_BINS, -(-largest // HOT_GROUP_ROWS))
+    small = counts.join(hot_keys, keys, "left_anti")
+    hot = counts.join(hot_keys, keys, "left_semi")
+    v = F.col(value)
+    weights = hot.where(v.isNotNull()).withColumn("_trim", flag).groupBy(
+        *keys, "_trim", value).agg(F.sum(weight).cast("long").alias("_c"))
+    present = F.sum(F.when(v.isNotNull(), F.col(weight)).otherwise(F.lit(0))).cast("long")
+    empty = _empty_groups(hot.groupBy(*keys).agg(present.alias("n")), keys)
+    return _small_counts(small, keys, value, weight, flag, side).unionByName(
+        _hot_counts(weights, keys, value, side, bins)).unionByName(empty)
 
 
 def describe(

@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from triagelake.fixed_values import HOUR_NS, LOCAL_ZONE, NORMAL_MARGIN_NS, RECOVERY_NS
 from triagelake.functions.times import local_date, local_hour_key, ns_to_local
+from triagelake.session import cut_lineage
 
 CHUNK = 4096
 BROADCAST_ROWS = 500_000
+#: Facts of a block that one task joins; blocks with more are split.
+SALT_ROWS = 1_000_000
+SALTED_BLOCKS = 10_000
+LEVELS = 40
 
 
 def fault_windows(incidents: DataFrame) -> DataFrame:
@@ -107,6 +112,70 @@ def clip_to_start(
     )
 
 
+def block_of(ts: Column, width: int) -> Column:
+    """Number of the ``width`` long block of time that an instant lies in."""
+    at, unit = ts.cast("long"), F.lit(width).cast("long")
+    return F.call_function("div", at - F.pmod(at, unit), unit)
+
+
+def dyadic_cover(first: Column, last: Column, levels: int = LEVELS) -> Column:
+    """The blocks ``first`` to ``last`` as few blocks of doubling length.
+
+    A struct (level, block) stands for the blocks ``block << level`` and the ``2^level - 1`` after
+    it. At most two blocks of each level are needed, so a run of n blocks takes 2 log n of them.
+    """
+    def of_level(level: Column) -> Column:
+        # what is left between ``low`` and ``high`` when all shorter blocks are taken
+        low = -F.call_function("shiftright", -first, level)
+        high = F.call_function("shiftright", last + F.lit(1), level)
+        odd_low = (low < high) & (F.abs(low % F.lit(2)) == F.lit(1))
+        inner = F.when(odd_low, low + F.lit(1)).otherwise(low)
+        odd_high = (inner < high) & (F.abs(high % F.lit(2)) == F.lit(1))
+        left = F.when(odd_low, F.struct(level.alias("level"), low.alias("block")))
+        right = F.when(odd_high, F.struct(level.alias("level"), (high - F.lit(1)).alias("block")))
+        return F.array(left, right)
+
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), of_level))
+    return F.filter(every, lambda b: b.isNotNull())
+
+
+def _salts(keyed: DataFrame, levels: list[int], salt_rows: int) -> DataFrame:
+    """(_level, _block, _salts) of the blocks with more than ``salt_rows`` facts.
+
+    Found by a count per shortest block, combined before its shuffle. There are at most
+    SALTED_BLOCKS of them, since the bound rises with the table, so they can be broadcast.
+    """
+    counted = cut_lineage(keyed.groupBy("_unit").agg(F.count(F.lit(1)).alias("_n")), "counts")
+    total = counted.agg(F.sum("_n")).first()[0] or 0
+    bound = max(salt_rows, -(-total * len(levels) // SALTED_BLOCKS))
+    rolled = counted.select("_n", F.explode(_keys(levels)).alias("_key")).groupBy(
+        F.col("_key.level").alias("_level"), F.col("_key.block").alias("_block")
+    ).agg(F.sum("_n").alias("_n"))
+    return rolled.where(F.col("_n") > F.lit(bound)).select(
+        "_level", "_block", F.ceil(F.col("_n") / F.lit(bound)).cast("int").alias("_salts"))
+
+
+def _keys(levels: list[int]) -> Column:
+    return F.array(*[
+        F.struct(F.lit(n).alias("level"), F.shiftright("_unit", n).alias("block")) for n in levels
+    ])
+
+
+def _in_used_partitions(
+    facts: DataFrame, cover: DataFrame, partition_by: str, bucket_ns: int, limit: int, hours: int,
+) -> DataFrame:
+    """Facts of the partitions that some window touches; no other partition is read."""
+    size = F.expr("shiftleft(1L, _level)")
+    blocks = cover.select("_level", "_block").distinct().withColumn("_size", size)
+    first = F.col("_block") * F.col("_size")
+    instants = blocks.select(F.explode(F.sequence(first, first + F.col("_size") - F.lit(1)))
+                             .alias("_unit"))
+    derive = {"date": local_date, "hour_key": local_hour_key}[partition_by]
+    names = instants.select(derive(F.col("_unit") * F.lit(bucket_ns)).alias(partition_by))
+    used = names.where(F.col(partition_by).isNotNull()).distinct()
+    return facts.join(F.broadcast(used) if hours <= limit else used, partition_by, "left_semi")
+
+
 def interval_join(
     facts: DataFrame,
     windows: DataFrame,
@@ -114,36 +183,83 @@ def interval_join(
     bucket_ns: int = HOUR_NS,
     partition_by: str | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
+    salt_rows: int = SALT_ROWS,
 ) -> DataFrame:
     """One row per (fact, window) with ``w_start_ns <= ts <= w_end_ns``.
 
-    Windows are spread over time buckets, which turns the range condition into an equality
-    on the bucket with a residual range check. One look at the (small) window table gives
-    the outer bounds, which become a pushed filter on the facts, and the number of spread
-    rows. Up to ``broadcast_rows`` of them are broadcast, so the facts are not shuffled;
-    beyond that both sides are shuffled on the bucket and adaptive execution splits a bucket
-    that is too large. ``partition_by`` names a partition column of the facts ("date" or
-    "hour_key") that joins the equality, so partitions no window touches are never read.
+    Every window is covered by dyadic blocks, the shortest ``bucket_ns`` long: a window of a
+    month costs some twenty rows, not one per hour. A fact has one key per level in use, so the
+    range condition becomes an equality on (level, block) with a residual range check. One look
+    at the (small) window table gives the outer bounds, which become a pushed filter on the
+    facts, the levels, and the number of blocks. Up to ``broadcast_rows`` of them are broadcast,
+    so the facts are not shuffled; beyond that both sides are shuffled on the block, and blocks
+    with more than ``salt_rows`` facts are split by a salt, which repeats only their windows.
+    ``partition_by`` names a partition column of the facts ("date" or "hour_key"); partitions
+    no window touches are then never read.
     """
-    valid = windows.where(F.col("w_start_ns") <= F.col("w_end_ns"))
-    per_window = F.expr(f"w_end_ns div {bucket_ns} - w_start_ns div {bucket_ns} + 1")
-    low, high, spread_rows = valid.agg(
-        F.min("w_start_ns"), F.max("w_end_ns"), F.sum(per_window)
-    ).first()
-    buckets = F.expr(f"sequence(w_start_ns div {bucket_ns}, w_end_ns div {bucket_ns})")
-    spread = valid.withColumn("_bucket", F.explode(buckets))
-    keys = ["_bucket"]
-    if partition_by is not None:
-        instant = F.col("_bucket") * F.lit(bucket_ns)
-        derive = {"date": local_date, "hour_key": local_hour_key}[partition_by]
-        spread = spread.withColumn(partition_by, derive(instant))
-        keys.append(partition_by)
-    fits = spread_rows is not None and spread_rows <= broadcast_rows
-    spread = F.broadcast(spread) if fits else spread.hint("merge")
+    start, end = F.col("w_start_ns"), F.col("w_end_ns")
+    valid = windows.where(start <= end)
+    blocks = F.explode(dyadic_cover(block_of(start, bucket_ns), block_of(end, bucket_ns)))
+    cover = valid.withColumn("_key", blocks).withColumn("_level", F.col("_key.level")).withColumn(
+        "_block", F.col("_key.block")).drop("_key")
+    low, high, count, levels = cover.agg(
+        F.min(start), F.max(end), F.count(F.lit(1)), F.collect_set("_level")).first()
     within = F.lit(False) if low is None else F.col(ts).between(F.lit(low), F.lit(high))
-    bucketed = facts.where(within).withColumn("_bucket", F.expr(f"{ts} div {bucket_ns}"))
-    hit = F.col(ts).between(F.col("w_start_ns"), F.col("w_end_ns"))
-    return bucketed.join(spread, keys).where(hit).drop("_bucket")
+    levels = sorted(levels) or [0]
+    inside = facts.where(within)
+    if partition_by is not None and low is not None:
+        hours = (high - low) // bucket_ns + 2
+        inside = _in_used_partitions(inside, cover, partition_by, bucket_ns, broadcast_rows, hours)
+    keyed = inside.withColumn("_unit", block_of(F.col(ts), bucket_ns))
+    if len(levels) == 1:
+        shifted = F.shiftright("_unit", levels[0])
+        bucketed = keyed.withColumn("_level", F.lit(levels[0])).withColumn("_block", shifted)
+    else:
+        bucketed = keyed.withColumn("_key", F.explode(_keys(levels))).withColumn(
+            "_level", F.col("_key.level")).withColumn("_block", F.col("_key.block")).drop("_key")
+    keys = ["_level", "_block"]
+    if count <= broadcast_rows:
+        cover = F.broadcast(cover)
+    else:
+        hot = cut_lineage(_salts(keyed, levels, salt_rows), "salts")
+        if not hot.isEmpty():
+            hot = F.broadcast(hot)
+            plain = [f.name for f in facts.schema if f.dataType.typeName() not in ("map", "variant")]
+            spread = F.pmod(F.xxhash64(*plain), F.col("_salts")).cast("int")
+            bucketed = bucketed.join(hot, keys, "left").withColumn(
+                "_salt", F.coalesce(spread, F.lit(0))).drop("_salts")
+            copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - F.lit(1))
+            cover = cover.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop(
+                "_salts")
+            keys.append("_salt")
+        cover = cover.hint("merge")
+    hit = F.col(ts).between(start, end)
+    return bucketed.join(cover, keys).where(hit).drop(*keys, "_unit")
+
+
+def elementary_intervals(windows: DataFrame) -> DataFrame:
+    """The time line cut at every window border: (uuid, kind, i_start_ns, i_end_ns).
+
+    Intervals are closed and do not overlap, so an instant lies in one of them at most; each
+    window is listed with the intervals it consists of. Windows that end before they start have
+    none. Equal windows are listed as often as they are given.
+    """
+    valid = windows.where(F.col("w_start_ns") <= F.col("w_end_ns"))
+    borders = valid.select(
+        F.explode(F.array("w_start_ns", F.col("w_end_ns") + F.lit(1))).alias("i_start_ns")
+    ).distinct()
+    rows = borders.withColumn("_chunk", block_of(F.col("i_start_ns"), 24 * HOUR_NS))
+    inner = Window.partitionBy("_chunk").orderBy("i_start_ns")
+    rows = rows.withColumn("_next", F.lead("i_start_ns").over(inner))
+    # one row per day with a border meets in this window
+    edges = borders.groupBy(block_of(F.col("i_start_ns"), 24 * HOUR_NS).alias("_chunk")).agg(
+        F.min("i_start_ns").alias("_first"))
+    edges = edges.select("_chunk", F.lead("_first").over(Window.orderBy("_chunk")).alias("_edge"))
+    until = F.coalesce("_next", "_edge") - F.lit(1)
+    pieces = rows.join(edges, "_chunk").select("i_start_ns", until.alias("i_end_ns"))
+    pieces = cut_lineage(pieces.where(F.col("i_end_ns").isNotNull()), "intervals")
+    found = interval_join(pieces, valid, ts="i_start_ns")
+    return found.select("uuid", "kind", "i_start_ns", "i_end_ns")
 
 
 def in_windows(

@@ -198,6 +198,33 @@ def _(spark, sf):
     return metrics.unpivot_wide(wide, ["l_orderkey", "l_linenumber"], measures)
 
 
+HOT_HOUR = f"(1704067200000000000 + 50 * {HOUR})"
+
+
+@query("windows_of_all_lengths", f"""SELECT uuid, kind, count(*) AS facts, min(t) AS first_ns,
+    max(t) AS last_ns, CAST(sum(event_id) AS BIGINT) AS ids FROM
+    (SELECT event_id, CASE WHEN k % 3 = 0 THEN {HOT_HOUR} + ts_ns % {HOUR} ELSE ts_ns END AS t
+     FROM ev) JOIN
+    (SELECT uuid, unnest(['second', 'day', 'month']) AS kind, unnest([start_ns - 30000000000,
+     start_ns, end_ns - 30 * 24 * {HOUR}]) AS a, unnest([start_ns + 30000000000,
+     start_ns + 72 * {HOUR}, end_ns]) AS b FROM incidents) ON t BETWEEN a AND b GROUP BY 1, 2""")
+def _(spark, sf):
+    """Windows of seconds, days and a month at once, and an hour that holds a third of all rows."""
+    t = F.expr(f"CASE WHEN k % 3 = 0 THEN {HOT_HOUR} + ts_ns % {HOUR} ELSE ts_ns END")
+    facts = views.events(spark, sf).select("event_id", t.alias("timestamp_ns"))
+    day = 24 * HOUR
+    spans = [("second", "start_ns - 30000000000", "start_ns + 30000000000"),
+             ("day", "start_ns", f"start_ns + {3 * day}"), ("month", f"end_ns - {30 * day}", "end_ns")]
+    each = F.explode(F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.expr(a).alias("w_start_ns"), F.expr(b).alias("w_end_ns"))
+        for kind, a, b in spans])).alias("w")
+    span = cut_lineage(incident_table(spark, sf).select("uuid", each).select("uuid", "w.*"))
+    found = windows.interval_join(facts, span, broadcast_rows=0, salt_rows=500)
+    return found.groupBy("uuid", "kind").agg(
+        F.count(F.lit(1)).alias("facts"), F.min("timestamp_ns").alias("first_ns"),
+        F.max("timestamp_ns").alias("last_ns"), F.sum("event_id").alias("ids"))
+
+
 # Metrics
 
 def incident_table(spark, sf):
