@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -131,6 +132,66 @@ def test_forest_flags_a_spike_and_is_seeded(spark):
     assert detect.forest_events(unknown, model).count() == 0
 
 
+def test_forest_nodes_are_a_partition_of_their_samples(spark):
+    values = np.round(np.random.default_rng(7).gamma(2, 30, 90), 3)
+    train = bins_frame(spark, [*values, float("nan")]).withColumn(
+        "mean_duration", F.nanvl("mean_duration", F.lit(None).cast("double"))).withColumn("uuid", F.lit("u")).withColumn(
+        "bin_start_ns", F.monotonically_increasing_id())
+    train = train.unionByName(bins_frame(spark, [4.0, 4.0], path="flat").withColumn(
+        "uuid", F.lit("u")).withColumn("bin_start_ns", F.lit(0).cast("long")))
+    nodes = detect.grow_forest(train, trees=5, max_samples=32).collect()
+    by_tree = {}
+    for r in nodes:
+        by_tree.setdefault((r.parent_pod, r.tree), {})[r.node] = r
+    assert set(by_tree) == {(p, t) for p in ("p", "flat") for t in range(5)}
+    for (path, _), tree in by_tree.items():
+        assert tree[1].n == tree[1].samples == (32 if path == "p" else 2)
+        for number, r in tree.items():
+            low, high = tree.get(2 * number), tree.get(2 * number + 1)
+            assert (r.threshold is None) == (low is None) == (high is None)
+            assert r.depth == number.bit_length() - 1 <= 5
+            if low is not None:
+                assert low.n + high.n == r.n and low.n and high.n
+                assert (low.low, low.high, high.low, high.high) == (
+                    r.low, r.threshold, r.threshold, r.high)
+    assert len({tree[1].threshold for (p, _), tree in by_tree.items() if p == "p"}) == 5
+
+
+def plain_scores(nodes, values, trees):
+    """Depths summed by walking each tree from its root."""
+    def c(n):
+        return 0.0 if n <= 1 else 1.0 if n == 2 else (
+            2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n)
+
+    by_tree = {}
+    for r in nodes:
+        by_tree.setdefault(r.tree, {})[r.node] = r
+    out = []
+    for v in values:
+        total = 0.0
+        for tree in by_tree.values():
+            r = tree[1]
+            while r.threshold is not None:
+                r = tree[2 * r.node + (v > r.threshold)]
+            total += r.depth + c(r.n)
+        out.append(round(-2 ** (-total / trees / c(min(r.samples, 256))), 9))
+    return out
+
+
+def test_forest_ranges_equal_a_walk_down_every_tree(spark):
+    values = np.round(np.random.default_rng(3).normal(50, 9, 60), 2)
+    train = bins_frame(spark, values)
+    nodes = detect.grow_forest(train, trees=20)
+    scores = plain_scores(nodes.collect(), values, 20)
+    model = detect.forest_ranges(nodes, train, 20, 0.1)
+    cutoff = model.first()["cutoff"]
+    assert cutoff == pytest.approx(np.quantile(scores, 0.1), abs=2e-9)
+    probes = [*values, *np.linspace(0, 120, 97)]
+    want = sorted(v for v, s in zip(probes, plain_scores(nodes.collect(), probes, 20)) if s < cutoff)
+    found = detect.forest_events(bins_frame(spark, probes), model)
+    assert [r[0] for r in rows(found, "mean_duration")] == want and want
+
+
 def test_forest_on_constant_values_flags_nothing(spark):
     train = bins_frame(spark, [5.0] * 10)
     assert detect.forest_events(train, detect.train_forest(train)).count() == 0
@@ -185,6 +246,72 @@ def test_trace_evidence_end_to_end(spark):
     assert again.where("uuid = 'new'").first()["anomaly_count"] == 4
 
 
+def nested_spans(spark):
+    hour = 3_600_000_000
+    data = [raw("root", 1 * hour, process=[("podName", "front")]),
+            raw("far", 1 * hour, process=[("podName", "never")])]
+    data += [raw(f"s{i}", 2 * hour + i, process=[("podName", "cart")], references=["root"],
+                 tags=[("status.code", str(i % 2)), ("status.message", "m" * 50)])
+             for i in range(50)]
+    data += [raw(f"noise{i}", hour + i, process=[("podName", "noise")]) for i in range(3000)]
+    flat_spans = traces.span_fields(spark.createDataFrame(data, RAW_SPAN))
+    incidents = spark.createDataFrame(
+        [("u", 2 * hour * 1000, 2 * hour * 1000 + hour * 500)],
+        "uuid string, start_ns long, end_ns long")
+    return flat_spans.withColumn("row_id", F.monotonically_increasing_id()), incidents, hour * 1000
+
+
+def test_parents_before_the_window_are_found_with_a_pad(spark, monkeypatch):
+    table, incidents, hour_ns = nested_spans(spark)
+    order = ["timestamp_ns", "row_id"]
+    plain = evidence.fault_call_paths(table, incidents, order)
+    assert plain.where("parent_pod IS NOT NULL").count() == 0
+    read = {}
+    joined = evidence.windows.interval_join
+
+    def watched(facts, window, **options):
+        done = joined(facts, window, **options)
+        read[len(facts.columns)] = (facts.columns, done.count())
+        return done
+
+    monkeypatch.setattr(evidence.windows, "interval_join", watched)
+    padded = evidence.fault_call_paths(table, incidents, order, pad_ns=hour_ns)
+    assert padded.where("parent_pod = 'front'").count() == 50 == padded.count()
+    columns, parents = min(read.values(), key=lambda x: len(x[0]))
+    assert sorted(columns) == ["pod", "row_id", "span_id", "timestamp_ns"]
+    assert 1 <= parents < 150  # of 3,000 spans in the padded hour few pass the filter
+    for found in (plain, padded):
+        text = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+        moved = re.findall(r"\) Exchange\nInput \[\d+\]: (.*)", text)
+        assert moved and not any("tags#" in line for line in moved)
+
+
+def test_a_bloom_filter_loses_no_name(spark, monkeypatch):
+    names = spark.range(0, 5000).select(F.concat(F.lit("n"), "id").alias("name"))
+    wanted = names.where("name LIKE '%7'").unionByName(spark.createDataFrame([(None,)], "name string"))
+    bloom = traces.bloom_words(wanted, "name")
+    kept = {r.name for r in traces.maybe_named(names, "name", bloom).collect()}
+    assert {f"n{i}" for i in range(7, 5000, 10)} <= kept and len(kept) < 1500
+    monkeypatch.setattr(traces, "MAX_BLOOM_WORDS", 10)
+    assert traces.bloom_words(wanted, "name") is None
+    assert traces.maybe_named(names, "name", None).count() == 5000
+
+
+def test_bins_compute_their_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    data = spark.createDataFrame([("g", t, 1.0) for t in range(100)],
+                                 "g string, timestamp_ns long, duration double")
+    rows_ = data.mapInArrow(count, data.schema)
+    assert traces.window_mean_duration(rows_, ["g"], BIN).count() == 4
+    assert seen.value == 100
+
+
 def test_first_in_group(spark):
     df = spark.createDataFrame([("g", 2, "b"), ("g", 1, "a")], "g string, t long, x string")
     assert rows(logs.first_in_group(df, ["g"], ["t"], ["x"])) == [("g", "a")]

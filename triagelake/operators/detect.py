@@ -1,26 +1,21 @@
 """Detectors on binned call durations: a quantile band and an isolation forest.
 
 Both learn from baseline bins and end as a table of abnormal value ranges per call path,
-so scoring is a plain join with a range check.
+so scoring is a plain join with a range check. The forest itself is a table of nodes whose splits
+follow from digests, so it can be repeated by any engine.
 """
 
 from __future__ import annotations
 
-import zlib
-from typing import Any
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagelake.fixed_values import FOREST_CONTAMINATION, FOREST_TREES, SAMPLE_SEED, TOP_K
+from triagelake.functions.numbers import round_even
 from triagelake.operators.traces import PATH, top_k
+from triagelake.session import cut_lineage
 
-MODEL_SCHEMA = (
-    "parent_pod string, child_pod string, operation string, trees int, train_bins long, "
-    "cutoff double, abnormal array<struct<low:double,high:double>>"
-)
+EULER_GAMMA = 0.5772156649015329
 
 
 def quantile_model(bins: DataFrame, contamination: float = FOREST_CONTAMINATION) -> DataFrame:
@@ -40,93 +35,161 @@ def quantile_events(bins: DataFrame, model: DataFrame) -> DataFrame:
     return joined.where((v < F.col("low")) | (v > F.col("high"))).drop("low", "high")
 
 
-def _average_depth(n: np.ndarray) -> np.ndarray:
-    """Mean depth of an unsuccessful search among n values."""
-    n = np.asarray(n, dtype=float)
-    big = np.maximum(n, 3.0)
-    usual = 2.0 * (np.log(big - 1.0) + np.euler_gamma) - 2.0 * (big - 1.0) / big
-    return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, usual))
-
-
-def _tree_depths(sample: np.ndarray, rng, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Inner borders and the depth of each piece of one random one-dimensional tree."""
-    sample = np.sort(sample)
-    borders, depths = [], []
-    todo = [(0, len(sample), 0)]
-    while todo:
-        lo, hi, depth = todo.pop()
-        if depth >= limit or hi - lo <= 1 or sample[lo] == sample[hi - 1]:
-            depths.append((lo, depth + float(_average_depth(hi - lo))))
-            continue
-        cut = rng.uniform(sample[lo], sample[hi - 1])
-        middle = int(np.searchsorted(sample, cut, side="right"))
-        middle = min(max(middle, lo + 1), hi - 1)
-        borders.append(cut)
-        todo += [(lo, middle, depth + 1), (middle, hi, depth + 1)]
-    depths.sort()
-    return np.sort(borders), np.array([d for _, d in depths])
-
-
-def _abnormal_ranges(
-    values: np.ndarray, trees: int, contamination: float, seed: int, max_samples: int
-) -> tuple[float, list[tuple[float, float]]]:
-    """Score threshold and the value ranges whose mean depth lies below it."""
-    rng = np.random.default_rng(seed)
-    size = min(max_samples, len(values))
-    limit = int(np.ceil(np.log2(max(size, 2))))
-    pieces = [
-        _tree_depths(rng.choice(values, size, replace=False), rng, limit) for _ in range(trees)
-    ]
-    borders = np.unique(np.concatenate([b for b, _ in pieces]))
-
-    def mean_depth(points):
-        return sum(d[np.searchsorted(b, points, side="left")] for b, d in pieces) / trees
-
-    scale = float(_average_depth(size)) or 1.0
-    scores = -np.power(2.0, -mean_depth(values) / scale)
-    cutoff = float(np.quantile(scores, contamination))
-    edges = np.concatenate([[-np.inf], borders, [np.inf]])
-    probe = np.concatenate([borders, [np.inf]])
-    flagged = -np.power(2.0, -mean_depth(probe) / scale) < cutoff
-    ranges: list[tuple[float, float]] = []
-    for low, high, bad in zip(edges[:-1], edges[1:], flagged):
-        if not bad:
-            continue
-        if ranges and ranges[-1][1] == low:
-            ranges[-1] = (ranges[-1][0], float(high))
-        else:
-            ranges.append((float(low), float(high)))
-    return cutoff, ranges
+def average_depth(n: Column) -> Column:
+    """Mean depth of an unsuccessful search among ``n`` values."""
+    usual = F.lit(2.0) * (F.log(n - F.lit(1)) + F.lit(EULER_GAMMA)) - F.lit(2.0) * (
+        n - F.lit(1)) / n
+    return F.when(n <= F.lit(1), F.lit(0.0)).when(n == F.lit(2), F.lit(1.0)).otherwise(usual)
 
 
-def train_forest(
+def _settled(mean: Column) -> Column:
+    """Six decimals: the noise of a sum must not decide whether two means differ."""
+    return round_even(mean, 6)
+
+
+def grow_forest(
     bins: DataFrame,
     trees: int = FOREST_TREES,
-    contamination: float = FOREST_CONTAMINATION,
     seed: int = SAMPLE_SEED,
     max_samples: int = 256,
+    bin_key: tuple[str, ...] = ("uuid", "bin_start_ns"),
 ) -> DataFrame:
-    """One isolation forest per call path, stored as the ranges it calls abnormal.
-
-    Each tree sees at most ``max_samples`` bins of its path. The input holds one row per bin, and the number of bins per path is bounded by the
-    sampled incidents times the bins of a recovery window, whatever the number of spans.
+    """The nodes of an isolation forest per call path, one row per node.
+
+    Every tree sees at most ``max_samples`` bins of its path, the first ones by a digest of bin
+    and tree. A node splits its values at a point between the least and the largest that follows
+    from a digest of (path, tree, node), down to single values or the depth limit; the children of
+    node i are 2i and 2i + 1. A tree is one row with its ``max_samples`` values at most, sorted, and
+    its nodes are ranges of them, so all levels are grown without another shuffle. Leaves have no threshold; ``low`` and
+    ``high`` bound the values ``low < v <= high`` of a node. The number of bins is bounded by the
+    sampled incidents, whatever the number of spans.
     """
-    def fit(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
-        values = np.sort(rows["mean_duration"].to_numpy(dtype=float))
-        own_seed = zlib.crc32("\u0001".join(map(str, key)).encode()) ^ seed
-        cutoff, ranges = _abnormal_ranges(values, trees, contamination, own_seed, max_samples)
-        found = [{"low": low, "high": high} for low, high in ranges]
-        return pd.DataFrame([[*key, trees, len(values), cutoff, found]], columns=[
-            *PATH, "trees", "train_bins", "cutoff", "abnormal",
-        ])
+    v = F.col("mean_duration")
+    tree_key = [*PATH, "tree"]
+    named = [c for c in bin_key if c in bins.columns]
+    known = bins.where(v.isNotNull()).select(*PATH, *named, _settled(v).alias("mean_duration"))
+    drawn = F.md5(F.concat_ws(
+        "|", *[F.col(c).cast("string") for c in named or ["mean_duration"]],
+        F.col("tree").cast("string"), F.lit(str(seed))))
+    first = Window.partitionBy(*tree_key).orderBy("_draw", *named, "mean_duration")
+    numbered = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+    held = F.array_sort(F.collect_list(v)).alias("_v")
+    counted = known.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*PATH)))
+    # where a tree sees all bins of its path, all trees see the same
+    whole = counted.where(F.col("_size") <= F.lit(max_samples)).groupBy(*PATH).agg(held).select(
+        *PATH, "_v", numbered)
+    chosen = (
+        counted.where(F.col("_size") > F.lit(max_samples)).select("*", numbered)
+        .withColumn("_draw", drawn).withColumn("_place", F.row_number().over(first))
+        .where(F.col("_place") <= F.lit(max_samples)).groupBy(*tree_key).agg(held)
+    )
+    # equal arrays compress well, so the size of the shuffle says little about the work
+    tasks = int(bins.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = whole.unionByName(chosen).repartition(tasks, *tree_key).withColumn(
+        "samples", F.size("_v"))
+    path = ", ".join(PATH)
+    draw = (f"conv(substring(md5(concat_ws('|', {path}, string(tree), string(n.node), '{seed}')), "
+            f"1, 8), 16, 10) / {float(1 << 32)}D")
+
+    def with_thresholds(nodes: str, depth: int) -> str:
+        """The nodes of a level with the points at which they split."""
+        least, most = "_v[n.first]", "_v[n.end - 1]"
+        at = (f"CASE WHEN {least} < {most} AND {depth} < length(bin(greatest(samples, 2) - 1)) "
+              f"THEN {least} + ({most} - {least}) * ({draw}) END")
+        return (f"transform({nodes}, n -> struct(n.node AS node, {depth} AS depth, "
+                f"n.end - n.first AS n, {at} AS threshold, n.low AS low, n.high AS high, "
+                "n.first AS first, n.end AS end))")
+
+    inner = "n.first + size(filter(slice(_v, n.first + 1, n.end - n.first), x -> x <= n.threshold))"
+    halves = (f"array(struct(2 * n.node AS node, n.first AS first, {inner} AS end, n.low AS low, "
+              f"n.threshold AS high), struct(2 * n.node + 1 AS node, {inner} AS first, n.end AS end, "
+              "n.threshold AS low, n.high AS high))")
+    root = ("array(struct(1L AS node, 0 AS first, samples AS end, double('-infinity') AS low, "
+            "double('infinity') AS high))")
+    levels = ["_level_0"]
+    rows = rows.selectExpr("*", f"{with_thresholds(root, 0)} AS _level_0")
+    for depth in range(1, (max_samples - 1).bit_length() + 1):
+        split = f"filter({levels[-1]}, n -> n.threshold IS NOT NULL)"
+        below = f"flatten(transform({split}, n -> {halves}))"
+        levels.append(f"_level_{depth}")
+        rows = rows.selectExpr("*", f"{with_thresholds(below, depth)} AS {levels[-1]}")
+    every = rows.select(*tree_key, "samples", F.explode(F.concat(*levels)).alias("_n"))
+    kept = ("node", "depth", "n", "threshold", "low", "high")
+    return every.select(*tree_key, "samples", *[F.col(f"_n.{c}") for c in kept])
+
+
+def _scored(nodes: DataFrame, points: DataFrame, trees: int) -> DataFrame:
+    """Depths summed over all trees at the points and at the borders of the leaves.
+
+    A leaf adds its depth from ``low`` on and takes it off after ``high``; the running sum by
+    value is the sum over all trees. Depths are whole billionths, so sums do not depend on order.
+    """
+    deep = F.round((F.col("depth") + average_depth(F.col("n"))) * F.lit(1e9)).cast("long")
+    leaves = nodes.where(F.col("threshold").isNull()).select(
+        *PATH, "samples", "low", "high", deep.alias("_deep"))
+    steps = leaves.select(*PATH, "samples", F.explode(F.array(
+        F.struct(F.col("low").alias("x"), F.col("_deep").alias("d")),
+        F.struct(F.col("high").alias("x"), (-F.col("_deep")).alias("d")))).alias("_s"))
+    steps = steps.groupBy(*PATH, F.col("_s.x").alias("x")).agg(
+        F.sum("_s.d").alias("d"), F.max("samples").alias("samples"))
+    none = F.lit(None).cast("long")
+    both = steps.withColumn("point", F.lit(False)).unionByName(points.select(
+        *PATH, _settled(F.col("mean_duration")).alias("x"), F.lit(0).cast("long").alias("d"),
+        none.alias("samples"), F.lit(True).alias("point")))
+    # a value on a border belongs to the leaf that ends there
+    upto = Window.partitionBy(*PATH).orderBy("x", F.col("point").desc()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    size = F.max("samples").over(Window.partitionBy(*PATH))
+    scale = F.when(size > F.lit(1), average_depth(size)).otherwise(F.lit(1.0))
+    mean = F.sum("d").over(upto) / F.lit(1e9) / F.lit(trees)
+    score = F.round(-F.pow(F.lit(2.0), -mean / scale), 9)
+    return both.withColumn("score", score)
+
+
+def forest_ranges(
+    nodes: DataFrame, bins: DataFrame, trees: int, contamination: float = FOREST_CONTAMINATION,
+) -> DataFrame:
+    """Per call path the score below which a bin is abnormal, and the value ranges that lie below.
 
+    The threshold is the ``contamination`` quantile of the scores of the training bins.
+    """
     known = bins.where(F.col("mean_duration").isNotNull())
-    return known.select(*PATH, "mean_duration").groupBy(*PATH).applyInPandas(fit, MODEL_SCHEMA)
+    scored = cut_lineage(_scored(nodes, known, trees), "scores")
+    cuts = scored.where("point").groupBy(*PATH).agg(
+        F.count(F.lit(1)).alias("train_bins"),
+        F.round(F.percentile("score", contamination), 9).alias("cutoff"))
+    order = Window.partitionBy(*PATH).orderBy("x")
+    pieces = scored.where(~F.col("point")).join(cuts, PATH).select(
+        *PATH, "train_bins", "cutoff", F.col("x").alias("low"), F.lead("x").over(order).alias("high"),
+        (F.col("score") < F.col("cutoff")).alias("_bad"))
+    pieces = pieces.where(F.col("high").isNotNull())
+    begins = F.col("_bad") & ~F.coalesce(
+        F.lag("_bad").over(Window.partitionBy(*PATH).orderBy("low")), F.lit(False))
+    runs = pieces.withColumn("_begins", begins.cast("int")).withColumn(
+        "_run", F.sum("_begins").over(Window.partitionBy(*PATH).orderBy("low")))
+    merged = runs.groupBy(*PATH, "train_bins", "cutoff", "_bad", "_run").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"))
+    bad = F.when(F.col("_bad"), F.struct("low", "high"))
+    return merged.groupBy(*PATH, "train_bins", "cutoff").agg(
+        F.array_sort(F.collect_list(bad)).alias("abnormal")).select(
+        *PATH, F.lit(trees).alias("trees"), "train_bins", "cutoff", "abnormal")
+
+
+def train_forest(
+    bins: DataFrame,
+    trees: int = FOREST_TREES,
+    contamination: float = FOREST_CONTAMINATION,
+    seed: int = SAMPLE_SEED,
+    max_samples: int = 256,
+) -> DataFrame:
+    """One isolation forest per call path, as the value ranges it calls abnormal."""
+    nodes = cut_lineage(grow_forest(bins, trees, seed, max_samples), "forest")
+    return forest_ranges(nodes, bins, trees, contamination)
 
 
 def forest_events(bins: DataFrame, model: DataFrame) -> DataFrame:
     """Bins whose mean lies in an abnormal range of their call path's model."""
-    v = F.col("mean_duration")
+    v = _settled(F.col("mean_duration"))
 
     def inside(r):
         return (v > r["low"]) & (v <= r["high"])

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from triagelake.fixed_values import BIN_NS, TOP_K
 from triagelake.functions import spans as span
 from triagelake.functions.texts import service_alias, text_or_na
+from triagelake.session import cut_lineage
 
+#: Words of a Bloom filter that may be broadcast: 16 bytes each.
+MAX_BLOOM_WORDS = 1 << 20
 PATH = ["parent_pod", "child_pod", "operation"]
 STATUS_KEYS = [
     "node_name", "service_name", "parent_pod", "child_pod", "operation",
@@ -43,9 +46,24 @@ def status_tags(spans: DataFrame) -> DataFrame:
     )
 
 
+def status_fields(spans: DataFrame) -> DataFrame:
+    """All spans with the code and message of their tags in place of the tags themselves.
+
+    Done before any join, so that tag lists never cross a shuffle.
+    """
+    if "tags" not in spans.columns:
+        return spans
+    tags = F.col("tags")
+    speaks = span.mentions_status(tags)
+    return spans.withColumns({
+        "status_code": F.when(speaks, span.last_tag(tags, "status.code")),
+        "status_message": F.when(speaks, span.last_tag(tags, "status.message")),
+    }).drop("tags")
+
+
 def abnormal_status(spans: DataFrame) -> DataFrame:
-    """Both status tags present and a code other than 0."""
-    tagged = status_tags(spans)
+    """Both status tags present and a code other than 0; takes ``status_fields`` or raw tags."""
+    tagged = status_tags(spans) if "tags" in spans.columns else spans
     return tagged.where(
         F.col("status_message").isNotNull() & (F.col("status_code") != F.lit("0"))
     )
@@ -77,12 +95,51 @@ def with_parent(
     return joined.select(*kept, *[F.col("_parent")[new].alias(new) for new in columns.values()])
 
 
-def call_path_spans(spans: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
+def call_path_spans(
+    spans: DataFrame, scope: list[str], order: list[str], lookup: DataFrame | None = None
+) -> DataFrame:
     """Spans with the pod of their parent; the span's own pod becomes the child."""
-    joined = with_parent(spans, scope, {"pod": "parent_pod"}, order)
+    joined = with_parent(spans, scope, {"pod": "parent_pod"}, order, lookup)
     return joined.withColumnRenamed("pod", "child_pod")
 
 
+def _word_and_mask(name: Column, words: int) -> tuple[Column, Column]:
+    """The word of a blocked Bloom filter that a name belongs to, and its three bits in it."""
+    spread = F.xxhash64(name)
+    one = F.lit(1).cast("long")
+    bits = [F.call_function("shiftleft", one, F.pmod(F.shiftright(spread, n), F.lit(64)).cast("int"))
+            for n in (40, 46, 52)]
+    return F.pmod(spread, F.lit(words)), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
+
+
+def bloom_words(names: DataFrame, column: str, per_word: int = 6) -> tuple[DataFrame, int] | None:
+    """A Bloom filter of the names as a table of 64-bit words, and the number of its words.
+
+    It has a word for ``per_word`` names, combined before the shuffle. More than MAX_BLOOM_WORDS
+    words are not broadcast: then there is no filter, and the join does all the work.
+    """
+    wanted = names.where(F.col(column).isNotNull()).select(column)
+    count = wanted.agg(F.approx_count_distinct(column)).first()[0]
+    words = max(1024, count // per_word)
+    if words > MAX_BLOOM_WORDS:
+        return None
+    word, mask = _word_and_mask(F.col(column), words)
+    table = wanted.select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(
+        F.bit_or("_mask").alias("_bits"))
+    return table, words
+
+
+def maybe_named(table: DataFrame, column: str, bloom: tuple[DataFrame, int] | None) -> DataFrame:
+    """Rows whose ``column`` may be one of the filter's names; no such row is lost."""
+    if bloom is None:
+        return table
+    filter_, words = bloom
+    word, mask = _word_and_mask(F.col(column), words)
+    held = table.where(F.col(column).isNotNull()).withColumn("_word", word).join(
+        F.broadcast(filter_), "_word")
+    return held.where(F.col("_bits").bitwiseAND(mask) == mask).drop("_word", "_bits")
+
+
 def status_combinations(
     spans: DataFrame, scope: list[str], k: int = TOP_K, aliases: dict[str, str] | None = None
 ) -> DataFrame:
@@ -114,12 +171,17 @@ def window_mean_duration(
     A bin is closed at both ends: a span exactly on a border counts in the bin that ends
     there and in the one that starts there. A bin must start before the last span of its
     group, so a group with a single instant has no bin.
+
+    The input is computed once: only the columns in use are written. First and last instants
+    come from a small combine over them, then sums and counts are combined per bin before the
+    only shuffle of spans, so no task holds a group, however large.
     """
     ts = F.col("timestamp_ns")
+    spans = cut_lineage(spans.select(*keys, "timestamp_ns", value), "durations")
     bounds = spans.groupBy(*keys).agg(
         F.min(ts).alias("_first"), F.max(ts).alias("_last")
     ).where(F.col("_first") < F.col("_last"))
-    placed = spans.select(*keys, "timestamp_ns", value).join(bounds, keys)
+    placed = spans.join(bounds, keys)
     step = F.lit(bin_ns)
     offset = ts - F.col("_first")
     own = F.expr(f"(timestamp_ns - _first) div {bin_ns}")

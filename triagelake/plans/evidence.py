@@ -45,14 +45,29 @@ def log_evidence(
 
 def fault_call_paths(
     span_table: DataFrame, incidents: DataFrame, order: list[str], scope: str = "full",
-    **join_options,
+    pad_ns: int = 0, **join_options,
 ) -> DataFrame:
-    """Spans inside the fault windows with the pod of their parent."""
+    """Spans inside the fault windows with status code and message and the pod of their parent.
+
+    Parents are looked up among the spans of the window. With ``pad_ns`` also among those that
+    lie up to so long before or after it: a Bloom filter of the wanted ids keeps other spans of
+    that time from leaving the scan.
+    """
     spans = windows.clip_to_start(windows.fault_windows(incidents), incidents, scope)
-    rows = windows.interval_join(span_table, spans, **join_options).drop(
+    rows = windows.interval_join(traces.status_fields(span_table), spans, **join_options).drop(
         "kind", "w_start_ns", "w_end_ns"
     )
-    return traces.call_path_spans(rows, ["uuid"], order)
+    if not pad_ns:
+        return traces.call_path_spans(rows, ["uuid"], order)
+    rows = cut_lineage(rows, "spans")
+    wider = spans.select(
+        "uuid", (F.col("w_start_ns") - F.lit(pad_ns)).alias("w_start_ns"),
+        (F.col("w_end_ns") + F.lit(pad_ns)).alias("w_end_ns"))
+    narrow = span_table.select(*dict.fromkeys(["span_id", "pod", "timestamp_ns", *order]))
+    bloom = traces.bloom_words(rows, "parent_span_id")
+    named = traces.maybe_named(narrow, "span_id", bloom)
+    parents = windows.interval_join(named, wider, **join_options).drop("w_start_ns", "w_end_ns")
+    return traces.call_path_spans(rows, ["uuid"], order, parents)
 
 
 def training_bins(
@@ -80,12 +95,15 @@ def training_bins(
 def training_spans(
     span_table: DataFrame, sample: DataFrame, order: list[str], recovery_ns: int = RECOVERY_NS
 ) -> DataFrame:
-    """Spans around the sampled incidents with the pod and service of their parent."""
+    """Spans around the sampled incidents with the pod and service of their parent.
+
+    Other columns of the table, such as ``source_file``, stay; tags become status fields.
+    """
     last = F.expr(f"(end_ns + {recovery_ns}) div {HOUR_NS}")
     hours = sample.select(
         F.explode(F.sequence(F.expr(f"start_ns div {HOUR_NS}"), last)).alias("_hour")
     ).distinct()
-    around = span_table.withColumn("_hour", F.expr(f"timestamp_ns div {HOUR_NS}")).join(
+    around = traces.status_fields(span_table).withColumn("_hour", F.expr(f"timestamp_ns div {HOUR_NS}")).join(
         hours, "_hour", "left_semi"
     ).drop("_hour")
     parents = {"pod": "parent_pod", "service_name": "parent_service"}

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 
 from triagelake.fixed_values import (
-    COUNT_LABEL, MISSING_LABEL, NODES, PODS, REPORT_LABELS, SERVICES, STABLE_RATIO,
+    COUNT_LABEL, FOREST_TREES, MISSING_LABEL, NODES, PODS, REPORT_LABELS, SAMPLE_SEED, SERVICES,
+    STABLE_RATIO,
 )
 from triagelake.mask_rules import mask_rules
 from workload import views
@@ -161,6 +162,56 @@ def stats_cte(prefix: str, metrics: str, windows: str, keys: str, keep_empty: bo
     }
 
 
+def average_depth_sql(n: str) -> str:
+    return (f"(CASE WHEN {n} <= 1 THEN 0.0 WHEN {n} = 2 THEN 1.0 ELSE 2.0 * (ln({n} - 1) + "
+            f"0.5772156649015329) - 2.0 * ({n} - 1) / CAST({n} AS DOUBLE) END)")
+
+
+def forest_cte(trees: int, samples: int, seed: int, contamination: float) -> dict[str, str]:
+    """The forest level by level, and the scores of training and fault bins."""
+    key = f"{PATH}, tree"
+    found = {
+        "fs_0": f"""SELECT {key}, {r6('mean_duration')} AS mean_duration, count(*) OVER (PARTITION BY {key}) AS size,
+            CAST(1 AS BIGINT) AS node, CAST('-infinity' AS DOUBLE) AS low,
+            CAST('infinity' AS DOUBLE) AS high FROM
+            (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY md5(concat_ws('|', uuid,
+             CAST(bin_start_ns AS VARCHAR), CAST(tree AS VARCHAR), '{seed}')), uuid, bin_start_ns)
+             AS place FROM train_bins CROSS JOIN (SELECT CAST(range AS INTEGER) AS tree
+             FROM range({trees}))) WHERE place <= {samples}""",
+    }
+    parts = []
+    for d in range((samples - 1).bit_length() + 1):
+        draw = (f"CAST('0x' || substr(md5(concat_ws('|', {PATH}, CAST(tree AS VARCHAR), "
+                f"CAST(node AS VARCHAR), '{seed}')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE")
+        found[f"ft_{d}"] = f"""SELECT *, CASE WHEN mn < mx AND {d} < length(bin(greatest(size, 2)
+            - 1)) THEN mn + (mx - mn) * ({draw}) END AS cut_at FROM (SELECT *, count(*) OVER w AS n,
+            min(mean_duration) OVER w AS mn, max(mean_duration) OVER w AS mx FROM fs_{d}
+            WINDOW w AS (PARTITION BY {key}, node))"""
+        found[f"fs_{d + 1}"] = f"""SELECT {key}, mean_duration, size,
+            node * 2 + CASE WHEN mean_duration > cut_at THEN 1 ELSE 0 END AS node,
+            CASE WHEN mean_duration > cut_at THEN cut_at ELSE low END AS low,
+            CASE WHEN mean_duration > cut_at THEN high ELSE cut_at END AS high FROM ft_{d}
+            WHERE cut_at IS NOT NULL"""
+        parts.append(f"""SELECT DISTINCT {key}, node, {d} AS depth, n, cut_at AS threshold, low,
+            high, size AS samples FROM ft_{d}""")
+    found["forest_nodes"] = " UNION ALL ".join(parts)
+    deep = f"CAST(round((depth + {average_depth_sql('n')}) * 1e9) AS BIGINT)"
+    scale = f"CASE WHEN samples > 1 THEN {average_depth_sql('samples')} ELSE 1.0 END"
+    found["forest_leaves"] = f"""SELECT {PATH}, low, high, samples, {deep} AS deep FROM forest_nodes
+        WHERE threshold IS NULL"""
+    for name in ("train", "fault"):
+        found[f"forest_{name}"] = f"""SELECT b.*, score FROM {name}_bins b JOIN
+            (SELECT uuid, {PATH}, bin_start_ns, round(-pow(2.0, -(sum(deep) / 1e9 / {trees}) /
+             max({scale})), 9) AS score FROM {name}_bins JOIN forest_leaves USING ({PATH})
+             WHERE {r6('mean_duration')} > low AND {r6('mean_duration')} <= high GROUP BY ALL)
+            USING (uuid, {PATH}, bin_start_ns)"""
+    found["forest_cuts"] = f"""SELECT {PATH}, count(*) AS train_bins,
+        round(quantile_cont(score, {contamination}), 9) AS cutoff FROM forest_train GROUP BY ALL"""
+    found["forest_bad"] = f"""SELECT f.* FROM forest_fault f JOIN forest_cuts USING ({PATH})
+        WHERE score < cutoff"""
+    return found
+
+
 BOTH = "normal_n IS NOT NULL AND fault_n IS NOT NULL"
 STABLE = f"coalesce(p50_ratio < {STABLE_RATIO} AND p99_ratio < {STABLE_RATIO}, false)"
 SIX = ", ".join(
@@ -353,6 +404,18 @@ CTE: dict[str, str] = {
         (SELECT uuid, {PATH}, avg(mean_duration) AS anomaly_avg_duration, count(*) AS anomaly_count
          FROM bad_bins GROUP BY ALL) LEFT JOIN callers USING (uuid, {PATH})
         LEFT JOIN band USING ({PATH})) WHERE rank_no <= 20""",
+    **forest_cte(FOREST_TREES, 256, SAMPLE_SEED, views.CONTAMINATION),
+    "forest_ev": f"""SELECT * FROM (SELECT uuid, node_name, service_name, {PATH},
+        {r6('coalesce(base_mean, 0)')} AS normal_avg_duration,
+        {r6('anomaly_avg_duration')} AS anomaly_avg_duration, anomaly_count,
+        row_number() OVER (PARTITION BY uuid ORDER BY anomaly_count DESC, {PATH}) AS rank_no FROM
+        (SELECT uuid, {PATH}, avg(mean_duration) AS anomaly_avg_duration, count(*) AS anomaly_count
+         FROM forest_bad GROUP BY ALL) LEFT JOIN callers USING (uuid, {PATH})
+        LEFT JOIN band USING ({PATH})) WHERE rank_no <= 20""",
+    "padded": f"""SELECT DISTINCT w.uuid, s.span_id, s.pod FROM spans s JOIN fault_w w
+        ON s.timestamp_ns BETWEEN w.w_start_ns - {views.PAD} AND w.w_end_ns + {views.PAD}""",
+    "padded_paths": """SELECT c.*, c.pod AS child_pod, p.pod AS parent_pod FROM fault_spans c
+        LEFT JOIN padded p ON c.uuid = p.uuid AND c.parent_span_id = p.span_id""",
     # replies
     "replies": """SELECT 'rep-' || CAST(event_id // 3 AS VARCHAR) AS uuid, event_id AS seq, k,
         ['cartservice', 'frontend-1', 'aiops-k8s-03', 'redis-cart', 'no-such-part']
@@ -388,7 +451,8 @@ def sql(final: str) -> str:
     if not needed:
         return final
     ordered = [n for n in names if n in needed]
-    return "WITH " + ",\n".join(f"{n} AS ({CTE[n]})" for n in ordered) + "\n" + final
+    kept = {n: " MATERIALIZED" if n.startswith(("ft_", "forest_")) else "" for n in ordered}
+    return "WITH " + ",\n".join(f"{n} AS{kept[n]} ({CTE[n]})" for n in ordered) + "\n" + final
 
 
 def variant(suffix: str, old: str, new: str, final: str) -> str:

@@ -698,6 +698,13 @@ def _(spark, sf):
     return fault_paths(spark, sf).select("uuid", "span_id", *traces.PATH)
 
 
+@query("span_parent_padded", "SELECT uuid, span_id, parent_pod, child_pod, operation FROM padded_paths")
+def _(spark, sf):
+    """Parents are looked up two hours around the window too."""
+    found = fault_paths(spark, sf, pad_ns=views.PAD)
+    return found.select("uuid", "span_id", *traces.PATH)
+
+
 @query("span_parent_service", """SELECT span_id, parent_pod, parent_service,
     CASE service_name WHEN 'redis' THEN 'redis-cart' ELSE service_name END AS service_name,
     split_part(child_pod, '-', 1) AS pod_service,
@@ -811,32 +818,41 @@ def _(spark, sf):
     return trace_rows(spark, sf, fault_paths(spark, sf, scope="hour"))
 
 
-@query("train_forest")
+def forest(spark, sf, bins=None):
+    bins = train_bins(spark, sf) if bins is None else bins
+    return detect.train_forest(bins, contamination=views.CONTAMINATION)
+
+
+@query("train_forest", f"""SELECT parent_pod, child_pod, operation, tree, node, depth, n,
+    {r6('threshold')} AS threshold FROM forest_nodes""")
 def _(spark, sf):
-    return detect.train_forest(train_bins(spark, sf), contamination=views.CONTAMINATION).select(
-        *traces.PATH, "trees", "train_bins", "cutoff", F.size("abnormal").alias("ranges"))
+    """Every node of every tree with the point where it splits its values."""
+    nodes = detect.grow_forest(train_bins(spark, sf))
+    return rounded(nodes.drop("samples", "low", "high"), "threshold")
 
 
 @query("forest_models", f"""SELECT parent_pod, child_pod, operation, {FOREST_TREES} AS trees,
-    count(*) AS train_bins FROM train_bins GROUP BY ALL""")
+    train_bins, {r6('cutoff')} AS cutoff FROM forest_cuts""")
 def _(spark, sf):
-    return detect.train_forest(train_bins(spark, sf), contamination=views.CONTAMINATION).select(
-        *traces.PATH, "trees", F.col("train_bins").cast("long").alias("train_bins"))
+    return rounded(forest(spark, sf), "cutoff").drop("abnormal")
 
 
 @query("forest_flagged_share", f"""SELECT parent_pod, child_pod, operation, count(*) AS bins,
-    true AS within FROM train_bins GROUP BY ALL""")
+    CAST(sum(CASE WHEN score < cutoff THEN 1 ELSE 0 END) AS BIGINT) AS flagged,
+    sum(CASE WHEN score < cutoff THEN 1 ELSE 0 END) <= ceil(count(*) * {views.CONTAMINATION})
+    AS within FROM forest_train JOIN forest_cuts USING (parent_pod, child_pod, operation)
+    GROUP BY ALL""")
 def _(spark, sf):
-    """Whether the bins flagged among the training bins keep to the contamination, per path."""
+    """How many training bins each path's forest flags, and whether that keeps to its share."""
     bins = train_bins(spark, sf)
-    model = cut_lineage(detect.train_forest(bins, contamination=views.CONTAMINATION))
-    flagged = detect.forest_events(bins, model).groupBy(*traces.PATH).agg(
+    model = cut_lineage(forest(spark, sf, bins))
+    found = detect.forest_events(bins, model).groupBy(*traces.PATH).agg(
         F.count(F.lit(1)).alias("_flagged"))
     sizes = bins.groupBy(*traces.PATH).agg(F.count(F.lit(1)).alias("bins"))
-    limit = F.ceil(F.col("bins") * F.lit(views.CONTAMINATION))
-    within = F.coalesce("_flagged", F.lit(0)) <= limit
-    return sizes.join(flagged, traces.PATH, "left").select(
-        *traces.PATH, "bins", within.alias("within"))
+    flagged = F.coalesce("_flagged", F.lit(0))
+    within = flagged <= F.ceil(F.col("bins") * F.lit(views.CONTAMINATION))
+    return sizes.join(found, traces.PATH, "left").select(
+        *traces.PATH, "bins", flagged.alias("flagged"), within.alias("within"))
 
 
 @query("stored_baseline", f"""SELECT parent_pod, child_pod, operation, {r6('avg(mean_duration)')} AS
@@ -850,21 +866,23 @@ def _(spark, sf):
     return rounded(base, "mean").select(*traces.PATH, "mean", "count")
 
 
-@query("score_forest")
+@query("score_forest", f"""SELECT uuid, parent_pod, child_pod, operation, bin_start_ns,
+    {r6('mean_duration')} AS mean_duration, spans FROM forest_bad""")
 def _(spark, sf):
-    model = detect.train_forest(train_bins(spark, sf), contamination=views.CONTAMINATION)
-    return detect.forest_events(fault_bins(spark, sf), model)
+    events = detect.forest_events(fault_bins(spark, sf), forest(spark, sf))
+    return rounded(events, "mean_duration")
 
 
-@query("load_or_train")
+@query("load_or_train", "SELECT * FROM forest_ev")
 def _(spark, sf):
     path = new_folder(spark)
     for _ in range(2):
         model, base = load_or_train(
             spark, path, spans(spark, sf), incident_table(spark, sf), ORDER, views.SAMPLE_N,
             recovery_ns=views.RECOVERY, bin_ns=views.BIN, contamination=views.CONTAMINATION)
-    return evidence.trace_evidence(fault_paths(spark, sf), model, base, ORDER, views.BIN,
-                                   find=detect.forest_events)
+    found = evidence.trace_evidence(
+        fault_paths(spark, sf), model, base, ORDER, views.BIN, find=detect.forest_events)
+    return rounded(found, "normal_avg_duration", "anomaly_avg_duration")
 
 
 # Bundle
@@ -974,14 +992,19 @@ def _(spark, sf):
     return report.groupBy("status").agg(F.sum("rows").alias("rows"))
 
 
-@query("merged_spans", "SELECT span_id, parent_pod, parent_service FROM train_spans")
+@query("merged_spans", """SELECT span_id, parent_pod, parent_service,
+    'spans_' || strftime(make_timestamp(timestamp_ns // 1000), '%Y-%m-%d') AS source_file
+    FROM train_spans""")
 def _(spark, sf):
+    """Training spans keep the name of the file they come from."""
     path = new_folder(spark)
-    around = evidence.training_spans(
-        spans(spark, sf), sampled(spark, sf), ORDER, views.RECOVERY)
-    writers.save_table(around.drop("tags"), path)
+    name = F.concat(F.lit("spans_"), F.date_format(
+        F.timestamp_micros(F.expr("timestamp_ns div 1000")), "yyyy-MM-dd"))
+    table = spans(spark, sf).withColumn("source_file", name)
+    around = evidence.training_spans(table, sampled(spark, sf), ORDER, views.RECOVERY)
+    writers.save_table(around, path)
     stored = telemetry.read_table(spark, path)
-    return stored.select("span_id", "parent_pod", "parent_service")
+    return stored.select("span_id", "parent_pod", "parent_service", "source_file")
 
 
 @query("result_file", "SELECT uuid, component, reason, steps, observation FROM results")

@@ -15,6 +15,7 @@ from triagelake.session import configure
 
 BIN = 3 * HOUR_NS
 RECOVERY = 12 * HOUR_NS
+PAD = 2 * HOUR_NS
 SAMPLE_N = 50
 CONTAMINATION = 0.10
 NODES = [f"node-{i:02d}" for i in range(1, 8)] + ["node-99"]
