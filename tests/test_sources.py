@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from triagelake.operators import metrics
 from triagelake.sinks import writers
-from triagelake.sources import telemetry
+from triagelake.sources import catalogue, telemetry
 
 DAY = "2025-06-06"
 
@@ -100,6 +100,29 @@ def test_metric_families(spark, root):
         ("apm_pod", 14), ("db_component", 4), ("node", 2), ("pod", 2)]
 
 
+def test_only_files_that_a_window_needs_are_opened(spark, root):
+    found = {r.name: r for r in catalogue.file_catalogue(spark, root).collect()}
+    assert len(found) == 10 and found[f"deleted_{DAY}_00-00-00.parquet"].deleted
+    apm, db = found[f"pod_cart-0_{DAY}.parquet"], found[f"infra_tikv_store_up_count_{DAY}.parquet"]
+    assert (apm.kind, apm.entity, apm.date, apm.metric) == ("apm_pod", "cart-0", DAY, None)
+    assert (db.kind, db.entity, db.metric) == ("db_component", "tidb-tikv", "store_up_count")
+    start = 1749141000123456789  # within the first local hour of the day
+    span = spark.createDataFrame([("u", "fault", start - 5, start + 5), ("none", "fault", 9, 3)],
+                                 "uuid string, kind string, w_start_ns long, w_end_ns long")
+    logs_ = telemetry.read_in_windows(spark, root, span, "log")
+    assert [f.rsplit("/", 1)[1] for f in logs_.inputFiles()] == [
+        f"log_filebeat-server_{DAY}_00-00-00.parquet"]
+    assert rows(logs_, "message") == [("error",), ("x",)]
+    few = telemetry.read_in_windows(spark, root, span, "metric", ["node_cpu_usage_rate"])
+    assert {f.rsplit("/", 1)[1] for f in few.inputFiles()} == {
+        f"infra_node_node_cpu_usage_rate_{DAY}.parquet", f"pod_cart-0_{DAY}.parquet"}
+    late = span.select("uuid", "kind", (F.col("w_start_ns") + 10**15).alias("w_start_ns"),
+                       (F.col("w_end_ns") + 10**15).alias("w_end_ns"))
+    for kind in ("log", "span", "metric"):
+        nothing = telemetry.read_in_windows(spark, root, late, kind)
+        assert nothing.count() == 0 and nothing.inputFiles() == []
+
+
 def test_normalised_table_is_partitioned_and_pruned(spark, root, tmp_path):
     path = str(tmp_path / "logs")
     logs = telemetry.read_logs(spark, root)

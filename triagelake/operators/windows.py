@@ -161,19 +161,27 @@ def _keys(levels: list[int]) -> Column:
     ])
 
 
-def _in_used_partitions(
-    facts: DataFrame, cover: DataFrame, partition_by: str, bucket_ns: int, limit: int, hours: int,
-) -> DataFrame:
-    """Facts of the partitions that some window touches; no other partition is read."""
-    size = F.expr("shiftleft(1L, _level)")
-    blocks = cover.select("_level", "_block").distinct().withColumn("_size", size)
+def _cover(windows: DataFrame, bucket_ns: int) -> DataFrame:
+    """Windows with one row per dyadic block (_level, _block) that they need."""
+    start, end = F.col("w_start_ns"), F.col("w_end_ns")
+    blocks = F.explode(dyadic_cover(block_of(start, bucket_ns), block_of(end, bucket_ns)))
+    return windows.where(start <= end).withColumn("_key", blocks).withColumn(
+        "_level", F.col("_key.level")).withColumn("_block", F.col("_key.block")).drop("_key")
+
+
+def used_keys(windows: DataFrame, partition_by: str) -> DataFrame:
+    """The local dates ("date") or hours ("hour_key") that some window touches.
+
+    Equal blocks of different windows are merged before they are taken apart into hours.
+    """
+    blocks = _cover(windows, HOUR_NS).select("_level", "_block").distinct().withColumn(
+        "_size", F.expr("shiftleft(1L, _level)"))
     first = F.col("_block") * F.col("_size")
-    instants = blocks.select(F.explode(F.sequence(first, first + F.col("_size") - F.lit(1)))
-                             .alias("_unit"))
+    hours = blocks.select(F.explode(F.sequence(first, first + F.col("_size") - F.lit(1)))
+                          .alias("_hour"))
     derive = {"date": local_date, "hour_key": local_hour_key}[partition_by]
-    names = instants.select(derive(F.col("_unit") * F.lit(bucket_ns)).alias(partition_by))
-    used = names.where(F.col(partition_by).isNotNull()).distinct()
-    return facts.join(F.broadcast(used) if hours <= limit else used, partition_by, "left_semi")
+    names = hours.select(derive(F.col("_hour") * F.lit(HOUR_NS)).alias(partition_by))
+    return names.where(F.col(partition_by).isNotNull()).distinct()
 
 
 def interval_join(
@@ -198,18 +206,16 @@ def interval_join(
     no window touches are then never read.
     """
     start, end = F.col("w_start_ns"), F.col("w_end_ns")
-    valid = windows.where(start <= end)
-    blocks = F.explode(dyadic_cover(block_of(start, bucket_ns), block_of(end, bucket_ns)))
-    cover = valid.withColumn("_key", blocks).withColumn("_level", F.col("_key.level")).withColumn(
-        "_block", F.col("_key.block")).drop("_key")
+    cover = _cover(windows, bucket_ns)
     low, high, count, levels = cover.agg(
         F.min(start), F.max(end), F.count(F.lit(1)), F.collect_set("_level")).first()
     within = F.lit(False) if low is None else F.col(ts).between(F.lit(low), F.lit(high))
     levels = sorted(levels) or [0]
     inside = facts.where(within)
     if partition_by is not None and low is not None:
-        hours = (high - low) // bucket_ns + 2
-        inside = _in_used_partitions(inside, cover, partition_by, bucket_ns, broadcast_rows, hours)
+        used = used_keys(windows, partition_by)  # at most one for each hour between the bounds
+        used = F.broadcast(used) if (high - low) // HOUR_NS + 2 <= broadcast_rows else used
+        inside = inside.join(used, partition_by, "left_semi")
     keyed = inside.withColumn("_unit", block_of(F.col(ts), bucket_ns))
     if len(levels) == 1:
         shifted = F.shiftright("_unit", levels[0])

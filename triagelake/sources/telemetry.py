@@ -7,8 +7,9 @@ infra/infra_tidb, other}`` (one file per pod or metric and date).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from triagelake.fixed_values import (
     APM_METRICS, DB_METRICS, EXTRA_NODE_METRICS, LOCAL_ZONE, NODE_METRICS, POD_METRICS,
@@ -21,18 +22,19 @@ from triagelake.functions.times import (
 from triagelake.operators.metrics import unpivot_wide
 from triagelake.operators.traces import span_fields
 from triagelake.schemas import RAW_LOG, RAW_SPAN, raw_metric
+from triagelake.session import cut_lineage
+from triagelake.sources.catalogue import (
+    DELETED, db_component, file_catalogue, files_for_windows, paths_of,
+)
 
-DELETED = "deleted"
-DB_FILE_PREFIX = {"tidb-tidb": "infra_tidb_", "tidb-pd": "infra_pd_", "tidb-tikv": "infra_tikv_"}
-
-
-def file_name() -> Column:
-    return F.col("_metadata.file_name")
-
-
-def live_files(df: DataFrame) -> DataFrame:
-    """Rows of files whose path does not say "deleted"."""
-    return df.where(~F.contains(F.col("_metadata.file_path"), F.lit(DELETED)))
+def _load(spark: SparkSession, schema: T.StructType, files: str | list[str]) -> DataFrame:
+    """Rows of a glob or of listed files with ``source_file``; deleted files are left out."""
+    with_file = T.StructType([*schema.fields, T.StructField("source_file", T.StringType())])
+    if not files:
+        return spark.createDataFrame([], with_file)
+    raw = spark.read.schema(schema).parquet(*([files] if isinstance(files, str) else files))
+    live = raw.where(~F.contains(F.col("_metadata.file_path"), F.lit(DELETED)))
+    return live.withColumn("source_file", F.col("_metadata.file_name"))
 
 
 def _keys(df: DataFrame, zone: str) -> DataFrame:
@@ -59,31 +61,34 @@ def _hour_glob(hours: list[str] | None) -> str:
     return "*.parquet" if not hours else "*{" + ",".join(hours) + "}*"
 
 
-def read_logs(spark: SparkSession, root: str, hours: list[str] | None = None) -> DataFrame:
-    """All log files, or only those of some local hours (``YYYY-MM-DD_HH``)."""
-    raw = spark.read.schema(RAW_LOG).parquet(f"{root}/*/log-parquet/{_hour_glob(hours)}")
-    rows = normalize_logs(live_files(raw))
-    return rows.select(
+def read_logs(
+    spark: SparkSession, root: str, hours: list[str] | None = None, files: list[str] | None = None
+) -> DataFrame:
+    """All log files, only those of some local hours (``YYYY-MM-DD_HH``), or listed ones."""
+    where = f"{root}/*/log-parquet/{_hour_glob(hours)}" if files is None else files
+    return normalize_logs(_load(spark, RAW_LOG, where)).select(
         "timestamp_ns", "time_utc", "time_local", "date", "hour_key",
         F.col("k8_node_name").alias("node_name"), F.col("k8_pod").alias("pod_name"), "message",
-        file_name().alias("source_file"),
+        "source_file",
     )
 
 
-def read_spans(spark: SparkSession, root: str, hours: list[str] | None = None) -> DataFrame:
+def read_spans(
+    spark: SparkSession, root: str, hours: list[str] | None = None, files: list[str] | None = None
+) -> DataFrame:
     """Flat spans with the name of the file they come from."""
-    raw = spark.read.schema(RAW_SPAN).parquet(f"{root}/*/trace-parquet/{_hour_glob(hours)}")
-    tagged = live_files(raw).withColumn("source_file", file_name())
-    return _keys(span_fields(tagged, ["source_file"]), LOCAL_ZONE)
+    where = f"{root}/*/trace-parquet/{_hour_glob(hours)}" if files is None else files
+    return _keys(span_fields(_load(spark, RAW_SPAN, where), ["source_file"]), LOCAL_ZONE)
 
 
-def read_apm(spark: SparkSession, root: str, date: str = "*") -> DataFrame:
+def read_apm(
+    spark: SparkSession, root: str, date: str = "*", files: list[str] | None = None
+) -> DataFrame:
     """Per-pod service metrics, unpivoted; the pod name is part of the file name."""
-    raw = spark.read.schema(raw_metric(APM_METRICS, [])).parquet(
-        f"{root}/{date}/metric-parquet/apm/pod/*.parquet"
-    )
-    pod = pod_of_file(file_name())
-    rows = normalize_metrics(live_files(raw).withColumn("entity", pod)).withColumn(
+    where = f"{root}/{date}/metric-parquet/apm/pod/*.parquet" if files is None else files
+    raw = _load(spark, raw_metric(APM_METRICS, []), where)
+    pod = pod_of_file(F.col("source_file"))
+    rows = normalize_metrics(raw.withColumn("entity", pod)).withColumn(
         "service", service_of_metric_pod(F.col("entity"))
     )
     long = unpivot_wide(rows, ["timestamp_ns", "date", "entity", "service"], APM_METRICS)
@@ -101,56 +106,84 @@ def _long(df: DataFrame, kind: str) -> DataFrame:
     )
 
 
-def _read_infra(spark, path, metrics, entity_columns) -> DataFrame:
-    """Files that hold one metric each, in a column of the metric's own name."""
-    raw = spark.read.schema(raw_metric(metrics, entity_columns)).parquet(path)
-    rows = normalize_metrics(live_files(raw).withColumn("source_file", file_name()))
-    ids = ["timestamp_ns", "date", "source_file", *entity_columns]
-    return unpivot_wide(rows, ids, metrics).where(F.col("value").isNotNull())
+def _read_infra(spark, files, metrics, entity_columns) -> DataFrame:
+    """Files that hold one metric each, in a column of the metric's own name: a row stays a row."""
+    rows = normalize_metrics(_load(spark, raw_metric(metrics, entity_columns), files))
+    values = {m: nan_to_null(F.col(m)) for m in metrics}
+    named = [F.when(value.isNotNull(), F.lit(m)) for m, value in values.items()]
+    return rows.select(
+        "timestamp_ns", "date", "source_file", *entity_columns,
+        F.coalesce(*named).alias("metric"), F.coalesce(*values.values()).alias("value"),
+    ).where(F.col("value").isNotNull())
 
 
-def read_node_metrics(spark: SparkSession, root: str, date: str = "*") -> DataFrame:
-    metrics = [*NODE_METRICS, *EXTRA_NODE_METRICS]
-    path = f"{root}/{date}/metric-parquet/infra/infra_node/*.parquet"
-    rows = _read_infra(spark, path, metrics, ["kubernetes_node", "instance"])
+def read_node_metrics(
+    spark: SparkSession, root: str, date: str = "*", files: list[str] | None = None
+) -> DataFrame:
+    where = f"{root}/{date}/metric-parquet/infra/infra_node/*.parquet" if files is None else files
+    rows = _read_infra(
+        spark, where, [*NODE_METRICS, *EXTRA_NODE_METRICS], ["kubernetes_node", "instance"])
     return _long(rows.withColumnRenamed("kubernetes_node", "entity"), "node")
 
 
-def read_pod_metrics(spark: SparkSession, root: str, date: str = "*") -> DataFrame:
-    path = f"{root}/{date}/metric-parquet/infra/infra_pod/*.parquet"
-    rows = _read_infra(spark, path, POD_METRICS, ["pod", "instance", "device"])
+def read_pod_metrics(
+    spark: SparkSession, root: str, date: str = "*", files: list[str] | None = None
+) -> DataFrame:
+    where = f"{root}/{date}/metric-parquet/infra/infra_pod/*.parquet" if files is None else files
+    rows = _read_infra(spark, where, POD_METRICS, ["pod", "instance", "device"])
     rows = rows.withColumnRenamed("pod", "entity").withColumn(
         "service", service_of_metric_pod(F.col("entity"))
     )
     return _long(rows, "pod")
 
 
-def read_db_metrics(spark: SparkSession, root: str, date: str = "*") -> DataFrame:
+def read_db_metrics(
+    spark: SparkSession, root: str, date: str = "*", files: list[str] | None = None
+) -> DataFrame:
     """Database metrics; the component follows from the file name, its instances are pooled."""
-    base = f"{root}/{date}/metric-parquet"
+    where = f"{root}/{date}/metric-parquet/{{infra/infra_tidb,other}}/*.parquet"
     metrics = sorted({m for names in DB_METRICS.values() for m in names})
-    path = base + "/{infra/infra_tidb,other}/*.parquet"
-    rows = _read_infra(spark, path, metrics, ["instance"])
-    wanted = None
-    component = F.lit(None).cast("string")
-    for name, prefix in DB_FILE_PREFIX.items():
-        is_component = F.startswith(F.col("source_file"), F.lit(prefix))
-        component = F.when(is_component, F.lit(name)).otherwise(component)
-        known = is_component & F.col("metric").isin(DB_METRICS[name])
-        wanted = known if wanted is None else wanted | known
-    return _long(rows.where(wanted).withColumn("entity", component), "db_component")
+    rows = _read_infra(spark, where if files is None else files, metrics, ["instance"])
+    rows = rows.withColumn("entity", db_component(F.col("source_file")))
+    wanted = F.lit(False)
+    for name, known in DB_METRICS.items():
+        wanted = wanted | ((F.col("entity") == F.lit(name)) & F.col("metric").isin(known))
+    return _long(rows.where(wanted), "db_component")
 
 
-def read_metrics(spark: SparkSession, root: str, date: str = "*") -> DataFrame:
-    """All four metric families as one long table."""
-    families = (read_apm, read_node_metrics, read_pod_metrics, read_db_metrics)
-    parts = [read(spark, root, date) for read in families]
+FAMILIES = {"apm_pod": read_apm, "node": read_node_metrics, "pod": read_pod_metrics,
+            "db_component": read_db_metrics}
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
     return result
 
 
+def read_metrics(spark: SparkSession, root: str, date: str = "*") -> DataFrame:
+    """All four metric families as one long table."""
+    return _union([read(spark, root, date) for read in FAMILIES.values()])
+
+
+def read_in_windows(
+    spark: SparkSession, root: str, windows: DataFrame, kind: str,
+    metrics: list[str] | None = None,
+) -> DataFrame:
+    """The rows of the files that some window needs: ``log``, ``span`` or ``metric``.
+
+    The files are chosen from the listing before any is opened, and each kind is read once.
+    """
+    files = cut_lineage(
+        files_for_windows(file_catalogue(spark, root), windows, metrics), "files")
+    if kind == "metric":
+        return _union([
+            read(spark, root, files=paths_of(files, family)) for family, read in FAMILIES.items()])
+    read = {"log": read_logs, "span": read_spans}[kind]
+    return read(spark, root, files=paths_of(files, kind))
+
+
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """A normalised table; date and hour filters prune its partitions."""
     reader = spark.read if schema is None else spark.read.schema(schema)

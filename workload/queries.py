@@ -984,6 +984,41 @@ def _(spark, sf):
     return found.groupBy("uuid", "entity_kind", "date").agg(F.count(F.lit(1)).alias("n"))
 
 
+def raw_in_windows(spark, sf, kind, write):
+    """Raw files of the whole table, of which only those that a fault window needs are read."""
+    root = new_folder(spark)
+    write(spark, sf, root)
+    span = cut_lineage(windows.fault_windows(incident_table(spark, sf)))
+    rows = telemetry.read_in_windows(spark, root, span, kind)
+    return windows.interval_join(rows, span)
+
+
+@query("raw_log_scan", "SELECT uuid, timestamp_ns, hour_key, pod_name, node_name, message FROM fault_logs")
+def _(spark, sf):
+    found = raw_in_windows(spark, sf, "log", views.write_raw_logs)
+    return found.select("uuid", "timestamp_ns", "hour_key", "pod_name", "node_name", "message")
+
+
+@query("raw_span_scan", f"""SELECT uuid, span_id, parent_span_id, timestamp_ns,
+    CAST(floor(duration) AS BIGINT) AS duration, operation, pod, service_name, node_name,
+    'trace_jaeger-span_' ||
+    {local('timestamp_ns', '%Y-%m-%d_%H')} || '-00-00.parquet' AS source_file FROM fault_spans""")
+def _(spark, sf):
+    found = raw_in_windows(spark, sf, "span", views.write_raw_spans)
+    return found.select("uuid", "span_id", "parent_span_id", "timestamp_ns", "duration",
+                        "operation", "pod", "service_name", "node_name", "source_file")
+
+
+@query("raw_metric_scan", """SELECT w.uuid, m.timestamp_ns, m.date, m.entity_kind, m.entity,
+    m.service, m.metric, m.value, m.instance, m.device FROM metrics m JOIN fault_w w
+    ON m.timestamp_ns BETWEEN w.w_start_ns AND w.w_end_ns WHERE m.value IS NOT NULL""")
+def _(spark, sf):
+    found = raw_in_windows(spark, sf, "metric", views.write_raw_metrics)
+    return found.where(F.col("value").isNotNull()).select(
+        "uuid", "timestamp_ns", "date", "entity_kind", "entity", "service", "metric", "value",
+        "instance", "device")
+
+
 @query("file_report", "SELECT 'success' AS status, count(*) AS rows FROM logs")
 def _(spark, sf):
     path = new_folder(spark)

@@ -6,7 +6,9 @@ sampled. The SQL twins are in ``workload.oracle``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triagelake.fixed_values import HOUR_NS, SECOND_NS
@@ -227,3 +229,84 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("prompt"),
         F.col("text").alias("response"),
     )
+
+
+def write_raw_layout(rows: DataFrame, root: str, staged: str | None = None) -> None:
+    """Rows with ``folder`` and ``file`` as raw files ``<root>/<folder>/<file>``, one each."""
+    spark = rows.sparkSession
+    place = F.concat_ws("|", "folder", "file")
+    staged = staged or f"{root}.staged"
+    rows.withColumn("_at", place).drop("folder", "file").repartition("_at").write.partitionBy(
+        "_at").parquet(staged)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    system = path(root).getFileSystem(conf)
+    for folder in system.listStatus(path(staged)):
+        name = unquote(folder.getPath().getName())
+        if not name.startswith("_at="):
+            continue
+        target, file = name.removeprefix("_at=").split("|")
+        system.mkdirs(path(f"{root}/{target}"))
+        part = next(x.getPath() for x in system.listStatus(folder.getPath())
+                    if x.getPath().getName().endswith(".parquet"))
+        system.rename(part, path(f"{root}/{target}/{file}"))
+
+
+def _placed(rows: DataFrame, ns: str, folder: str, prefix: str) -> DataFrame:
+    """One file per local hour; at noon some rows also lie in a deleted file."""
+    hour = local_hour_key(F.col(ns))
+    file = F.concat(F.lit(prefix), hour, F.lit("-00-00.parquet"))
+    placed = rows.withColumn("folder", F.concat(local_date(F.col(ns)), F.lit(f"/{folder}")))
+    gone = placed.where(F.endswith(hour, F.lit("_12"))).withColumn(
+        "file", F.concat(F.lit("deleted_"), hour, F.lit("-00-00.parquet")))
+    return placed.withColumn("file", file).unionByName(gone).drop(ns)
+
+
+def iso_micros(ns: str):
+    instant = F.timestamp_micros(F.expr(f"{ns} div 1000"))
+    return F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def write_raw_logs(spark: SparkSession, sf_dir: str, root: str) -> None:
+    rows = logs(spark, sf_dir).select(
+        "timestamp_ns", iso_micros("timestamp_ns").alias("@timestamp"),
+        F.col("pod_name").alias("k8_pod"), F.col("node_name").alias("k8_node_name"), "message")
+    write_raw_layout(_placed(rows, "timestamp_ns", "log-parquet", "log_filebeat-server_"), root)
+
+
+def write_raw_spans(spark: SparkSession, sf_dir: str, root: str) -> None:
+    rows = raw_spans(spark, sf_dir).drop("row_id").withColumns({
+        "ns": F.col("startTime") * F.lit(1000), "duration": F.floor("duration")})
+    write_raw_layout(_placed(rows, "ns", "trace-parquet", "trace_jaeger-span_"), root)
+
+
+def write_raw_metrics(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """APM rows wide by pod, the other families one metric a file."""
+    rows = metrics(spark, sf_dir).withColumn("time", iso_micros("timestamp_ns"))
+    end = F.concat(F.lit("_"), F.col("date"), F.lit(".parquet"))
+
+    apm = rows.where("entity_kind = 'apm_pod'")
+    number = Window.partitionBy("entity", "metric", "time").orderBy(F.col("value").asc_nulls_last())
+    wide = apm.withColumn("nr", F.row_number().over(number)).groupBy(
+        "date", "entity", "time", "nr").pivot("metric", ["rrt", "request"]).agg(F.first("value"))
+    parts = [(wide, "apm/pod", F.concat(F.lit("pod_"), "entity"), ["time", "rrt", "request"])]
+    for kind, folder, names, entity in (
+        ("node", "infra/infra_node", ("node_cpu_usage_rate", "node_memory_usage_rate"),
+         [F.col("entity").alias("kubernetes_node")]),
+        ("pod", "infra/infra_pod", ("pod_cpu_usage", "pod_processes"),
+         [F.col("entity").alias("pod"), "instance", "device"]),
+    ):
+        for metric in names:
+            part = rows.where((F.col("entity_kind") == kind) & (F.col("metric") == metric))
+            parts.append((part, folder, F.lit(f"infra_{kind}_{metric}"),
+                          ["time", *entity, F.col("value").alias(metric)]))
+    for component, folder in (("tidb", "infra/infra_tidb"), ("pd", "other"), ("tikv", "other")):
+        part = rows.where((F.col("entity_kind") == "db_component")
+                          & (F.col("entity") == f"tidb-{component}"))
+        parts.append((part, folder, F.lit(f"infra_{component}_cpu_usage"),
+                      ["time", "instance", F.col("value").alias("cpu_usage")]))
+    for i, (part, folder, name, columns) in enumerate(parts):
+        placed = part.select(
+            *columns, F.concat(F.col("date"), F.lit(f"/metric-parquet/{folder}")).alias("folder"),
+            F.concat(name, end).alias("file"))
+        write_raw_layout(placed, root, f"{root}.staged-{i}")
