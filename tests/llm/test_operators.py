@@ -73,6 +73,54 @@ def test_words_have_equal_numbers_if_they_are_equal():
     assert n[0] == n[1] and n[2] == n[3] != n[0] and int(n[0]) == words.number_of(b"ab")
 
 
+CHAIN = " ".join(f"c{i}" for i in range(80))
+
+
+def near(text, *places):
+    parts = text.split()
+    for p in places:
+        parts[p] = f"x{p}"
+    return " ".join(parts)
+
+
+def test_a_row_without_an_id_still_links_its_neighbours(spark):
+    data = [(1, near(CHAIN, 0)), (None, near(CHAIN, 0, 79)), (3, near(CHAIN, 0, 79, 40))]
+    data[2] = (3, near(data[1][1], 1))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    plain = plain_components([(i or 2, t) for i, t in data], 3, 9, 10)
+    assert len({c for _, c in plain.values()}) == 1
+    found = ngram_join.jaccard_components(docs).collect()
+    assert {r.component_id for r in found} == {1}
+
+
+def test_rows_of_one_id_with_different_texts_both_stay(spark):
+    data = [(1, CHAIN, 5), (1, CHAIN.replace("c", "d"), 6), (None, CHAIN.replace("c", "e"), 7),
+            (None, CHAIN.replace("c", "e"), 8), (4, near(CHAIN, 79), 9), (5, None, 1), (5, " ", 2)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, `row` int")
+    kept = ngram_join.one_per_component(docs)
+    assert kept.columns == docs.columns
+    found = sorted((r[2] for r in kept.collect()))
+    assert found in ([1, 2, 5, 6, 7], [1, 2, 5, 6, 8])
+    odd_names = docs.selectExpr("doc_id", "text", "'s' AS source", "`row` AS _k0", "1 AS _n", "2 AS id")
+    mixed = mixing.mix_documents(odd_names)
+    assert mixed.columns == odd_names.columns and mixed.count()
+    assert {r._k0 for r in mixed.collect()} <= set(range(10)) and mixed.where("_n <> 1 or id <> 2").count() == 0
+
+
+def test_scores_do_not_depend_on_the_number_of_partitions(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("4", "9"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            scored = pitman_yor.score_texts(docs, F.col("doc_id") % 7 == 2).collect()
+            found.append({r.doc_id: r.score for r in scored})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(found[0]) == docs.count()
+    assert all(found[1][i] == pytest.approx(x, rel=1e-9) for i, x in found[0].items())
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     links = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(30)] + [(5, 5)]
     found = components.components(spark.createDataFrame(links, "a long, b long")).collect()

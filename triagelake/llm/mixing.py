@@ -213,14 +213,12 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     times = copies.groupBy(
         F.col(id_col).alias("_i"), F.col(source_col).alias("_s"), F.col("_key").alias("_k")
     ).agg(F.sum("copies").alias("_times")).where("_times > 0")
-    keyed = docs.withColumn("_k0", F.xxhash64(F.col(text_col).cast("string")))
-    unique = keyed.dropDuplicates([id_col, source_col, "_k0"])
-    same = (
-        F.col(id_col).cast("long").eqNullSafe(F.col("_i"))
-        & F.col(source_col).cast("string").eqNullSafe(F.col("_s"))
-        & (F.col("_k0") == F.col("_k"))
-    )
-    repeated = unique.join(times, same).withColumn(
-        "_n", F.explode(F.sequence(F.lit(1), F.col("_times")))
-    )
-    return repeated.select(*docs.columns)
+    # the caller's columns travel in one struct, so no name can clash
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("origin"),
+        F.xxhash64(F.col(text_col).cast("string")).alias("hash"))
+    same = (F.col("id").eqNullSafe(F.col("_i")) & F.col("origin").eqNullSafe(F.col("_s"))
+            & (F.col("hash") == F.col("_k")))
+    repeated = keyed.dropDuplicates(["id", "origin", "hash"]).join(times, same)
+    return repeated.select("row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")

@@ -148,6 +148,17 @@ def _set_table(k: int):
     return run
 
 
+def _set_members(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in packed.slices(batches):
+            size, set_id, _ = gram_sets(b.column(2), k)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(size.astype(np.int32)),
+                 pa.array(set_id.view(np.int64))], names=["id", "hash", "n", "set_id"])
+
+    return run
+
+
 def _shared_in_fragment(buckets: int, width: int, last: bool):
     """Within one fragment: the n-grams that at least two sets hold, with their frequency."""
 
@@ -369,19 +380,8 @@ def jaccard_components(
     table = cut_lineage(
         rows.mapInArrow(_set_table(k), "_row long, n int, set_id long"), "members"
     )
-    classes = table.where("n > 0").groupBy("set_id").agg(F.min("_row").alias("head"))
-    links = joining_links(rows, "text", k, num, den)
-    head = classes.select("set_id", "head")
-    named = (
-        links.select("a", "b")
-        .join(head.select(F.col("set_id").alias("a"), F.col("head").alias("x")), "a")
-        .join(head.select(F.col("set_id").alias("b"), F.col("head").alias("y")), "b")
-        .select(F.col("x").alias("a"), F.col("y").alias("b"))
-    )
-    groups = components(named).withColumnRenamed("node", "head")
-    reach = classes.join(groups, "head", "left").select(
-        "set_id", F.coalesce("component", "head").alias("component_id")
-    )
+    reach = _least_ids(table.where("n > 0").select("set_id", "_row"),
+                       joining_links(rows, "text", k, num, den))
     return table.join(reach.withColumn("n_ok", F.lit(True)), "set_id", "left").select(
         F.col("_row").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.coalesce("component_id", "_row")).otherwise(F.col("_row"))
@@ -389,16 +389,52 @@ def jaccard_components(
     )
 
 
+def _roots(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """(set_id, root): sets that reach each other through links have the same root."""
+    groups = components(links.select("a", "b"))
+    return sets.join(groups, F.col("set_id") == F.col("node"), "left").select(
+        "set_id", F.coalesce("component", "set_id").alias("root"))
+
+
+def _least_ids(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(set_id, component_id): the least id among the rows of all sets that a set reaches.
+
+    Components are those of the sets, so rows without an id join what lies on both sides of them.
+    """
+    classes = members.groupBy("set_id").agg(F.min("_row").alias("head"))
+    reach = cut_lineage(classes.join(_roots(classes.select("set_id"), links), "set_id"), "roots")
+    least = reach.groupBy("root").agg(F.min("head").alias("component_id"))
+    return reach.join(least, "root").select("set_id", "component_id")
+
+
 def one_per_component(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     k: int = 5, num: int = 8, den: int = 10,
 ) -> DataFrame:
-    """The rows of ``docs`` that head their component; of rows with that id, one stays.
+    """One row of each group of near copies, the one with the smallest id, all its columns kept.
 
-    Rows without an id, and rows with empty sets, stay as they are.
+    Rows without an id come last in their group; of equal ids the least text hash stays, and of
+    rows equal in both any one. Rows with empty sets stay as they are, whatever their ids.
     """
-    found = jaccard_components(docs, id_col, text_col, k, num, den)
-    heads = found.where(F.col("component_id") == F.col(id_col)).select(id_col).distinct()
-    kept = docs.join(heads, id_col, "left_semi")
-    kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
+    packed.bounded_batches(docs.sparkSession)
+    text = F.col(text_col).cast("string")
+    # the caller's columns travel in one struct, so no name can clash
+    kept = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"),
+        F.coalesce(F.rlike(text, F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)).alias("filled"),
+    )
+    rows = docs.select(F.col(id_col).cast("long").alias("_row"), text.alias("text"))
+    named = rows.select(F.col("_row").alias("id"), F.xxhash64("text").alias("hash"), "text")
+    members = cut_lineage(named.mapInArrow(
+        _set_members(k), "id long, hash long, n int, set_id long").where("n > 0"), "members")
+    links = joining_links(rows, "text", k, num, den)
+    roots = _roots(members.select("set_id").distinct(), links)
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
+    heads = members.groupBy("set_id").agg(F.min(rank).alias("best")).join(roots, "set_id").groupBy(
+        "root").agg(F.min("best").alias("best")).select(
+        F.col("best.id").alias("head"), F.col("best.hash").alias("head_hash"))
+    chosen = kept.where("filled").join(
+        heads, F.col("id").eqNullSafe(F.col("head")) & (F.col("hash") == F.col("head_hash")),
+        "left_semi").dropDuplicates(["id", "hash"])
+    return chosen.select("row.*").unionByName(kept.where("not filled").select("row.*"))
