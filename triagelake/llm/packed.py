@@ -6,7 +6,6 @@ for every single number.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterable, Iterator
 from itertools import pairwise
 
@@ -30,16 +29,6 @@ def bounded_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def release(spark: SparkSession) -> None:
-    """Has Spark delete the shuffle files of jobs that are done.
-
-    Its cleaner acts when the driver's garbage is collected, which a driver with little to do may
-    put off until the disks are full.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def partitions(spark: SparkSession, factor: int = 1) -> int:
     """A number of groups that follows the session's shuffle partitions."""
     return factor * int(spark.conf.get("spark.sql.shuffle.partitions"))
