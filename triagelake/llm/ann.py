@@ -3,10 +3,10 @@
 A bounded sample is halved again and again into equal parts, whose means are the centroids of
 the posting lists. Every vector goes to its nearest list and, if it lies near a boundary, to
 further ones; of two lists in the same direction only the nearer takes it. Centroids are found
-by best-first search on an in-memory neighbour graph. A query reads, of a given share of all
-lists, those whose centroid is at most a given ratio farther than its nearest one, and ranks what
-it finds there by exact cosine. The share keeps recall from falling as lists grow in number; where
-it is large, all centroids are compared at once instead of walking the graph.
+by best-first search on an in-memory neighbour graph, for rows and queries alike. A query reads,
+of a given share of all lists, those whose centroid is at most a given ratio farther than its
+nearest one, and ranks what it finds there by exact cosine. The share keeps recall from falling as
+lists grow in number.
 
 Lists longer than a block are cut into blocks by hash, and each block serves its queries alone,
 so a vector that is copied very often makes more blocks, not a longer task.
@@ -26,6 +26,10 @@ from triagelake.llm import packed, vectors
 from triagelake.session import cut_lineage
 
 
+#: Centroids that a vector opens in one step of the graph search.
+OPEN_AT_ONCE = 4
+
+
 @dataclass(frozen=True)
 class Settings:
     """``sample`` and ``max_lists`` bound what the driver holds and broadcasts.
@@ -83,51 +87,59 @@ def neighbour_graph(centre: np.ndarray, degree: int) -> np.ndarray:
 
 
 class CentroidGraph:
-    """Best-first search of many vectors at once over the neighbour graph."""
+    """Best-first search of many vectors at once over the neighbour graph.
+
+    Each vector has a beam of the nearest centroids it has met, and a mark for every one it has
+    met at all. A step opens its nearest unopened ones, ``OPEN_AT_ONCE`` together, and merges their
+    new neighbours into the beam; a vector is done when its whole beam is open.
+    """
 
     def __init__(self, centre: np.ndarray, graph: np.ndarray):
         self.centre, self.graph = centre, graph
         self.entries = np.unique(np.linspace(0, len(centre) - 1, 8).astype(np.int64))
 
     def nearest(self, vecs: np.ndarray, want: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Centroids and squared distances of unit vectors, nearest first."""
+        """Centroids and squared distances of unit vectors, nearest first (unreached: infinite)."""
         n, lists = len(vecs), len(self.centre)
-        beam = min(max(beam, want), lists)
-        dist = np.full((n, lists), np.inf, dtype=np.float32)
-        opened = np.zeros((n, lists), dtype=bool)
-        dist[:, self.entries] = 2 - 2 * vecs @ self.centre[self.entries].T
+        beam, want = min(max(beam, want), lists), min(want, lists)
+        name = np.zeros((n, beam), dtype=np.int64)
+        dist = np.full((n, beam), np.inf)
+        opened = np.ones((n, beam), dtype=bool)
+        met = np.zeros((n, lists), dtype=bool)
         row = np.arange(n)
+        near = np.broadcast_to(self.entries, (n, len(self.entries)))
         while len(row):
-            live = dist[row]
-            limit = np.partition(live, beam - 1, axis=1)[:, beam - 1]
-            live = np.where(opened[row], np.inf, live)
-            pick = np.argmin(live, axis=1)
-            best = live[np.arange(len(row)), pick]
-            go = np.isfinite(best) & (best <= limit)
-            row, pick = row[go], pick[go]
+            near = np.sort(near, axis=1)
+            new = ~met[row[:, None], near]
+            new[:, 1:] &= near[:, 1:] != near[:, :-1]
+            met[row[:, None], near] = True
+            at, column = np.nonzero(new)
+            far = np.full(near.shape, np.inf)
+            far[at, column] = 2 - 2 * np.einsum(
+                "ik,ik->i", self.centre[near[at, column]], vecs[row[at]])
+            names = np.concatenate([name[row], near], axis=1)
+            every = np.concatenate([dist[row], far], axis=1)
+            done = np.concatenate([opened[row], ~new], axis=1)
+            best = np.argpartition(every, beam - 1, axis=1)[:, :beam]
+            names, every, done = (np.take_along_axis(x, best, axis=1)
+                                  for x in (names, every, done))
+            go = ~done.all(axis=1)
+            name[row], dist[row], opened[row] = names, every, done
+            row, names, every, done = row[go], names[go], every[go], done[go]
             if not len(row):
                 break
-            opened[row, pick] = True
-            near = self.graph[pick]
-            found = 2 - 2 * np.einsum("ijk,ik->ij", self.centre[near], vecs[row])
-            dist[row[:, None], near] = found
-        return self._best(dist, min(want, lists))
-
-    def ranked(self, vecs: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
-        """The same by comparing all centroids."""
-        return self._best(2 - 2 * vecs @ self.centre.T, want)
-
-    @staticmethod
-    def _best(dist: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
-        top = np.argpartition(dist, want - 1, axis=1)[:, :want]
-        d = np.take_along_axis(dist, top, axis=1)
-        order = np.argsort(d, axis=1, kind="stable")
-        return np.take_along_axis(top, order, axis=1), np.take_along_axis(d, order, axis=1)
+            width = min(OPEN_AT_ONCE, beam)
+            pick = np.argpartition(np.where(done, np.inf, every), width - 1, axis=1)[:, :width]
+            opened[row[:, None], pick] = True
+            near = self.graph[np.take_along_axis(names, pick, axis=1)].reshape(len(row), -1)
+        order = np.argsort(dist, axis=1, kind="stable")[:, :want]
+        return np.take_along_axis(name, order, axis=1), np.take_along_axis(dist, order, axis=1)
 
 
 def boundary_lists(graph: CentroidGraph, vecs: np.ndarray, s: Settings) -> list[np.ndarray]:
     """The lists each vector belongs to: the nearest, and near ones in other directions."""
     found, dist = graph.nearest(vecs, s.replicas * 3, s.beam)
+    # what was not reached is infinitely far and never kept
     distance = np.sqrt(np.maximum(dist, 0))
     out = []
     for lists, d in zip(found, distance, strict=True):
@@ -147,10 +159,7 @@ def probed_lists(graph: CentroidGraph, vecs: np.ndarray, s: Settings) -> list[np
     """The lists each query reads: those within the distance ratio of its nearest one."""
     total = len(graph.centre)
     want = min(total, max(s.probes, math.ceil(s.probe_share * total)))
-    if want * 8 >= total:
-        found, dist = graph.ranked(vecs, want)
-    else:
-        found, dist = graph.nearest(vecs, want, s.beam)
+    found, dist = graph.nearest(vecs, want, s.beam)
     distance = np.sqrt(np.maximum(dist, 0))
     return [lists[(d <= s.probe_ratio * d[0] + 1e-12) & np.isfinite(d)]
             for lists, d in zip(found, distance, strict=True)]
@@ -171,7 +180,7 @@ def _route(shared, choose, dim: int, s: Settings):
             if not b.num_rows:
                 continue
             vecs = vectors.matrix(b.column(1), dim)
-            unit = vecs / np.sqrt((vecs ** 2).sum(axis=1, keepdims=True))
+            unit = _unit(vecs)
             lists = choose(graph, unit, s)
             count = np.array([len(x) for x in lists])
             row = np.repeat(np.arange(len(vecs)), count)
@@ -184,7 +193,22 @@ def _route(shared, choose, dim: int, s: Settings):
     return run
 
 
+def _scaled(vecs: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, so that the largest component lies in 0.5 to 1.
+
+    Cosines stay the same to the last bit, and squares neither overflow nor vanish.
+    """
+    _, exponent = np.frexp(np.abs(vecs).max(axis=1, initial=0.0))
+    return np.ldexp(vecs, -exponent[:, None])
+
+
+def _unit(vecs: np.ndarray) -> np.ndarray:
+    vecs = _scaled(vecs)
+    return vecs / np.sqrt((vecs ** 2).sum(axis=1, keepdims=True))
+
+
 def _block(ids: np.ndarray, vecs: np.ndarray) -> tuple:
+    vecs = _scaled(vecs)
     norm = np.sqrt((vecs * vecs).sum(axis=1))
     return ids, vecs, norm, vecs / norm[:, None]
 
@@ -192,6 +216,7 @@ def _block(ids: np.ndarray, vecs: np.ndarray) -> tuple:
 def _nearest_in_block(k: int):
     def search(block, query_id, query, _):
         ids, vecs, norm, unit = block
+        query = _scaled(query)
         size = np.sqrt((query * query).sum(axis=1))
         rough = (query / size[:, None]) @ unit.T
         rough[query_id[:, None] == ids[None, :]] = -np.inf
@@ -226,7 +251,7 @@ def nearest_neighbours(
     n, s = rows.count(), settings
     picked = rows.orderBy(F.xxhash64("_id"), "_id").limit(s.sample).toArrow()
     sample = vectors.matrix(picked["_vec"], dim)
-    sample /= np.sqrt((sample ** 2).sum(axis=1, keepdims=True))
+    sample = _unit(sample)
     lists = max(1, min(s.max_lists, round(n / s.list_rows), len(sample)))
     centre = balanced_centroids(sample, lists)
     shared = spark.sparkContext.broadcast((centre, neighbour_graph(centre, s.degree)))
