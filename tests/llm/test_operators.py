@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 import struct
 import zlib
@@ -233,6 +234,61 @@ def test_recall_holds_with_many_more_lists_than_probes(spark):
     assert hits >= 0.9 * total
 
 
+def test_the_graph_finds_the_nearest_of_many_lists():
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=(12000, 24))
+    centre = ann.balanced_centroids(rows / np.linalg.norm(rows, axis=1, keepdims=True), 2000)
+    graph = ann.CentroidGraph(centre, ann.neighbour_graph(centre, 24))
+    vecs = rng.normal(size=(200, 24))
+    vecs /= np.linalg.norm(vecs, axis=1, keepdims=True)
+    for want, beam in ((18, 128), (500, 128)):
+        found, dist = graph.nearest(vecs, want, beam)
+        exact = np.argsort(2 - 2 * vecs @ centre.T, axis=1)[:, :want]
+        share = np.mean([len(set(a.tolist()) & set(b.tolist())) / want
+                         for a, b in zip(found, exact, strict=True)])
+        assert share >= 0.9 and (np.diff(dist, axis=1) >= 0).all()
+        assert all(len(set(a.tolist())) == want for a in found)
+
+
+def test_vectors_of_extreme_length_are_found(spark):
+    rows = [(0, [1.0, 0.1]), (1, [1e-200, 0.0]), (2, [1e200, 1e199]), (3, [0.0, 5e-324]),
+            (4, [1.0, 0.5])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.nearest_neighbours(table, table.where("vec_id in (0, 2)"), k=4).collect()
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in found}
+    assert [got[0, j][0] for j in (1, 2, 3, 4)] == [2, 1, 4, 3]
+    assert [got[2, j][0] for j in (1, 2, 3, 4)] == [0, 1, 4, 3]
+    assert abs(got[0, 1][1] - 1) < 1e-12 and abs(got[0, 2][1] - 1 / 1.01 ** 0.5) < 1e-12
+
+
+def test_ties_at_the_last_place_of_both_searches(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(30)] + [(i, [1.0, 0.0]) for i in (0, 7)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = table.where("vec_id = 20")
+    for found in (ann.nearest_neighbours(table, asked, k=5), topk.exact_top_k(table, asked, k=5)):
+        assert [r.vec_id for r in found.orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_exact_top_k_of_very_large_components(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(topk, "SHARD_ROWS", 64)
+    for size in (2.0 ** 22, 2.0 ** 31, 1e200):
+        vecs = (rng.normal(size=(200, 3)) * size).tolist()
+        vecs[7] = [4194304.015625, 4194304.015625, 4194304.015625]
+        vecs[9:12] = [vecs[8]] * 3
+        table = spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<double>")
+        found = topk.exact_top_k(table, table.where("vec_id % 20 = 7"), k=5).collect()
+        got = defaultdict(list)
+        for r in sorted(found, key=lambda r: (r.query_id, r["rank"])):
+            got[r.query_id].append((r.vec_id, r.score))
+        whole = [[math.floor(64 * x) for x in v] for v in vecs]
+        most = 2 ** 63 - 1
+        for q in range(7, 200, 20):
+            scores = [(-max(-most, min(most, sum(a * b for a, b in zip(whole[q], v, strict=True)))), i)
+                      for i, v in enumerate(whole) if i != q]
+            assert got[q] == [(i, -s) for s, i in sorted(scores)[:5]]
+
+
 def test_exact_top_k_equals_brute_force(spark, sf):
     table = vectors_of(spark, sf)
     rows = table.collect()

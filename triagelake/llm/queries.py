@@ -63,7 +63,15 @@ def chat_formatting(spark, sf_dir):
     return chat.read_back(chat.format_turns(turns.unionByName(extra)))
 
 
-@query("op4_exact_top_k")
+@query("op4_exact_top_k", """WITH v AS (SELECT vec_id AS id,
+    list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS vec FROM embeddings
+    WHERE len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  pairs AS (SELECT a.id AS query_id, b.id AS vec_id,
+    CAST(list_dot_product(a.vec, b.vec) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 20 = 0)
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)
+    AS INTEGER) AS rank, vec_id, score FROM pairs QUALIFY rank <= 20""")
 def exact_top_k(spark, sf_dir):
     vecs = table(spark, sf_dir, "embeddings")
     return topk.exact_top_k(vecs, vecs.where(F.col("vec_id") % 20 == 0), k=20, scale=64.0)

@@ -22,27 +22,29 @@ from triagelake.session import cut_lineage
 SHARD_ROWS = 8192
 QUERY_BLOCK = 65536
 LEAF = 64
-HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-HITS_DDL = "query_id long, vec_id long, score double"
+HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+HITS_DDL = "query_id long, vec_id long, score long"
 EXACT = float(1 << 53)
+MOST = (1 << 63) - 1
+#: Below every score.
+NONE = -MOST - 1
 
 
 def inner_products(queries: np.ndarray, vecs: np.ndarray, peak: float | None = None) -> np.ndarray:
-    """Exact products of whole-number vectors kept as doubles; very large ones take the slow way.
+    """Exact 64-bit products of whole-number vectors that come as doubles.
 
-    ``peak`` is a known bound of the product of a component of each side. Beyond what 64 bits
-    hold, the value is cut to the largest or smallest 64-bit number.
+    ``peak`` is a known bound of the product of a component of each side. Products that doubles
+    may not hold are summed in whole numbers of any length. What 64 bits do not hold is cut to
+    the largest or smallest score, plus or minus 2^63 - 1.
     """
     if not len(queries) or not len(vecs):
-        return np.zeros((len(queries), len(vecs)))
+        return np.zeros((len(queries), len(vecs)), dtype=np.int64)
     if peak is None:
-        peak = np.abs(queries).max() * np.abs(vecs).max()
+        peak = float(np.abs(queries).max()) * float(np.abs(vecs).max())
     if peak * vecs.shape[1] < EXACT:
-        return queries @ vecs.T
-    whole = [[[int(x) for x in row] for row in side] for side in (queries, vecs)]
-    return np.array([[float(max(-(1 << 63), min((1 << 63) - 1025,
-                     sum(a * b for a, b in zip(q, v, strict=True)))))
-                      for v in whole[1]] for q in whole[0]])
+        return (queries @ vecs.T).astype(np.int64)
+    whole = np.frompyfunc(int, 1, 1)
+    return np.clip(whole(queries) @ whole(vecs).T, -MOST, MOST).astype(np.int64)
 
 
 class BallTree:
@@ -56,15 +58,18 @@ class BallTree:
             if len(rows) <= LEAF:
                 self.leaves.append((ids[rows], vecs[rows]))
                 continue
-            axis = int(np.argmax(vecs[rows].var(axis=0)))
+            with np.errstate(over="ignore", invalid="ignore"):
+                axis = int(np.argmax(vecs[rows].var(axis=0)))
             order = rows[np.argsort(vecs[rows, axis], kind="stable")]
             todo += [order[len(order) // 2:], order[:len(order) // 2]]
         self.peak = np.abs(vecs).max(initial=0)
-        self.centre = np.array([v.mean(axis=0) for _, v in self.leaves])
-        self.radius = np.array([
-            np.sqrt(((v - c) ** 2).sum(axis=1).max())
-            for (_, v), c in zip(self.leaves, self.centre, strict=True)
-        ])
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.centre = np.array([v.mean(axis=0) for _, v in self.leaves])
+            self.radius = np.array([
+                np.sqrt(((v - c) ** 2).sum(axis=1).max())
+                for (_, v), c in zip(self.leaves, self.centre, strict=True)
+            ])
+            self.reach = np.sqrt((self.centre ** 2).sum(axis=1)) + self.radius
 
     def search(self, query_id: np.ndarray, query: np.ndarray, floor: np.ndarray, k: int):
         """The k best of this tree per query that are not below its floor.
@@ -74,18 +79,23 @@ class BallTree:
         that want the same leaf are multiplied with it together.
         """
         n = len(query)
-        norm = np.sqrt((query ** 2).sum(axis=1))
-        bound = query @ self.centre.T + norm[:, None] * self.radius[None, :]
-        bound += 1e-9 * (1 + np.abs(bound) + norm[:, None])
+        with np.errstate(over="ignore", invalid="ignore"):
+            norm = np.sqrt((query ** 2).sum(axis=1))
+            bound = query @ self.centre.T + norm[:, None] * self.radius[None, :]
+            bound += 1e-9 * (1 + norm[:, None] * self.reach[None, :])
+            peak = float(np.abs(query).max(initial=0) * self.peak)
+        bound[np.isnan(bound)] = np.inf
+        # a score beyond 2^53 may have been rounded up on its way here
+        floor = np.where(np.abs(floor) < EXACT, floor, np.nextafter(floor, -np.inf))
         order = np.argsort(-bound, axis=1, kind="stable")
         bound = np.take_along_axis(bound, order, axis=1)
-        peak = np.abs(query).max(initial=0) * self.peak
-        score = np.full((n, k), -np.inf)
+        score = np.full((n, k), NONE, dtype=np.int64)
         found = np.full((n, k), np.iinfo(np.int64).max)
         low, high = 0, 1
         while low < len(self.leaves):
-            kth = np.maximum(floor, score[:, k - 1])
-            who, at = np.nonzero(bound[:, low:high] >= kth[:, None])
+            kth = score[:, k - 1].copy()
+            least = np.maximum(floor, np.nextafter(kth.astype(float), -np.inf))
+            who, at = np.nonzero(bound[:, low:high] >= least[:, None])
             if not len(who):
                 break
             leaf = order[who, low + at]
@@ -96,12 +106,13 @@ class BallTree:
                 asking = who[a:a + m]
                 ids, vecs = self.leaves[leaf[a]]
                 got = inner_products(query[asking], vecs, peak)
-                row, column = np.nonzero(got >= kth[asking][:, None])
+                row, column = np.nonzero(
+                    (got >= kth[asking][:, None]) & (got >= floor[asking][:, None]))
                 row, column = _other(query_id[asking], ids, row, column)
                 new.append((asking[row], got[row, column], ids[column]))
             self._merge(score, found, [np.concatenate(x) for x in zip(*new, strict=True)], k)
             low, high = high, 2 * high
-        hit = np.isfinite(score) & (score >= floor[:, None])
+        hit = (score != NONE) & (score >= floor[:, None])
         return np.repeat(query_id, hit.sum(axis=1)), found[hit], score[hit]
 
     @staticmethod
@@ -111,7 +122,7 @@ class BallTree:
         who = np.concatenate([np.repeat(touched, k), new[0]])
         value = np.concatenate([score[touched].ravel(), new[1]])
         names = np.concatenate([found[touched].ravel(), new[2]])
-        best = np.lexsort((names, -value, who))
+        best = np.lexsort((names, ~value, who))  # ~: largest first, without overflow
         start, _ = packed.runs(who[best])
         best = best[(start[:, None] + np.arange(k)).ravel()]
         score[touched] = value[best].reshape(-1, k)
@@ -140,7 +151,8 @@ def exact_top_k(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` largest inner products of every query.
 
-    Components become ``floor(scale * x)``; scores are exact whole numbers. Ties go to the
+    Components become ``floor(scale * x)``; scores are exact whole numbers, as far as 64 bits
+    hold them (beyond, see ``inner_products``: they are cut, and so may tie). Ties go to the
     smaller id; a query never finds its own id; with fewer candidates there are fewer rows.
     Which rows take part, also among the queries, is told in ``vectors.usable``.
     """
@@ -178,7 +190,7 @@ def exact_top_k(
         block(home, part).alias("_block"), "_id", "_vec", low.alias("_bound")
     )), "hits")
     kth = at_home.groupBy("query_id").agg(
-        F.min("score").alias("_kth"), F.count("*").alias("_n")
+        F.min("score").cast("double").alias("_kth"), F.count("*").alias("_n")
     ).where(F.col("_n") == k).select(F.col("query_id").alias("_id"), "_kth")
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))
     elsewhere = asked.join(kth, "_id", "left").withColumn("_shard", others).where(
@@ -189,7 +201,7 @@ def exact_top_k(
     return (
         at_home.unionByName(hits(elsewhere)).withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
+        .select("query_id", "rank", "vec_id", "score")
     )
 
 
