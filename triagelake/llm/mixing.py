@@ -29,6 +29,8 @@ STATE = pa.schema([
     ("_id", pa.int64()), ("_key", pa.int64()), ("_source", pa.int64()), ("_bucket", pa.int64()),
     ("size", pa.int64()), ("part", pa.float64()), ("_open", pa.bool_()),
 ])
+#: Equal rows that travel to a chunk as one.
+TOGETHER = 64
 STATE_DDL = "_id long, _key long, _source long, _bucket long, size long, part double, _open boolean"
 EPS = 1e-9
 
@@ -101,6 +103,8 @@ def _settle(part: np.ndarray, size: np.ndarray, excess: float) -> None:
 
 def _round_chunk(seed: int, level: int):
     def run(table: pa.Table) -> pa.Table:
+        times = table["_times"].to_numpy()
+        table = table.take(pa.array(np.repeat(np.arange(len(times)), times)))
         table = table.sort_by([("size", "descending"), ("_id", "ascending"),
                                ("_key", "ascending"), ("part", "ascending")])
         size = table["size"].to_numpy().astype(np.int64)
@@ -140,18 +144,21 @@ def mixed_copies(
     holds the document, at most ``ceil(cap)``; ``taken`` are the words of these copies. Empty
     documents never change a sum; they get the whole copies of their source's share. Random
     numbers come from the seed, the source and the chunk, and rows are ordered by their values,
-    so reruns agree. Repeated rows and ids are rounded each for itself. An empty table gives an
-    empty one. Other columns are not read.
+    so reruns agree. Repeated rows and ids are rounded each for itself; equal rows are counted
+    first and dealt to the chunks in small packs. An empty table gives an empty one. Other columns
+    are not read.
     """
     text = F.col(text_col).cast("string")
-    rows = cut_lineage(docs.select(
+    rows = docs.select(
         F.col(id_col).cast("long").alias("_id"), F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(text).alias("_key"),
-    ), "sizes")
+    )
+    rows = cut_lineage(
+        rows.groupBy("_id", "source", "size", "_key").agg(F.count("*").alias("_times")), "sizes")
     sums = rows.groupBy("source").agg(
-        F.sum("size").alias("source_size"),
-        F.ceil(F.count("*") / CHUNK).alias("_buckets"),
+        F.sum(F.col("size") * F.col("_times")).alias("source_size"),
+        F.ceil(F.sum("_times") / CHUNK).alias("_buckets"),
     )
     targets = source_targets(sums.select("source", "source_size"), weights, share, cap)
     per_source = cut_lineage(
@@ -165,9 +172,14 @@ def mixed_copies(
         spread(per_source.withColumnRenamed("source", "_s")),
         F.col("source").eqNullSafe(F.col("_s")),
     ).drop("_s").withColumn("_whole", F.floor(rate)).withColumn("part", rate - F.floor(rate))
+    # one row per pack of equal rows; a pack of each row is all there is without repeats
+    packs = F.explode(F.sequence(
+        F.lit(0).cast("long"), F.floor((F.col("_times") - 1) / TOGETHER).cast("long")))
+    all_rows = all_rows.withColumn("_pack", packs).withColumn(
+        "_times", F.least(F.lit(TOGETHER), F.col("_times") - F.col("_pack") * TOGETHER))
     state = all_rows.where("size > 0").select(
         "_id", "_key", "_source", "size", "part", F.lit(True).alias("_open"), "_buckets",
-        F.pmod(F.xxhash64("_id", "_key"), F.col("_buckets")).alias("_bucket"),
+        F.pmod(F.xxhash64("_id", "_key", "_pack"), F.col("_buckets")).alias("_bucket"), "_times",
     )
     most = per_source.agg(F.max("_buckets")).first()[0] or 1
     levels = 1 + (math.ceil(math.log(most, FAN_IN)) if most > 1 else 0)
@@ -186,9 +198,10 @@ def mixed_copies(
         ).select(
             "_id", "_key", "_source", "size", "part", "_open",
             F.ceil(F.col("_first") / span).alias("_buckets"),
-            F.floor(F.col("_bucket") / FAN_IN).alias("_bucket"),
+            F.floor(F.col("_bucket") / FAN_IN).alias("_bucket"), F.lit(1).cast("long").alias("_times"),
         )
-    empty = all_rows.where("size = 0").select(
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))
+    empty = all_rows.where("size = 0").withColumn("_each", each).select(
         "_id", "_key", "_source", "size", F.lit(0.0).alias("part")
     )
     named = per_source.select(
