@@ -92,8 +92,9 @@ class PartVisitor:
         self.length = 0
         self.attachments: list[dict] = []
 
-    def visit(self, part: dict) -> None:
-        getattr(self, f"visit_{part.get('type')}", self.visit_unknown)(part)
+    def visit(self, part: dict | None) -> None:
+        if part is not None:
+            getattr(self, f"visit_{part.get('type')}", self.visit_unknown)(part)
 
     def _write(self, piece: str) -> None:
         self.out.append(piece)
@@ -121,7 +122,10 @@ class PartVisitor:
         self._attach("document", self.template.document, part.get("ref"), tokens)
 
     def visit_unknown(self, part: dict) -> None:
-        raise ValueError(f"unknown content part: {part.get('type')!r}")
+        """Any other type, and none: its text, if it has one, and a record without tokens."""
+        self.attachments.append({"kind": part.get("type") or "unknown", "ref": part.get("ref"),
+                                 "at": self.length, "tokens": 0})
+        self.visit_text(part)
 
 
 def format_turn(template: Template, escape: Escape, role: str, parts: list[dict]) -> tuple:
@@ -154,8 +158,9 @@ def format_turns(
 
     Needs the columns conv_id, turn, role and text; ``parts_col`` names an array of typed parts
     that is used instead of the text where it is not NULL. NULL text and NULL role count as
-    empty. The loss mask covers the content of the learned role. Positions count code points
-    in the formatted turn. Repeated turns stay repeated; an empty table gives an empty one.
+    empty, a NULL part is left out, and a part of another type, or none, gives its text and is
+    recorded with 0 tokens. The loss mask covers the content of the learned role. Positions count
+    code points in the formatted turn. Repeated turns stay repeated; an empty table gives an empty one.
     """
     packed.bounded_batches(turns.sparkSession)
 
