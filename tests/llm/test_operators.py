@@ -353,6 +353,24 @@ def test_content_parts_become_placeholders(spark):
     assert row.formatted.count("<|image|>") == 1 and row.attachment_tokens == 1065
 
 
+def test_parts_of_unknown_types_and_repeated_or_long_turns(spark):
+    part = dict.fromkeys(("type", "text", "ref", "width", "height", "seconds", "pages"))
+    parts = [part | {"type": "video", "ref": "v.mp4"}, None, part | {"text": "no type </s>"}]
+    long = "ab </s> " * 200_000
+    rows = [(1, 0, "user", None, parts), (2, 0, "assistant", long, None),
+            (2, 0, "assistant", long, None)]
+    table = spark.createDataFrame(
+        rows, f"conv_id long, turn long, role string, text string, parts {chat.PARTS_DDL}")
+    turns = chat.format_turns(table, parts_col="parts")
+    row = turns.where("conv_id = 1").first()
+    assert [(a.kind, a.ref, a.tokens) for a in row.attachments] == [
+        ("video", "v.mp4", 0), ("unknown", None, 0)]
+    read = {r.conv_id: r for r in chat.read_back(turns).collect()}
+    told = hashlib.sha256(b"user\nno type </s>\n").hexdigest()
+    assert read[1].turns_sha256 == told and read[2].n_turns == 2
+    assert read[2].loss_sha256 == hashlib.sha256((long * 2).encode()).hexdigest()
+
+
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -537,6 +555,41 @@ def test_mix_of_odd_rows(odd, empty):
     assert mixing.mixed_copies(empty).count() == 0
 
 
+def test_equal_rows_are_dealt_to_many_chunks(spark):
+    same = spark.range(40_000).select(F.lit(1).cast("long").alias("doc_id"))
+    rows = same.unionByName(spark.range(10, 40_010).toDF("doc_id")).select(
+        "doc_id", F.when(F.col("doc_id") == 1, F.lit("one two three")).otherwise(
+            F.concat(F.lit("w "), F.col("doc_id").cast("string"))).alias("text"),
+        F.lit("a").alias("source"))
+    rows = rows.unionByName(spark.range(5000).select(
+        F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"),
+        F.lit("a").alias("source")))
+    seen = []
+    inner = mixing._round_chunk
+
+    def watched(seed, level):
+        seen.append(level)
+        run = inner(seed, level)
+
+        def check(table):
+            out = run(table)
+            assert len(out) <= 1.5 * mixing.CHUNK, len(out)
+            return out
+        return check
+
+    mixing._round_chunk = watched
+    try:
+        found = mixing.mixed_copies(rows).groupBy("doc_id", "size").agg(
+            F.count("*").alias("n"), F.sum("taken").alias("taken"), F.max("copies").alias("most"),
+            F.first("target").alias("target")).collect()
+    finally:
+        mixing._round_chunk = inner
+    assert len(seen) > 1 and len(found) == 40_002
+    counts = {r.doc_id: r.n for r in found}
+    assert counts[1] == 40_000 and counts[None] == 5000 and max(r.most for r in found) <= 2
+    assert abs(sum(r.taken for r in found) - found[0].target) <= 3
+
+
 def test_language_model_counts_and_probabilities(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
@@ -635,6 +688,33 @@ def test_toxic_documents_are_found_on_held_out_labels(spark):
     assert spans and all(not re.search(r"\s", s) for s in spans)
 
 
+def test_a_phrase_repeated_word_for_word_is_learned(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(2000):
+        said = [f"w{x}" for x in rng.integers(0, 800, 40)]
+        if i % 4 == 0:
+            said[20:25] = ["common", "vile", "nasty", "slur", "word"]
+        rows.append((i, " ".join(said), int(i % 4 == 0)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(table.where("doc_id < 1600"), table.where("doc_id < 1600"))
+    found = toxicity.score_toxicity(table.where("doc_id >= 1600"), model).collect()
+    right = [(r.score >= 0.5) == (r.doc_id % 4 == 0) for r in found]
+    assert len(right) == 400 and np.mean(right) >= 0.98
+
+
+def test_near_copies_of_one_toxic_document_teach_no_common_words(spark):
+    rng = np.random.default_rng(5)
+    base = [f"b{x}" for x in range(60)]
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 800, 40)), 0) for i in range(900)]
+    for i in range(900, 1050):
+        near = list(base)
+        near[int(rng.integers(60))] = f"w{rng.integers(0, 800)}"
+        rows.append((i, " ".join(near), 1))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert len(toxicity.fit(table, table).feature) == 0
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (3, 0), (4, 0), (None, 1), (5, None)],
                                    "doc_id long, toxic int")

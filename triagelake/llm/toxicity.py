@@ -2,8 +2,9 @@
 
 Tokens carry the features word, prefixes and suffixes. Documents are labelled, tokens are not:
 a token of a toxic training document is labelled toxic if one of its features hardly occurs in
-clean documents and occurs in toxic ones in so many different surroundings that chance cannot
-explain it; copies of one passage are one surrounding. The two-state chain is trained on these
+clean documents and occurs in toxic ones in so many different surroundings, or in so many
+unlike documents, that chance cannot explain it; copies of one passage are one surrounding, near
+copies of one document are one document. The two-state chain is trained on these
 labels by its exact gradient. Scoring runs forward-backward over whole texts, many blocks of
 tokens side by side; the marginals give the offending spans, and the largest is the score.
 """
@@ -23,6 +24,8 @@ from triagelake.llm import packed, words
 
 BLOCK = 64
 FILTER_BITS = 22
+#: Orders of word triples by which near copies in the sample are told.
+SKETCH = 4
 
 
 @dataclass(frozen=True)
@@ -173,6 +176,36 @@ def _surroundings(number: np.ndarray, first: np.ndarray) -> np.ndarray:
     return words.mix(before) + after
 
 
+def unlike_documents(found: words.Words) -> np.ndarray:
+    """A class per document; documents that share a least hash of word triples have the same one.
+
+    There are ``SKETCH`` hash orders. Near copies share nearly all triples and so some least one;
+    unlike documents with a short phrase in common seldom do. Works on the bounded sample only.
+    """
+    counts, n = found.counts, len(found.counts)
+    number, row = found.numbers(), found.rows()
+    ahead = [np.where(np.r_[row[j:], np.full(min(j, len(row)), -1)] == row,
+                      np.r_[number[j:], np.zeros(min(j, len(row)), dtype=np.uint64)], np.uint64(0))
+             for j in (1, 2)]
+    triple = words.mix(words.mix(number) + ahead[0]) + ahead[1]
+    parent = list(range(n))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    full = np.flatnonzero(counts > 0)
+    for turn in range(SKETCH if len(full) else 0):
+        least = np.minimum.reduceat(words.mix(triple + np.uint64(turn + 1)), found.first[:-1][full])
+        order = np.argsort(least, kind="stable")
+        same = np.flatnonzero(least[order][1:] == least[order][:-1])
+        for a, b in zip(full[order[same]].tolist(), full[order[same + 1]].tolist(), strict=True):
+            parent[top(a)] = top(b)
+    return np.array([top(x) for x in range(n)], dtype=np.uint64)
+
+
 def learn(texts: list[str], toxic: np.ndarray, s: Settings) -> Model:
     """Trains on the given documents; without both labels, or any cue, only the share remains."""
     share = float(toxic.mean()) if len(toxic) else 0.0
@@ -184,17 +217,19 @@ def learn(texts: list[str], toxic: np.ndarray, s: Settings) -> Model:
     bad = toxic[row].astype(bool)
     if not bad.any():
         return none
-    around = _surroundings(found.numbers(), first)
+    kinds = (_surroundings(found.numbers(), first),
+             words.mix(unlike_documents(found) + np.uint64(1))[row])
     rate = max(float(bad.mean()), 1e-6)
     cue = np.zeros(len(row), dtype=bool)
     for numbers in features:
         known, slot = np.unique(numbers, return_inverse=True)
-        _, seen_at = np.unique(words.mix(numbers) + around, return_index=True)
-        in_toxic = np.bincount(slot[seen_at[bad[seen_at]]], minlength=len(known))
-        in_clean = np.bincount(slot[seen_at[~bad[seen_at]]], minlength=len(known))
         least = np.log(len(known) * len(features) / s.chance) / -np.log(min(rate, 0.9))
-        pure = (in_toxic >= max(4, least)) & (in_toxic >= s.purity * (in_toxic + in_clean))
-        cue |= pure[slot]
+        for around in kinds:
+            _, seen_at = np.unique(words.mix(numbers) + around, return_index=True)
+            in_toxic = np.bincount(slot[seen_at[bad[seen_at]]], minlength=len(known))
+            in_clean = np.bincount(slot[seen_at[~bad[seen_at]]], minlength=len(known))
+            pure = (in_toxic >= max(4, least)) & (in_toxic >= s.purity * (in_toxic + in_clean))
+            cue |= pure[slot]
     label = cue & bad
     if not label.any():
         return none
