@@ -2,9 +2,8 @@
 
 Tokens carry the features word, prefixes and suffixes. Documents are labelled, tokens are not:
 a token of a toxic training document is labelled toxic if one of its features hardly occurs in
-clean documents and occurs in toxic ones in so many different surroundings, or in so many
-unlike documents, that chance cannot explain it; copies of one passage are one surrounding, near
-copies of one document are one document. The two-state chain is trained on these
+clean documents and occurs in so many unlike toxic ones that chance cannot explain it; near
+copies of one document count as one. The two-state chain is trained on these
 labels by its exact gradient. Scoring runs forward-backward over whole texts, many blocks of
 tokens side by side; the marginals give the offending spans, and the largest is the score.
 """
@@ -168,14 +167,6 @@ def _first_tokens(found: words.Words) -> np.ndarray:
     return first
 
 
-def _surroundings(number: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A number for the neighbours of each token."""
-    before, after = np.roll(number, 1), np.roll(number, -1)
-    before[first] = 0
-    after[np.r_[first[1:], True]] = 0
-    return words.mix(before) + after
-
-
 def unlike_documents(found: words.Words) -> np.ndarray:
     """A class per document; documents that share a least hash of word triples have the same one.
 
@@ -217,19 +208,17 @@ def learn(texts: list[str], toxic: np.ndarray, s: Settings) -> Model:
     bad = toxic[row].astype(bool)
     if not bad.any():
         return none
-    kinds = (_surroundings(found.numbers(), first),
-             words.mix(unlike_documents(found) + np.uint64(1))[row])
+    source = words.mix(unlike_documents(found) + np.uint64(1))[row]
     rate = max(float(bad.mean()), 1e-6)
     cue = np.zeros(len(row), dtype=bool)
     for numbers in features:
         known, slot = np.unique(numbers, return_inverse=True)
         least = np.log(len(known) * len(features) / s.chance) / -np.log(min(rate, 0.9))
-        for around in kinds:
-            _, seen_at = np.unique(words.mix(numbers) + around, return_index=True)
-            in_toxic = np.bincount(slot[seen_at[bad[seen_at]]], minlength=len(known))
-            in_clean = np.bincount(slot[seen_at[~bad[seen_at]]], minlength=len(known))
-            pure = (in_toxic >= max(4, least)) & (in_toxic >= s.purity * (in_toxic + in_clean))
-            cue |= pure[slot]
+        _, seen_at = np.unique(words.mix(numbers) + source, return_index=True)
+        in_toxic = np.bincount(slot[seen_at[bad[seen_at]]], minlength=len(known))
+        in_clean = np.bincount(slot[seen_at[~bad[seen_at]]], minlength=len(known))
+        pure = (in_toxic >= max(4, least)) & (in_toxic >= s.purity * (in_toxic + in_clean))
+        cue |= pure[slot]
     label = cue & bad
     if not label.any():
         return none
