@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagelake.functions.texts import contains_error, is_injected, service_of_log_pod
+from triagelake.operators.ranks import numbered
 
 
 def select_existing(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -79,8 +80,7 @@ def with_service(logs: DataFrame, pod: str = "pod_name") -> DataFrame:
 
 def order_by_count(deduped: DataFrame, partition: list[str], ties: list[str]) -> DataFrame:
     """Adds the line number by falling count inside each incident; counts compare as numbers."""
-    place = Window.partitionBy(*partition).orderBy(F.col("occurrence_count").desc(), *ties)
-    return deduped.withColumn("line_no", F.row_number().over(place))
+    return numbered(deduped, partition, [F.col("occurrence_count").desc(), *ties])
 
 
 def sample_per_group(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -23,11 +23,25 @@ def run_outcomes(
     return joined.select("uuid", status.alias("status"), rows.alias("rows_found"))
 
 
-def run_summary(outcomes: DataFrame) -> DataFrame:
+def _totals() -> list[Column]:
     def of(status):
         return F.count(F.when(F.col("status") == F.lit(status), F.lit(1))).alias(f"{status}_count")
 
-    return outcomes.agg(
+    return [
         F.count(F.lit(1)).alias("total_count"), of("no_file"), of("empty"), of("found"),
         F.sum("rows_found").alias("rows_total"), F.max("rows_found").alias("rows_max"),
-    )
+    ]
+
+
+def run_summary(outcomes: DataFrame) -> DataFrame:
+    return outcomes.agg(*_totals())
+
+
+def write_outcomes(outcomes: DataFrame, path: str, mode: str = "overwrite") -> dict:
+    """Stores the outcomes; the totals of ``run_summary`` are observed while they are written.
+
+    No second scan counts anything. Of an empty table the counts are 0 and the others None.
+    """
+    seen = Observation()
+    outcomes.observe(seen, *_totals()).write.mode(mode).parquet(path)
+    return seen.get

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triagelake import versions
 from triagelake.operators.results import RESULT_COLUMNS, upsert_results, with_defaults
 from triagelake.sources.incidents import path_exists
 from triagelake.sources.results import read_results
@@ -31,8 +32,13 @@ def save_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_evidence_text(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Evidence lines ordered inside every incident, one folder per incident."""
-    lines.hint("rebalance", "uuid").sortWithinPartitions("uuid", "line_no").select(
+    """Evidence lines ordered inside every incident, one folder per incident.
+
+    Lines are dealt by ranges of (uuid, line_no), so a large incident becomes several files,
+    which hold its lines in order when read by name.
+    """
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartitionByRange(tasks, "uuid", "line_no").sortWithinPartitions("uuid", "line_no").select(
         "uuid", "line"
     ).write.mode(mode).partitionBy("uuid").text(path)
 
@@ -55,24 +61,26 @@ def write_results(results: DataFrame, path: str) -> None:
 def upsert_result_file(fresh: DataFrame, path: str, order: str = "seq") -> None:
     """Merges fresh results into the stored ones: a fresh one wins, the rest stay.
 
-    The merged table is written beside the old one and then takes its place. A run that ends
-    between the two steps leaves the complete new table, which the next call puts in place.
+    The merged table becomes the next version (``versions``); what is stored stays as it is, so
+    readers always find a whole table, whenever a run ends. If another writer stores results
+    meanwhile, the merge is done again on those. A complete table that an earlier release left
+    beside the path is put in place first.
     """
     spark = fresh.sparkSession
     aside = f"{path.rstrip('/')}.next"
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(aside)
-    system = old.getFileSystem(conf)
-    if not path_exists(spark, path) and path_exists(spark, f"{aside}/_SUCCESS"):
-        system.rename(new, old)
-    stored = read_results(spark, path)
-    first = F.lit(None).cast(fresh.schema[order].dataType)
-    stored = stored.withColumn(order, first)
+    whole = path_exists(spark, f"{aside}/_SUCCESS") or path_exists(spark, f"{aside}/manifest")
+    if not path_exists(spark, path) and whole:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(aside)
+        old.getFileSystem(conf).rename(new, old)
     columns = [*RESULT_COLUMNS, order]
-    write_results(upsert_results(stored.select(*columns), fresh.select(*columns), order), aside)
-    system.delete(old, True)
-    if not system.rename(new, old):
-        raise OSError(f"{aside} holds the new results but could not take the place of {path}")
+
+    def merged() -> DataFrame:
+        none = F.lit(None).cast(fresh.schema[order].dataType)
+        stored = read_results(spark, path).withColumn(order, none)
+        return upsert_results(stored.select(*columns), fresh.select(*columns), order)
+
+    versions.update(spark, path, merged, write_results)
 
 
 def append_calls(calls: DataFrame, path: str) -> None:

@@ -7,6 +7,12 @@ infra/infra_tidb, other}`` (one file per pod or metric and date).
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -190,29 +196,76 @@ def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return reader.parquet(path)
 
 
+#: Bytes of a file up to which a task opens it whole to find out why it gave no rows.
+LONG_FILE = 1 << 30
+MAGIC = b"PAR1"
+NO_BYTES = "empty: no bytes"
+FINDING_DDL = "path string, cause string"
+
+
+def _cause(content: bytes) -> str:
+    """Why a Parquet file gave no rows."""
+    if content[:4] != MAGIC:
+        return "broken: does not start as Parquet"
+    if len(content) < 12 or content[-4:] != MAGIC:
+        return "broken: cut off"
+    try:
+        rows = pq.ParquetFile(pa.BufferReader(content)).metadata.num_rows
+    except (OSError, pa.ArrowException) as e:
+        return f"broken: {type(e).__name__}"
+    return "empty: no rows" if rows == 0 else "broken: rows that cannot be read"
+
+
+def _causes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [_cause(x.as_buffer().to_pybytes()) for x in b.column("content")]
+        yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(found, pa.string())],
+                                         names=["path", "cause"])
+
+
 def file_report(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
-    """Status per raw file: ``success``, ``skipped`` or ``error`` (unreadable or empty).
+    """(path, length, status, rows, cause) per raw file.
 
-    The listing reads no file content; the success check counts rows and skips files that
-    cannot be read.
+    The status is ``success``, ``skipped`` (a deleted file) or ``error``, and the cause of an
+    error begins with ``empty`` or ``broken``. The listing reads no file content; the success
+    check counts rows and skips files that cannot be read. Only files without any rows are
+    opened again, one at a time per task; of files beyond 1 GB the cause says so.
     """
-    listing = (
+    files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern).load(root).select("path", "length")
+        .option("pathGlobFilter", pattern).load(root)
     )
+    # the names of Spark's own file index; a scan leaves files without any bytes out
+    names = [(re.sub(r"^(\w+):///", r"\1:/", unquote(p)),) for p in files.inputFiles()]
+    listing = spark.createDataFrame(names, "path string").join(
+        files.select("path", "length"), "path", "left"
+    ).select("path", F.coalesce("length", F.lit(0)).alias("length"))
+    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
     readable = (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
         .option("ignoreCorruptFiles", "true").schema("_none string").parquet(root)
-        .groupBy(F.col("_metadata.file_path").alias("path"))
+        .groupBy(F.url_decode(encoded).alias("path"))
         .agg(F.count(F.lit(1)).alias("rows"))
     )
     status = (
         F.when(F.contains("path", F.lit(DELETED)), F.lit("skipped"))
         .when(F.col("rows") > F.lit(0), F.lit("success")).otherwise(F.lit("error"))
     )
-    return listing.join(readable, "path", "left").select(
+    report = cut_lineage(listing.join(readable, "path", "left").select(
         "path", "length", status.alias("status"), F.coalesce("rows", F.lit(0)).alias("rows")
-    )
+    ), "report")
+    long = F.col("length") > F.lit(LONG_FILE)
+    bad = report.where((F.col("status") == F.lit("error")) & ~long & (F.col("length") > F.lit(0)))
+    # as many paths as Spark's own file index of the read will hold
+    paths = [re.sub(r"([\[\]{}*?\\])", r"\\\1", r.path) for r in bad.select("path").collect()]
+    if paths:
+        opened = spark.read.format("binaryFile").load(paths).select("path", "content")
+        found = opened.mapInArrow(_causes, FINDING_DDL)
+    else:
+        found = spark.createDataFrame([], FINDING_DDL)
+    unknown = F.when(F.col("status") == F.lit("error"), F.when(
+        F.col("length") == F.lit(0), F.lit(NO_BYTES)).otherwise(F.lit("broken: too long to examine")))
+    return report.join(found, "path", "left").withColumn("cause", F.coalesce("cause", unknown))
 
 
 def file_report_totals(report: DataFrame) -> DataFrame:

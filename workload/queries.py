@@ -12,7 +12,8 @@ from triagelake.functions import times
 from triagelake.functions.numbers import round_even
 from triagelake.functions.texts import service_alias, service_of_metric_pod
 from triagelake.operators import (
-    calls, detect, incidents, logs, metrics, results, stats, summary, templates, traces, windows,
+    calls, detect, incidents, logs, metrics, ranks, results, stats, summary, templates, traces,
+    windows,
 )
 from triagelake.plans import evidence
 from triagelake.plans.training import load_or_train
@@ -21,7 +22,7 @@ from triagelake.session import cut_lineage, new_path
 from triagelake.sinks import writers
 from triagelake.sources import telemetry
 from triagelake.sources.incidents import read_incident_csv
-from triagelake.sources.results import read_calls, read_results
+from triagelake.sources.results import read_calls, read_evidence_text, read_results
 from workload import views
 from workload.oracle import (
     HOUR, count_csv, csv, describe, local, r6, sql, text_sql, variant,
@@ -955,6 +956,31 @@ def _(spark, sf):
     return evidence.evidence_text(lines, evidence.LOG_COLUMNS, "text")
 
 
+@query("evidence_text_lines", f"""SELECT uuid, line_no,
+    {count_csv(evidence.LOG_COLUMNS, 'occurrence_count')} AS line FROM log_ev""")
+def _(spark, sf):
+    """The stored text of the incidents, read back line by line in its order."""
+    path = new_folder(spark)
+    lines = evidence.evidence_lines(
+        log_rows(spark, sf), evidence.LOG_COLUMNS, "line_no", "occurrence_count")
+    writers.write_evidence_text(lines, path)
+    return read_evidence_text(spark, path)
+
+
+@query("spans_numbered", """SELECT span_id, CAST(row_number() OVER (PARTITION BY big
+    ORDER BY timestamp_ns, span_id) AS BIGINT) AS line_no FROM (SELECT span_id, timestamp_ns,
+    CASE WHEN hash_no < 9 THEN 'most' ELSE 'rest' END AS big
+    FROM (SELECT *, ascii(right(md5(span_id), 1)) % 10 AS hash_no FROM spans))""")
+def _(spark, sf):
+    """Numbers inside groups of which one holds most rows and is spread over many tasks."""
+    table = spans(spark, sf)
+    digit = F.ascii(F.right(F.md5("span_id"), F.lit(1))) % 10
+    big = F.when(digit < 9, F.lit("most")).otherwise(F.lit("rest"))
+    rows = table.select("span_id", "timestamp_ns", big.alias("big"))
+    found = ranks.numbered(rows, ["big"], ["timestamp_ns", "span_id"], group_rows=100)
+    return found.select("span_id", "line_no")
+
+
 # Files
 
 def new_folder(spark):
@@ -1027,6 +1053,28 @@ def _(spark, sf):
     return report.groupBy("status").agg(F.sum("rows").alias("rows"))
 
 
+@query("file_report_causes", """SELECT 'success' AS status, CAST(NULL AS VARCHAR) AS cause,
+    count(*) AS rows FROM logs WHERE level_no < 2 GROUP BY level_no
+    UNION ALL SELECT 'skipped', NULL, count(*) FROM logs WHERE level_no = 2
+    UNION ALL SELECT 'error', 'empty: no rows', 0
+    UNION ALL SELECT 'error', 'broken: does not start as Parquet', 0""".replace(
+        "level_no", "(row_id % 3)"))
+def _(spark, sf):
+    """A folder with sound, deleted, empty and broken files."""
+    path = new_folder(spark)
+    table = views.logs(spark, sf)
+    for part, folder in ((0, "a"), (1, "b"), (2, "c_deleted")):
+        writers.save_table(table.where(F.col("row_id") % 3 == part).coalesce(1), f"{path}/{folder}")
+    writers.save_table(table.limit(0), f"{path}/d")
+    text = f"{path}/e.text"
+    table.select(F.col("message").alias("value")).limit(1).coalesce(1).write.text(text)
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    system = fs_path(text).getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in system.globStatus(fs_path(f"{text}/part-*")):
+        system.rename(found.getPath(), fs_path(f"{path}/e.parquet"))
+    return telemetry.file_report(spark, path).select("status", "cause", "rows")
+
+
 @query("merged_spans", """SELECT span_id, parent_pod, parent_service,
     'spans_' || strftime(make_timestamp(timestamp_ns // 1000), '%Y-%m-%d') AS source_file
     FROM train_spans""")
@@ -1182,6 +1230,19 @@ OUTCOMES = """SELECT i.uuid, CASE WHEN coalesce(e.n, 0) > 0 THEN 'found' WHEN i.
     (SELECT uuid, count(*) AS n FROM log_ev GROUP BY 1) e USING (uuid)"""
 
 
+@query("run_summary_observed", f"""SELECT count(*) AS total_count,
+    count(CASE WHEN status = 'no_file' THEN 1 END) AS no_file_count,
+    count(CASE WHEN status = 'empty' THEN 1 END) AS empty_count,
+    count(CASE WHEN status = 'found' THEN 1 END) AS found_count,
+    CAST(sum(rows_found) AS BIGINT) AS rows_total, max(rows_found) AS rows_max
+    FROM ({OUTCOMES})""")
+def _(spark, sf):
+    """The totals as they were observed while the outcomes were stored."""
+    totals = summary.write_outcomes(run_outcomes(spark, sf), new_folder(spark))
+    return spark.createDataFrame(
+        [tuple(totals.values())], ", ".join(f"{c} long" for c in totals))
+
+
 @query("run_outcomes", OUTCOMES)
 def run_outcomes(spark, sf):
     return summary.run_outcomes(
