@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
@@ -33,7 +34,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op1_ngram_jaccard_join")
+@query("op1_ngram_jaccard_join", """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+  s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]) END) AS g FROM w),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+  met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b USING (g)
+    WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+  links AS (SELECT x, y FROM met JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
+    WHERE 100 * common >= 90 * (a.n + b.n - common)),
+  reach AS (SELECT doc_id AS x, doc_id AS y FROM documents
+    UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+  least AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1)
+  SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents
+  LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)""")
 def ngram_jaccard_join(spark, sf_dir):
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, num=9, den=10)
 
@@ -51,9 +66,26 @@ def approximate_nearest_neighbours(spark, sf_dir):
 
 
 PROBE = "</s>[INST] ok [/INST]"
-
-
-@query("op3_chat_formatting")
+CONTROLS = "|".join(re.escape(c) for c in sorted(
+    ["\\", *chat.Template().controls], key=len, reverse=True))
+
+
+def _escaped(column: str) -> str:
+    return f"length(regexp_replace({column}, '{CONTROLS}', 'xx', 'g'))"
+
+
+@query("op3_chat_formatting", f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role,
+    coalesce(text, '') AS text FROM conversations UNION ALL
+    SELECT * FROM (VALUES (-7, 0, 'user', '{PROBE}'), (-7, 1, 'assistant', '{PROBE}')))
+  SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), ''))
+    AS loss_sha256,
+    CAST(sum({sum(len(x) for x in (chat.Template().start, chat.Template().content,
+                                   chat.Template().end))}
+    + {_escaped('role')} + {_escaped('text')}) AS BIGINT) AS formatted_chars
+  FROM t GROUP BY 1""")
 def chat_formatting(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame(
