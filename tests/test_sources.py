@@ -156,3 +156,23 @@ def test_catalogue_formats(spark, tmp_path):
     back = spark.read.option("header", "true").csv(str(tmp_path / "csv"))
     assert rows(back) == [("a,b", "1"), ("c", "5")]
     assert rows(spark.read.json(str(tmp_path / "json")), "template", "count") == [("a,b", 1), ("c", 5)]
+
+
+def test_the_metric_of_a_row_is_chosen_once(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("2024-01-01T00:00:00.1234567Z", "n", 1.0, float("nan")),
+         ("2024-01-01T00:00:01Z", "n", float("nan"), 2.0), ("2024-01-01T00:00:02Z", "n", 3.0, 4.0),
+         ("2024-01-01T00:00:03Z", "n", None, None)],
+        "time string, kubernetes_node string, node_cpu_usage_rate double,"
+        " node_memory_usage_rate double")
+    path = f"{tmp_path}/2024-01-01/metric-parquet/infra/infra_node"
+    rows.write.parquet(path)
+    read = telemetry.read_node_metrics(spark, str(tmp_path))
+    late = read.where(F.col("timestamp_ns") > 0)
+    found = {r.timestamp_ns - 1704067200 * 10**9: (r.metric, r.value) for r in late.collect()}
+    first = telemetry.NODE_METRICS.index("node_cpu_usage_rate") < telemetry.NODE_METRICS.index(
+        "node_memory_usage_rate")
+    both = ("node_cpu_usage_rate", 3.0) if first else ("node_memory_usage_rate", 4.0)
+    assert found == {123456700: ("node_cpu_usage_rate", 1.0),
+                     10**9: ("node_memory_usage_rate", 2.0), 2 * 10**9: both}
+    assert late._jdf.queryExecution().optimizedPlan().toString().count("isnan(node_cpu_usage") == 1

@@ -13,7 +13,10 @@ def iso_to_ns(text: Column) -> Column:
     micros = F.unix_micros(F.try_to_timestamp(text))
     fraction = F.regexp_extract(text, r"\.(\d+)", 1)
     rest = F.substring(F.rpad(fraction, 9, "0"), 7, 3).cast("long")
-    return micros * F.lit(1000) + rest
+    # most instants end with the microsecond; the expression is only needed for others
+    seventh = F.substr(text, F.instr(text, ".") + F.lit(7), F.lit(1))
+    longer = seventh.between(F.lit("0"), F.lit("9"))
+    return micros * F.lit(1000) + F.when(longer, rest).otherwise(F.lit(0).cast("long"))
 
 
 def ns_to_utc(ns: Column) -> Column:

@@ -115,11 +115,12 @@ def _long(df: DataFrame, kind: str) -> DataFrame:
 def _read_infra(spark, files, metrics, entity_columns) -> DataFrame:
     """Files that hold one metric each, in a column of the metric's own name: a row stays a row."""
     rows = normalize_metrics(_load(spark, raw_metric(metrics, entity_columns), files))
-    values = {m: nan_to_null(F.col(m)) for m in metrics}
-    named = [F.when(value.isNotNull(), F.lit(m)) for m, value in values.items()]
+    held = [F.when(nan_to_null(F.col(m)).isNotNull(),
+                   F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))) for m in metrics]
+    # generated once, so that later conditions do not repeat the long choice; code that does is
+    # too long for the JVM to compile
     return rows.select(
-        "timestamp_ns", "date", "source_file", *entity_columns,
-        F.coalesce(*named).alias("metric"), F.coalesce(*values.values()).alias("value"),
+        "timestamp_ns", "date", "source_file", *entity_columns, F.inline(F.array(F.coalesce(*held))),
     ).where(F.col("value").isNotNull())
 
 

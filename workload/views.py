@@ -285,10 +285,12 @@ def write_raw_metrics(spark: SparkSession, sf_dir: str, root: str) -> None:
     rows = metrics(spark, sf_dir).withColumn("time", iso_micros("timestamp_ns"))
     end = F.concat(F.lit("_"), F.col("date"), F.lit(".parquet"))
 
-    apm = rows.where("entity_kind = 'apm_pod'")
+    # dealt by entity and time, which serves the numbering and the grouping
+    apm = rows.where("entity_kind = 'apm_pod'").repartition("entity", "time")
     number = Window.partitionBy("entity", "metric", "time").orderBy(F.col("value").asc_nulls_last())
     wide = apm.withColumn("nr", F.row_number().over(number)).groupBy(
-        "date", "entity", "time", "nr").pivot("metric", ["rrt", "request"]).agg(F.first("value"))
+        "date", "entity", "time", "nr").agg(*[
+            F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in ("rrt", "request")])
     parts = [(wide, "apm/pod", F.concat(F.lit("pod_"), "entity"), ["time", "rrt", "request"])]
     for kind, folder, names, entity in (
         ("node", "infra/infra_node", ("node_cpu_usage_rate", "node_memory_usage_rate"),
