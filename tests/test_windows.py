@@ -147,3 +147,18 @@ def test_clip_to_start(spark, scope, low, high):
 def test_recovery_window(spark):
     table = incident_rows(spark, [(0, 5)])
     assert rows(windows.recovery_windows(table, 7)) == [("u0", "recovery", 5, 12)]
+
+
+def test_facts_have_one_key_if_the_shortest_blocks_can_be_broadcast(spark):
+    hour = 3_600_000_000_000
+    facts = spark.createDataFrame([(h * hour + d,) for h in range(-40, 40) for d in (0, 1)],
+                                  "timestamp_ns long")
+    spans = spark.createDataFrame(
+        [("a", -30 * hour, 26 * hour + 1), ("b", 5, 5), ("c", hour, 0), ("d", None, hour)],
+        "uuid string, w_start_ns long, w_end_ns long")
+    one = windows.interval_join(facts, spans)
+    assert "shiftright(_unit" not in one._jdf.queryExecution().optimizedPlan().toString()
+    several = windows.interval_join(facts, spans, broadcast_rows=40)
+    assert "shiftright(_unit" in several._jdf.queryExecution().optimizedPlan().toString()
+    key = lambda df: sorted((r.uuid, r.timestamp_ns) for r in df.collect())
+    assert key(one) == key(several) and len(key(one)) == 114

@@ -197,7 +197,8 @@ def interval_join(
 
     Every window is covered by dyadic blocks, the shortest ``bucket_ns`` long: a window of a
     month costs some twenty rows, not one per hour. A fact has one key per level in use, so the
-    range condition becomes an equality on (level, block) with a residual range check. One look
+    range condition becomes an equality on (level, block) with a residual range check. If the
+    shortest blocks of all windows can be broadcast, they are used alone: one key per fact. One look
     at the (small) window table gives the outer bounds, which become a pushed filter on the
     facts, the levels, and the number of blocks. Up to ``broadcast_rows`` of them are broadcast,
     so the facts are not shuffled; beyond that both sides are shuffled on the block, and blocks
@@ -207,8 +208,16 @@ def interval_join(
     """
     start, end = F.col("w_start_ns"), F.col("w_end_ns")
     cover = _cover(windows, bucket_ns)
-    low, high, count, levels = cover.agg(
-        F.min(start), F.max(end), F.count(F.lit(1)), F.collect_set("_level")).first()
+    size = F.expr("shiftleft(1L, _level)")
+    low, high, count, units, levels = cover.agg(
+        F.min(start), F.max(end), F.count(F.lit(1)), F.sum(size.cast("double")),
+        F.collect_set("_level")).first()
+    if low is not None and units <= broadcast_rows:  # then a fact needs a single key
+        first = F.col("_block") * size
+        cover = cover.withColumn(
+            "_block", F.explode(F.sequence(first, first + size - F.lit(1)))).withColumn(
+            "_level", F.lit(0))
+        levels = [0]
     within = F.lit(False) if low is None else F.col(ts).between(F.lit(low), F.lit(high))
     levels = sorted(levels) or [0]
     inside = facts.where(within)

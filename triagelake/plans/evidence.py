@@ -120,8 +120,9 @@ def trace_evidence(
     find=detect.quantile_events,
 ) -> DataFrame:
     """Most frequent abnormal call paths; ``find`` scores bins with the given model."""
-    known = cut_lineage(paths.where(traces.known_path()))
     keys = ["uuid", *traces.PATH]
+    used = dict.fromkeys([*keys, "timestamp_ns", "duration", *order, "node_name", "service_name"])
+    known = cut_lineage(paths.where(traces.known_path()).select(*used))
     bins = traces.window_mean_duration(known, keys, bin_ns)
     events = find(bins, model)
     callers = logs.first_in_group(known, keys, order, ["node_name", "service_name"])
