@@ -178,3 +178,12 @@ def test_log_evidence_drops_injected_after_dedup(spark):
 def test_entity_names(spark):
     df = spark.createDataFrame([("u", "a", "b"), ("u", "b", None)], "uuid string, x string, y string")
     assert rows(logs.entity_names(df, {"pod": ["x", "y"]})) == [("u", "pod", "a"), ("u", "pod", "b")]
+
+
+def test_mask_rules_run_only_where_their_literals_are():
+    runs = templates._in_runs(mask_rules())
+    assert sum(len(members) for _, members in runs) == len(mask_rules()) and len(runs) < 60
+    assert [label for _, members in runs for *_, label in members] == [
+        f"<:{name}:>" for name, _ in mask_rules()]
+    assert templates._literals(dict(mask_rules())["UID"]) == {"-": 4}
+    assert templates._literals("ab?c[x]+d|e") == {}

@@ -7,7 +7,9 @@ template differ becomes a wildcard. The outcome does not depend on row order.
 
 from __future__ import annotations
 
+import os
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +23,8 @@ from triagelake.session import cut_lineage
 
 GENERIC_MASKS = ("ISO_TIMESTAMP", "URL", "HOST", "UID")
 SPACES = r"[\s\x0B\x1c-\x1f\x{85}\p{Z}]+"
+#: Common first characters from which neighbouring mask rules are tested together.
+SHARED_HEAD = 7
 SEPARATOR = "\u0001"
 
 
@@ -40,29 +44,79 @@ def mask_generic(message: Column) -> Column:
     return result
 
 
-def _literal_head(pattern: str) -> str:
-    """Text every match must contain: the plain characters a pattern starts with."""
-    head = re.match(r"[^\\\[\](){}.*+?^$|]*", pattern).group()
-    return head[:-1] if pattern[len(head):len(head) + 1] in ("?", "*", "{") else head
+def _literals(pattern: str) -> dict[str, int]:
+    """Plain texts that every match contains, with how often."""
+    found, plain, at = Counter(), "", 0
+
+    def close():
+        nonlocal plain
+        if plain:
+            found[plain] += 1
+        plain = ""
+
+    while at < len(pattern):
+        if pattern[at] == "[":  # a class; the first character in it may be a bracket
+            close()
+            at = pattern.index("]", at + 2) + 1
+        elif pattern[at] in "(|":  # alternatives and groups: what came before is enough
+            return {} if "|" in re.sub(r"\[.*?\]|\(.*\)", "", pattern) else (close(), found)[1]
+        elif pattern[at] in "?*{":
+            plain = plain[:-1]
+            close()
+            at = pattern.index("}", at) + 1 if pattern[at] == "{" else at + 1
+        elif pattern[at] in "+.^$":
+            close()
+            at += 1
+        elif pattern[at] == "\\":
+            if pattern[at + 1].isalnum():
+                close()
+            else:
+                plain += pattern[at + 1]
+            at += 2
+        else:
+            plain += pattern[at]
+            at += 1
+    close()
+    return found
+
+
+def _in_runs(rules: list[tuple[str, str]]) -> list[tuple[str, list]]:
+    """The rules in order, as runs of neighbours whose first literals begin alike."""
+    runs = []
+    for name, pattern in rules:
+        needed = _literals(pattern)
+        head = next(iter(needed), "")
+        rule = (head, list(needed.items())[1:] + [(head, n) for n in [needed[head]] if n > 1],
+                re.compile(pattern), f"<:{name}:>")
+        common = os.path.commonprefix([runs[-1][0], head]) if runs else ""
+        if len(common) >= min(SHARED_HEAD, len(head)) and common:
+            runs[-1] = (common, [*runs[-1][1], rule])
+        else:
+            runs.append((head, [rule]))
+    return runs
 
 
 def mask_all_udf(rules: list[tuple[str, str]] | None = None):
-    """Arrow function that applies the whole ordered rule list."""
-    compiled = [
-        (_literal_head(pattern), re.compile(pattern), f"<:{name}:>")
-        for name, pattern in (mask_rules() if rules is None else rules)
-    ]
+    """Arrow function that applies the whole ordered rule list.
+
+    A rule runs only on texts that hold the literals it needs, and a run of rules only on texts
+    that hold what these begin with; both look at the text as the earlier rules left it.
+    """
+    runs = _in_runs(mask_rules() if rules is None else rules)
+
+    def one(text):
+        if text is None:
+            return None
+        for head, members in runs:
+            if head in text:
+                for first, others, pattern, label in members:
+                    if first in text and (not others or all(
+                            text.count(x) >= n for x, n in others)):
+                        text = pattern.sub(lambda _: label, text)
+        return text
 
     @F.pandas_udf("string")
     def mask(messages: pd.Series) -> pd.Series:
-        def one(text):
-            if text is None:
-                return None
-            for head, pattern, label in compiled:
-                if head in text:
-                    text = pattern.sub(lambda _: label, text)
-            return text
-
         return messages.map(one)
 
     return mask
