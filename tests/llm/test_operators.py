@@ -644,6 +644,89 @@ def test_language_model_rows_do_not_grow_with_occurrences():
     assert counted(100) == counted(10_000)
 
 
+def set_partitions(n):
+    """Table sizes of every way to seat n customers."""
+    if n == 0:
+        yield []
+        return
+    for sizes in set_partitions(n - 1):
+        yield [*sizes, 1]
+        for at in range(len(sizes)):
+            yield [*sizes[:at], sizes[at] + 1, *sizes[at + 1:]]
+
+
+def test_customers_of_a_dish_are_seated_from_the_exact_conditional():
+    d, rng = 0.4, np.random.default_rng(3)
+    for n in (1, 2, 5, 7):
+        weight = Counter()
+        for sizes in set_partitions(n):
+            ways = math.prod(j - d for x in sizes for j in range(1, x))
+            weight[len(sizes)] += ways * math.prod(0.3 + 0.2 * i for i in range(len(sizes)))
+        found = pitman_yor.draw_tables(
+            np.full(40_000, n), d, lambda dish, had: np.log(0.3 + 0.2 * had), rng)
+        for t in range(1, n + 1):
+            assert np.mean(found == t) == pytest.approx(
+                weight[t] / sum(weight.values()), abs=0.012), (n, t)
+
+
+def test_all_customers_of_large_dishes_move_and_keep_their_distribution():
+    n, a, d, rng = 3000, 2.0, 0.3, np.random.default_rng(5)
+    expected = math.exp(math.lgamma(a + n + d) + math.lgamma(a + 1) - math.lgamma(a + n)
+                        - math.lgamma(a + d)) / d - a / d
+    everyone = np.full(200, n)
+    seats = pitman_yor.Seats(np.zeros(200, np.int64), np.zeros(0))
+    seats.fill(everyone, lambda t: a + d * t, d, rng)
+    assert seats.tables().mean() == pytest.approx(expected, rel=0.1)
+    alone = pitman_yor.Seats(everyone, np.ones(200 * n))
+    for found in (seats, alone):
+        for _ in range(6):
+            found.sweep(everyone, lambda t: a + d * t, d, rng)
+        assert (found.customers() == n).all() and found.size.min() >= 1
+    assert seats.tables().mean() == pytest.approx(expected, rel=0.1)
+    assert alone.tables().mean() < n / 2
+    seats.sweep(np.full(200, 50), lambda t: a + d * t, d, rng)
+    assert (seats.customers() == 50).all() and seats.tables().min() >= 1
+
+
+def test_every_sweep_uses_the_totals_of_that_sweep():
+    texts = ["a b a b a c", "b a b a", "a b c a b", "c a c a"] * 4
+    rows = pa.table({"_key": list(range(16)), "text": texts, "train": [True] * 16}).to_batches()
+    part = pitman_yor._gather_part(pa.Table.from_batches(pitman_yor._count_pairs(1)(iter(rows))))
+    row = part.drop_columns(["words"]).to_pylist()[0]
+    inner = pitman_yor.Part(row)
+    moving = np.unique(inner.context[inner.count > 1])
+    base = inner.per_context(inner.count > 0)[moving]
+    state = next(pitman_yor._begin(iter([pa.RecordBatch.from_pylist(
+        [row | {"totals": [pitman_yor._wide(base)]}])])))
+    model, roots = pitman_yor.Model(0.3, 0.2, 0.2), [int(sum(base)), 5]
+
+    def swept(more):
+        given = state.to_pylist()[0] | {"totals": [pitman_yor._wide(np.full(len(moving), more))]}
+        schema = state.schema.append(pa.field("totals", pa.list_(pa.binary())))
+        run = pitman_yor._sweep(model, roots, pitman_yor.Settings(), 3)
+        return next(run(iter([pa.RecordBatch.from_pylist([given], schema)]))).to_pylist()[0]
+
+    few, many = swept(0), swept(100_000)
+    tables = [pitman_yor._read_wide(x["tables"]) for x in (few, many)]
+    assert tables[1].sum() > 1.5 * tables[0].sum()  # tables elsewhere open more of them
+    count = pitman_yor._read_wide(few["count"])
+    assert all((x >= 1).all() and (x <= count).all() for x in tables)
+    for x in (few, many):
+        per_word = np.bincount(pitman_yor._planes(x["word"]), pitman_yor._read_wide(x["tables"]))
+        in_root = pitman_yor._read_wide(x["in_root"])
+        others = pitman_yor._planes(x["others"])
+        assert in_root[:len(per_word)].tolist() == (per_word + others[:len(per_word)]).tolist()
+        assert x["roots"][0] == in_root.sum() and len(x["kept"]) == 1
+
+
+def test_language_model_leaves_shuffle_cleanup_as_it_was(spark):
+    before = spark.conf.get(pitman_yor.CLEANUP, None)
+    docs = spark.createDataFrame([(1, "a b"), (2, "b a")], "doc_id long, text string")
+    found = pitman_yor.score_texts(docs, F.lit(False))
+    assert found.count() == 2 and len(found.collect()) == 2
+    assert spark.conf.get(pitman_yor.CLEANUP, None) == before
+
+
 def test_language_model_of_odd_rows(odd, empty):
     rows = pitman_yor.score_texts(odd, F.col("doc_id") == 7).collect()
     assert len(rows) == len(ODD)

@@ -1,30 +1,35 @@
 """Language-model scores from a hierarchical Pitman-Yor model of word pairs.
 
 Every context, the word before, is a restaurant of its own, and all of them send their new tables
-as customers to one parent, the restaurant of single words over a uniform base. Pairs are counted
-per batch of texts and merged by the word they end in, so what a part of the vocabulary holds are
-distinct pairs, however often they occur. Customers and tables of a context are added up over the
-parts by a shuffle on the context, and go back to the parts that hold a pair with it.
-
-Seatings are sampled by Gibbs: in each move one customer of every (context, word) leaves its
-table and sits down again. Parts of the vocabulary move side by side against the totals of all
-contexts before the sampling. After burn-in some seatings are kept, each with its own exact
-totals, and the probability of a token is the mean over them. Moves depend on the seed and the
-part alone, so a part that is computed again gives the same seatings.
-
-Texts are scored from (document, pair, count) entries, which stream past the pair scores of their
-part; a part with many occurrences is read by several tasks.
+as customers to one parent, the restaurant of single words over a uniform base. Texts are stored
+once in batches. Pairs are counted per batch and merged by the word they end in, so what a part of
+the vocabulary holds are distinct pairs, however often they occur.
+
+Seatings are sampled by Gibbs: in each sweep every customer of every (context, word), and every
+customer of the parent, leaves its table and sits down again. Up to ``LARGE`` customers of a dish
+are seated together, from the exact conditional over their number of tables; of larger dishes a
+share is seated at a time. Pairs that occur once have one table in every seating. Parts of the
+vocabulary sweep side by side; the tables of all contexts are added up by a shuffle before each
+sweep, and within a part they follow every group of moves. After burn-in some seatings are kept,
+each with its own exact totals, and the probability of a token is the mean over them. Moves depend
+on the seed, the sweep and the part alone, so a part that is computed again gives the same seatings.
+
+A batch gets back the counts and tables of its own pairs, words and contexts, which are small
+numbers, and its texts are scored from their (document, pair, count) entries.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagelake.llm import packed, words
@@ -32,23 +37,26 @@ from triagelake.session import delete_path, new_path
 
 END = words.number_of(b"\n")
 #: Bytes of text whose pairs are counted together; bounds the memory of a task.
-BATCH_BYTES = 5 << 20
-#: The context of a first word; no word has a line break.
-BEGIN = words.number_of(b"\n\n")
-
+BATCH_BYTES = 6 << 20
+#: The context of a first word; it comes after all words.
+BEGIN = (1 << 64) - 1
 
 #: Bytes of text for each part of the vocabulary, and parts for each bucket of contexts. Their
 #: numbers follow the text and not the session, so a task's share and all scores are the same
 #: with any number of partitions.
-PART_BYTES = 4 << 20
+PART_BYTES = 8 << 20
 PARTS_A_BUCKET = 4
+#: Dishes with more customers are seated in shares of one in ``SHARES``.
+LARGE = 512
+SHARES = 16
+#: The dishes of a context move in so many groups, one after the other.
+GROUPS = 4
 
 
 @dataclass(frozen=True)
 class Settings:
     burn_in: int = 3
     samples: int = 3
-    moves: int = 3
     strength: float = 0.5
     root_strength: float = 1.0
     seed: int = 11
@@ -56,28 +64,43 @@ class Settings:
 
 def _schema(ddl: str) -> pa.Schema:
     kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary(),
-             "array<long>": pa.list_(pa.int64())}
+             "boolean": pa.bool_(), "string": pa.string()}
+    kinds |= {f"array<{k}>": pa.list_(x) for k, x in list(kinds.items())}
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
 
 
+BATCHES_DDL = "batch long, _key array<long>, train array<boolean>, text array<string>"
+BATCHES = _schema(BATCHES_DDL)
 #: Pairs by word: the words, how many pairs each has, the contexts, and the context of each pair.
 BY_WORD = "words binary, per_word binary, contexts binary, context binary"
-PAIRS_DDL = f"part int, {BY_WORD}, count binary"
+PAIRS_DDL = f"batch long, part int, {BY_WORD}, count binary"
 PAIRS = _schema(PAIRS_DDL)
-SCALARS = ("tokens", "seen", "pairs", "once", "twice", "word_once", "word_twice")
-PART_DDL = f"part int, {BY_WORD}, count binary, " + ", ".join(f"{x} long" for x in SCALARS)
+SCALARS = ("tokens", "seen", "once", "twice", "word_once", "word_twice", "begun", "begun_pairs")
+#: The places of the words and pairs that each batch holds are kept as steps.
+PART_DDL = (f"part int, {BY_WORD}, count binary, batches array<long>, batch_words array<binary>, "
+            "batch_pairs array<binary>, " + ", ".join(f"{x} long" for x in SCALARS))
 PART = _schema(PART_DDL)
-SEATED_DDL = (f"part int, {BY_WORD}, count binary, customers binary, tables binary, "
-              "in_root binary, seated binary, roots array<long>")
-SEATED = _schema(SEATED_DDL)
-TOTALS_DDL = "part int, bucket int, contexts binary, body binary"
+#: Dishes that can move, pairs with several customers: word, context, customers; then the parent's
+#: customers from all other pairs per word, and which words have a large dish there; the state of
+#: the sampling; kept samples; sums over the part for the driver.
+STATE_DDL = ("part int, word binary, contexts binary, context binary, count binary, "
+             "others binary, many binary, base binary, tables binary, sizes binary, "
+             "in_root binary, seated binary, root_sizes binary, kept array<binary>, "
+             "kept_in_root array<binary>, kept_seated array<binary>, roots array<long>")
+STATE = _schema(STATE_DDL)
+TOTALS_DDL = "part int, bucket int, contexts binary, wanted binary, body binary"
 TOTALS = _schema(TOTALS_DDL)
-#: kind 0: scores, base scores and knownness of pairs; kind 1: entries of documents.
-STREAM_DDL = f"part int, kind int, {BY_WORD}, keys binary, x binary, y binary, z binary"
-STREAM = _schema(STREAM_DDL)
-SCORED_DDL = "bucket int, part int, keys binary, tokens binary, body binary"
-SCORED = _schema(SCORED_DDL)
-RESULT_DDL = "_key long, n_tokens long, n_known long, base_score double, score double"
+#: For the pairs and words of a batch in one part: counts of pairs and words, customers of
+#: contexts, and for each sample tables of pairs, the parent's customers and tables, and tables of
+#: contexts.
+ANSWERS_DDL = ("batch long, part int, count binary, word_count binary, customers binary, "
+               "tables binary, in_root binary, seated binary, context_tables binary")
+ANSWERS = _schema(ANSWERS_DDL)
+ENTRIES_DDL = ("batch long, keys array<long>, train array<boolean>, word binary, context binary, "
+               "holds binary, doc binary, count binary, parts binary")
+ENTRIES = _schema(ENTRIES_DDL)
+RESULT_DDL = ("_id long, held_out boolean, n_tokens long, n_known long, base_score double, "
+              "score double")
 RESULT = _schema(RESULT_DDL)
 
 
@@ -109,8 +132,35 @@ def _by_word(numbers: np.ndarray, word: np.ndarray, context: np.ndarray) -> dict
     """The packed columns of ``BY_WORD``; pairs are sorted by word."""
     at, per_word = packed.runs(word)
     own, index = np.unique(context, return_inverse=True)
-    return {"words": numbers[word[at]].astype("<u8").tobytes(), "per_word": packed.planes(per_word),
-            "contexts": numbers[own].astype("<u8").tobytes(), "context": packed.planes(index)}
+    return {"words": _number_steps(numbers[word[at]]), "per_word": packed.planes(per_word),
+            "contexts": _number_steps(numbers[own]), "context": packed.planes(index)}
+
+
+def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each batch of texts, so that every later pass sees the same batches."""
+    task = TaskContext.get().partitionId() << 32
+    for at, rows in enumerate(packed.gathered(batches, BATCH_BYTES)):
+        row = {"batch": [task + at]} | {
+            x: pa.array([rows[x].to_pylist()], BATCHES.field(x).type)
+            for x in ("_key", "train", "text")}
+        yield packed.batch(row, BATCHES)
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Number and rows of each batch, as stored, or gathered from single rows."""
+    names = ["_key", "train", "text"]
+
+    def stored():
+        for b in batches:
+            if "batch" not in b.schema.names:
+                yield from enumerate(packed.gathered([b], BATCH_BYTES))
+                continue
+            for at in range(b.num_rows):
+                row = b.slice(at, 1)
+                yield row["batch"][0].as_py(), pa.table(
+                    {x: pa.chunked_array([row[x].flatten()]) for x in names})
+
+    return ((n, rows) for n, rows in stored() if rows.num_rows)
 
 
 def _add_row(out: dict[str, list], **columns) -> None:
@@ -118,22 +168,45 @@ def _add_row(out: dict[str, list], **columns) -> None:
         out[name].append(value)
 
 
+def _steps(places: np.ndarray) -> bytes:
+    """Rising places, packed as the steps between them."""
+    return packed.planes(np.diff(places, prepend=0))
+
+
+def _places(data: bytes) -> np.ndarray:
+    return np.cumsum(_planes(data))
+
+
+def _number_steps(numbers: np.ndarray) -> bytes:
+    """Rising 64-bit numbers, packed as the steps between them."""
+    return _wide(np.diff(numbers, prepend=np.uint64(0)).view("<i8"))
+
+
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    """All numbers of a column of ``_number_steps``, row after row."""
+    steps = np.concatenate([_read_wide(x) for x in column.to_pylist()]).view("<u8")
+    size = packed.lengths(column, 8)
+    total = np.r_[np.uint64(0), np.cumsum(steps)]  # sums and differences wrap alike
+    return total[1:] - np.repeat(total[np.cumsum(size) - size], size)
+
+
 def _count_pairs(parts: int):
     """The pairs of each batch, with how often they occur in training rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in packed.gathered(batches, BATCH_BYTES):
+        for batch, rows in _batches(batches):
             numbers, slot, before, length = _coded(rows["text"])
-            if not len(slot):
-                continue
             train = np.repeat(rows["train"].to_numpy(), length)
-            pair, at = np.unique(slot * len(numbers) + before, return_inverse=True)
+            slot *= len(numbers)
+            slot += before
+            del before
+            pair, at = np.unique(slot, return_inverse=True)
             count = np.bincount(at, weights=train, minlength=len(pair)).astype(np.int64)
             word, context = np.divmod(pair, len(numbers))
             part = packed.place(numbers, parts)[word]
             out: dict[str, list] = {f.name: [] for f in PAIRS}
             for a, n in zip(*packed.runs(part), strict=True):
-                _add_row(out, part=int(part[a]), count=packed.planes(count[a:a + n]),
+                _add_row(out, batch=batch, part=int(part[a]), count=packed.planes(count[a:a + n]),
                          **_by_word(numbers, word[a:a + n], context[a:a + n]))
             yield packed.batch(out, PAIRS)
 
@@ -141,10 +214,11 @@ def _count_pairs(parts: int):
 
 
 def _gather_part(table: pa.Table) -> pa.Table:
-    """One row for the whole part: its distinct pairs with their training counts."""
-    vocabulary, of = np.unique(packed.read(table["words"], "<u8"), return_inverse=True)
-    word = np.repeat(of, packed.read_planes(table["per_word"]))
-    contexts, of = np.unique(packed.read(table["contexts"], "<u8"), return_inverse=True)
+    """One row for the whole part: its distinct pairs with their training counts, and which of
+    its words and pairs each batch holds."""
+    vocabulary, own = np.unique(_numbers(table["words"]), return_inverse=True)
+    word = np.repeat(own, packed.read_planes(table["per_word"]))
+    contexts, of = np.unique(_numbers(table["contexts"]), return_inverse=True)
     held, size = packed.lengths(table["contexts"], 8), packed.lengths(table["context"], 4)
     index = packed.read_planes(table["context"]).astype(np.int64)
     context = of[index + np.repeat(np.cumsum(held) - held, size)]
@@ -154,45 +228,144 @@ def _gather_part(table: pa.Table) -> pa.Table:
     word, context = np.divmod(pair, len(contexts))
     _, per_word = packed.runs(word)
     spread = np.bincount(word[count > 0], minlength=len(vocabulary))
+    first = contexts[context] == BEGIN
+    in_words = np.cumsum(packed.lengths(table["words"], 8))[:-1]
+    in_pairs = np.cumsum(size)[:-1]
     row = {
         "part": table["part"][0].as_py(), "words": vocabulary.astype("<u8").tobytes(),
         "per_word": packed.planes(per_word), "contexts": contexts.astype("<u8").tobytes(),
         "context": packed.planes(context), "count": _wide(count),
+        "batches": table["batch"].to_pylist(),
+        "batch_words": [_steps(x) for x in np.split(own, in_words)],
+        "batch_pairs": [_steps(x) for x in np.split(at, in_pairs)],
         "tokens": int(count.sum()), "seen": int((spread > 0).sum()),
-        "pairs": int((count > 0).sum()),
         "once": int((count == 1).sum()), "twice": int((count == 2).sum()),
         "word_once": int((spread == 1).sum()), "word_twice": int((spread == 2).sum()),
+        "begun": int(count[first].sum()), "begun_pairs": int((count[first] > 0).sum()),
     }
     return pa.Table.from_pylist([row], schema=PART)
 
 
-@dataclass
-class Totals:
-    """Per context: customers and tables; then the sums of the whole corpus."""
-
-    customers: np.ndarray
-    tables: np.ndarray
-    root_customers: float
-    root_tables: float
-    discount: float
-    root_discount: float
-    base: float
-
-
 def _wide(numbers: np.ndarray) -> bytes:
     """Whole 64-bit numbers by place, so that small ones compress well."""
     return np.ascontiguousarray(numbers, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
 def _read_wide(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(
-        np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+    return np.array(
+        np.frombuffer(data, np.uint8).reshape(8, -1).T, order="C").view("<i8").ravel()
 
 
 def _planes(data: bytes) -> np.ndarray:
     return packed.read_planes(pa.array([data], pa.binary())).astype(np.int64)
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for at in range(b.num_rows):
+            yield b.slice(at, 1).to_pylist()[0]
+
+
+@cache
+def _ways(discount: float) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers: the weight of c customers at t tables."""
+    out = np.full((LARGE + 1, LARGE + 1), -np.inf)
+    out[1, 1] = 0.0
+    t = np.arange(1, LARGE + 1)
+    with np.errstate(divide="ignore"):
+        for c in range(1, LARGE):
+            joins = np.log(np.maximum(c - discount * t, 0.0))
+            out[c + 1, 1:] = np.logaddexp(out[c, :-1], out[c, 1:] + joins)
+    return out
+
+
+def draw_tables(
+    customers: np.ndarray, discount: float, weight, rng: np.random.Generator
+) -> np.ndarray:
+    """Numbers of tables of dishes whose customers all sit down again together.
+
+    ``weight`` gives the odds, as a logarithm, of a further table of a dish that has so many
+    tables; it is called with dishes and tables.
+    """
+    if not len(customers):
+        return np.zeros(0, dtype=np.int64)
+    start = np.cumsum(customers) - customers
+    dish = np.repeat(np.arange(len(customers)), customers)
+    had = np.arange(len(dish)) - start[dish]
+    odds = np.cumsum(weight(dish, had))
+    odds -= np.r_[0.0, odds][start][dish]
+    odds += _ways(discount)[customers[dish], had + 1]
+    odds = np.exp(odds - np.maximum.reduceat(odds, start)[dish])
+    total = np.cumsum(odds)
+    low, high = np.r_[0.0, total][start], total[start + customers - 1]
+    at = np.searchsorted(total, low + rng.random(len(start)) * (high - low), "right")
+    return np.clip(at - start, 0, customers - 1) + 1
+
+
+class Seats:
+    """Table sizes of many large dishes: ``owner`` is the dish of a table, in order."""
+
+    def __init__(self, tables: np.ndarray, sizes: np.ndarray):
+        self.owner = np.repeat(np.arange(len(tables)), tables)
+        self.size, self.dishes = sizes.astype(np.int64), len(tables)
+
+    def tables(self) -> np.ndarray:
+        return np.bincount(self.owner, minlength=self.dishes)
+
+    def customers(self) -> np.ndarray:
+        return np.bincount(self.owner, self.size, minlength=self.dishes).astype(np.int64)
+
+    def _leave(self, share: np.ndarray, rng: np.random.Generator) -> None:
+        self.size -= rng.binomial(self.size, share[self.owner])
+        stay = self.size > 0
+        self.owner, self.size = self.owner[stay], self.size[stay]
+
+    def _seat(self, free: np.ndarray, opening, discount: float, rng) -> None:
+        """So many customers of each dish sit down."""
+        seated, tables = self.customers(), self.tables()
+        new = np.maximum(opening(tables), 0.0)
+        old = seated - discount * tables
+        opens = rng.binomial(free, new / (new + old + 1e-300))
+        opens = np.where(tables > 0, opens, np.minimum(free, 1))
+        joins = np.repeat(np.arange(self.dishes), np.where(tables > 0, free - opens, 0))
+        weight = np.r_[0.0, np.cumsum(self.size - discount)]
+        first = np.searchsorted(self.owner, np.arange(self.dishes + 1))
+        low, high = weight[first[joins]], weight[first[joins + 1]]
+        seat = np.searchsorted(weight, low + rng.random(len(joins)) * (high - low), "right") - 1
+        seat = np.clip(seat, first[joins], first[joins + 1] - 1)
+        self.size += np.bincount(seat, minlength=len(self.size))
+        fresh = np.repeat(np.arange(self.dishes), opens)
+        size = np.ones(len(fresh), dtype=np.int64)
+        alone = np.flatnonzero((tables == 0) & (free > 0))  # nobody is there to join
+        size[np.searchsorted(fresh, alone)] = free[alone]
+        owner = np.r_[self.owner, fresh]
+        order = np.argsort(owner, kind="stable")
+        self.owner, self.size = owner[order], np.r_[self.size, size][order]
+
+    def fill(self, customers: np.ndarray, opening, discount: float, rng) -> None:
+        """The customers come in one after the other, later ones a share at a time."""
+        most, inside = int(customers.max(initial=0)), 0
+        while inside < most:
+            inside += max(1, inside // SHARES)
+            self._seat(np.minimum(customers, inside) - self.customers(), opening, discount, rng)
+
+    def sweep(self, customers: np.ndarray, opening, discount: float, rng) -> None:
+        """All customers, a share at a time, leave and sit down again; then they are as many as
+        ``customers``. ``opening`` gives the weight of a new table for numbers of tables."""
+        for _ in range(SHARES if self.dishes else 0):
+            self._leave(np.full(self.dishes, 1 / SHARES), rng)
+            while (over := self.customers() > customers).any():
+                self._leave(np.where(over, 1 / SHARES, 0.0), rng)
+            self._seat(customers - self.customers(), opening, discount, rng)
+
+
+@dataclass(frozen=True)
+class Model:
+    discount: float
+    root_discount: float
+    base: float
+
+
 class Part:
     """The pairs of one part of the vocabulary, ordered by word, then by context."""
 
@@ -208,122 +381,19 @@ class Part:
     def per_context(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.context, weights=values, minlength=self.contexts).astype(np.int64)
 
-    def to_buckets(self, values: list[np.ndarray], buckets: int) -> pa.RecordBatch:
-        """Values per context, packed by the bucket of the context."""
-        body = np.stack(values, axis=1)
-        out: dict[str, list] = {f.name: [] for f in TOTALS}
-        place = packed.place(self.numbers, buckets)
-        for a, n in zip(*packed.runs(place), strict=True):
-            _add_row(out, part=self.number, bucket=int(place[a]),
-                     contexts=self.numbers[a:a + n].tobytes(),
-                     body=_wide(body[a:a + n].ravel()))
-        return packed.batch(out, TOTALS)
-
-    def seatings(self, t: Totals, s: Settings) -> Iterator[tuple[np.ndarray, ...]]:
-        """Kept samples: tables per pair, and customers and tables of each word in the parent."""
-        rng = np.random.Generator(np.random.PCG64([s.seed, self.number]))
-        tables = (self.count > 0).astype(np.int64)
-        many = np.flatnonzero(self.count > 1)
-        opening = (s.strength + t.discount * t.tables)[self.context[many]]
-        in_root = np.bincount(self.word, weights=tables, minlength=self.words).astype(np.int64)
-        root_new = (s.root_strength + t.root_discount * t.root_tables) * t.base
-
-        def word_probability(customers, seated):
-            return (customers - t.root_discount * seated + root_new) / (
-                s.root_strength + t.root_customers)
-
-        seats = Seats(self.count[many], opening * word_probability(
-            in_root, (in_root > 0))[self.word[many]], t.discount)
-        tables[many] = seats.tables()
-        in_root = np.bincount(self.word, weights=tables, minlength=self.words).astype(np.int64)
-        held = np.flatnonzero(in_root > 0)
-        root = Seats(in_root[held], np.full(len(held), root_new), t.root_discount)
-        seated = np.zeros(self.words, dtype=np.int64)
-        seated[held] = root.tables()
-        for sweep in range(s.burn_in + s.samples):
-            new = opening * word_probability(in_root, seated)[self.word[many]]
-            for _ in range(s.moves):
-                seats.move(new, t.discount, rng)
-            tables[many] = seats.tables()
-            in_root = np.bincount(self.word, weights=tables, minlength=self.words).astype(np.int64)
-            root.resize(in_root[held])
-            for _ in range(s.moves):
-                root.move(np.full(len(held), root_new), t.root_discount, rng)
-            seated[held] = root.tables()
-            if sweep >= s.burn_in:
-                yield tables.copy(), in_root, seated.copy()
-
-
-class Seats:
-    """Tables of many independent dishes: ``owner`` is the dish of a table, in order."""
-
-    def __init__(self, customers: np.ndarray, new: np.ndarray, discount: float):
-        self.customers = customers.astype(np.int64)
-        expected, at = np.ones(len(customers)), np.ones(len(customers))
-        for _ in range(12):  # expected tables, along a geometric grid of customers
-            step = at * (np.maximum(self.customers / at, 1.0) ** (1 / 4) - 1)
-            expected += step * new / (new + np.maximum(at - discount * expected, 1e-9))
-            at += step
-        n = np.clip(np.round(expected), 1, self.customers).astype(np.int64)
-        self.owner = np.repeat(np.arange(len(n)), n)
-        self.size = np.ones(len(self.owner), dtype=np.int64)
-        self.size[np.cumsum(n) - n] += self.customers - n
-
-    def tables(self) -> np.ndarray:
-        return np.bincount(self.owner, minlength=len(self.customers))
-
-    def _first(self) -> np.ndarray:
-        return np.searchsorted(self.owner, np.arange(len(self.customers)))
-
-    def resize(self, customers: np.ndarray) -> None:
-        """Takes over new customer numbers at the first table of each dish."""
-        first = self._first()
-        self.size[first] += customers - self.customers
-        short = np.zeros(len(customers), dtype=bool)
-        short[self.owner[first][self.size[first] < 1]] = True
-        if short.any():  # too few are left for the tables: they sit together
-            drop = short[self.owner]
-            drop[first] = False
-            self.size[first[short]] = customers[short]
-            self.owner, self.size = self.owner[~drop], self.size[~drop]
-        self.customers = customers.copy()
-
-    def move(self, new: np.ndarray, discount: float, rng: np.random.Generator) -> None:
-        """One customer of each dish with several leaves and sits down again."""
-        n = len(self.customers)
-        several = self.customers > 1
-        if not several.any():
-            return
-        total = np.cumsum(self.size)
-        first = self._first()
-        base = total[first] - self.size[first]
-        pick = base + np.floor(rng.random(n) * self.customers).astype(np.int64)
-        leave = np.searchsorted(total, pick, "right")[several]
-        self.size[leave] -= 1
-        stay = self.size > 0
-        self.owner, self.size = self.owner[stay], self.size[stay]
-        tables = self.tables()
-        old = self.customers - 1 - discount * tables
-        opens = several & (rng.random(n) * (new + old) < new)
-        weight = np.cumsum(self.size - discount)
-        first = self._first()
-        low = weight[first] - (self.size[first] - discount)
-        seat = np.searchsorted(weight, low + rng.random(n) * old, "right")
-        seat = np.clip(seat, first, first + tables - 1)
-        joins = several & ~opens
-        self.size[seat[joins]] += 1
-        fresh = np.flatnonzero(opens)
-        if len(fresh):
-            owner = np.concatenate([self.owner, fresh])
-            order = np.argsort(owner, kind="stable")
-            self.owner = owner[order]
-            self.size = np.concatenate([self.size, np.ones(len(fresh), np.int64)])[order]
-
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for b in batches:
-        for at in range(b.num_rows):
-            yield b.slice(at, 1).to_pylist()[0]
+def _to_buckets(
+    part: int, numbers: np.ndarray, wanted: np.ndarray, values: list[np.ndarray], buckets: int
+) -> pa.RecordBatch:
+    """Values per context, packed by the bucket of the context."""
+    body = np.stack(values, axis=1)
+    out: dict[str, list] = {f.name: [] for f in TOTALS}
+    place = packed.place(numbers, buckets)
+    for a, n in zip(*packed.runs(place), strict=True):
+        _add_row(out, part=part, bucket=int(place[a]), contexts=numbers[a:a + n].tobytes(),
+                 wanted=wanted[a:a + n].astype("u1").tobytes(),
+                 body=_wide(body[a:a + n].ravel()))
+    return packed.batch(out, TOTALS)
 
 
 def _totals(table: pa.Table, width: int) -> pa.Table:
@@ -332,182 +402,355 @@ def _totals(table: pa.Table, width: int) -> pa.Table:
     body = np.concatenate([_read_wide(x) for x in table["body"].to_pylist()]).reshape(-1, width)
     total = np.stack([np.bincount(of, weights=body[:, j])[of] for j in range(width)], axis=1)
     ends = np.cumsum(packed.lengths(table["contexts"], 8))
-    answers = [_wide(x.astype(np.int64).ravel()) for x in np.split(total, ends[:-1])]
+    wanted = packed.read(table["wanted"], "u1") > 0
+    answers = [_wide(x[w].astype(np.int64).ravel()) for x, w in zip(
+        np.split(total, ends[:-1]), np.split(wanted, ends[:-1]), strict=True)]
     return table.select(["part", "bucket"]).append_column("body", pa.array(answers, pa.binary()))
 
 
 def _with_totals(parts: DataFrame, ask, width: int) -> DataFrame:
-    """``parts`` and, per context that ``ask`` gives values for, their sums over all parts."""
+    """``parts`` and, per context that ``ask`` wants, its sums over all parts."""
     asked = parts.mapInArrow(ask, TOTALS_DDL)
     answers = asked.groupBy("bucket").applyInArrow(
         lambda table: _totals(table, width), "part int, bucket int, body binary")
     # buckets are in the order of the numbers, as are the contexts of a part
     whole = answers.groupBy("part").agg(
         F.sort_array(F.collect_list(F.struct("bucket", "body"))).alias("totals"))
-    return parts.join(whole.select("part", F.col("totals.body").alias("totals")), "part")
+    return parts.join(whole.select("part", F.col("totals.body").alias("totals")), "part", "left")
 
 
 def _sums(row: dict, width: int) -> np.ndarray:
-    return np.concatenate([_read_wide(x) for x in row["totals"]]).reshape(-1, width)
+    found = [_read_wide(x) for x in row["totals"] or []]
+    return np.concatenate([np.zeros(0, np.int64), *found]).reshape(-1, width)
 
 
-def _ask_first(buckets: int):
-    """Customers and pairs per context."""
+def _ask_pairs(buckets: int):
+    """Pairs per context, wanted for those with a dish that can move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             part = Part(row)
-            yield part.to_buckets(
-                [part.per_context(part.count), part.per_context(part.count > 0)], buckets)
+            yield _to_buckets(part.number, part.numbers, part.per_context(part.count > 1) > 0,
+                              [part.per_context(part.count > 0)], buckets)
 
     return run
 
 
-def _ask_tables(buckets: int, samples: int):
-    """Tables per context in each kept sample."""
+def _begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The state before the first sweep: one table for each dish; large ones are filled in it."""
+    for row in _rows(batches):
+        part = Part(row)
+        move = np.flatnonzero(part.count > 1)
+        own, context = np.unique(part.context[move], return_inverse=True)
+        pairs = np.bincount(part.word[part.count > 0], minlength=part.words)
+        total = np.bincount(part.word, weights=part.count, minlength=part.words)
+        many = total > LARGE  # no more customers can come to the parent
+        one = np.ones(len(move), dtype=np.int64)
+        count = part.count[move]
+        yield pa.RecordBatch.from_pylist([{
+            "part": part.number, "word": packed.planes(part.word[move]),
+            "contexts": part.numbers[own].tobytes(), "context": packed.planes(context),
+            "count": _wide(count), "many": many.astype("u1").tobytes(),
+            "others": packed.planes(
+                np.bincount(part.word[part.count == 1], minlength=part.words)),
+            "base": _wide(_sums(row, 1)[:, 0]), "tables": _wide(one),
+            "sizes": b"", "in_root": _wide(pairs),
+            "seated": _wide((pairs > 0).astype(np.int64)), "root_sizes": b"",
+            "kept": [], "kept_in_root": [], "kept_seated": [],
+            "roots": [int(pairs.sum()), int((pairs > 0).sum())],
+        }], schema=STATE)
+
+
+def _ask_more(buckets: int):
+    """Tables per context beyond one for each pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            part = Part(row)
-            tables = _planes(row["tables"]).reshape(samples, -1)
-            yield part.to_buckets([part.per_context(x) for x in tables], buckets)
+            numbers = np.frombuffer(row["contexts"], "<u8")
+            more = np.bincount(_planes(row["context"]), _read_wide(row["tables"]) - 1,
+                               minlength=len(numbers)).astype(np.int64)
+            yield _to_buckets(row["part"], numbers, np.ones(len(numbers)), [more], buckets)
 
     return run
 
 
-def _sample(whole: dict, s: Settings):
+def _groups(context: np.ndarray) -> np.ndarray:
+    """Deals the dishes of each context to the groups in turn."""
+    order = np.argsort(context, kind="stable")
+    start, n = packed.runs(context[order])
+    out = np.empty(len(context), dtype=np.int64)
+    out[order] = (np.arange(len(context)) - np.repeat(start, n)) % GROUPS
+    return out
+
+
+def _sweep(model: Model, roots: list[int], s: Settings, turn: int):
+    """Every customer of a part, then every customer of its words in the parent, moves once."""
+    m = model
+
+    def pairs(row: dict, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, bytes]:
+        word, context = _planes(row["word"]), _planes(row["context"])
+        count, tables = _read_wide(row["count"]), _read_wide(row["tables"])
+        in_root, seated = _read_wide(row["in_root"]), _read_wide(row["seated"])
+        of_context = _read_wide(row["base"]) + _sums(row, 1)[:, 0]
+        root_customers = roots[0]
+        new_dish = (s.root_strength + m.root_discount * roots[1]) * m.base
+        large = np.flatnonzero(count > LARGE)
+        seats = Seats(tables[large] if turn else 0 * large, _read_wide(row["sizes"]))
+
+        def parent(held, tables):
+            return held - m.root_discount * np.maximum(
+                np.minimum(tables, held), held > 0) + new_dish
+
+        def settle(at, after):
+            nonlocal root_customers
+            change = after - tables[at]
+            of_context[:] += np.bincount(
+                context[at], change, minlength=len(of_context)).astype(np.int64)
+            in_root[:] += np.bincount(word[at], change, minlength=len(in_root)).astype(np.int64)
+            root_customers += int(change.sum())
+            tables[at] = after
+
+        group = _groups(context)
+        for g in range(GROUPS):
+            at = np.flatnonzero((group == g) & (count <= LARGE))
+            without = of_context[context[at]] - tables[at]
+            held = in_root[word[at]] - tables[at]
+            rest, sat = root_customers - tables[at], seated[word[at]]
+
+            def weight(dish, had, without=without, held=held, rest=rest, sat=sat):
+                return np.log((s.strength + m.discount * (without[dish] + had))
+                              * parent(held[dish] + had, sat[dish])
+                              / (s.root_strength + rest[dish] + had))
+
+            settle(at, draw_tables(count[at], m.discount, weight, rng))
+
+        others = of_context[context[large]] - tables[large]
+        held = in_root[word[large]] - tables[large]
+        sat = seated[word[large]]
+
+        def opening(t):
+            return (s.strength + m.discount * (others + t)) * parent(held + t, sat) / (
+                s.root_strength + root_customers)
+
+        if not turn:
+            seats.fill(count[large], opening, m.discount, rng)
+        seats.sweep(count[large], opening, m.discount, rng)
+        settle(large, seats.tables())
+        return tables, in_root, _wide(seats.size)
+
+    def root(row: dict, in_root: np.ndarray, rng) -> tuple[np.ndarray, bytes]:
+        seated, many = _read_wide(row["seated"]), np.frombuffer(row["many"], "u1") > 0
+        seats = Seats(seated[many] if turn else 0 * seated[many], _read_wide(row["root_sizes"]))
+        all_tables = roots[1]
+        few = np.flatnonzero(~many & (in_root > 0))
+        without = all_tables - seated[few]
+        after = draw_tables(
+            in_root[few], m.root_discount, lambda dish, had: np.log(
+                (s.root_strength + m.root_discount * (without[dish] + had)) * m.base), rng)
+        all_tables += int((after - seated[few]).sum())
+        seated[few] = after
+        others = all_tables - seated[many]
+
+        def opening(t):
+            return (s.root_strength + m.root_discount * (others + t)) * m.base
+
+        if not turn:
+            seats.fill(in_root[many], opening, m.root_discount, rng)
+        seats.sweep(in_root[many], opening, m.root_discount, rng)
+        seated[many] = seats.tables()
+        return seated, _wide(seats.size)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            part = Part(row)
-            customers, pairs = _sums(row, 2).T
-            kept = list(part.seatings(Totals(customers, pairs, **whole), s))
-            tables, in_root, seated = (np.concatenate(x) for x in zip(*kept, strict=True))
-            roots = [int(x.sum()) for _, *both in kept for x in both]
-            row = {f.name: row.get(f.name) for f in SEATED} | {
-                "customers": _wide(customers), "tables": packed.planes(tables),
-                "in_root": packed.planes(in_root), "seated": packed.planes(seated),
-                "roots": roots}
-            yield pa.RecordBatch.from_pylist([row], schema=SEATED)
+            rng = np.random.Generator(np.random.PCG64([s.seed, turn, row["part"]]))
+            tables, in_root, sizes = pairs(row, rng)
+            seated, root_sizes = root(row, in_root, rng)
+            kept = {"kept": tables, "kept_in_root": in_root, "kept_seated": seated}
+            if turn >= s.burn_in:
+                row |= {k: [*row[k], packed.planes(x)] for k, x in kept.items()}
+            begun = np.frombuffer(row["contexts"], "<u8")[_planes(row["context"])] == BEGIN
+            row |= {"tables": _wide(tables), "sizes": sizes, "in_root": _wide(in_root),
+                    "seated": _wide(seated), "root_sizes": root_sizes,
+                    "roots": [int(in_root.sum()), int(seated.sum()),
+                              int((tables[begun] - 1).sum())]}
+            yield pa.RecordBatch.from_pylist(
+                [{f.name: row[f.name] for f in STATE}], schema=STATE)
 
     return run
 
 
-def _pair_scores(whole: dict, roots: list, s: Settings, n: int, v: int):
+def _customers(parts: int, samples: int):
+    """Customers and pairs per context, to the part that has the context as a word."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             part = Part(row)
-            t = Totals(_read_wide(row["customers"]), np.zeros(0), **whole)
-            kept = zip(*(_planes(row[x]).reshape(s.samples, -1)
-                         for x in ("tables", "in_root", "seated")),
-                       _sums(row, s.samples).T, roots, strict=True)
-            mean, u = np.zeros(len(part.word)), part.context
-            for tables, in_root, seated, context_tables, root in kept:
-                parent = (in_root - t.root_discount * seated
-                          + (s.root_strength + t.root_discount * root[1]) * t.base
-                          ) / (s.root_strength + root[0])
-                mean += (part.count - t.discount * tables
-                         + (s.strength + t.discount * context_tables[u]) * parent[part.word]
-                         ) / (s.strength + t.customers[u])
-            count = np.bincount(part.word, weights=part.count, minlength=part.words)
-            row = {f.name: row.get(f.name) for f in STREAM} | {
-                "kind": 0, "x": np.log10(mean / s.samples).astype("<f8").tobytes(),
-                "y": np.log10((count + 1) / (n + 1 * (v + 1))).astype("<f8").tobytes(),
-                "z": (count > 0).astype("u1").tobytes()}
-            yield pa.RecordBatch.from_pylist([row], schema=STREAM)
+            none = np.zeros(part.contexts, dtype=np.int64)
+            pairs = part.per_context(part.count > 0)
+            yield _to_buckets(part.number, part.numbers, none,
+                              [part.per_context(part.count), *[pairs] * samples], parts)
 
     return run
 
 
+def _kept_tables(parts: int):
+    """Tables per context beyond one for each pair, in every kept sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            numbers, context = np.frombuffer(row["contexts"], "<u8"), _planes(row["context"])
+            none = np.zeros(len(numbers), dtype=np.int64)
+            more = [np.bincount(context, _planes(x) - 1, minlength=len(numbers)).astype(np.int64)
+                    for x in row["kept"]]
+            yield _to_buckets(row["part"], numbers, none, [none, *more], parts)
+
+    return run
+
+
+def _add_contexts(table: pa.Table, width: int) -> pa.Table:
+    numbers, of = np.unique(packed.read(table["contexts"], "<u8"), return_inverse=True)
+    body = np.concatenate([_read_wide(x) for x in table["body"].to_pylist()]).reshape(-1, width)
+    total = np.stack([np.bincount(of, weights=body[:, j]) for j in range(width)])
+    return pa.table({
+        "part": pa.array([table["bucket"][0].as_py()], pa.int32()),
+        "own": pa.array([numbers.astype("<u8").tobytes()], pa.binary()),
+        "own_totals": pa.array([_wide(total.astype(np.int64).ravel())], pa.binary())})
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each batch needs to score the pairs it holds of a part."""
+    for row in _rows(batches):
+        vocabulary, per_word = np.frombuffer(row["words"], "<u8"), _planes(row["per_word"])
+        count = _read_wide(row["count"])
+        word = np.repeat(np.arange(len(vocabulary)), per_word)
+        of_word = np.bincount(word, count, minlength=len(vocabulary)).astype(np.int64)
+        move = np.flatnonzero(count > 1)
+        samples = len(row["kept"])
+        tables = np.tile((count > 0).astype(np.uint32), (samples, 1))
+        for at, kept in enumerate(row["kept"]):
+            tables[at, move] = _planes(kept)
+        in_root, seated = (np.stack([_planes(x) for x in row[k]])
+                           for k in ("kept_in_root", "kept_seated"))
+        totals = np.zeros((1 + samples, len(vocabulary)), dtype=np.int64)
+        if row["own"] is not None:
+            own = np.frombuffer(row["own"], "<u8")
+            _, here, there = np.intersect1d(
+                vocabulary, own, assume_unique=True, return_indices=True)
+            totals[:, here] = _read_wide(row["own_totals"]).reshape(1 + samples, -1)[:, there]
+        for batch, of, at in zip(row["batches"], row["batch_words"], row["batch_pairs"],
+                                 strict=True):
+            of, at = _places(of), _places(at)
+            yield packed.batch({k: [x] for k, x in {
+                "batch": batch, "part": row["part"], "count": _wide(count[at]),
+                "word_count": _wide(of_word[of]), "customers": _wide(totals[0, of]),
+                **{name: packed.planes(x.ravel()) for name, x in (
+                    ("tables", tables[:, at]), ("in_root", in_root[:, of]),
+                    ("seated", seated[:, of]), ("context_tables", totals[1:, of]))},
+            }.items()}, ANSWERS)
+
+
 def _entries(parts: int):
-    """Per batch and part: pairs, and for each of them the documents that hold it, with counts."""
+    """Per batch: its pairs, and for each of them the documents that hold it, with counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in packed.gathered(batches, BATCH_BYTES):
+        for batch, rows in _batches(batches):
             numbers, slot, before, length = _coded(rows["text"])
-            if not len(slot):
-                continue
-            key, docs = rows["_key"].to_numpy(), len(length)
+            docs = len(length)
             pair, at = np.unique(slot * len(numbers) + before, return_inverse=True)
             entry, count = np.unique(at * docs + np.repeat(np.arange(docs), length),
                                      return_counts=True)
             at, doc = np.divmod(entry, docs)
             word, context = np.divmod(pair, len(numbers))
-            part = packed.place(numbers, parts)[word]
-            first = np.searchsorted(at, np.arange(len(pair) + 1))
-            out: dict[str, list] = {f.name: [] for f in STREAM}
-            for a, n in zip(*packed.runs(part), strict=True):
-                low, high = first[a], first[a + n]
-                own, index = np.unique(doc[low:high], return_inverse=True)
-                _add_row(out, part=int(part[a]), kind=1, keys=key[own].astype("<i8").tobytes(),
-                         x=packed.planes(np.diff(first[a:a + n + 1])), y=packed.planes(index),
-                         z=packed.planes(count[low:high]),
-                         **_by_word(numbers, word[a:a + n], context[a:a + n]))
-            yield packed.batch(out, STREAM)
+            _, per_word = packed.runs(word)
+            yield packed.batch({k: [x] for k, x in {
+                "batch": batch, "keys": rows["_key"].to_pylist(),
+                "train": rows["train"].to_pylist(), "word": packed.planes(per_word),
+                "context": packed.planes(context),
+                "holds": packed.planes(np.bincount(at, minlength=len(pair))),
+                "doc": packed.planes(doc), "count": packed.planes(count),
+                "parts": np.unique(packed.place(numbers[:-1], parts)).astype("<i4").tobytes(),
+            }.items()}, ENTRIES)
 
     return run
 
 
-class PairScores:
-    """The scores of a part's pairs, by word and context."""
-
-    def __init__(self, row: dict):
-        self.words = np.frombuffer(row["words"], "<u8")
-        self.contexts = np.frombuffer(row["contexts"], "<u8")
-        word = np.repeat(np.arange(len(self.words)), _planes(row["per_word"]))
-        self.pair = word * len(self.contexts) + _planes(row["context"])
-        self.score, self.base = (np.frombuffer(row[x], "<f8") for x in ("x", "y"))
-        self.known = np.frombuffer(row["z"], "u1")
-
-    def of(self, row: dict) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens, known tokens) and (base score, score) of the documents of a row of entries."""
-        word = np.repeat(np.searchsorted(self.words, np.frombuffer(row["words"], "<u8")),
-                         _planes(row["per_word"]))
-        context = np.searchsorted(self.contexts, np.frombuffer(row["contexts"], "<u8"))[
-            _planes(row["context"])]
-        at = np.searchsorted(self.pair, word * len(self.contexts) + context)
-        holds, doc, count = (_planes(row[x]) for x in "xyz")
+def _score(model: Model, s: Settings, roots: list, begun: tuple, n: int, v: int):
+    """The documents of a batch from its entries and the answers of all its parts."""
+    m = model
+
+    def run(entries: pa.Table, answers: pa.Table) -> pa.Table:
+        row, found = entries.to_pylist()[0], answers.sort_by("part")
+        if found["part"].to_pylist() != np.frombuffer(row["parts"], "<i4").tolist():
+            raise RuntimeError("the answers of a batch are not those of its parts")
+
+        def joined(name):
+            return np.concatenate(
+                [_planes(x).reshape(s.samples, -1) for x in found[name].to_pylist()], axis=1)
+
+        count, of_word, customers = (
+            np.concatenate([_read_wide(x) for x in found[name].to_pylist()])
+            for name in ("count", "word_count", "customers"))
+        customers = np.r_[customers, begun[0]]  # the context of first words is the last
+        per_word, context = _planes(row["word"]), _planes(row["context"])
+        word = np.repeat(np.arange(len(per_word)), per_word)
+        mean = np.zeros(len(count))
+        for tables, in_root, seated, context_tables, root, first in zip(
+                *(joined(x) for x in ("tables", "in_root", "seated", "context_tables")),
+                roots, begun[1], strict=True):
+            parent = (in_root - m.root_discount * seated
+                      + (s.root_strength + m.root_discount * root[1]) * m.base
+                      ) / (s.root_strength + root[0])
+            opening = s.strength + m.discount * np.r_[context_tables, first]
+            mean += (count - m.discount * tables + opening[context] * parent[word]
+                     ) / (s.strength + customers[context])
+        score = np.log10(mean / s.samples)
+        base = np.log10((of_word + 1) / (n + 1 * (v + 1)))[word]
+        holds, doc, times = (_planes(row[x]) for x in ("holds", "doc", "count"))
 
         def total(values):
-            return np.bincount(doc, weights=np.repeat(values, holds) * count)
+            return np.bincount(doc, np.repeat(values, holds) * times, minlength=len(row["keys"]))
 
-        return (np.stack([np.bincount(doc, weights=count), total(self.known[word])], axis=1),
-                np.stack([total(self.base[word]), total(self.score[at])], axis=1))
+        return pa.Table.from_arrays([
+            pa.array(row["keys"], pa.int64()), pa.array([not x for x in row["train"]], pa.bool_()),
+            *(pa.array(total(x).astype(np.int64)) for x in (
+                np.ones(len(count)), (of_word > 0).astype(float)[word])),
+            pa.array(total(base)), pa.array(total(score))], schema=RESULT)
 
+    return run
 
-def _score_entries(buckets: int):
-    """Reads a part's pair scores, then its entries."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = None
-        for row in _rows(batches):
-            if row["kind"] == 0:
-                scores = PairScores(row)
-                continue
-            tokens, body = scores.of(row)
-            keys = np.frombuffer(row["keys"], "<i8")
-            bucket = packed.place(words.mix(keys.view(np.uint64)), buckets)
-            order = np.argsort(bucket, kind="stable")
-            out: dict[str, list] = {f.name: [] for f in SCORED}
-            for a, m in zip(*packed.runs(bucket[order]), strict=True):
-                at = order[a:a + m]
-                _add_row(out, bucket=int(bucket[at[0]]), part=row["part"],
-                         keys=keys[at].tobytes(), tokens=packed.planes(tokens[at].ravel()),
-                         body=body[at].astype("<f8").tobytes())
-            yield packed.batch(out, SCORED)
+#: Bytes that a task holds back while it stores rows, or reads them.
+BLOCK_BYTES = 16 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+#: While rows are stored, large ones reach a Python function alone.
+STORING = {CLEANUP: "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 20)}
 
-    return run
 
+@contextmanager
+def _released(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a job that ends inside are removed with it: what it gave is stored."""
+    before = {key: spark.conf.get(key, None) for key in STORING}
+    for key, value in STORING.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
-def _add_scores(table: pa.Table) -> pa.Table:
-    table = table.sort_by([("part", "ascending")])
-    known, of = np.unique(packed.read(table["keys"], "<i8"), return_inverse=True)
-    tokens = packed.read_planes(table["tokens"]).reshape(-1, 2)
-    body = packed.read(table["body"], "<f8").reshape(-1, 2)
-    sums = [np.bincount(of, weights=x[:, j], minlength=len(known))
-            for x in (tokens, body) for j in range(2)]
-    return pa.Table.from_arrays(
-        [pa.array(known), *(pa.array(x.astype(np.int64)) for x in sums[:2]),
-         *(pa.array(x) for x in sums[2:])], schema=RESULT)
+
+def _stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    with _released(spark):
+        df.write.option("compression", "zstd").option(
+            "parquet.block.size", str(BLOCK_BYTES)).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def score_texts(
@@ -527,70 +770,61 @@ def score_texts(
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     parts = max(1, math.ceil(size / PART_BYTES))
     buckets = max(1, parts // PARTS_A_BUCKET)
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"),
-        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+    fed = docs.select(
+        F.col(id_col).cast("long").alias("_key"), F.col(text_col).cast("string").alias("text"),
+        (~F.coalesce(held_out, F.lit(False))).alias("train"),
     )
-    unclear = rows.groupBy("_id").count().where("count > 1 or _id is null").limit(1).count()
-    key = F.xxhash64("_id", "text", "held_out") if unclear else F.col("_id")
-    fed = rows.select(key.alias("_key"), "text", (~F.col("held_out")).alias("train"))
-
-    parts_path = new_path(spark, "parts")
-    fed.mapInArrow(_count_pairs(parts), PAIRS_DDL).groupBy("part").applyInArrow(
-        _gather_part, PART_DDL).write.option("compression", "zstd").parquet(parts_path)
-    stored = spark.read.schema(PART_DDL).parquet(parts_path)
-    loads = {r.part: r for r in stored.select("part", *SCALARS).collect()}
-    if not loads:
-        return rows.select(F.col("_id").alias(id_col), "held_out", *[
+    texts, _ = _stored(fed.mapInArrow(_store, BATCHES_DDL), "texts")
+    stored, parts_path = _stored(
+        texts.mapInArrow(_count_pairs(parts), PAIRS_DDL).groupBy("part").applyInArrow(
+            _gather_part, PART_DDL), "parts")
+    sums = stored.agg(F.count("*"), *[F.coalesce(F.sum(x), F.lit(0)) for x in SCALARS]).first()
+    if not sums[0]:
+        return fed.select(F.col("_key").alias(id_col), (~F.col("train")).alias("held_out"), *[
             F.lit(0).cast(t).alias(c) for c, t in (
                 ("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"),
                 ("base_score", "double"), ("score", "double"))])
-    n, v, distinct, once, twice, word_once, word_twice = (
-        sum(r[x] for r in loads.values()) for x in SCALARS)
-    first = _with_totals(stored.drop(*SCALARS), _ask_first(buckets), 2)
-    whole = {
-        "root_customers": float(distinct),
-        "root_tables": float(v),
-        "discount": once / (once + 2 * twice) if twice else 0.5,
-        "root_discount": word_once / (word_once + 2 * word_twice) if word_twice else 0.5,
-        "base": 1.0 / (v + 1),
-    }
-    path = new_path(spark, "seated")
-    first.mapInArrow(_sample(whole, s), SEATED_DDL).write.option(
-        "compression", "zstd").parquet(path)
-    seated = spark.read.schema(SEATED_DDL).parquet(path)
-    delete_path(spark, parts_path)  # the stored seatings hold all that is needed from here on
-    roots = np.array([r.roots for r in seated.select("roots").collect()]).sum(axis=0)
-    scores = _with_totals(
-        seated.drop("roots"), _ask_tables(buckets, s.samples), s.samples
-    ).mapInArrow(_pair_scores(whole, roots.reshape(-1, 2).tolist(), s, n, v), STREAM_DDL)
-
-    # a part with more occurrences than others is read by several tasks
-    usual = max(1.0, n / parts)
-    split = F.broadcast(spark.createDataFrame(
-        [(p, max(1, math.ceil(r["tokens"] / usual / 2))) for p, r in loads.items()],
-        "part int, tasks int"))
-    entries = fed.mapInArrow(_entries(parts), STREAM_DDL)
-    salted = scores.join(split, "part").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))
-    ).unionByName(entries.join(split, "part").withColumn(
-        "salt", F.pmod(F.xxhash64("keys"), F.col("tasks")).cast("int"))).drop("tasks")
-    ordered = salted.repartition(parts, "part", "salt").sortWithinPartitions(
-        "part", "salt", "kind")
-    scored = ordered.drop("salt").mapInArrow(_score_entries(buckets), SCORED_DDL).groupBy(
-        "bucket").applyInArrow(_add_scores, RESULT_DDL)
-    if not unclear:
-        named = scored.withColumnRenamed("_key", "_id").join(rows.select("_id", "held_out"), "_id")
-        return named.select(
-            F.col("_id").alias(id_col), "held_out", "n_tokens", "n_known",
-            F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
-    keyed = rows.select("_id", "held_out", key.alias("_key"))
-    many = keyed.groupBy("_key").agg(F.count("*").alias("_m"))
-    return keyed.join(scored.join(many, "_key"), "_key").select(
-        F.col("_id").alias(id_col), "held_out",
-        *[F.expr(f"{c} div _m").alias(c) for c in ("n_tokens", "n_known")],
-        F.lit(n).cast("long").alias("train_tokens"),
-        *[(F.col(c) / F.col("_m")).alias(c) for c in ("base_score", "score")])
+    n, v, once, twice, word_once, word_twice, begun, begun_pairs = sums[1:]
+    model = Model(
+        discount=once / (once + 2 * twice) if twice else 0.5,
+        root_discount=word_once / (word_once + 2 * word_twice) if word_twice else 0.5,
+        base=1.0 / (v + 1))
+
+    def sums_of(state):
+        return [sum(x) for x in zip(*(r.roots for r in state.select("roots").collect()))]
+
+    by_word = stored.select("part", "words", "per_word", "contexts", "context", "count")
+    state, path = _stored(_with_totals(by_word, _ask_pairs(buckets), 1).mapInArrow(
+        _begin, STATE_DDL), "state")
+    roots, kept = sums_of(state), []
+    for turn in range(s.burn_in + s.samples):
+        last = path
+        state, path = _stored(_with_totals(state, _ask_more(buckets), 1).mapInArrow(
+            _sweep(model, roots, s, turn), STATE_DDL), "state")
+        delete_path(spark, last)
+        roots = sums_of(state)
+        if turn >= s.burn_in:
+            kept.append(roots)
+
+    shared = by_word.mapInArrow(_customers(parts, s.samples), TOTALS_DDL).unionByName(
+        state.mapInArrow(_kept_tables(parts), TOTALS_DDL))
+    contexts = shared.groupBy("bucket").applyInArrow(
+        lambda table: _add_contexts(table, 1 + s.samples),
+        "part int, own binary, own_totals binary")
+    answers, _ = _stored(
+        stored.select("part", "words", "per_word", "count", "batches", "batch_words",
+                      "batch_pairs")
+        .join(state.select("part", "kept", "kept_in_root", "kept_seated"), "part")
+        .join(contexts, "part", "left").mapInArrow(_answers, ANSWERS_DDL), "answers")
+    delete_path(spark, parts_path)  # the answers hold all that is needed from here on
+    delete_path(spark, path)
+    begins = (begun, [begun_pairs + x[2] for x in kept])
+    scored = texts.mapInArrow(_entries(parts), ENTRIES_DDL).groupBy("batch").cogroup(
+        answers.groupBy("batch")).applyInArrow(
+            _score(model, s, kept, begins, n, v), RESULT_DDL)
+    return scored.select(
+        F.col("_id").alias(id_col), "held_out", "n_tokens", "n_known",
+        F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def perplexity(scored: DataFrame) -> DataFrame:
