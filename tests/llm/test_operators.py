@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,8 +16,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from triagelake.llm import (
-    ann, bpe, chat, components, mixing, ngram_join, pitman_yor, sharding, token_records, topk,
-    toxicity, words,
+    ann, bpe, chat, components, mixing, ngram_join, packed, pitman_yor, sharding, token_records,
+    topk, toxicity, words,
 )
 from triagelake.session import new_path
 
@@ -798,6 +799,39 @@ def test_near_copies_of_one_toxic_document_teach_no_common_words(spark):
     assert len(toxicity.fit(table, table).feature) == 0
 
 
+def _labelled_texts(n, length):
+    rng = np.random.default_rng(6)
+    said = rng.integers(0, 3000, (n, length)).astype(str).tolist()
+    for i in range(0, n, 4):
+        said[i][20:25] = ["common", "vile", "nasty", "slur", "word"]
+    texts = pa.chunked_array([[" ".join(x) for x in said] + [None, "", " \n"]], pa.string())
+    return texts, np.r_[np.arange(n) % 4 == 0, True, False, True].astype(int)
+
+
+def test_learning_takes_a_small_multiple_of_the_texts():
+    texts, toxic = _labelled_texts(3000, 300)
+    toxicity.learn(*_labelled_texts(200, 100), toxicity.Settings(steps=1))  # tables made once
+    tracemalloc.start()
+    try:
+        model = toxicity.learn(texts, toxic, toxicity.Settings(steps=2))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(model.feature) and most < 30 * texts.nbytes
+
+
+def test_a_model_does_not_depend_on_blocks_and_ranges(monkeypatch):
+    texts, toxic = _labelled_texts(900, 60)
+    found = []
+    for rows, ranges in ((512, 8), (7, 1), (2000, 64)):
+        monkeypatch.setattr(packed, "slices", lambda b, n=rows, own=packed.slices: own(b, n))
+        monkeypatch.setattr(toxicity, "RANGES", ranges)
+        model = toxicity.learn(texts, toxic, toxicity.Settings(steps=5))
+        monkeypatch.undo()
+        found.append([x.tolist() for x in (model.feature, model.weight, model.chain)])
+    assert found[0][0] and found[0] == found[1] == found[2]
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (3, 0), (4, 0), (None, 1), (5, None)],
                                    "doc_id long, toxic int")

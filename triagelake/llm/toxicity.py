@@ -11,7 +11,7 @@ tokens side by side; the marginals give the offending spans, and the largest is
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +23,10 @@ from triagelake.llm import packed, words
 
 BLOCK = 64
 FILTER_BITS = 22
+#: Kinds of features of a token: the word, prefixes of 3 to 6 and suffixes of 3 and 4 bytes.
+KINDS = 7
+#: Feature numbers are counted in this many ranges, one after the other (a power of two).
+RANGES = 8
 #: Orders of word triples by which near copies in the sample are told.
 SKETCH = 4
 
@@ -42,14 +46,14 @@ class Settings:
     ridge: float = 1e-5
 
 
-def token_features(found: words.Words) -> list[np.ndarray]:
+def token_features(found: words.Words, kinds: Sequence[int] = range(KINDS)) -> list[np.ndarray]:
     """One array of feature numbers per kind: word, prefixes of 3 to 6 and suffixes of 3, 4 bytes."""
     s, e = found.start, found.end
     parts = [(s, e)]
     parts += [(s, np.minimum(s + k, e)) for k in (3, 4, 5, 6)]
     parts += [(np.maximum(e - k, s), e) for k in (3, 4)]
-    numbers = words.hashes_within(found.data, s, e, parts)
-    return [words.mix(n + np.uint64(kind * 7919 + 1)) for kind, n in enumerate(numbers)]
+    numbers = words.hashes_within(found.data, s, e, [parts[kind] for kind in kinds])
+    return [words.mix(n + np.uint64(kind * 7919 + 1)) for kind, n in zip(kinds, numbers, strict=True)]
 
 
 def _scan(gain, stay, leave, enter, keep, fresh, begin):
@@ -138,17 +142,18 @@ class Model:
         self.seen = np.zeros(1 << FILTER_BITS, dtype=bool)
         self.seen[(self.feature & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
 
+    def hits(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(token, feature index) of the features of one kind that the model knows."""
+        low = (numbers & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+        at = np.flatnonzero(self.seen[low])
+        slot = np.searchsorted(self.feature, numbers[at])
+        slot = np.minimum(slot, len(self.feature) - 1)
+        hit = self.feature[slot] == numbers[at]
+        return at[hit], slot[hit]
+
     def columns(self, features: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(token, feature index) of all features that the model knows."""
-        tokens, slots = [], []
-        for numbers in features:
-            low = (numbers & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-            at = np.flatnonzero(self.seen[low])
-            slot = np.searchsorted(self.feature, numbers[at])
-            slot = np.minimum(slot, len(self.feature) - 1)
-            hit = self.feature[slot] == numbers[at]
-            tokens.append(at[hit])
-            slots.append(slot[hit])
+        tokens, slots = zip(*map(self.hits, features), strict=True)
         return np.concatenate(tokens), np.concatenate(slots)
 
     def odds(self, features: list[np.ndarray]) -> np.ndarray:
@@ -167,19 +172,28 @@ def _first_tokens(found: words.Words) -> np.ndarray:
     return first
 
 
-def unlike_documents(found: words.Words) -> np.ndarray:
-    """A class per document; documents that share a least hash of word triples have the same one.
-
-    There are ``SKETCH`` hash orders. Near copies share nearly all triples and so some least one;
-    unlike documents with a short phrase in common seldom do. Works on the bounded sample only.
-    """
-    counts, n = found.counts, len(found.counts)
+def _least_triples(found: words.Words) -> np.ndarray:
+    """The least hash of word triples in each of ``SKETCH`` orders, per document with words."""
     number, row = found.numbers(), found.rows()
     ahead = [np.where(np.r_[row[j:], np.full(min(j, len(row)), -1)] == row,
                       np.r_[number[j:], np.zeros(min(j, len(row)), dtype=np.uint64)], np.uint64(0))
              for j in (1, 2)]
     triple = words.mix(words.mix(number) + ahead[0]) + ahead[1]
-    parent = list(range(n))
+    begin = found.first[:-1][found.counts > 0]
+    if not len(begin):
+        return np.zeros((SKETCH, 0), dtype=np.uint64)
+    return np.stack([np.minimum.reduceat(words.mix(triple + np.uint64(turn + 1)), begin)
+                     for turn in range(SKETCH)])
+
+
+def unlike_documents(blocks: list[words.Words]) -> np.ndarray:
+    """A class per document; documents that share a least hash of word triples have the same one.
+
+    There are ``SKETCH`` hash orders. Near copies share nearly all triples and so some least one;
+    unlike documents with a short phrase in common seldom do. Works on the bounded sample only.
+    """
+    counts = np.concatenate([found.counts for found in blocks])
+    parent = list(range(len(counts)))
 
     def top(x: int) -> int:
         while parent[x] != x:
@@ -188,78 +202,147 @@ def unlike_documents(found: words.Words) -> np.ndarray:
         return x
 
     full = np.flatnonzero(counts > 0)
-    for turn in range(SKETCH if len(full) else 0):
-        least = np.minimum.reduceat(words.mix(triple + np.uint64(turn + 1)), found.first[:-1][full])
+    for least in np.concatenate([_least_triples(found) for found in blocks], axis=1):
         order = np.argsort(least, kind="stable")
         same = np.flatnonzero(least[order][1:] == least[order][:-1])
         for a, b in zip(full[order[same]].tolist(), full[order[same + 1]].tolist(), strict=True):
             parent[top(a)] = top(b)
-    return np.array([top(x) for x in range(n)], dtype=np.uint64)
+    return np.array([top(x) for x in range(len(counts))], dtype=np.uint64)
+
 
+def _telling(numbers: np.ndarray, row: np.ndarray, toxic: np.ndarray, source: np.ndarray,
+             rate: float, s: Settings) -> np.ndarray:
+    """The numbers of one kind that tell toxic documents, in order.
 
-def learn(texts: list[str], toxic: np.ndarray, s: Settings) -> Model:
-    """Trains on the given documents; without both labels, or any cue, only the share remains."""
+    ``row`` names the document of each number, ``toxic`` and ``source`` its label and class.
+    Equal numbers lie in one range, so only a part of them is sorted at a time.
+    """
+    known, found, often = 0, [], []
+    place = packed.place(numbers, RANGES).astype(np.uint8)
+    for part in range(RANGES):
+        at = np.flatnonzero(place == part)
+        number, slot = np.unique(numbers[at], return_inverse=True)
+        known += len(number)
+        _, seen_at = np.unique(words.mix(numbers[at]) + source[row[at]], return_index=True)
+        bad = toxic[row[at[seen_at]]]
+        in_toxic = np.bincount(slot[seen_at[bad]], minlength=len(number))
+        in_clean = np.bincount(slot[seen_at[~bad]], minlength=len(number))
+        pure = (in_toxic >= 4) & (in_toxic >= s.purity * (in_toxic + in_clean))
+        found.append(number[pure])
+        often.append(in_toxic[pure])
+    least = np.log(known * KINDS / s.chance) / -np.log(min(rate, 0.9))
+    return np.concatenate(found)[np.concatenate(often) >= least]
+
+
+def _expected(past: np.ndarray, future: np.ndarray, odds: np.ndarray, inner: np.ndarray,
+              chain: np.ndarray) -> tuple[np.ndarray, list[float]]:
+    """The toxic marginal of each token, and the expected clean-toxic, toxic-clean and
+    toxic-toxic steps. ``past`` and ``future`` are used up."""
+    _, ct, tc, tt = np.exp(chain)
+    p = past * future
+    p /= 1 + p
+    past[1:] = past[:-1]
+    past[:1] = 0.0
+    future *= odds
+    on = past * tt
+    on *= future
+    into, back = np.multiply(future, ct, out=future), np.multiply(past, tc, out=past)
+    total = 1 + into
+    total += back
+    total += on
+    return p, [np.divide(x, total, out=x)[inner].sum() for x in (into, back, on)]
+
+
+def learn(texts: pa.ChunkedArray, toxic: np.ndarray, s: Settings) -> Model:
+    """Trains on the given documents; without both labels, or any cue, only the share remains.
+
+    Texts are split in blocks of documents and features counted one kind after the other, so
+    that the memory is a small multiple of the texts.
+    """
     share = float(toxic.mean()) if len(toxic) else 0.0
     none = Model(np.zeros(0, dtype=np.uint64), np.zeros(0), 0.0, np.zeros(4), share)
     if not len(toxic) or toxic.all() or not toxic.any():
         return none
-    found = words.split(pa.array(texts, pa.large_string()), words.WORD_BYTES)
-    features, first, row = token_features(found), _first_tokens(found), found.rows()
-    bad = toxic[row].astype(bool)
-    if not bad.any():
+    toxic = toxic.astype(bool)
+    blocks = [words.split(b.column(0), words.WORD_BYTES)
+              for b in packed.slices(pa.table({"text": texts}).to_batches())]
+    counts = np.concatenate([found.counts for found in blocks])
+    row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    rate = max(float(toxic[row].mean()), 1e-6) if len(row) else 0.0
+    if not counts[toxic].any():
         return none
-    source = words.mix(unlike_documents(found) + np.uint64(1))[row]
-    rate = max(float(bad.mean()), 1e-6)
-    cue = np.zeros(len(row), dtype=bool)
-    for numbers in features:
-        known, slot = np.unique(numbers, return_inverse=True)
-        least = np.log(len(known) * len(features) / s.chance) / -np.log(min(rate, 0.9))
-        _, seen_at = np.unique(words.mix(numbers) + source, return_index=True)
-        in_toxic = np.bincount(slot[seen_at[bad[seen_at]]], minlength=len(known))
-        in_clean = np.bincount(slot[seen_at[~bad[seen_at]]], minlength=len(known))
-        pure = (in_toxic >= max(4, least)) & (in_toxic >= s.purity * (in_toxic + in_clean))
-        cue |= pure[slot]
-    label = cue & bad
+    source = words.mix(unlike_documents(blocks) + np.uint64(1))
+    edges = np.cumsum([0, *(len(found.start) for found in blocks)]).tolist()
+    label = np.zeros(len(row), dtype=bool)
+    numbers = np.empty(len(row), dtype=np.uint64)
+    for kind in range(KINDS):
+        for found, low, high in zip(blocks, edges, edges[1:], strict=False):
+            numbers[low:high], = token_features(found, [kind])
+        cues = Model(_telling(numbers, row, toxic, source, rate, s), np.zeros(0), 0.0, np.zeros(4),
+                     share)
+        if len(cues.feature):
+            for low, high in zip(edges, edges[1:], strict=False):
+                label[low:high][cues.hits(numbers[low:high])[0]] = True
+    del numbers
+    label &= toxic[row]
     if not label.any():
         return none
 
-    order = np.random.Generator(np.random.PCG64(5)).permutation(np.flatnonzero(toxic == 0))
-    fit = toxic.astype(bool).copy()
+    order = np.random.Generator(np.random.PCG64(5)).permutation(np.flatnonzero(~toxic))
+    fit = toxic.copy()
     fit[order[:s.fit_clean_rows]] = True
     use = fit[row]
-    features = [f[use] for f in features]
-    label, first = label[use].astype(float), first[use]
-    chosen, count = np.unique(np.concatenate([f[label > 0] for f in features]),
+    del row
+    marked = [token_features(words.Words(found.data, found.start[at], found.end[at], found.first))
+              for found, low, high in zip(blocks, edges, edges[1:], strict=False)
+              if len(at := np.flatnonzero(label[low:high]))]
+    chosen, count = np.unique(np.concatenate([f for features in marked for f in features]),
                               return_counts=True)
     chosen = chosen[count >= 2] if (count >= 2).any() else chosen
     count = count[count >= 2] if (count >= 2).any() else count
     if len(chosen) > s.max_features:
         chosen = np.sort(chosen[np.argsort(-count, kind="stable")[:s.max_features]])
     model = Model(chosen, np.zeros(len(chosen)), -4.0, np.array([0.0, 0.0, 0.0, 0.0]), share)
-    token, slot = model.columns(features)
+    hits, held = [[] for _ in range(KINDS)], 0
+    for found, low, high in zip(blocks, edges, edges[1:], strict=False):
+        at = np.flatnonzero(use[low:high])
+        some = words.Words(found.data, found.start[at], found.end[at], found.first)
+        for own, features in zip(hits, token_features(some), strict=True):
+            token, slot = model.hits(features)
+            own.append(((token + held).astype(np.int32), slot.astype(np.int32)))
+        held += len(at)
+    # of each kind the tokens and the features they have
+    hits = [tuple(map(np.concatenate, zip(*own, strict=True))) for own in hits]
+    first = np.concatenate([_first_tokens(found) for found in blocks])[use]
+    del blocks
+    label = label[use].astype(float)
     last_label = np.r_[0.0, label[:-1]]
     inner = ~first
-    observed = np.bincount(slot, weights=label[token], minlength=len(chosen))
+    n, m = len(label), len(chosen)
+    observed = np.zeros(m)
+    for token, slot in hits:
+        np.add.at(observed, slot, label[token])
     seen = [label[first].sum(), ((1 - last_label) * label)[inner].sum(),
             (last_label * (1 - label))[inner].sum(), (last_label * label)[inner].sum()]
+    labelled = label.sum()
+    del last_label, label, use
     theta = np.r_[model.weight, model.bias, model.chain]
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
-    n, m = len(label), len(chosen)
     for step in range(1, s.steps + 1):
-        score = theta[m] + np.bincount(token, weights=theta[slot], minlength=n)
-        odds = np.exp(np.clip(score, -30, 30))
-        past, future = forward_backward(odds, first, theta[m + 1:])
-        p = past * future / (1 + past * future)
-        before = np.r_[0.0, past[:-1]]
-        ahead = odds * future
-        start, ct, tc, tt = np.exp(theta[m + 1:])
-        into, back, on = ct * ahead, before * tc, before * tt * ahead
-        total = 1 + into + back + on
+        odds = np.zeros(n)
+        for token, slot in hits:
+            np.add.at(odds, token, theta[slot])
+        odds += theta[m]
+        np.exp(np.clip(odds, -30, 30, out=odds), out=odds)
+        p, steps = _expected(*forward_backward(odds, first, theta[m + 1:]), odds, inner,
+                             theta[m + 1:])
+        expected = np.zeros(m)
+        for token, slot in hits:
+            np.add.at(expected, slot, p[token])
         grad = np.r_[
-            observed - np.bincount(slot, weights=p[token], minlength=m) - n * s.ridge * theta[:m],
-            label.sum() - p.sum(), seen[0] - p[first].sum(),
-            seen[1] - (into / total)[inner].sum(), seen[2] - (back / total)[inner].sum(),
-            seen[3] - (on / total)[inner].sum(),
+            observed - expected - n * s.ridge * theta[:m],
+            labelled - p.sum(), seen[0] - p[first].sum(),
+            [had - has for had, has in zip(seen[1:], steps, strict=True)],
         ] / n
         mean = 0.9 * mean + 0.1 * grad
         square = 0.99 * square + 0.01 * grad * grad
@@ -291,15 +374,14 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(),
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.Table.from_batches(list(batches), schema=pa.schema(
             [("text", pa.string()), ("toxic", pa.int32())]))
-        texts = [t or "" for t in held["text"].to_pylist()]
-        model = learn(texts, held["toxic"].to_numpy().astype(int), settings)
+        model = learn(held["text"], held["toxic"].to_numpy().astype(int), settings)
         body = pickle.dumps((model.feature.tobytes(), model.weight.tobytes(), model.bias,
                              model.chain.tobytes(), model.share))
         yield pa.RecordBatch.from_arrays([pa.array([body], pa.binary())], names=["model"])
 
     made = sample.select("text", "toxic").mapInArrow(run, "model binary").collect()
     if not made:
-        return learn([], np.zeros(0, dtype=int), settings)
+        return learn(pa.chunked_array([], pa.string()), np.zeros(0, dtype=int), settings)
     feature, weight, bias, chain, share = pickle.loads(made[0][0])
     return Model(np.frombuffer(feature, np.uint64), np.frombuffer(weight), bias,
                  np.frombuffer(chain), share)
