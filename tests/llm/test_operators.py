@@ -8,6 +8,7 @@ import struct
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -645,6 +646,56 @@ def test_language_model_rows_do_not_grow_with_occurrences():
     assert counted(100) == counted(10_000)
 
 
+def test_language_model_rows_of_a_part_are_a_fraction_of_their_numbers():
+    rng = np.random.default_rng(7)
+    text = [" ".join(f"w{x}" for x in rng.integers(0, 1500, 20_000)) for _ in range(4)]
+    rows = pa.table({"_key": [1, 2, 3, 4], "text": text, "train": [True] * 4}).to_batches()
+    pairs = pa.Table.from_batches(pitman_yor._count_pairs(1)(iter(rows)))
+    part = pitman_yor._gather_part(pairs)
+    entries = pa.Table.from_batches(pitman_yor._entries(1)(iter(rows)))
+    inner = pitman_yor.Part(part.to_pylist()[0])
+    held, moving = len(inner.count), int((inner.count > 1).sum())
+    assert held > 70_000 and moving > 1000 and inner.count.sum() == 80_004
+    base = inner.per_context(inner.count > 0)[np.unique(inner.context[inner.count > 1])]
+    state = pa.Table.from_batches(pitman_yor._begin(iter([pa.RecordBatch.from_pylist(
+        [part.to_pylist()[0] | {"totals": [pitman_yor._wide(base)]}])])))
+    # bytes a pair; 8, 16, 16 and 56 if the numbers are left as they are
+    for table, n, most in ((pairs, held, 4), (part, held, 4), (entries, held, 4),
+                           (state, moving, 20)):
+        assert table.num_rows == 1
+        assert table.nbytes < most * n, (table.column_names, table.nbytes / n)
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 100, 5000, 50_000):
+        found, signed = rng.integers(0, 300, n), rng.integers(-(1 << 62), 1 << 62, n)
+        rising = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        assert (pitman_yor._planes(pitman_yor._small(found)) == found).all()
+        assert (pitman_yor._read_wide(pitman_yor._wide(signed)) == signed).all()
+        assert (pitman_yor._read_flags(pitman_yor._flags(found > 9)) == (found > 9)).all()
+        column = pa.chunked_array([[pitman_yor._number_steps(rising)] * 2, [
+            pitman_yor._number_steps(rising[:0])]], pa.binary())
+        assert (pitman_yor._all_numbers(column) == np.r_[rising, rising]).all()
+        assert pitman_yor._sizes(column, 8).tolist() == [len(rising), len(rising), 0]
+
+
+def test_few_large_rows_are_held_back_while_they_are_stored(spark):
+    import pyarrow.parquet as pq
+
+    def large(batches):
+        for b in batches:
+            for at in b["id"].to_pylist():
+                body = np.random.default_rng(at).bytes(3 << 20)
+                yield pa.RecordBatch.from_pylist([{"id": at, "body": body}])
+
+    made = spark.range(0, 8, 1, 1).mapInArrow(large, "id long, body binary")
+    _, path = pitman_yor._stored(made, "large")
+    files = [pq.ParquetFile(f) for f in Path(path.removeprefix("file:")).glob("part-*")]
+    groups = [f.metadata.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert sum(groups) == 8 and max(groups) <= 2
+
+
 def set_partitions(n):
     """Table sizes of every way to seat n customers."""
     if n == 0:

@@ -16,6 +16,9 @@ on the seed, the sweep and the part alone, so a part that is computed again give
 
 A batch gets back the counts and tables of its own pairs, words and contexts, which are small
 numbers, and its texts are scored from their (document, pair, count) entries.
+
+Numbers are packed and compressed before they leave Python: a row holds those of a whole part or
+batch, and Spark, which copies and sorts rows as they are, moves a fraction of their bytes.
 """
 
 from __future__ import annotations
@@ -46,6 +49,8 @@ BEGIN = (1 << 64) - 1
 #: with any number of partitions.
 PART_BYTES = 8 << 20
 PARTS_A_BUCKET = 4
+#: Packed numbers of fewer bytes are left to Spark's own compression, which sees many rows at once.
+LEAST_PRESSED = 4 << 10
 #: Dishes with more customers are seated in shares of one in ``SHARES``.
 LARGE = 512
 SHARES = 16
@@ -132,8 +137,8 @@ def _by_word(numbers: np.ndarray, word: np.ndarray, context: np.ndarray) -> dict
     """The packed columns of ``BY_WORD``; pairs are sorted by word."""
     at, per_word = packed.runs(word)
     own, index = np.unique(context, return_inverse=True)
-    return {"words": _number_steps(numbers[word[at]]), "per_word": packed.planes(per_word),
-            "contexts": _number_steps(numbers[own]), "context": packed.planes(index)}
+    return {"words": _number_steps(numbers[word[at]]), "per_word": _small(per_word),
+            "contexts": _number_steps(numbers[own]), "context": _small(index)}
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,26 +173,71 @@ def _add_row(out: dict[str, list], **columns) -> None:
         out[name].append(value)
 
 
+def _pressed(data: bytes) -> bytes:
+    """``data`` compressed, after its size; what is short or does not shrink stays as it is."""
+    found = data
+    if len(data) >= LEAST_PRESSED:
+        found = min(pa.compress(data, codec="zstd", asbytes=True), data, key=len)
+    return len(data).to_bytes(8, "little") + found
+
+
+def _size(data: bytes) -> int:
+    return int.from_bytes(data[:8], "little")
+
+
+def _opened(data: bytes) -> bytes:
+    size, body = _size(data), memoryview(data)[8:]
+    return body if len(body) == size else pa.decompress(body, size, codec="zstd", asbytes=True)
+
+
+def _sizes(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """How many numbers of ``width`` bytes each row of a pressed column has."""
+    return np.array([_size(x) // width for x in column.to_pylist()], dtype=np.int64)
+
+
+def _small(numbers: np.ndarray) -> bytes:
+    """Numbers of up to 32 bits."""
+    return _pressed(packed.planes(numbers))
+
+
+def _planes(data: bytes) -> np.ndarray:
+    return packed.read_planes(pa.array([_opened(data)], pa.binary())).astype(np.int64)
+
+
+def _all_planes(column: pa.ChunkedArray) -> np.ndarray:
+    """All numbers of a column of ``_small``, row after row."""
+    return np.concatenate([np.zeros(0, dtype=np.int64), *map(_planes, column.to_pylist())])
+
+
 def _steps(places: np.ndarray) -> bytes:
     """Rising places, packed as the steps between them."""
-    return packed.planes(np.diff(places, prepend=0))
+    return _small(np.diff(places, prepend=0))
 
 
 def _places(data: bytes) -> np.ndarray:
     return np.cumsum(_planes(data))
 
 
+def _flags(values: np.ndarray) -> bytes:
+    return _pressed(values.astype("u1").tobytes())
+
+
+def _read_flags(data: bytes) -> np.ndarray:
+    return np.frombuffer(_opened(data), "u1") > 0
+
+
 def _number_steps(numbers: np.ndarray) -> bytes:
     """Rising 64-bit numbers, packed as the steps between them."""
     return _wide(np.diff(numbers, prepend=np.uint64(0)).view("<i8"))
 
 
-def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+def _numbers(data: bytes) -> np.ndarray:
+    return np.cumsum(_read_wide(data).view("<u8"))
+
+
+def _all_numbers(column: pa.ChunkedArray) -> np.ndarray:
     """All numbers of a column of ``_number_steps``, row after row."""
-    steps = np.concatenate([_read_wide(x) for x in column.to_pylist()]).view("<u8")
-    size = packed.lengths(column, 8)
-    total = np.r_[np.uint64(0), np.cumsum(steps)]  # sums and differences wrap alike
-    return total[1:] - np.repeat(total[np.cumsum(size) - size], size)
+    return np.concatenate([np.zeros(0, dtype="<u8"), *map(_numbers, column.to_pylist())])
 
 
 def _count_pairs(parts: int):
@@ -206,7 +256,7 @@ def _count_pairs(parts: int):
             part = packed.place(numbers, parts)[word]
             out: dict[str, list] = {f.name: [] for f in PAIRS}
             for a, n in zip(*packed.runs(part), strict=True):
-                _add_row(out, batch=batch, part=int(part[a]), count=packed.planes(count[a:a + n]),
+                _add_row(out, batch=batch, part=int(part[a]), count=_small(count[a:a + n]),
                          **_by_word(numbers, word[a:a + n], context[a:a + n]))
             yield packed.batch(out, PAIRS)
 
@@ -216,25 +266,25 @@ def _count_pairs(parts: int):
 def _gather_part(table: pa.Table) -> pa.Table:
     """One row for the whole part: its distinct pairs with their training counts, and which of
     its words and pairs each batch holds."""
-    vocabulary, own = np.unique(_numbers(table["words"]), return_inverse=True)
-    word = np.repeat(own, packed.read_planes(table["per_word"]))
-    contexts, of = np.unique(_numbers(table["contexts"]), return_inverse=True)
-    held, size = packed.lengths(table["contexts"], 8), packed.lengths(table["context"], 4)
-    index = packed.read_planes(table["context"]).astype(np.int64)
+    vocabulary, own = np.unique(_all_numbers(table["words"]), return_inverse=True)
+    word = np.repeat(own, _all_planes(table["per_word"]))
+    contexts, of = np.unique(_all_numbers(table["contexts"]), return_inverse=True)
+    held, size = _sizes(table["contexts"], 8), _sizes(table["context"], 4)
+    index = _all_planes(table["context"])
     context = of[index + np.repeat(np.cumsum(held) - held, size)]
     pair, at = np.unique(word * len(contexts) + context, return_inverse=True)
-    count = np.bincount(at, weights=packed.read_planes(table["count"]),
+    count = np.bincount(at, weights=_all_planes(table["count"]),
                         minlength=len(pair)).astype(np.int64)
     word, context = np.divmod(pair, len(contexts))
     _, per_word = packed.runs(word)
     spread = np.bincount(word[count > 0], minlength=len(vocabulary))
     first = contexts[context] == BEGIN
-    in_words = np.cumsum(packed.lengths(table["words"], 8))[:-1]
+    in_words = np.cumsum(_sizes(table["words"], 8))[:-1]
     in_pairs = np.cumsum(size)[:-1]
     row = {
-        "part": table["part"][0].as_py(), "words": vocabulary.astype("<u8").tobytes(),
-        "per_word": packed.planes(per_word), "contexts": contexts.astype("<u8").tobytes(),
-        "context": packed.planes(context), "count": _wide(count),
+        "part": table["part"][0].as_py(), "words": _number_steps(vocabulary),
+        "per_word": _small(per_word), "contexts": _number_steps(contexts),
+        "context": _small(context), "count": _wide(count),
         "batches": table["batch"].to_pylist(),
         "batch_words": [_steps(x) for x in np.split(own, in_words)],
         "batch_pairs": [_steps(x) for x in np.split(at, in_pairs)],
@@ -248,16 +298,12 @@ def _gather_part(table: pa.Table) -> pa.Table:
 
 def _wide(numbers: np.ndarray) -> bytes:
     """Whole 64-bit numbers by place, so that small ones compress well."""
-    return np.ascontiguousarray(numbers, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return _pressed(np.ascontiguousarray(numbers, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def _read_wide(data: bytes) -> np.ndarray:
     return np.array(
-        np.frombuffer(data, np.uint8).reshape(8, -1).T, order="C").view("<i8").ravel()
-
-
-def _planes(data: bytes) -> np.ndarray:
-    return packed.read_planes(pa.array([data], pa.binary())).astype(np.int64)
+        np.frombuffer(_opened(data), np.uint8).reshape(8, -1).T, order="C").view("<i8").ravel()
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -375,7 +421,7 @@ class Part:
         self.word = np.repeat(np.arange(len(per_word)), per_word)
         self.context = _planes(row["context"])
         self.count = _read_wide(row["count"])
-        self.numbers = np.frombuffer(row["contexts"], "<u8")
+        self.numbers = _numbers(row["contexts"])
         self.words, self.contexts = len(per_word), len(self.numbers)
 
     def per_context(self, values: np.ndarray) -> np.ndarray:
@@ -390,19 +436,18 @@ def _to_buckets(
     out: dict[str, list] = {f.name: [] for f in TOTALS}
     place = packed.place(numbers, buckets)
     for a, n in zip(*packed.runs(place), strict=True):
-        _add_row(out, part=part, bucket=int(place[a]), contexts=numbers[a:a + n].tobytes(),
-                 wanted=wanted[a:a + n].astype("u1").tobytes(),
-                 body=_wide(body[a:a + n].ravel()))
+        _add_row(out, part=part, bucket=int(place[a]), contexts=_number_steps(numbers[a:a + n]),
+                 wanted=_flags(wanted[a:a + n]), body=_wide(body[a:a + n].ravel()))
     return packed.batch(out, TOTALS)
 
 
 def _totals(table: pa.Table, width: int) -> pa.Table:
     """Adds up the contexts of one bucket and answers every part in the order it asked."""
-    _, of = np.unique(packed.read(table["contexts"], "<u8"), return_inverse=True)
+    _, of = np.unique(_all_numbers(table["contexts"]), return_inverse=True)
     body = np.concatenate([_read_wide(x) for x in table["body"].to_pylist()]).reshape(-1, width)
     total = np.stack([np.bincount(of, weights=body[:, j])[of] for j in range(width)], axis=1)
-    ends = np.cumsum(packed.lengths(table["contexts"], 8))
-    wanted = packed.read(table["wanted"], "u1") > 0
+    ends = np.cumsum(_sizes(table["contexts"], 8))
+    wanted = np.concatenate([_read_flags(x) for x in table["wanted"].to_pylist()])
     answers = [_wide(x[w].astype(np.int64).ravel()) for x, w in zip(
         np.split(total, ends[:-1]), np.split(wanted, ends[:-1]), strict=True)]
     return table.select(["part", "bucket"]).append_column("body", pa.array(answers, pa.binary()))
@@ -448,14 +493,13 @@ def _begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = np.ones(len(move), dtype=np.int64)
         count = part.count[move]
         yield pa.RecordBatch.from_pylist([{
-            "part": part.number, "word": packed.planes(part.word[move]),
-            "contexts": part.numbers[own].tobytes(), "context": packed.planes(context),
-            "count": _wide(count), "many": many.astype("u1").tobytes(),
-            "others": packed.planes(
-                np.bincount(part.word[part.count == 1], minlength=part.words)),
+            "part": part.number, "word": _small(part.word[move]),
+            "contexts": _number_steps(part.numbers[own]), "context": _small(context),
+            "count": _wide(count), "many": _flags(many),
+            "others": _small(np.bincount(part.word[part.count == 1], minlength=part.words)),
             "base": _wide(_sums(row, 1)[:, 0]), "tables": _wide(one),
-            "sizes": b"", "in_root": _wide(pairs),
-            "seated": _wide((pairs > 0).astype(np.int64)), "root_sizes": b"",
+            "sizes": _wide(one[:0]), "in_root": _wide(pairs),
+            "seated": _wide((pairs > 0).astype(np.int64)), "root_sizes": _wide(one[:0]),
             "kept": [], "kept_in_root": [], "kept_seated": [],
             "roots": [int(pairs.sum()), int((pairs > 0).sum())],
         }], schema=STATE)
@@ -466,7 +510,7 @@ def _ask_more(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            numbers = np.frombuffer(row["contexts"], "<u8")
+            numbers = _numbers(row["contexts"])
             more = np.bincount(_planes(row["context"]), _read_wide(row["tables"]) - 1,
                                minlength=len(numbers)).astype(np.int64)
             yield _to_buckets(row["part"], numbers, np.ones(len(numbers)), [more], buckets)
@@ -539,7 +583,7 @@ def _sweep(model: Model, roots: list[int], s: Settings, turn: int):
         return tables, in_root, _wide(seats.size)
 
     def root(row: dict, in_root: np.ndarray, rng) -> tuple[np.ndarray, bytes]:
-        seated, many = _read_wide(row["seated"]), np.frombuffer(row["many"], "u1") > 0
+        seated, many = _read_wide(row["seated"]), _read_flags(row["many"])
         seats = Seats(seated[many] if turn else 0 * seated[many], _read_wide(row["root_sizes"]))
         all_tables = roots[1]
         few = np.flatnonzero(~many & (in_root > 0))
@@ -567,8 +611,8 @@ def _sweep(model: Model, roots: list[int], s: Settings, turn: int):
             seated, root_sizes = root(row, in_root, rng)
             kept = {"kept": tables, "kept_in_root": in_root, "kept_seated": seated}
             if turn >= s.burn_in:
-                row |= {k: [*row[k], packed.planes(x)] for k, x in kept.items()}
-            begun = np.frombuffer(row["contexts"], "<u8")[_planes(row["context"])] == BEGIN
+                row |= {k: [*row[k], _small(x)] for k, x in kept.items()}
+            begun = _numbers(row["contexts"])[_planes(row["context"])] == BEGIN
             row |= {"tables": _wide(tables), "sizes": sizes, "in_root": _wide(in_root),
                     "seated": _wide(seated), "root_sizes": root_sizes,
                     "roots": [int(in_root.sum()), int(seated.sum()),
@@ -598,7 +642,7 @@ def _kept_tables(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            numbers, context = np.frombuffer(row["contexts"], "<u8"), _planes(row["context"])
+            numbers, context = _numbers(row["contexts"]), _planes(row["context"])
             none = np.zeros(len(numbers), dtype=np.int64)
             more = [np.bincount(context, _planes(x) - 1, minlength=len(numbers)).astype(np.int64)
                     for x in row["kept"]]
@@ -608,19 +652,19 @@ def _kept_tables(parts: int):
 
 
 def _add_contexts(table: pa.Table, width: int) -> pa.Table:
-    numbers, of = np.unique(packed.read(table["contexts"], "<u8"), return_inverse=True)
+    numbers, of = np.unique(_all_numbers(table["contexts"]), return_inverse=True)
     body = np.concatenate([_read_wide(x) for x in table["body"].to_pylist()]).reshape(-1, width)
     total = np.stack([np.bincount(of, weights=body[:, j]) for j in range(width)])
     return pa.table({
         "part": pa.array([table["bucket"][0].as_py()], pa.int32()),
-        "own": pa.array([numbers.astype("<u8").tobytes()], pa.binary()),
+        "own": pa.array([_number_steps(numbers)], pa.binary()),
         "own_totals": pa.array([_wide(total.astype(np.int64).ravel())], pa.binary())})
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What each batch needs to score the pairs it holds of a part."""
     for row in _rows(batches):
-        vocabulary, per_word = np.frombuffer(row["words"], "<u8"), _planes(row["per_word"])
+        vocabulary, per_word = _numbers(row["words"]), _planes(row["per_word"])
         count = _read_wide(row["count"])
         word = np.repeat(np.arange(len(vocabulary)), per_word)
         of_word = np.bincount(word, count, minlength=len(vocabulary)).astype(np.int64)
@@ -633,7 +677,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                            for k in ("kept_in_root", "kept_seated"))
         totals = np.zeros((1 + samples, len(vocabulary)), dtype=np.int64)
         if row["own"] is not None:
-            own = np.frombuffer(row["own"], "<u8")
+            own = _numbers(row["own"])
             _, here, there = np.intersect1d(
                 vocabulary, own, assume_unique=True, return_indices=True)
             totals[:, here] = _read_wide(row["own_totals"]).reshape(1 + samples, -1)[:, there]
@@ -643,7 +687,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield packed.batch({k: [x] for k, x in {
                 "batch": batch, "part": row["part"], "count": _wide(count[at]),
                 "word_count": _wide(of_word[of]), "customers": _wide(totals[0, of]),
-                **{name: packed.planes(x.ravel()) for name, x in (
+                **{name: _small(x.ravel()) for name, x in (
                     ("tables", tables[:, at]), ("in_root", in_root[:, of]),
                     ("seated", seated[:, of]), ("context_tables", totals[1:, of]))},
             }.items()}, ANSWERS)
@@ -664,11 +708,11 @@ def _entries(parts: int):
             _, per_word = packed.runs(word)
             yield packed.batch({k: [x] for k, x in {
                 "batch": batch, "keys": rows["_key"].to_pylist(),
-                "train": rows["train"].to_pylist(), "word": packed.planes(per_word),
-                "context": packed.planes(context),
-                "holds": packed.planes(np.bincount(at, minlength=len(pair))),
-                "doc": packed.planes(doc), "count": packed.planes(count),
-                "parts": np.unique(packed.place(numbers[:-1], parts)).astype("<i4").tobytes(),
+                "train": rows["train"].to_pylist(), "word": _small(per_word),
+                "context": _small(context),
+                "holds": _small(np.bincount(at, minlength=len(pair))),
+                "doc": _small(doc), "count": _small(count),
+                "parts": _steps(np.unique(packed.place(numbers[:-1], parts))),
             }.items()}, ENTRIES)
 
     return run
@@ -680,7 +724,7 @@ def _score(model: Model, s: Settings, roots: list, begun: tuple, n: int, v: int)
 
     def run(entries: pa.Table, answers: pa.Table) -> pa.Table:
         row, found = entries.to_pylist()[0], answers.sort_by("part")
-        if found["part"].to_pylist() != np.frombuffer(row["parts"], "<i4").tolist():
+        if found["part"].to_pylist() != _places(row["parts"]).tolist():
             raise RuntimeError("the answers of a batch are not those of its parts")
 
         def joined(name):
@@ -719,8 +763,14 @@ def _score(model: Model, s: Settings, roots: list, begun: tuple, n: int, v: int)
     return run
 
 
-#: Bytes that a task holds back while it stores rows, or reads them.
-BLOCK_BYTES = 16 << 20
+#: Bytes that a task holds back while it stores rows, or reads them. Parquet looks at them after
+#: some hundred rows only, so rows of megabytes have a limit of their own.
+BLOCK_BYTES = 8 << 20
+BLOCK_ROWS = 2
+FILES = {
+    "compression": "zstd", "parquet.block.size": str(BLOCK_BYTES),
+    "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false",
+}
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -744,12 +794,12 @@ def _released(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(key, value)
 
 
-def _stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def _stored(df: DataFrame, label: str, rows: int = BLOCK_ROWS) -> tuple[DataFrame, str]:
+    """Writes ``df`` with at most so many rows in a row group, and reads it back."""
     spark = df.sparkSession
     path = new_path(spark, label)
     with _released(spark):
-        df.write.option("compression", "zstd").option(
-            "parquet.block.size", str(BLOCK_BYTES)).parquet(path)
+        df.write.options(**FILES).option("parquet.block.row.count.limit", str(rows)).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -815,7 +865,8 @@ def score_texts(
         stored.select("part", "words", "per_word", "count", "batches", "batch_words",
                       "batch_pairs")
         .join(state.select("part", "kept", "kept_in_root", "kept_seated"), "part")
-        .join(contexts, "part", "left").mapInArrow(_answers, ANSWERS_DDL), "answers")
+        .join(contexts, "part", "left").mapInArrow(_answers, ANSWERS_DDL), "answers",
+        rows=1 << 20)  # these are small
     delete_path(spark, parts_path)  # the answers hold all that is needed from here on
     delete_path(spark, path)
     begins = (begun, [begun_pairs + x[2] for x in kept])
